@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import histogram_packing, rule_quality
+from . import histogram_packing, rule_quality, token_sst
 from .common import table
 
 
@@ -16,11 +16,16 @@ def op10_rule_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", rule_quality.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op6_token_sst(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_sst.write_and_read(table(spark, sf_dir, "documents"))
+
+
 def op7_histogram_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return histogram_packing.pack_documents(table(spark, sf_dir, "documents"))
 
 
 QUERIES = {
+    "op6_token_sst": op6_token_sst,
     "op7_histogram_packing": op7_histogram_packing,
     "op10_rule_quality": op10_rule_quality,
 }
