@@ -134,7 +134,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     while True:
         near = both.join(labels, both.y == labels.node).groupBy(F.col("x").alias("node")).agg(F.min("component").alias("m"))
         step = labels.join(near, "node", "left").select("node", F.col("component").alias("old"), F.least("component", "m").alias("mid"))
-        jump = step.select(F.col("node").alias("mid"), F.col("mid").alias("up"))
+        jump = labels.select(F.col("node").alias("mid"), F.col("component").alias("up"))
         new = stored(step.join(jump, "mid").select("node", F.col("up").alias("component"), (F.col("up") != F.col("old")).alias("changed")), "labels")
         labels = new.select("node", "component")
         if new.where("changed").isEmpty():

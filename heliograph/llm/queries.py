@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import histogram_packing, rule_quality, token_sst
+from . import histogram_packing, ngram_join, rule_quality, token_sst
 from .common import table
 
 
@@ -16,6 +16,10 @@ def op10_rule_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", rule_quality.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join(table(spark, sf_dir, "documents"))
+
+
 def op6_token_sst(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_sst.write_and_read(table(spark, sf_dir, "documents"))
 
@@ -25,6 +29,7 @@ def op7_histogram_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op5_ngram_join": op5_ngram_join,
     "op6_token_sst": op6_token_sst,
     "op7_histogram_packing": op7_histogram_packing,
     "op10_rule_quality": op10_rule_quality,
