@@ -5,10 +5,31 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import histogram_packing, ngram_join, rule_quality, token_sst
+from . import ann_projection, exact_topk, histogram_packing, ngram_join, rule_quality, token_sst
 from .common import table
 
 
+def op8_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    embeddings = table(spark, sf_dir, "embeddings")
+    return exact_topk.search(embeddings, embeddings.where("vec_id % 100 = 0"))
+
+
+OP8_SQL = """
+with v as (
+    select vec_id, list_transform(embedding, x -> cast(floor(1024 * cast(x as double)) as bigint)) as vector
+    from embeddings
+    where embedding is not null and vec_id is not null
+      and len(list_filter(embedding, x -> x is null or not isfinite(x))) = 0
+), scored as (
+    select q.vec_id as query_id, v.vec_id, cast(list_dot_product(cast(q.vector as double[]), cast(v.vector as double[])) as bigint) as score
+    from v as q, v where q.vec_id % 100 = 0 and q.vec_id <> v.vec_id
+), ranked as (
+    select query_id, cast(row_number() over (partition by query_id order by score desc, vec_id) as integer) as rank, vec_id, score from scored
+)
+select query_id, rank, vec_id, score from ranked where rank <= 10
+"""
+
+
 def op10_rule_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
     model = rule_quality.fit(documents, table(spark, sf_dir, "labels"))
@@ -16,6 +37,11 @@ def op10_rule_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", rule_quality.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op2_projection_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    embeddings = table(spark, sf_dir, "embeddings")
+    return ann_projection.search(embeddings, embeddings.where("vec_id % 20 = 0"))
+
+
 def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.join(table(spark, sf_dir, "documents"))
 
@@ -29,10 +55,14 @@ def op7_histogram_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_projection_search": op2_projection_search,
+    "op8_exact_topk": op8_exact_topk,
     "op5_ngram_join": op5_ngram_join,
     "op6_token_sst": op6_token_sst,
     "op7_histogram_packing": op7_histogram_packing,
     "op10_rule_quality": op10_rule_quality,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op8_exact_topk": OP8_SQL,
+}
