@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann_projection, exact_topk, histogram_packing, ngram_join, rule_quality, token_sst
+from . import ann_projection, exact_topk, histogram_packing, ngram_join, rule_quality, token_sst, toxicity_crf
 from .common import table
 
 
@@ -42,6 +42,13 @@ def op2_projection_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann_projection.search(embeddings, embeddings.where("vec_id % 20 = 0"))
 
 
+def op3_toxicity_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    field = toxicity_crf.fit(documents, table(spark, sf_dir, "labels"))
+    scored = toxicity_crf.score(documents.select("doc_id", "text"), field, column="score")
+    return scored.select("doc_id", rule_quality.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.join(table(spark, sf_dir, "documents"))
 
@@ -57,6 +64,7 @@ def op7_histogram_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op2_projection_search": op2_projection_search,
     "op8_exact_topk": op8_exact_topk,
+    "op3_toxicity_crf": op3_toxicity_crf,
     "op5_ngram_join": op5_ngram_join,
     "op6_token_sst": op6_token_sst,
     "op7_histogram_packing": op7_histogram_packing,
