@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann_projection, exact_topk, histogram_packing, ngram_join, rule_quality, token_sst, toxicity_crf
+from . import ann_projection, exact_topk, histogram_packing, ngram_join, rule_quality, token_sst, toxicity_crf, warc_transactions
 from .common import table
 
 
@@ -30,6 +30,18 @@ select query_id, rank, vec_id, score from ranked where rank <= 10
 """
 
 
+def op9_warc_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    captures = warc_transactions.write_and_read(table(spark, sf_dir, "pages"))
+    revisited = F.regexp_extract("response.refers_to", r"response:(-?\d+)>", 1)
+    return captures.select(
+        F.col("metadata.capture_id").alias("page_id"),
+        F.col("held_bytes").alias("payload_bytes"),
+        F.col("held_digest").alias("payload_digest"),
+        F.col("response.type").alias("record_type"),
+        F.when(F.col("response.refers_to").isNotNull(), revisited.cast("long")).alias("refers_to"),
+    )
+
+
 def op10_rule_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
     model = rule_quality.fit(documents, table(spark, sf_dir, "labels"))
@@ -62,6 +74,7 @@ def op7_histogram_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op9_warc_transactions": op9_warc_transactions,
     "op2_projection_search": op2_projection_search,
     "op8_exact_topk": op8_exact_topk,
     "op3_toxicity_crf": op3_toxicity_crf,
