@@ -113,10 +113,13 @@ class WordHasher:
         ends = offsets[1:][offsets[1:] > 0]
         last[ends - 1] = True
         word = ~space
+        return np.flatnonzero(first & word), np.flatnonzero(last & word) + 1, self.sums(data)
+
+    def sums(self, data: np.ndarray) -> np.ndarray:
         self.powers(len(data))
         sums = np.zeros(len(data) + 1, np.uint64)
         np.cumsum(self.codes[data] * self.up[: len(data)], out=sums[1:])
-        return np.flatnonzero(first & word), np.flatnonzero(last & word) + 1, sums
+        return sums
 
     def hashes(self, sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         return mix((sums[end] - sums[start]) * self.down[start])

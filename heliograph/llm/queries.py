@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann_projection, exact_topk, histogram_packing, ngram_join, rule_quality, token_sst, toxicity_crf, warc_transactions
+from . import ann_projection, chat_collapse, exact_topk, histogram_packing, ngram_join, rule_quality, sp_dropout, token_sst, toxicity_crf, warc_transactions
 from .common import table
 
 
@@ -16,10 +16,10 @@ def op8_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP8_SQL = """
 with v as (
-    select vec_id, list_transform(embedding, x -> cast(floor(1024 * cast(x as double)) as bigint)) as vector
+    select vec_id, [cast(floor(1024 * cast(x as double)) as bigint) for x in embedding] as vector
     from embeddings
     where embedding is not null and vec_id is not null
-      and len(list_filter(embedding, x -> x is null or not isfinite(x))) = 0
+      and len([x for x in embedding if x is null or not isfinite(x)]) = 0
 ), scored as (
     select q.vec_id as query_id, v.vec_id, cast(list_dot_product(cast(q.vector as double[]), cast(v.vector as double[])) as bigint) as score
     from v as q, v where q.vec_id % 100 = 0 and q.vec_id <> v.vec_id
@@ -49,6 +49,10 @@ def op10_rule_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", rule_quality.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op1_sp_dropout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sp_dropout.encode(table(spark, sf_dir, "documents")).select("doc_id", "n_tokens", "ids_crc32", "lossless")
+
+
 def op2_projection_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     embeddings = table(spark, sf_dir, "embeddings")
     return ann_projection.search(embeddings, embeddings.where("vec_id % 20 = 0"))
@@ -61,6 +65,26 @@ def op3_toxicity_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", rule_quality.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op4_chat_collapse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_collapse.collapse(table(spark, sf_dir, "conversations"))
+
+
+OP4_SQL = """
+with numbered as (
+    select *, row_number() over (partition by conv_id order by turn nulls first, role nulls first, text nulls first) as pos from conversations
+), whole as (
+    select conv_id, count(*) as n, list({'role': role, 'text': text} order by pos) as turns,
+           string_agg('<|im_start|>' || replace(coalesce(role, ''), '<|im_', '<|_im_') || chr(10)
+                      || replace(coalesce(text, ''), '<|im_', '<|_im_') || '<|im_end|>' || chr(10), '' order by pos) as rendered
+    from numbered group by conv_id
+), different as (
+    select turns, n, rendered, min(conv_id) as conv_id, count(*) as copies from whole group by turns, n, rendered
+)
+select conv_id, n as n_turns, copies, rendered from different as d
+where not exists (select 1 from whole as w where w.n > d.n and w.turns[1:d.n] = d.turns)
+"""
+
+
 def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.join(table(spark, sf_dir, "documents"))
 
@@ -74,10 +98,12 @@ def op7_histogram_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_sp_dropout": op1_sp_dropout,
     "op9_warc_transactions": op9_warc_transactions,
     "op2_projection_search": op2_projection_search,
     "op8_exact_topk": op8_exact_topk,
     "op3_toxicity_crf": op3_toxicity_crf,
+    "op4_chat_collapse": op4_chat_collapse,
     "op5_ngram_join": op5_ngram_join,
     "op6_token_sst": op6_token_sst,
     "op7_histogram_packing": op7_histogram_packing,
@@ -85,5 +111,6 @@ QUERIES = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op4_chat_collapse": OP4_SQL,
     "op8_exact_topk": OP8_SQL,
 }

@@ -28,6 +28,50 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+class IdPool:
+    """Ids of words by 64-bit hash: what a worker has encoded before."""
+
+    def __init__(self) -> None:
+        self.forget()
+
+    def forget(self) -> None:
+        self.known = np.zeros(0, np.uint64)  # sorted hashes, and each word's place in the pool of ids
+        self.at = self.size = np.zeros(0, np.int64)
+        self.ids = np.zeros(0, np.uint32)
+        self.filled = 0
+
+    def learn(self, hashes: np.ndarray, flat: np.ndarray, size: np.ndarray) -> None:
+        """Sorted new hashes, their ids in a row, and how many each has."""
+        if self.filled + len(flat) > len(self.ids):
+            self.ids = np.concatenate([self.ids[: self.filled], np.zeros(self.filled + 2 * len(flat) + 1024, np.uint32)])
+        self.ids[self.filled : self.filled + len(flat)] = flat
+        at = self.filled + np.cumsum(size) - size
+        self.filled += len(flat)
+        into = np.searchsorted(self.known, hashes)
+        self.known, self.at, self.size = np.insert(self.known, into, hashes), np.insert(self.at, into, at), np.insert(self.size, into, size)
+
+    def gather(self, hashes: np.ndarray, encode) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the words with these hashes, in their order, and the len(hashes) + 1 places where words begin.
+
+        encode(first) gives the ids in a row, and how many each has, of words not met before: first[i] is the place of
+        one of them.
+        """
+        total = np.zeros(len(hashes) + 1, np.int64)
+        if not len(hashes):
+            return np.zeros(0, np.uint32), total
+        distinct, first, word = np.unique(hashes, return_index=True, return_inverse=True)
+        if len(self.known) + len(distinct) > REMEMBERED_WORDS:
+            self.forget()
+        place = np.minimum(np.searchsorted(self.known, distinct), max(len(self.known) - 1, 0))
+        new = self.known[place] != distinct if len(self.known) else np.ones(len(distinct), bool)
+        if new.any():
+            self.learn(distinct[new], *encode(first[new]))
+            place = np.searchsorted(self.known, distinct)
+        size = self.size[place][word]
+        np.cumsum(size, out=total[1:])
+        return self.ids[np.repeat(self.at[place][word] - total[:-1], size) + np.arange(total[-1])], total
+
+
 class WordEncoder:
     """ids of texts, as the tokenizer at path encodes them without special tokens.
 
@@ -42,25 +86,12 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.hasher = WordHasher()
-        self.forget()
+        self.pool = IdPool()
 
-    def forget(self) -> None:
-        self.known = np.zeros(0, np.uint64)  # sorted hashes, and each word's place in the pool of ids
-        self.at = self.size = np.zeros(0, np.int64)
-        self.pool = np.zeros(0, np.uint32)
-        self.filled = 0
-
-    def learn(self, hashes: np.ndarray, words: list[str]) -> None:
+    def encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         ids = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
         size = np.fromiter(map(len, ids), np.int64, len(ids))
-        flat = np.fromiter((i for x in ids for i in x), np.uint32, int(size.sum()))
-        if self.filled + len(flat) > len(self.pool):
-            self.pool = np.concatenate([self.pool[: self.filled], np.zeros(self.filled + 2 * len(flat) + 1024, np.uint32)])
-        self.pool[self.filled : self.filled + len(flat)] = flat
-        at = self.filled + np.cumsum(size) - size
-        self.filled += len(flat)
-        into = np.searchsorted(self.known, hashes)
-        self.known, self.at, self.size = np.insert(self.known, into, hashes), np.insert(self.at, into, at), np.insert(self.size, into, size)
+        return np.fromiter((i for x in ids for i in x), np.uint32, int(size.sum())), size
 
     def __call__(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids in a row, and the n + 1 places where texts begin and end."""
@@ -81,18 +112,10 @@ class WordEncoder:
         for w in np.unique(np.searchsorted(start, raw, "right") - 1):  # may hold a special token, which has one spelling
             if w >= 0:
                 hashes[w] = np.uint64(hash(data[start[w] : end[w]].tobytes()) & (2**64 - 1))
-        distinct, first, word = np.unique(hashes, return_index=True, return_inverse=True)
-        if len(self.known) + len(distinct) > REMEMBERED_WORDS:
-            self.forget()
-        place = np.minimum(np.searchsorted(self.known, distinct), max(len(self.known) - 1, 0))
-        new = self.known[place] != distinct if len(self.known) else np.ones(len(distinct), bool)
-        if new.any():
-            spans = zip(start[first[new]].tolist(), end[first[new]].tolist(), strict=True)
+
+        def encode(first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             whole = data.tobytes()
-            self.learn(distinct[new], [whole[a:b].decode("utf-8", "replace") for a, b in spans])
-            place = np.searchsorted(self.known, distinct)
-        size = self.size[place][word] if len(word) else np.zeros(0, np.int64)
-        total = np.zeros(len(size) + 1, np.int64)
-        np.cumsum(size, out=total[1:])
-        ids = self.pool[np.repeat(self.at[place][word] - total[:-1], size) + np.arange(total[-1])] if len(word) else np.zeros(0, np.uint32)
-        return ids, total[np.searchsorted(start, offsets)]
+            return self.encode_words([whole[a:b].decode("utf-8", "replace") for a, b in zip(start[first].tolist(), end[first].tolist(), strict=True)])
+
+        ids, at = self.pool.gather(hashes, encode)
+        return ids, at[np.searchsorted(start, offsets)]
