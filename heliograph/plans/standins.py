@@ -104,6 +104,7 @@ def heap(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     objects = None
     for i, (name, key, size) in enumerate(HEAP_TABLES):
         rows = t(name).select(_heap_id(i, line if key is None else F.col(key)).alias("obj_id"), F.lit(f"com.shop.{name}").alias("class_name"), align8(F.lit(12 + size)).alias("shallow"))
+        rows = rows.distinct() if key is None else rows  # order and line number don't name a line item alone
         objects = rows if objects is None else objects.unionByName(rows)
     ref = lambda rows, a, x, b, y, field: rows.select(_heap_id(a, x).alias("from_id"), _heap_id(b, y).alias("to_id"), F.lit(field).alias("field"))
     c = F.col
@@ -120,17 +121,17 @@ def heap(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     for r in refs[1:]:
         links = links.unionByName(r)
     roots = t("region").select(_heap_id(0, c("r_regionkey")).alias("obj_id"), F.lit("JNI_GLOBAL").alias("root_type"))
-    return {"objects": objects, "refs": links, "roots": roots}
+    return {"objects": objects, "refs": links.distinct(), "roots": roots}
 
 
 _ID = lambda i, key: f"{i * STRIDE} + {key}"
 _LINE = "l_orderkey * 10 + l_linenumber"
 HEAP = (
     "objects as ("
-    + " union all ".join(f"select {_ID(i, _LINE if key is None else key)} as obj_id, 'com.shop.{name}' as class_name, cast({(12 + size + 7) // 8 * 8} as bigint) as shallow from {name}" for i, (name, key, size) in enumerate(HEAP_TABLES))
+    + " union all ".join(f"select distinct {_ID(i, _LINE if key is None else key)} as obj_id, 'com.shop.{name}' as class_name, cast({(12 + size + 7) // 8 * 8} as bigint) as shallow from {name}" for i, (name, key, size) in enumerate(HEAP_TABLES))
     + "), refs as ("
     + " union all ".join(
-        f"select {_ID(a, x)} as from_id, {_ID(b, y)} as to_id, '{field}' as field from {rows}"
+        f"select distinct {_ID(a, x)} as from_id, {_ID(b, y)} as to_id, '{field}' as field from {rows}"
         for rows, a, x, b, y, field in [
             ("nation", 0, "n_regionkey", 1, "n_nationkey", "nations"),
             ("customer", 1, "c_nationkey", 2, "c_custkey", "customers"),
