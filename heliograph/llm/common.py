@@ -128,17 +128,22 @@ class WordHasher:
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component) for every node of the edges; component is the least node reachable.
 
-    Rounds of least neighbouring label followed by label-of-label; every round is written to the shared folder.
-    No edge, label or component passes through the driver: it only sees how many labels changed.
+    In each round a node goes to its least neighbour, and on to that one's; edges then link the nodes gone to, so that
+    they shrink from round to round until none is left. Every round is written to the shared folder. No edge, label
+    or component passes through the driver: it only sees whether edges are left.
     """
-    both = edges.select(F.col(a).alias("x"), F.col(b).alias("y")).where("x <> y")
-    both = stored(both.union(both.select("y", "x")).distinct(), "edges")
-    labels = stored(both.groupBy(F.col("x").alias("node")).agg(F.min("y").alias("m")).select("node", F.least("node", "m").alias("component")), "labels")
+    ordered = lambda df, x, y: df.select(F.least(x, y).alias("x"), F.greatest(x, y).alias("y")).where("x <> y").distinct()
+    left, labels = stored(ordered(edges, a, b), "edges"), None
     while True:
-        near = both.join(labels, both.y == labels.node).groupBy(F.col("x").alias("node")).agg(F.min("component").alias("m"))
-        step = labels.join(near, "node", "left").select("node", F.col("component").alias("old"), F.least("component", "m").alias("mid"))
-        jump = labels.select(F.col("node").alias("mid"), F.col("component").alias("up"))
-        new = stored(step.join(jump, "mid").select("node", F.col("up").alias("component"), (F.col("up") != F.col("old")).alias("changed")), "labels")
-        labels = new.select("node", "component")
-        if new.where("changed").isEmpty():
+        both = left.select(F.col("x").alias("node"), "y").unionByName(left.select(F.col("y").alias("node"), F.col("x").alias("y")))
+        near = stored(both.groupBy("node").agg(F.min("y").alias("m")).select("node", F.least("node", "m").alias("up")), "near")
+        gone = stored(near.join(near.select(F.col("node").alias("mid"), F.col("up").alias("to")), F.col("up") == F.col("mid")).select("node", "to"), "gone")
+        if labels is None:
+            labels = gone.select("node", F.col("to").alias("component"))
+        else:
+            step = gone.select(F.col("node").alias("component"), "to")
+            labels = stored(labels.join(step, "component", "left").select("node", F.coalesce("to", "component").alias("component")), "labels")
+        x, y = (gone.select(F.col("node").alias(k), F.col("to").alias(k + "_to")) for k in ("x", "y"))
+        left = stored(ordered(left.join(x, "x").join(y, "y"), "x_to", "y_to"), "edges")
+        if left.isEmpty():
             return labels
