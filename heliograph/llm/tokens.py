@@ -11,7 +11,7 @@ import numpy as np
 from .common import WordHasher
 
 #: Words that a Python worker remembers; beyond that it starts afresh, which costs time and changes no result.
-REMEMBERED_WORDS = 1_500_000
+REMEMBERED_WORDS = 500_000
 
 
 def worker_memory(key: tuple, make):
