@@ -17,10 +17,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh_path, partitions, stored
+from .common import fresh_path, stored
 
 RECORD = "record_id string, concurrent_to string, type string, uri string, refers_to string, payload_digest string, payload_bytes long, capture_id long, body_bytes long"
 END = b"\r\n\r\n"
@@ -66,39 +67,34 @@ def capture(page_id: int, url: str | None, payload: bytes, refers_to: int | None
 def decisions(pages: DataFrame, page_id: str = "page_id", html: str = "html", least_bytes: int = 0) -> DataFrame:
     """pages as page_id, url, payload (binary), refers_to: null for a response, else the id of the one it revisits.
 
-    Payloads under least_bytes are responses all. Equal payloads are told by SHA-1 and length. The least id of a
-    payload is found by a pre-aggregated group; the join back may meet a payload of a third of all rows, which
-    Spark splits, as both its sides are plain shuffles.
+    Payloads under least_bytes are responses all. Equal payloads are told by SHA-1 and length. Ids and digests alone
+    are grouped and joined, so a payload of a third of all rows makes many small rows, which Spark splits; payloads
+    move once, by their id.
     """
     pages = pages.select(F.col(page_id).cast("long").alias("page_id"), "url", F.coalesce(F.col(html), F.lit("")).cast("binary").alias("payload"))
     pages = pages.withColumn("sha", F.concat_ws(":", F.sha1("payload"), F.octet_length("payload")))
-    first = stored(pages.groupBy("sha").agg(F.min("page_id").alias("first")), "first")
-    refers = F.when((F.col("page_id") != F.col("first")) & (F.octet_length("payload") >= least_bytes), F.col("first"))
-    return pages.join(first, "sha").select("page_id", "url", "payload", refers.alias("refers_to"))
+    keys = stored(pages.where(F.octet_length("payload") >= least_bytes).select("page_id", "sha"), "digests")
+    first = keys.groupBy("sha").agg(F.min("page_id").alias("refers_to"))
+    revisits = keys.join(first, "sha").where("page_id <> refers_to").distinct()
+    return pages.join(stored(revisits, "revisits"), ["page_id", "sha"], "left").select("page_id", "url", "payload", "refers_to")
 
 
-def write(pages: DataFrame, path: str, files: int | None = None) -> int:
-    """Write pages as archives under path, a file a task; how many files.
+def write(pages: DataFrame, path: str) -> int:
+    """Write pages as archives under path, a file a task that has any; how many files.
 
-    Captures are dealt to files by hash of their id, so a repeated task writes the same file again: it writes to a
-    name of its own and renames it when whole. Rows without an id have no record name and raise an error.
+    A file is named by its task's partition, so a repeated task writes the same file again: it writes to a name of
+    its own and renames it when whole. Rows without an id have no record name and raise an error.
     """
     spark = pages.sparkSession
-    rows = decisions(pages)
-    files = files or partitions(spark)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, base = pafs.FileSystem.from_uri(path)
-        token, out, at = int(np.random.default_rng().integers(1 << 62)), None, None
+        at, token, out = TaskContext.get().partitionId(), int(np.random.default_rng().integers(1 << 62)), None
         for batch in batches:
-            for k, page, url, payload, refers in zip(*(batch.column(c).to_pylist() for c in ("file", "page_id", "url", "payload", "refers_to")), strict=True):
+            for page, url, payload, refers in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "payload", "refers_to")), strict=True):
                 if page is None:
                     raise ValueError("a page without page_id can't be written")
-                if k != at:
-                    if out:
-                        out.close()
-                        fs.move(f"{base}/.{at}-{token}", f"{base}/{at:06d}.warc.gz")
-                    out, at = fs.open_output_stream(f"{base}/.{k}-{token}", compression=None), k
+                out = out or fs.open_output_stream(f"{base}/.{at}-{token}", compression=None)
                 out.write(capture(page, url, payload, refers))
         if out:
             out.close()
@@ -107,8 +103,7 @@ def write(pages: DataFrame, path: str, files: int | None = None) -> int:
 
     root = spark._jvm.org.apache.hadoop.fs.Path(path)
     root.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(root)
-    dealt = rows.withColumn("file", F.pmod(F.xxhash64("page_id"), F.lit(files)).cast("int")).repartitionById(files, F.col("file"))
-    return dealt.mapInArrow(run, "file int").count()
+    return decisions(pages).mapInArrow(run, "file int").count()
 
 
 def parse(stream) -> Iterator[tuple[dict[str, str], bytes]]:
