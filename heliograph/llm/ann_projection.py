@@ -24,7 +24,7 @@ from .exact_topk import merged, select, tile_rows, tiles, usable
 
 M = 8
 LEAF = 128
-STOP = 0.9
+STOP = 0.97
 SEED = 20
 SHARD, BLOCK = 32768, 1024
 #: Leaves verified before the stopping test is made first; each time after that twice as many.

@@ -64,6 +64,43 @@ def test_projection_search_finds_the_nearest(spark):
     assert hits >= 0.9 * 400
 
 
+def tailed(n=12000, d=32, seed=5):
+    """Unit vectors about four centres, at distances of many magnitudes."""
+    random = np.random.default_rng(seed)
+    x = random.normal(size=(4, d))[random.integers(4, size=n)] + 0.3 * np.exp(random.normal(size=(n, 1)) * 3 - 1) * random.normal(size=(n, d))
+    return (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+
+
+def test_projection_recall_where_the_stop_fires(spark, monkeypatch):
+    assert ann_projection.STOP == 0.97
+    x, asked = tailed(), range(0, 12000, 20)
+    frame = spark.createDataFrame([(i, v.tolist(), 0, 0.0) for i, v in enumerate(x)], VECTORS)
+    got = {}
+    for r in ann_projection.search(frame, frame.where("vec_id % 20 = 0"), 20).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    x = x.astype(float)
+    want = {q: set(np.argsort(-np.where(np.arange(12000) == q, -2, x @ x[q]), kind="stable")[:20].tolist()) for q in asked}
+    assert sum(len(got[q] & want[q]) for q in asked) >= 0.9995 * 20 * len(asked)
+
+    class Leaves(list):
+        read = 0
+
+        def __getitem__(self, i):
+            Leaves.read += 1
+            return super().__getitem__(i)
+
+    class Counted(ann_projection.KdTree):
+        def __init__(self, *a):
+            super().__init__(*a)
+            self.leaves = Leaves(self.leaves)
+            Leaves.all = len(self.leaves)
+
+    monkeypatch.setattr(ann_projection, "KdTree", Counted)
+    at = np.array(asked)
+    ann_projection.search_shard(np.arange(12000), x, at, x[at], 20, ann_projection.STOP, ann_projection.M, ann_projection.LEAF)
+    assert ann_projection.FIRST_LEAVES * len(at) < Leaves.read < 0.75 * Leaves.all * len(at)
+
+
 def test_chi_square():
     assert np.isclose(ann_projection.chi_square(7.344, 8), 0.5, atol=1e-3) and np.isclose(ann_projection.chi_square(ann_projection.stop_ratio(0.9, 8), 8), 0.9)
     with pytest.raises(ValueError, match="even"):
