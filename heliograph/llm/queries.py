@@ -32,13 +32,13 @@ select query_id, rank, vec_id, score from ranked where rank <= 10
 
 def op9_warc_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     captures = warc_transactions.write_and_read(table(spark, sf_dir, "pages"))
-    revisited = F.regexp_extract("response.refers_to", r"response:(-?\d+)>", 1)
+    revisited = F.regexp_extract("response.refers_to", r"response:(-?\d+)[.>]", 1)
     return captures.select(
         F.col("metadata.capture_id").alias("page_id"),
         F.col("held_bytes").alias("payload_bytes"),
         F.col("held_digest").alias("payload_digest"),
         F.col("response.type").alias("record_type"),
-        F.when(F.col("response.refers_to").isNotNull(), revisited.cast("long")).alias("refers_to"),
+        F.when(F.col("response.refers_to").isNotNull(), revisited.try_cast("long")).alias("refers_to"),
     )
 
 

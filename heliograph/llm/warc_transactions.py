@@ -3,6 +3,9 @@
 A capture is three records. Its response (or revisit) has the id the others name in WARC-Concurrent-To. Of captures
 with equal payloads the one with the least id is the response, the others revisit it. Archives are read record by
 record and assembled by joins on those identifiers, one nested row a capture.
+
+Every row is a capture of its own, whose record ids are its own: one row of a page_id is named by it, further ones by
+page_id and a row number. Rows without page_id are named "none" in its place, and come last where the least id counts.
 """
 
 from __future__ import annotations
@@ -33,8 +36,8 @@ def digest_of(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def record_id(capture_id: int, kind: str) -> str:
-    return f"<urn:heliograph:{kind}:{capture_id}>"
+def record_id(name: str, kind: str) -> str:
+    return f"<urn:heliograph:{kind}:{name}>"
 
 
 def record(kind: str, at: str, uri: str, body: bytes, fields: dict[str, str]) -> bytes:
@@ -49,41 +52,47 @@ def one_line(text: str | None) -> str:
     return re.sub(r"[\r\n%]", lambda m: f"%{ord(m[0]):02X}", text or "")
 
 
-def capture(page_id: int, url: str | None, payload: bytes, refers_to: int | None) -> bytes:
-    """The records of one capture."""
+def capture(name: str, page_id: int | None, url: str | None, payload: bytes, refers_to: str | None) -> bytes:
+    """The records of one capture; name and refers_to tell it and the one it revisits from all others."""
     uri, digest = one_line(url), digest_of(payload)
-    response, known = record_id(page_id, "response"), {"WARC-Payload-Digest": f"sha1:{digest}"}
+    response, known = record_id(name, "response"), {"WARC-Payload-Digest": f"sha1:{digest}"}
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
     if refers_to is None:
         main = record("response", response, uri, http + payload, {"Content-Type": "application/http; msgtype=response", **known})
     else:
         profile = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
         main = record("revisit", response, uri, http, {"Content-Type": "application/http; msgtype=response", "WARC-Profile": profile, "WARC-Refers-To": record_id(refers_to, "response"), **known})
-    asked = record("request", record_id(page_id, "request"), uri, f"GET {uri} HTTP/1.1\r\n\r\n".encode(), {"Content-Type": "application/http; msgtype=request", "WARC-Concurrent-To": response})
-    about = record("metadata", record_id(page_id, "metadata"), uri, f"capture-id: {page_id}\r\n".encode(), {"Content-Type": "application/warc-fields", "WARC-Concurrent-To": response})
+    asked = record("request", record_id(name, "request"), uri, f"GET {uri} HTTP/1.1\r\n\r\n".encode(), {"Content-Type": "application/http; msgtype=request", "WARC-Concurrent-To": response})
+    about = record("metadata", record_id(name, "metadata"), uri, f"capture-id: {'none' if page_id is None else page_id}\r\n".encode(), {"Content-Type": "application/warc-fields", "WARC-Concurrent-To": response})
     return asked + main + about
 
 
 def decisions(pages: DataFrame, page_id: str = "page_id", html: str = "html", least_bytes: int = 0) -> DataFrame:
-    """pages as page_id, url, payload (binary), refers_to: null for a response, else the id of the one it revisits.
+    """pages as name, page_id, url, payload (binary), refers_to: null for a response, else the name of the one it revisits.
 
-    Payloads under least_bytes are responses all. Equal payloads are told by SHA-1 and length. Ids and digests alone
-    are grouped and joined, so a payload of a third of all rows makes many small rows, which Spark splits; payloads
-    move once, by their id.
+    Payloads under least_bytes are responses all. Equal payloads are told by SHA-1 and length. Rows are numbered and
+    stored, so that each is one row in all that follows. Ids and digests alone are grouped and joined, so a payload or
+    a page_id of a third of all rows makes many small rows, which Spark splits; payloads move once, by their row.
     """
-    pages = pages.select(F.col(page_id).cast("long").alias("page_id"), "url", F.coalesce(F.col(html), F.lit("")).cast("binary").alias("payload"))
-    pages = pages.withColumn("sha", F.concat_ws(":", F.sha1("payload"), F.octet_length("payload")))
-    keys = stored(pages.where(F.octet_length("payload") >= least_bytes).select("page_id", "sha"), "digests")
-    first = keys.groupBy("sha").agg(F.min("page_id").alias("refers_to"))
-    revisits = keys.join(first, "sha").where("page_id <> refers_to").distinct()
-    return pages.join(stored(revisits, "revisits"), ["page_id", "sha"], "left").select("page_id", "url", "payload", "refers_to")
+    id_name = F.coalesce(F.col(page_id).cast("long").cast("string"), F.lit("none"))
+    pages = pages.select(F.monotonically_increasing_id().alias("row"), F.col(page_id).cast("long").alias("page_id"), id_name.alias("id_name"), "url", F.coalesce(F.col(html), F.lit("")).cast("binary").alias("payload"))
+    pages = stored(pages.withColumn("bytes", F.octet_length("payload")).withColumn("sha", F.concat_ws(":", F.sha1("payload"), "bytes")), "pages")
+    keys = pages.select("row", "page_id", "id_name", "sha", "bytes")
+    repeated = keys.groupBy("id_name").agg(F.min("row").alias("least"), F.count("*").alias("n")).where("n > 1").select("id_name", "least")
+    name = F.when(F.col("row") > F.col("least"), F.concat_ws(".", "id_name", "row")).otherwise(F.col("id_name"))
+    named = stored(keys.join(repeated, "id_name", "left").select("row", "page_id", "id_name", "sha", "bytes", name.alias("name")), "names")
+    held = named.where(F.col("bytes") >= least_bytes)
+    first = held.groupBy("sha").agg(F.min(F.struct(F.col("page_id").isNull().alias("none"), "page_id", "row", "name")).alias("first"))
+    revisits = held.join(first, "sha").where("row <> first.row").select("row", F.col("first.name").alias("refers_to"))
+    odd = named.where("name <> id_name").select("row", "name").join(revisits, "row", "full")
+    return pages.join(stored(odd, "odd"), "row", "left").select(F.coalesce("name", "id_name").alias("name"), "page_id", "url", "payload", "refers_to")
 
 
 def write(pages: DataFrame, path: str) -> int:
     """Write pages as archives under path, a file a task that has any; how many files.
 
     A file is named by its task's partition, so a repeated task writes the same file again: it writes to a name of
-    its own and renames it when whole. Rows without an id have no record name and raise an error.
+    its own and renames it when whole.
     """
     spark = pages.sparkSession
 
@@ -91,11 +100,9 @@ def write(pages: DataFrame, path: str) -> int:
         fs, base = pafs.FileSystem.from_uri(path)
         at, token, out = TaskContext.get().partitionId(), int(np.random.default_rng().integers(1 << 62)), None
         for batch in batches:
-            for page, url, payload, refers in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "payload", "refers_to")), strict=True):
-                if page is None:
-                    raise ValueError("a page without page_id can't be written")
+            for row in zip(*(batch.column(c).to_pylist() for c in ("name", "page_id", "url", "payload", "refers_to")), strict=True):
                 out = out or fs.open_output_stream(f"{base}/.{at}-{token}", compression=None)
-                out.write(capture(page, url, payload, refers))
+                out.write(capture(*row))
         if out:
             out.close()
             fs.move(f"{base}/.{at}-{token}", f"{base}/{at:06d}.warc.gz")

@@ -129,6 +129,31 @@ def test_archives(spark):
     assert warc_transactions.write_and_read(pages(spark, []).where("true")).count() == 0
 
 
+REPEATED = [(1, "http://a", "x"), (1, "http://a", "x"), (1, "http://b", "x"), (1, "http://c", "y"), (2, "http://d", "y"), (2, "http://e", "w"), (None, "http://f", "x"), (None, "http://g", "z"), (None, "http://g", "z")]
+
+
+def test_archives_of_repeated_and_null_page_ids(spark):
+    got = warc_transactions.write_and_read(pages(spark, REPEATED).repartition(3)).collect()
+    code = lambda t: base64.b32encode(hashlib.sha1(t.encode()).digest()).decode()
+    assert sorted((repr(r.metadata.capture_id), r.response.uri, r.held_bytes, r.held_digest) for r in got) == sorted((repr(i), u, 1, code(t)) for i, u, t in REPEATED)
+    by_id = {r.response.record_id: r for r in got}
+    assert len(by_id) == len({r.request.record_id for r in got}) == len({r.metadata.record_id for r in got}) == len(REPEATED)
+    assert all(r.request.uri == r.response.uri for r in got)
+    assert sorted(r.held_digest for r in got if r.response.type == "response") == sorted(map(code, "xyzw"))
+    for r in got:
+        if r.response.type == "revisit":
+            first = by_id[r.response.refers_to]
+            assert first.response.type == "response" and first.held_digest == r.held_digest
+            assert first.metadata.capture_id == {code("x"): 1, code("y"): 1, code("z"): None}[r.held_digest]
+
+
+def test_archive_query_of_null_page_ids(spark, tmp_path):
+    pages(spark, REPEATED).write.parquet(f"{tmp_path}/pages.parquet")
+    got = __spark_entry__.queries()["op9_warc_transactions"](spark, str(tmp_path)).collect()
+    assert sorted((repr(r.page_id), r.record_type, repr(r.refers_to)) for r in got if r.payload_digest == base64.b32encode(hashlib.sha1(b"z").digest()).decode()) == [("None", "response", "None"), ("None", "revisit", "None")]
+    assert len(got) == len(REPEATED)
+
+
 def test_archives_without_some_records(spark, tmp_path):
     raw = warc_transactions.record("response", "<a>", "http://x", b"HTTP/1.1 200 OK\r\n\r\nbody", {}) + warc_transactions.record("request", "<b>", "http://y", b"", {"WARC-Concurrent-To": "<gone>"})
     (tmp_path / "one.warc.gz").write_bytes(raw)
