@@ -206,3 +206,27 @@ def test_pipeline(spark, sf):
     packed = corpus_pipeline.run(spark, sf)
     assert {r.doc_id for r in packed.select("doc_id").distinct().collect()} == kept["near_duplicates"]
     assert packed.groupBy("sequence_id").agg(F.sum("length").alias("n")).where("n > 4096").isEmpty()
+
+
+def test_near_duplicates_of_repeated_and_null_ids(spark):
+    words = [[f"{c}{i}" for i in range(100)] for c in "abcdefg"]
+    near = lambda k, *at: " ".join("other" if i in at else w for i, w in enumerate(words[k]))
+    rows = [(5, near(0)), (5, near(0)), (5, near(1)), (3, near(1, 50)), (3, near(2)), (4, near(2, 9)), (None, near(3)), (None, near(4)), (None, near(4, 7)), (9, near(5)), (None, near(5, 3)), (None, near(5, 3)), (8, near(6)), (8, near(6, 1)), (None, ""), (None, "")]
+    grams = [{tuple(t.split()[i : i + 4]) for i in range(97)} if t else set() for _, t in rows]
+    left, want = set(range(len(rows))), []
+    while left:
+        group, more = set(), {min(left)}
+        while more:
+            group |= more
+            more = {j for i in more for j in left - group if len(grams[i] & grams[j]) * 100 >= 85 * len(grams[i] | grams[j]) > 0}
+        left -= group
+        ids = [rows[i][0] for i in group if rows[i][0] is not None]
+        want.append((min(ids, default=None), {rows[i][1] for i in group if not ids or rows[i][0] == min(ids)}))
+    frame = spark.createDataFrame([(*r, "en") for r in rows], "doc_id long, text string, lang string").repartition(3)
+    kept = corpus_pipeline.near_duplicates(spark, frame, "")
+    assert kept.columns == frame.columns
+    got = [(r.doc_id, r.text) for r in kept.collect()]
+    assert len(got) == len(want) == 9
+    for doc_id, texts in want:
+        one = next(g for g in got if g[0] == doc_id and g[1] in texts)
+        got.remove(one)
