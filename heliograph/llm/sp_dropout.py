@@ -1,12 +1,13 @@
 """SentencePiece encoding with seeded merge dropout, and decoding.
 
 Byte-pair merging works through an agenda of candidate merges, the best-scored first, ties to the left. With dropout
-a candidate is skipped for good where a hash of (seed, variant, segment, its start, middle and end) falls below the
-dropout's share; the hash is keyed, so the same seed gives the same segmentation on every machine and in every retry.
-`variants` says how many segmentations of a word a seed can give; which one a document takes hangs on its id.
+a candidate is skipped for good where a hash of (seed, document, the segment's place in it, the candidate's start,
+middle and end) falls below the dropout's share; the hash is keyed, so the same seed gives the same segmentation on
+every machine and in every retry. A document's key is its id and text: every occurrence of a word is cut on its own.
 
-No merge crosses from a word into white space after it, so texts are cut into segments, (spaces, word), and a distinct
-segment of a variant is encoded once: the agendas of all new segments advance together, a merge each a round.
+No merge crosses from a word into white space after it, so texts are cut into segments, (spaces, word). What is kept of
+a distinct segment are the merges made without dropout: an occurrence that drops none of them has its ids, and all
+others are merged anew. The agendas of all segments to be merged advance together, a merge each a round.
 Characters that are no piece become byte pieces, and so does the space mark itself where a text holds one; so ids
 decode to the very bytes that were encoded.
 """
@@ -18,6 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql.types import StringType, StructField, StructType
 
@@ -25,7 +27,7 @@ from .common import WordHasher, chunks, mix, utf8
 from .tokens import IdPool, worker_memory
 
 SPACE = "▁"
-DROPOUT, SEED, VARIANTS = 0.1, 17, 4
+DROPOUT, SEED = 0.1, 17
 NONE = np.int64(1) << 62
 
 
@@ -76,17 +78,22 @@ class Vocabulary:
         return self.raw[np.repeat(self.first[ids] - at[:-1], size) + np.arange(at[-1])], at
 
 
-def merge_all(vocabulary: Vocabulary, chars: np.ndarray, owner: np.ndarray, keys: np.ndarray, dropout: float) -> tuple[np.ndarray, np.ndarray]:
-    """Ids of the segments' pieces in a row, and the piece count of each segment.
+def dropped(keys: np.ndarray, spots: np.ndarray, dropout: float) -> np.ndarray:
+    """Which of the candidates (start, middle, end as one number) segments with these keys drop."""
+    return mix(keys ^ mix(spots + np.uint64(1))) < np.uint64(min(dropout, 1.0) * (2**64 - 1025))
 
-    chars: code points of all segments; owner: each one's segment, ascending; keys: hash of (seed, variant, segment).
+
+def merge_all(vocabulary: Vocabulary, chars: np.ndarray, owner: np.ndarray, keys: np.ndarray, dropout: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Ids of the segments' pieces in a row, the piece count of each segment, and the same of the merges made.
+
+    chars: code points of all segments; owner: each one's segment, ascending; keys: hash of (seed, document, place).
     """
     n = len(keys)
     symbol = vocabulary.char[chars]
     symbol = np.where(symbol < 0, -1 - chars, symbol)  # a character that is no piece never merges
     start = np.arange(len(chars))
     begin = np.searchsorted(owner, np.arange(n))
-    limit = np.uint64(min(dropout, 1.0) * (2**64 - 1025)) if dropout > 0 else None
+    made: list[tuple[np.ndarray, np.ndarray]] = []
     done: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     while len(symbol):
         # Rank of the merge with the next symbol; NONE where there is none, or where it is dropped.
@@ -97,14 +104,16 @@ def merge_all(vocabulary: Vocabulary, chars: np.ndarray, owner: np.ndarray, keys
         place = np.minimum(np.searchsorted(vocabulary.pairs, pair), len(vocabulary.pairs) - 1)
         hit = vocabulary.pairs[place] == pair
         i, place = i[hit], place[hit]
-        if limit is not None and len(i):
+        spot = np.zeros(0, np.uint64)
+        if len(i):
             after = np.append(start[1:], start[-1] + 1)
             stop = np.where(i + 2 < len(start), start[np.minimum(i + 2, len(start) - 1)], -1)
             ends = np.where((i + 2 < len(owner)) & (owner[np.minimum(i + 2, len(owner) - 1)] == owner[i]), stop, -1)
             base = begin[owner[i]]
             spot = (start[i] - base).astype(np.uint64) * np.uint64(1 << 42) ^ (after[i] - base).astype(np.uint64) * np.uint64(1 << 21) ^ np.where(ends < 0, 0, ends - base).astype(np.uint64)
-            kept = mix(keys[owner[i]] ^ mix(spot + np.uint64(1))) >= limit
-            i, place = i[kept], place[kept]
+            if dropout > 0:
+                kept = ~dropped(keys[owner[i]], spot, dropout)
+                i, place, spot = i[kept], place[kept], spot[kept]
         # The best candidate of each segment: least rank, then leftmost.
         best = np.full(n, NONE)
         order = vocabulary.rank[place] * np.int64(1 << 40) + i
@@ -115,12 +124,15 @@ def merge_all(vocabulary: Vocabulary, chars: np.ndarray, owner: np.ndarray, keys
             done.append((owner[idle], start[idle], symbol[idle]))
         chosen = order == best[owner[i]]
         i, place = i[chosen], place[chosen]
+        made.append((owner[i], spot[chosen]))
         symbol[i] = vocabulary.merged[place]
         stays = ~idle
         stays[i + 1] = False
         symbol, owner, start = symbol[stays], owner[stays], start[stays]
     if not done:
-        return np.zeros(0, np.uint32), np.zeros(n, np.int64)
+        return np.zeros(0, np.uint32), np.zeros(n, np.int64), np.zeros(0, np.uint64), np.zeros(n, np.int64)
+    whose, spots = (np.concatenate(c) for c in zip(*made, strict=True))
+    spots = spots[np.argsort(whose, kind="stable")]
     owner, start, symbol = (np.concatenate(c) for c in zip(*done, strict=True))
     order = np.argsort(start, kind="stable")
     owner, symbol = owner[order], symbol[order]
@@ -130,21 +142,22 @@ def merge_all(vocabulary: Vocabulary, chars: np.ndarray, owner: np.ndarray, keys
     size[unknown] = [len(x) for x in spelled]
     ids = np.repeat(symbol, size)
     ids[np.repeat(symbol < 0, size)] = vocabulary.byte_ids[np.frombuffer(b"".join(spelled), np.uint8)]
-    return ids.astype(np.uint32), np.bincount(owner, weights=size, minlength=n).astype(np.int64)
+    return ids.astype(np.uint32), np.bincount(owner, weights=size, minlength=n).astype(np.int64), spots, np.bincount(whose, minlength=n)
 
 
 class Encoder:
     """Ids of whole texts, with dropout, and their decoding."""
 
-    def __init__(self, path: str, dropout: float = DROPOUT, seed: int = SEED, variants: int = VARIANTS) -> None:
+    def __init__(self, path: str, dropout: float = DROPOUT, seed: int = SEED) -> None:
         if not 0 <= dropout <= 1:
             raise ValueError("dropout is a share, from 0 to 1")
-        self.vocabulary, self.dropout, self.seed, self.variants = Vocabulary(path), dropout, seed, max(1, variants)
-        self.hasher, self.pool = WordHasher(), IdPool()
+        self.vocabulary, self.dropout, self.seed = Vocabulary(path), dropout, seed
+        # Ids and merges of segments without dropout; both pools see the same segments, so they know the same ones.
+        self.hasher, self.pool, self.merges = WordHasher(), IdPool(), IdPool()
         self.hasher.codes = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(WordHasher.BASE))
 
     def __call__(self, data: np.ndarray, offsets: np.ndarray, doc_keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """All ids in a row, and the n + 1 places where texts begin; doc_keys choose each text's variant."""
+        """All ids in a row, and the n + 1 places where texts begin; doc_keys key each text's dropout."""
         size = np.diff(offsets)
         full = np.flatnonzero(size > 0)
         text = np.insert(data, offsets[:-1][full], 0x20)  # the model's leading space, of texts that aren't empty
@@ -157,12 +170,29 @@ class Encoder:
         end = np.append(start[1:], len(text))
         doc = np.searchsorted(offsets, start, "right") - 1
         sums = self.hasher.sums(text)
-        variant = mix(doc_keys ^ mix(np.uint64(self.seed & (1 << 64) - 1) + np.zeros(1, np.uint64))) % np.uint64(self.variants)
-        keys = mix(self.hasher.hashes(sums, start, end) ^ mix(variant + np.uint64(1))[doc])
-        ids, at = self.pool.gather(keys, lambda first: self.encode_segments(text, start[first], end[first], keys[first]))
+        words, spots = self.hasher.hashes(sums, start, end), []
+
+        def learn(first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            ids, many, merges, made = self.encode_segments(text, start[first], end[first], words[first], 0.0)
+            spots.extend((merges.view(np.uint32), 2 * made))
+            return ids, many
+
+        ids, at = self.pool.gather(words, learn)
+        if self.dropout > 0 and len(start):
+            merges, made = self.merges.gather(words, lambda first: (spots[0], spots[1]))
+            key = mix(doc_keys ^ mix(np.uint64(self.seed & (1 << 64) - 1) + np.zeros(1, np.uint64)))
+            key = mix(key[doc] + (start - offsets[doc]).astype(np.uint64) * np.uint64(WordHasher.BASE))
+            whose = np.repeat(np.arange(len(start)), np.diff(made) // 2)
+            again = np.unique(whose[dropped(key[whose], merges.view(np.uint64), self.dropout)])
+            if len(again):
+                new, many, _, _ = self.encode_segments(text, start[again], end[again], key[again], self.dropout)
+                size, source = np.diff(at), at[:-1].copy()
+                size[again], source[again] = many, len(ids) + np.cumsum(many) - many
+                at = np.concatenate([[0], np.cumsum(size)])
+                ids = np.concatenate([ids, new])[np.repeat(source - at[:-1], size) + np.arange(at[-1])]
         return ids, at[np.searchsorted(start, offsets)]
 
-    def encode_segments(self, text: np.ndarray, start: np.ndarray, end: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def encode_segments(self, text: np.ndarray, start: np.ndarray, end: np.ndarray, keys: np.ndarray, dropout: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         size = end - start
         at = np.cumsum(size) - size
         raw = text[np.repeat(start - at, size) + np.arange(size.sum())]
@@ -171,8 +201,7 @@ class Encoder:
         chars = np.frombuffer(raw.tobytes().decode("utf-8").encode("utf-32-le"), np.uint32).astype(np.int64)
         # The mark stands for spaces; a mark in the text is no piece, so that it comes back as itself.
         chars = np.where(chars == ord(SPACE), 0x10FFFF, np.where(chars == 0x20, ord(SPACE), chars))
-        ids, many = merge_all(self.vocabulary, chars, owner, mix(keys ^ np.uint64(self.seed * 0x9E3779B97F4A7C15 & (1 << 64) - 1)), self.dropout)
-        return ids, many
+        return merge_all(self.vocabulary, chars, owner, keys, dropout)
 
     def decode(self, ids: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Bytes of all texts in a row, and the n + 1 places where texts begin; the leading space is taken off."""
@@ -184,19 +213,19 @@ class Encoder:
         return np.delete(raw, leading), offsets
 
 
-def encode(docs: DataFrame, model: str | None = None, dropout: float = DROPOUT, seed: int = SEED, variants: int = VARIANTS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def encode(docs: DataFrame, model: str | None = None, dropout: float = DROPOUT, seed: int = SEED, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, ids (array<int>), n_tokens, ids_crc32, lossless of every row of docs; no shuffle.
 
     lossless says that the ids, decoded, are the text's bytes. A null or empty text has no ids. Repeated ids are rows
-    of their own; a null id is a key like any other.
+    of their own; a null id is a key like any other. Only rows of equal id and text are cut alike.
     """
     model = model or default_model()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = worker_memory(("pieces", model, dropout, seed, variants), lambda: Encoder(model, dropout, seed, variants))
+        coder = worker_memory(("pieces", model, dropout, seed), lambda: Encoder(model, dropout, seed))
         for part in chunks(batches, text):
             data, offsets = utf8(part.column(text))
-            keys = np.array([zlib.crc32(str(x).encode()) for x in part.column(doc_id).to_pylist()], np.uint64)
+            keys = np.array([xxhash.xxh3_64_intdigest(str(x).encode(), zlib.crc32(data[a:b])) for x, a, b in zip(part.column(doc_id).to_pylist(), offsets.tolist(), offsets[1:].tolist(), strict=False)], np.uint64)
             ids, at = coder(data, offsets, keys)
             back, ends = coder.decode(ids, at)
             same = [bool(np.array_equal(back[a:b], data[c:d])) for a, b, c, d in zip(ends, ends[1:], offsets, offsets[1:], strict=False)]

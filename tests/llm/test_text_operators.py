@@ -99,6 +99,46 @@ def test_dropout_varies_and_decodes(spark):
     assert sp_dropout.encode(frame, dropout=1.0).where("doc_id = 9").head().n_tokens == len(texts[9]) + 1
 
 
+def test_dropout_is_drawn_for_every_occurrence(spark):
+    word = "international"
+    coder = sp_dropout.Encoder(sp_dropout.default_model(), 0.0)
+    chars = np.array([ord(c) for c in sp_dropout.SPACE + word])
+    plain = sentencepiece.SentencePieceProcessor(model_file=sp_dropout.default_model()).encode(word)
+    one = "|".join([word] * 2000)
+
+    def cuts(rows):
+        found = []
+        for r in rows:
+            raw = coder.vocabulary.spell(np.array(r.ids))[0].tobytes().decode()
+            at = coder.vocabulary.spell(np.array(r.ids))[1].tolist()
+            assert raw.strip() and r.lossless
+            found.append(tuple(r.ids))
+            assert at[-1] == len(raw)
+        return found
+
+    many = cuts(sp_dropout.encode(spark.createDataFrame([(i, word) for i in range(2000)], "doc_id long, text string")).collect())
+    nulls = cuts(sp_dropout.encode(spark.createDataFrame([(None, f"{word} {i}") for i in range(200)], "doc_id long, text string")).collect())
+    row = sp_dropout.encode(spark.createDataFrame([(1, one.replace("|", " "))], "doc_id long, text string")).head()
+    inside, piece = [], []
+    for i in row.ids:
+        if coder.vocabulary.spell(np.array([i]))[0].tobytes().startswith(b" ") and piece:
+            inside.append(tuple(piece))
+            piece = []
+        piece.append(i)
+    inside.append(tuple(piece))
+    assert len(inside) == 2000 and row.lossless
+    # Without the kept merges: every copy merged anew, under random keys.
+    keys = np.random.default_rng(2).integers(1 << 63, size=2000).astype(np.uint64)
+    ids, size, _, _ = sp_dropout.merge_all(coder.vocabulary, np.tile(chars, 2000), np.repeat(np.arange(2000), len(chars)), keys, sp_dropout.DROPOUT)
+    anew = [tuple(x.tolist()) for x in np.split(ids, np.cumsum(size)[:-1])]
+    rate = anew.count(tuple(plain)) / 2000
+    assert abs(sp_dropout.dropped(keys, np.arange(2000, dtype=np.uint64), 0.1).mean() - 0.1) < 0.03
+    for found in (many, inside):
+        assert len(set(found)) > 0.7 * len(set(anew)) > 30 and abs(found.count(tuple(plain)) / 2000 - rate) < 0.05
+        assert abs(np.mean([len(x) for x in found]) - np.mean([len(x) for x in anew])) < 0.15
+    assert len({x[:4] for x in nulls}) > 4
+
+
 def brute_components(texts):
     sets = []
     for t in texts:
