@@ -197,6 +197,16 @@ def test_ngram_join_of_repeated_rows_and_nothing(spark):
     assert got == [(0, 3, 0)] * 2 + [(1, 3, 0)] * 2 + [(2, 2, 2)] * 2
 
 
+def test_ngram_join_of_null_ids(spark):
+    near = lambda c, *at: " ".join("other" if i in at else f"{c}{i}" for i in range(100))
+    # b without 10 bridges its first and last text, which aren't linked themselves.
+    rows = [(7, near("a")), (None, near("a", 3)), (None, near("a", 3)), (5, near("b", 10)), (None, near("b")), (9, near("b", 50)), (None, near("c")), (None, near("c", 8)), (None, ""), (None, near("d")), (4, near("e"))]
+    want = [7, 7, 7, 5, 5, 5, None, None, None, None, 4]
+    text_of = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = ngram_join.join(text_of).collect()
+    assert sorted((repr(r.doc_id), repr(r.component_id)) for r in got) == sorted((repr(i), repr(c)) for (i, _), c in zip(rows, want, strict=True))
+
+
 def test_parts_meet_whatever_differs():
     random = np.random.default_rng(4)
     for n in (1, 2, 3, 7, 20, 64, 200, 900):
