@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import sys
 import types
 
@@ -12,6 +14,13 @@ from .common import WordHasher
 
 #: Words that a Python worker remembers; beyond that it starts afresh, which costs time and changes no result.
 REMEMBERED_WORDS = 500_000
+#: Words that go to the library as one string.
+JOINED = 256
+#: Lower-case Latin letters: no normal form changes them, and every pre-tokenizer of words keeps them together.
+LETTERS = re.compile("[a-zß-öø-ÿ]+")
+#: The word pattern and end mark of tokenizers whose words of LETTERS are one pre-token each.
+WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+WORD_END = "</w>"
 
 
 def worker_memory(key: tuple, make):
@@ -87,11 +96,45 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.hasher = WordHasher()
         self.pool = IdPool()
+        self.plain, self.ends = self.of_letters(path)
+
+    @staticmethod
+    def of_letters(path: str):
+        """The same model behind a split at spaces only, and which ids end a word; None where that isn't the same.
+
+        For a lower-cased word of LETTERS normalizer and word pattern change nothing, so words in a row can go
+        through the model as one string, and come apart at the word ends.
+        """
+        from tokenizers import Tokenizer
+
+        with open(path, encoding="utf-8") as file:
+            spec = json.load(file)
+        model, before = spec["model"], (spec.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
+        lowers = {"type": "Lowercase"} in ((spec.get("normalizer") or {}).get("normalizers") or [])
+        if model.get("type") != "BPE" or model.get("end_of_word_suffix") != WORD_END or not lowers or before[0].get("pattern") != {"Regex": WORD_PATTERN}:
+            return None, None
+        spec |= {"normalizer": None, "added_tokens": [], "pre_tokenizer": {"type": "Sequence", "pretokenizers": [{"type": "WhitespaceSplit"}, *before[1:]]}}
+        ends = np.zeros(1 + max(model["vocab"].values()), bool)
+        ends[[i for piece, i in model["vocab"].items() if piece.endswith(WORD_END)]] = True
+        return Tokenizer.from_str(json.dumps(spec)), ends
 
     def encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        ids = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
-        size = np.fromiter(map(len, ids), np.int64, len(ids))
-        return np.fromiter((i for x in ids for i in x), np.uint32, int(size.sum())), size
+        """ids in a row, and how many each word has."""
+        lower = [w.lower() for w in words]
+        plain = np.array([self.plain is not None and LETTERS.fullmatch(w) is not None for w in lower], bool)
+        at = np.flatnonzero(plain).tolist()
+        joined = [" ".join([lower[i] for i in at[k : k + JOINED]]) for k in range(0, len(at), JOINED)]
+        row = np.array([i for e in self.plain.encode_batch_fast(joined, add_special_tokens=False) for i in e.ids] if joined else [], np.uint32)
+        others = [e.ids for e in self.tokenizer.encode_batch_fast([words[i] for i in np.flatnonzero(~plain).tolist()], add_special_tokens=False)]
+        size = np.zeros(len(words), np.int64)
+        size[~plain] = list(map(len, others))
+        if len(row):
+            size[plain] = np.diff(np.flatnonzero(self.ends[row]), prepend=-1)
+        of_plain = np.repeat(plain, size)
+        ids = np.zeros(len(of_plain), np.uint32)
+        ids[of_plain] = row
+        ids[~of_plain] = [i for x in others for i in x]
+        return ids, size
 
     def __call__(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids in a row, and the n + 1 places where texts begin and end."""
