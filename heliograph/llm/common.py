@@ -9,6 +9,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,9 +22,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local one of our own only where the session names none."""
+    """The folder that driver and executors share; on a local master that names none, a temporary one."""
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         named = "file://" + tempfile.mkdtemp(prefix="heliograph-")
         spark.sparkContext.setCheckpointDir(named)
     return named.rstrip("/")
@@ -44,6 +47,21 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def put_in_place(fs: pafs.FileSystem, made: str, name: str) -> None:
+    """Give a whole file its name, unless another attempt of the task has: then its bytes are there already.
+
+    Renames onto a file that exists fail on some file systems, so none is tried.
+    """
+    there = lambda: fs.get_file_info(name).type != pafs.FileType.NotFound
+    if not there():
+        try:
+            return fs.move(made, name)
+        except OSError:
+            if not there():
+                raise
+    fs.delete_file(made)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

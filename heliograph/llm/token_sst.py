@@ -1,16 +1,17 @@
 """Sorted-string-table shards of token ids: prefix-compressed blocks, sparse index, Bloom filter and footer.
 
-A file holds documents in ascending order of their key, the id as 8 big-endian bytes with the sign bit flipped.
-Layout, integers little-endian:
+A file holds documents in ascending order of their key: a byte 0 for a null id, else a byte 1 and the id as 8
+big-endian bytes with the sign bit flipped; so documents without id come first. Layout, integers little-endian:
 
     block*   zstd of entries: shared u8, kept u8, kept key bytes, n_ids u32, n_ids ids (u16, or u32 by a flag)
              in which shared counts the key bytes equal to the previous entry's, 0 at a block's start
-    index    for each block: first key 8 bytes, offset u64, length u32, raw length u32, entries u32
-    bloom    hashes u32, bits u32, bit array
+    index    for each block: first key 9 bytes (zeros behind a shorter one), offset u64, length u32, raw length u32,
+             entries u32
+    bloom    hashes u32, bits u32, bit array; of the ids that aren't null
     footer   index offset u64, blocks u32, bloom offset u64, documents u64, ids u64, wide u8, magic 8 bytes
 
 A key is found by the Bloom filter, a binary search of the index and a scan of one block. Repeated keys stay, in
-the order of their ids' checksum. Null keys have no place in a sorted table: see write_shards().
+the order of their ids' checksum and then of their rows.
 """
 
 from __future__ import annotations
@@ -25,25 +26,28 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import chunks, fresh_path, mix, partitions, stored, utf8
+from .common import chunks, fresh_path, mix, put_in_place, stored, utf8
 from .tokens import WordEncoder, default_tokenizer, worker_memory
 
-MAGIC = b"HGSSTv01"
+MAGIC = b"HGSSTv02"
 BLOCK_BYTES = 64 << 10
+#: Ids of a shard, about.
+SHARD_IDS = 32 << 20
 FOOTER = "<QIQQQB8s"
-INDEX = "<8sQIII"
+INDEX = "<9sQIII"
 END_ID = 1
 
 
-def key_of(doc_id: int) -> bytes:
-    return (doc_id + (1 << 63)).to_bytes(8, "big")
+def key_of(doc_id: int | None) -> bytes:
+    return b"\0" if doc_id is None else b"\1" + (doc_id + (1 << 63)).to_bytes(8, "big")
 
 
-def id_of(key: bytes) -> int:
-    return int.from_bytes(key, "big") - (1 << 63)
+def id_of(key: bytes) -> int | None:
+    return int.from_bytes(key[1:9], "big") - (1 << 63) if key[0] else None
 
 
 def bloom_bits(keys: np.ndarray, bits: int, hashes: int) -> np.ndarray:
@@ -57,7 +61,7 @@ class ShardWriter:
 
     def __init__(self, out, wide: bool = False, bits_per_key: int = 10) -> None:
         self.out, self.wide, self.bits_per_key = out, wide, bits_per_key
-        self.at = self.ids = 0
+        self.at = self.ids = self.documents = 0
         self.index: list[tuple] = []
         self.keys: list[int] = []
         self.codec = zstandard.ZstdCompressor(level=1)
@@ -75,18 +79,20 @@ class ShardWriter:
             self.at += len(packed)
         self._open()
 
-    def add(self, doc_id: int, ids: np.ndarray) -> None:
+    def add(self, doc_id: int | None, ids: bytes | memoryview) -> None:
+        """ids as u16, or as u32 if wide, little-endian."""
         key = key_of(doc_id)
         shared = 0
-        while shared < len(self.last) and self.last[shared] == key[shared]:
+        while shared < min(len(self.last), len(key)) and self.last[shared] == key[shared]:
             shared += 1
-        body = ids.astype("<u4" if self.wide else "<u2").tobytes()
-        entry = struct.pack("<BB", shared, 8 - shared) + key[shared:] + struct.pack("<I", len(ids)) + body
+        n = len(ids) // (4 if self.wide else 2)
+        head = struct.pack("<BB", shared, len(key) - shared) + key[shared:] + struct.pack("<I", n)
         self.first = self.first or key
-        self.block.append(entry)
-        self.size, self.last, self.entries = self.size + len(entry), key, self.entries + 1
-        self.keys.append(doc_id + (1 << 63))
-        self.ids += len(ids)
+        self.block += (head, ids)
+        self.size, self.last, self.entries = self.size + len(head) + len(ids), key, self.entries + 1
+        if doc_id is not None:
+            self.keys.append(doc_id + (1 << 63))
+        self.ids, self.documents = self.ids + n, self.documents + 1
         if self.size >= BLOCK_BYTES:
             self._close_block()
 
@@ -100,7 +106,7 @@ class ShardWriter:
             flags[bloom_bits(np.array(self.keys, np.uint64), bits, hashes).ravel().astype(np.int64)] = 1
         bloom = struct.pack("<II", hashes, bits) + np.packbits(flags, bitorder="little").tobytes()
         self.out.write(index + bloom)
-        self.out.write(struct.pack(FOOTER, index_at, len(self.index), index_at + len(index), len(self.keys), self.ids, self.wide, MAGIC))
+        self.out.write(struct.pack(FOOTER, index_at, len(self.index), index_at + len(index), self.documents, self.ids, self.wide, MAGIC))
 
 
 class ShardReader:
@@ -120,7 +126,8 @@ class ShardReader:
         self.hashes, self.bits = struct.unpack_from("<II", rest, bloom_at - index_at)
         self.bloom = np.frombuffer(rest, np.uint8, offset=bloom_at - index_at + 8)
 
-    def block(self, k: int) -> Iterator[tuple[int, np.ndarray]]:
+    def block(self, k: int) -> Iterator[tuple[int | None, np.ndarray]]:
+        """Keys and ids, in the width they are stored with."""
         _, at, length, raw_length, entries = self.index[k]
         self.file.seek(at)
         raw = zstandard.ZstdDecompressor().decompress(self.file.read(length), max_output_size=raw_length)
@@ -130,106 +137,87 @@ class ShardReader:
             key = key[:shared] + raw[p + 2 : p + 2 + kept]
             (n,) = struct.unpack_from("<I", raw, p + 2 + kept)
             p += 6 + kept
-            yield id_of(key), np.frombuffer(raw, f"<u{width}", n, p).astype(np.uint32)
+            yield id_of(key), np.frombuffer(raw, f"<u{width}", n, p)
             p += n * width
 
-    def __iter__(self) -> Iterator[tuple[int, np.ndarray]]:
+    def __iter__(self) -> Iterator[tuple[int | None, np.ndarray]]:
         for k in range(len(self.index)):
             yield from self.block(k)
 
-    def may_hold(self, doc_id: int) -> bool:
+    def may_hold(self, doc_id: int | None) -> bool:
+        if doc_id is None:
+            return True
         at = bloom_bits(np.array([doc_id + (1 << 63)], np.uint64), self.bits, self.hashes)[0].astype(np.int64)
         return bool(np.all(self.bloom[at >> 3] >> (at & 7).astype(np.uint8) & 1))
 
-    def get(self, doc_id: int) -> list[np.ndarray]:
-        """The ids of every document with this key."""
+    def get(self, doc_id: int | None) -> list[np.ndarray]:
+        """The ids of every document with this key; None asks for those without id."""
         found: list[np.ndarray] = []
         if self.may_hold(doc_id):
-            key, firsts = key_of(doc_id), [x[0] for x in self.index]
+            key, firsts = key_of(doc_id).ljust(9, b"\0"), [x[0] for x in self.index]
             for k in range(max(0, bisect.bisect_left(firsts, key) - 1), bisect.bisect_right(firsts, key)):
                 found += [ids for i, ids in self.block(k) if i == doc_id]
         return found
 
 
 def encoded(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
-    """doc_id, n_tokens, crc and body (zstd of the ids as u32) of each text with its end id; null texts are empty."""
+    """doc_id, row, n_tokens, crc, wide and body (the ids as u16, or as u32 if wide) of each text with its end id.
+
+    Null texts are empty. row is any number of the row's own, crc the checksum of body.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, codec = worker_memory(("words", tokenizer), lambda: WordEncoder(tokenizer)), zstandard.ZstdCompressor(level=1)
+        encode = worker_memory(("words", tokenizer), lambda: WordEncoder(tokenizer))
         for part in chunks(batches):
             ids, at = encode(*utf8(part.column("text")))
-            whole = np.insert(ids.astype("<u4"), at[1:], end_id)
-            at = (at + np.arange(len(at))).tolist()
-            raw = [whole[a:b] for a, b in zip(at, at[1:], strict=False)]
-            wide = len(whole) and whole.max() >= 1 << 16
-            body = [codec.compress(x.astype("<u4" if wide else "<u2").tobytes()) for x in raw]
-            yield pa.RecordBatch.from_arrays(
-                [part.column("doc_id"), pa.array([len(x) for x in raw], pa.int64()), pa.array([zlib.crc32(x) for x in raw], pa.int64()), pa.array([bool(wide)] * len(raw)), pa.array(body, pa.binary())],
-                ["doc_id", "n_tokens", "crc", "wide", "body"],
-            )
+            whole = np.insert(ids, at[1:], end_id)
+            at = at + np.arange(len(at))
+            wide = bool(len(whole)) and int(whole.max()) >= 1 << 16
+            whole = whole.astype("<u4" if wide else "<u2")
+            ends = at * whole.itemsize
+            body = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(at) - 1, [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(whole)]).cast(pa.binary())
+            raw = memoryview(whole).cast("B")
+            crc = [zlib.crc32(raw[a:b]) for a, b in zip(ends.tolist(), ends[1:].tolist(), strict=False)]
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("row"), pa.array(np.diff(at)), pa.array(crc, pa.int64()), pa.array([wide] * part.num_rows), body], ["doc_id", "row", "n_tokens", "crc", "wide", "body"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_tokens long, crc long, wide boolean, body binary")
+    rows = docs.select(F.col("doc_id").cast("long"), F.monotonically_increasing_id().alias("row"), "text")
+    return rows.mapInArrow(run, "doc_id long, row long, n_tokens long, crc long, wide boolean, body binary")
 
 
 def write_shards(docs: DataFrame, path: str, shards: int | None = None, tokenizer: str | None = None, end_id: int = END_ID) -> list[tuple[int, int, int]]:
     """Tokenize docs (doc_id, text) and write them under path, sorted, a file a shard; (shard, documents, ids) of each.
 
-    Shards cut the ids' range at quantiles that Spark computes over all rows. A task writes to a name of its own and
-    renames the file when it is whole, so a repeated task replaces it with the same bytes. Rows without doc_id have
-    no key and raise an error, as they could never be looked up.
+    Spark deals the rows to shards by ranges of (doc_id, crc, row), so an id that many rows have is split like any
+    range. Rows without doc_id come first. A task writes to a name of its own and takes the shard's name when the file
+    is whole; a repeated task makes the same bytes. shards is by default the number that gives each SHARD_IDS ids.
     """
     spark = docs.sparkSession
-    shards = shards or partitions(spark)
     rows = stored(encoded(docs, tokenizer or default_tokenizer(), end_id), "encoded")
-    if not rows.where("doc_id is null").isEmpty():
-        raise ValueError("documents without doc_id have no key to be sorted by")
-    # One number a shard reaches the driver.
-    cuts = rows.select(F.percentile_approx("doc_id", [i / shards for i in range(1, shards)] or [0.5], shards * 50).alias("c")).head()[0] or []
-    cuts = sorted(set(cuts))[: shards - 1]
-    shard = F.lit(0)
-    if cuts:
-        # The least cut not below the id, by binary search over a sorted literal array.
-        shard = _bucket(F.col("doc_id"), cuts)
+    ids, wider = rows.agg(F.coalesce(F.sum("n_tokens"), F.lit(0)), F.coalesce(F.max("wide"), F.lit(False))).head()
+    shards = shards or max(1, -(-ids // SHARD_IDS))
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, base = pafs.FileSystem.from_uri(path)
-        writer, at, done = None, None, []
-
-        def close() -> None:
-            writer.finish()
-            writer.out.close()
-            fs.move(f"{base}/.{at}-{token}", f"{base}/{at:06d}.sst")
-            done.append((at, len(writer.keys), writer.ids))
-
-        codec = zstandard.ZstdDecompressor()
-        token = np.random.default_rng().integers(1 << 62)
+        at, token, writer = TaskContext.get().partitionId(), int(np.random.default_rng().integers(1 << 62)), None
+        made = f"{base}/.{at}-{token}"
         for batch in batches:
-            for k, doc, wide, wider, body in zip(*(batch.column(c).to_pylist() for c in ("shard", "doc_id", "wide", "wider", "body")), strict=True):
-                if k != at:
-                    if writer:
-                        close()
-                    at, writer = k, ShardWriter(fs.open_output_stream(f"{base}/.{k}-{token}"), wider)
-                writer.add(doc, np.frombuffer(codec.decompress(body), "<u4" if wide else "<u2"))
+            for doc, wide, body in zip(batch.column("doc_id").to_pylist(), batch.column("wide").to_pylist(), batch.column("body").to_pylist(), strict=True):
+                writer = writer or ShardWriter(fs.open_output_stream(made), wider)
+                writer.add(doc, body if wide == wider else np.frombuffer(body, "<u2").astype("<u4").tobytes())
         if writer:
-            close()
-        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*done, strict=True) if done else ([], [], []))], ["shard", "documents", "ids"])
+            writer.finish()
+            writer.out.close()
+            put_in_place(fs, made, f"{base}/{at:06d}.sst")
+            yield pa.RecordBatch.from_arrays([pa.array([x], pa.int64()) for x in (at, writer.documents, writer.ids)], ["shard", "documents", "ids"])
 
-    spark._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(spark._jvm.org.apache.hadoop.fs.Path(path))
-    wider = bool(rows.select(F.max("wide")).head()[0])
-    out = rows.select(shard.alias("shard"), "doc_id", "crc", "wide", F.lit(wider).alias("wider"), "body").repartitionById(len(cuts) + 1, F.col("shard")).sortWithinPartitions("shard", "doc_id", "crc")
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    root.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(root)
+    order = ("doc_id", "crc", "row")
+    out = rows.select(*order, "wide", "body").repartitionByRange(shards, *order).sortWithinPartitions(*order).select("doc_id", "wide", "body")
     # One row a shard reaches the driver.
     return sorted((r.shard, r.documents, r.ids) for r in out.mapInArrow(write, "shard long, documents long, ids long").collect())
 
 
-def _bucket(value, cuts: list[int]):
-    """How many of the sorted cuts are at most value, by a balanced tree of comparisons."""
-    if not cuts:
-        return F.lit(0)
-    mid = len(cuts) // 2
-    low, high = _bucket(value, cuts[:mid]), _bucket(value, cuts[mid + 1 :])
-    return F.when(value < cuts[mid], low).otherwise(high + (mid + 1))
-
-
 def read_shards(spark: SparkSession, path: str, shards: Iterable[tuple[int, int, int]]) -> DataFrame:
     """doc_id, start (ids of all documents before it, over all shards), n_tokens, ids_crc32 from the files alone."""
     first, before = [], 0
@@ -242,10 +230,10 @@ def read_shards(spark: SparkSession, path: str, shards: Iterable[tuple[int, int,
         fs, base = pafs.FileSystem.from_uri(path)
         for batch in batches:
             for shard, start in zip(batch.column("shard").to_pylist(), batch.column("before").to_pylist(), strict=True):
-                rows: list[tuple[int, int, int, int]] = []
+                rows: list[tuple[int | None, int, int, int]] = []
                 with fs.open_input_file(f"{base}/{shard:06d}.sst") as file:
                     for doc, ids in ShardReader(file):
-                        rows.append((doc, start, len(ids), zlib.crc32(ids.astype("<u4").tobytes())))
+                        rows.append((doc, start, len(ids), zlib.crc32(ids.astype("<u4"))))
                         start += len(ids)
                         if len(rows) == 10_000:
                             yield _rows(rows)
@@ -256,14 +244,15 @@ def read_shards(spark: SparkSession, path: str, shards: Iterable[tuple[int, int,
     return tasks.mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
-def _rows(rows: list[tuple[int, int, int, int]]) -> pa.RecordBatch:
+def _rows(rows: list[tuple[int | None, int, int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*rows, strict=True) if rows else ([], [], [], []))], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
 
 def look_up(spark: SparkSession, path: str, wanted: DataFrame) -> DataFrame:
-    """doc_id and ids of the wanted doc_ids (column doc_id), by binary search in the shard that covers each.
+    """doc_id and ids of the wanted doc_ids (column doc_id), by binary search in the shards whose ranges hold each.
 
-    A shard's range is in its index; files are opened once a task. The ranges (two numbers a shard) are read first.
+    A null asks for the documents without id. A shard's first key is in its index; files are opened once a task. The
+    first keys (9 bytes a shard) are read first.
     """
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.sst").load(path).select("path")
 
@@ -273,20 +262,19 @@ def look_up(spark: SparkSession, path: str, wanted: DataFrame) -> DataFrame:
             for name in names:
                 fs, at = pafs.FileSystem.from_uri(name)
                 with fs.open_input_file(at) as file:
-                    low.append(id_of(ShardReader(file).index[0][0]))
-            yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(low, pa.int64())], ["path", "low"])
+                    low.append(ShardReader(file).index[0][0])
+            yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(low, pa.binary())], ["path", "low"])
 
-    ranges = sorted((r.low, r.path) for r in files.mapInArrow(ends, "path string, low long").collect())
+    ranges = sorted((bytes(r.low), r.path) for r in files.mapInArrow(ends, "path string, low binary").collect())
     lows, names = [r[0] for r in ranges], [r[1] for r in ranges]
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         readers: dict[int, ShardReader] = {}
         for batch in batches:
-            found: list[tuple[int, list[int]]] = []
+            found: list[tuple[int | None, list[int]]] = []
             for doc in batch.column("doc_id").to_pylist():
-                if doc is None:
-                    continue
-                for k in range(max(0, bisect.bisect_left(lows, doc) - 1), bisect.bisect_right(lows, doc)):
+                key = key_of(doc).ljust(9, b"\0")
+                for k in range(max(0, bisect.bisect_left(lows, key) - 1), bisect.bisect_right(lows, key)):
                     if k not in readers:
                         fs, at = pafs.FileSystem.from_uri(names[k])
                         readers[k] = ShardReader(fs.open_input_file(at))

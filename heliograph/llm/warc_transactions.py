@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh_path, stored
+from .common import fresh_path, put_in_place, stored
 
 RECORD = "record_id string, concurrent_to string, type string, uri string, refers_to string, payload_digest string, payload_bytes long, capture_id long, body_bytes long"
 END = b"\r\n\r\n"
@@ -91,8 +91,8 @@ def decisions(pages: DataFrame, page_id: str = "page_id", html: str = "html", le
 def write(pages: DataFrame, path: str) -> int:
     """Write pages as archives under path, a file a task that has any; how many files.
 
-    A file is named by its task's partition, so a repeated task writes the same file again: it writes to a name of
-    its own and renames it when whole.
+    A file is named by its task's partition, so a repeated task makes the same file again: it writes to a name of
+    its own, and takes the file's when whole unless that is there.
     """
     spark = pages.sparkSession
 
@@ -105,7 +105,7 @@ def write(pages: DataFrame, path: str) -> int:
                 out.write(capture(*row))
         if out:
             out.close()
-            fs.move(f"{base}/.{at}-{token}", f"{base}/{at:06d}.warc.gz")
+            put_in_place(fs, f"{base}/.{at}-{token}", f"{base}/{at:06d}.warc.gz")
         yield pa.RecordBatch.from_arrays([pa.array([at] if out else [], pa.int32())], ["file"])
 
     root = spark._jvm.org.apache.hadoop.fs.Path(path)
