@@ -1,7 +1,8 @@
 """Quality classifier: tree paths become conjunctive rules over text statistics, weighted by lasso logistic regression.
 
-Training looks at a bounded sample of labelled rows (`max_rows`), the one place where a bound is allowed; the
-statistics are Spark columns, and the fitted rules are compiled to one Spark column that scores every row.
+Training looks at a bounded sample of labelled rows (`max_rows`), the one place where a bound is allowed. Statistics
+are counted in Python tasks, on Arrow batches; the fitted rules are compiled to one Spark column over them that scores
+every row.
 """
 
 from __future__ import annotations
@@ -185,10 +186,11 @@ def holds_matrix(x: np.ndarray, rules: list[Rule], names: list[str]) -> np.ndarr
     return out
 
 
-def training_rows(documents: DataFrame, labels: DataFrame, label: str, max_rows: int, extra: list[str]) -> DataFrame:
-    """At most max_rows labelled documents outside the held-out fold, by least hash of doc_id: columns extra and label.
+def training_rows(documents: DataFrame, labels: DataFrame, label: str, max_rows: int) -> DataFrame:
+    """At most max_rows labelled documents outside the held-out fold, by least hash of doc_id: doc_id, text, label.
 
-    Null labels and ids take no part; a doc_id labelled twice counts once, with its greater label.
+    Null labels and ids take no part; a doc_id labelled twice counts once, with its greater label, and one that
+    several documents have counts once, with the least text.
     """
     picked = (
         labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
@@ -198,7 +200,8 @@ def training_rows(documents: DataFrame, labels: DataFrame, label: str, max_rows:
         .limit(max_rows)
     )
     # At most max_rows ids and labels: a proven bound of 16 bytes each.
-    return documents.join(F.broadcast(picked), "doc_id").select(*extra, F.col("__label").alias("label"))
+    rows = documents.select("doc_id", "text").join(F.broadcast(picked), "doc_id")
+    return rows.groupBy("doc_id").agg(F.min("text").alias("text"), F.first("__label").alias("label"))
 
 
 def held_out(doc_id: Column) -> Column:
@@ -206,13 +209,20 @@ def held_out(doc_id: Column) -> Column:
 
 
 def fit(documents: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> RuleEnsemble:
-    """Learn `labels.quality` from the texts' statistics; only max_rows rows of numbers reach the driver."""
-    rows = training_rows(documents, labels, "quality", max_rows, ["doc_id", "text"])
+    """Learn `labels.quality` from the texts' statistics; only max_rows rows of numbers reach the driver.
+
+    Without labelled rows, or tables without rows, every score is 0.5.
+    """
+    rows = training_rows(documents, labels, "quality", max_rows)
     rows = with_statistics(rows).select("doc_id", "label", *(F.col(OWN + k).alias(k) for k in STATISTICS)).toPandas()
     rows = rows.sort_values(["doc_id", "label", *STATISTICS])
     return fit_rules(rows[STATISTICS].to_numpy(float), rows["label"].to_numpy(float), STATISTICS)
 
 
 def score(documents: DataFrame, model: RuleEnsemble, column: str = "quality_score") -> DataFrame:
-    """documents with the score (0 to 1); every text is read whole, a null or empty one has statistics of zero."""
+    """documents with the score (0 to 1); every text is read whole, a null or empty one has statistics of zero.
+
+    Each row is scored for itself: repeated rows have equal scores, other columns (of whatever name) stay as they are,
+    and a table without rows gives none.
+    """
     return with_statistics(documents).withColumn(column, model.column()).drop(*(OWN + k for k in STATISTICS))

@@ -6,7 +6,7 @@ toxic document that is in the lexicon is a toxic token, every other word a plain
 these token sequences by gradient descent on the conditional likelihood (forward-backward, as in scoring). Features
 of a word are itself, its first four and last three characters, hashed to tables; transitions are weighted too.
 
-A text's chains are its sentences, cut after at most CHAIN words. The marginals of its words sum to an expected count
+A text's chains are its sentences, whole, however long. The marginals of its words sum to an expected count
 of toxic words, from which, with the greatest marginal, a logistic layer makes the document's score.
 """
 
@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, StructType
 
-from .common import WordHasher, chunks, utf8
+from .common import WordHasher, chunks, stored, utf8
 from .rule_quality import training_rows
 
 #: Labelled rows that fit() looks at, at most, those with the least hash of doc_id.
@@ -32,8 +32,10 @@ MAX_TOKEN_ROWS = 700
 EVIDENCE = 9.0
 #: Step sizes of the feature tables: a word itself says more than its ends.
 RATES = {"word": 0.3, "head": 0.08, "tail": 0.04}
-#: Words of a chain at most.
-CHAIN = 64
+#: Bytes of the texts whose tokens train the field, at most: whole texts in the sample's order, as many as fit.
+MAX_TOKEN_BYTES = 8 << 20
+#: Words of a chain that forward-backward takes in one go; longer chains are taken piece by piece, with the same result.
+PIECE = 64
 #: Entries of each feature table.
 TABLE = 1 << 18
 #: Marginal from which on a word is reported as offending.
@@ -68,10 +70,10 @@ class Tokens:
         start, end, sums = self.hasher(data, offsets)
         last = self.stop[data[end - 1]]
         doc = np.searchsorted(offsets, start, "right") - 1
-        a, b = start.copy(), end.copy()
-        for _ in range(3):
-            a += self.edge[data[np.minimum(a, b - 1)]] & (b - a > 1)
-            b -= self.edge[data[b - 1]] & (b - a > 1)
+        inner = np.concatenate([np.flatnonzero(~self.edge[data]), [len(data)]])
+        a, z = inner[np.searchsorted(inner, start)], inner[np.searchsorted(inner, end) - 1] + 1
+        bare = a >= end  # nothing but such characters: they are the word
+        a, b = np.where(bare, start, a), np.where(bare, end, z)
         # Places of the first 4 and last 3 characters, by counting the bytes that begin one.
         count = np.concatenate([[0], np.cumsum(self.starts[data])])
         places = np.concatenate([np.flatnonzero(self.starts[data]), [len(data)]])
@@ -80,44 +82,80 @@ class Tokens:
         h = lambda x, y, salt: self.hasher.hashes(sums, x, y) ^ np.uint64(salt)
         entry = lambda x: (x >> np.uint64(40)).astype(np.int64) % TABLE
         word = h(a, b, 0)
-        # A chain begins with a document, after a sentence's end, and after CHAIN words.
+        # A chain begins with a document and after a sentence's end.
         new = np.ones(len(start), bool)
         new[1:] = (doc[1:] != doc[:-1]) | last[:-1]
-        at = np.flatnonzero(new)
-        run = np.arange(len(start)) - np.repeat(at, np.diff(np.append(at, len(start))))
-        new |= run % CHAIN == 0
         return {"doc": doc, "start": a, "end": b, "hash": word, "word": entry(word), "head": entry(h(a, head, 0x5EED)), "tail": entry(h(tail, b, 0x7A11)), "new": new}
 
 
+class Pieces:
+    """Chains cut into pieces of PIECE words, laid out so that all pieces take each step together, longest first."""
+
+    def __init__(self, new: np.ndarray) -> None:
+        n = len(new)
+        head = np.flatnonzero(new)
+        run = np.arange(n) - np.repeat(head, np.diff(np.append(head, n)))
+        self.first = np.flatnonzero(run % PIECE == 0)
+        self.size = np.diff(np.append(self.first, n))
+        self.nth = run[self.first] // PIECE  # which piece of its chain
+        self.goes_on = np.append(self.nth[1:] > 0, False)  # its chain has another piece
+
+    def steps(self, some: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """For each step from the second word on, which of these pieces take it, and their words."""
+        some = some[np.argsort(-self.size[some], kind="stable")]
+        live = np.searchsorted(-self.size[some], -np.arange(1, PIECE + 1), "right")
+        for i in range(1, PIECE):
+            if not live[i]:
+                return
+            yield some[: live[i]], self.first[some[: live[i]]] + i
+
+
+def _even(x: np.ndarray) -> np.ndarray:
+    return x / x.sum(-1, keepdims=True)
+
+
 def marginals(emission: np.ndarray, new: np.ndarray, transitions: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """P(toxic) of every word, and of every pair of neighbours in a chain P of the four state pairs, by forward-backward.
 
-    Chains are laid out in columns, longest first, and all of them take each step together. Messages are kept as
-    probabilities, so no step under- or overflows.
+    A piece that isn't its chain's first turns the message it gets into the one it gives by a 2 x 2 matrix, so the
+    messages at pieces' ends come first, and then all pieces run forward and backward at once: a chain of n words
+    takes about 2 * PIECE + n / PIECE steps. Messages are kept as probabilities, so none under- or overflows.
     """
     n = len(emission)
     if not n:
         return np.zeros(0), np.zeros((0, 2, 2))
-    first = np.flatnonzero(new)
-    size = np.diff(np.append(first, n))
-    order = np.argsort(-size, kind="stable")
-    first, size = first[order], size[order]
-    longest = int(size[0])
-    live = np.searchsorted(-size, -np.arange(1, longest + 1), "right")  # chains of at least t + 1 words
+    p = Pieces(new)
+    every, later = np.arange(len(p.first)), np.flatnonzero(p.nth > 0)
     potential = np.exp(np.clip(np.column_stack([-emission / 2, emission / 2]), -30, 30))
     t = np.exp(transitions)
+    # What comes into a piece: from the left before its first word, from the right behind its last one.
+    left, right = np.ones((len(every), 2)), np.full((len(every), 2), 0.5)
+    if len(later):
+        through = np.zeros((len(every), 2, 2))
+        through[later] = t * potential[p.first[later]][:, None, :]
+        for some, at in p.steps(later):
+            m = (through[some] @ t) * potential[at][:, None, :]
+            through[some] = m / m.sum((1, 2), keepdims=True)
+        start = np.flatnonzero(p.goes_on & (p.nth == 0))
+        out = np.zeros((len(every), 2))
+        out[start] = _even(potential[p.first[start]])
+        for some, at in p.steps(start):
+            out[some] = _even((out[some] @ t) * potential[at])
+        order = later[np.argsort(p.nth[later], kind="stable")]
+        cuts = np.flatnonzero(np.diff(p.nth[order])) + 1
+        rounds = np.split(order, cuts)
+        for some in rounds:
+            left[some] = out[some - 1] @ t
+            out[some] = _even((out[some - 1][:, None, :] @ through[some])[:, 0])
+        for some in reversed(rounds):
+            right[some - 1] = _even((through[some] @ right[some][:, :, None])[:, :, 0])
     forward, backward = np.zeros((n, 2)), np.zeros((n, 2))
-    f = potential[first]
-    forward[first] = f / f.sum(1, keepdims=True)
-    for i in range(1, longest):
-        at = first[: live[i]] + i
-        f = (forward[at - 1] @ t) * potential[at]
-        forward[at] = f / f.sum(1, keepdims=True)
-    backward[first + size - 1] = 0.5
-    for i in range(longest - 2, -1, -1):
-        at = first[: live[i + 1]] + i
-        b = (backward[at + 1] * potential[at + 1]) @ t.T
-        backward[at] = b / b.sum(1, keepdims=True)
+    forward[p.first] = _even(left * potential[p.first])
+    backward[p.first + p.size - 1] = right
+    for _, at in p.steps(every):
+        forward[at] = _even((forward[at - 1] @ t) * potential[at])
+    for _, at in reversed(list(p.steps(every))):
+        backward[at - 1] = _even((backward[at] * potential[at]) @ t.T)
     both = forward * backward
     single = both[:, 1] / both.sum(1)
     inner = np.flatnonzero(~new)
@@ -125,15 +163,15 @@ def marginals(emission: np.ndarray, new: np.ndarray, transitions: np.ndarray) ->
     return single, pair / pair.sum((1, 2), keepdims=True)
 
 
-def lexicon(words: np.ndarray, bad: np.ndarray, many: np.ndarray, share: float) -> np.ndarray:
-    """Sorted hashes of the words whose documents, `many`, are toxic (`bad` of them) far beyond the share of all.
+def lexicon(counted: DataFrame, share: float) -> DataFrame:
+    """The words of (word, bad, many) whose documents, `many`, are toxic (`bad` of them) far beyond the share of all.
 
     A likelihood ratio of e**EVIDENCE is asked for: among a hundred thousand words few reach it by chance.
     """
+    bad, many = F.col("bad"), F.col("many")
     rate = bad / many
-    plain = np.where(bad < many, (many - bad) * np.log(np.maximum(1 - rate, 1e-12) / (1 - share)), 0.0)
-    ratio = bad * np.log(np.maximum(rate, 1e-12) / share) + plain
-    return np.sort(words[(ratio >= EVIDENCE) & (rate >= 0.7)])
+    plain = F.when(bad < many, (many - bad) * F.log((1 - rate) / (1 - share))).otherwise(0.0)
+    return counted.where((bad > 0) & (rate >= 0.7) & (bad * F.log(rate / share) + plain >= EVIDENCE)).select("word")
 
 
 def _sigmoid(z: np.ndarray) -> np.ndarray:
@@ -179,10 +217,28 @@ def _tokens_of(texts: list[str | None]) -> tuple[dict[str, np.ndarray], int]:
     return Tokens()(*utf8(pa.array(texts, pa.string()))), len(texts)
 
 
+def _token_rows(rows: DataFrame, max_token_rows: int) -> list[tuple]:
+    """(doc_id, label, text) of whole texts, max_token_rows of either label and MAX_TOKEN_BYTES in all at most."""
+    own = F.xxhash64("doc_id")
+    sizes = [
+        rows.where(F.col("label") > 0 if side else F.col("label") <= 0).select("doc_id", own.alias("h"), F.coalesce(F.octet_length("text"), F.lit(0)).alias("bytes")).orderBy("h", "doc_id").limit(max_token_rows).collect()
+        for side in (True, False)
+    ]
+    wanted: set = set()
+    for side in sizes:
+        left = MAX_TOKEN_BYTES // 2
+        for r in side:
+            if r["bytes"] <= left:
+                left -= r["bytes"]
+                wanted.add(r.doc_id)
+    return sorted((r.doc_id, r.label, r.text or "") for r in rows.where(F.col("doc_id").isin(list(wanted))).collect())
+
+
 def fit(documents: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, max_token_rows: int = MAX_TOKEN_ROWS) -> Field:
     """Learn from at most max_rows labelled documents; without a toxic or a plain one scores are 0.5.
 
-    A driver of little memory holds the sample only as word hashes: tasks send each document's.
+    Tasks count the words' documents; the lexicon, and MAX_TOKEN_BYTES of whole texts at most, reach the driver. Empty
+    tables give the scores of no labels.
     """
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -193,19 +249,18 @@ def fit(documents: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, max_t
             h = [np.unique(t["hash"][a:b]).view(np.int64) for a, b in zip(at, at[1:], strict=False)]
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("label"), pa.array(h, pa.list_(pa.int64()))], ["doc_id", "label", "words"])
 
-    rows = training_rows(documents, labels, "toxic", max_rows, ["doc_id", "text"])
-    kind = documents.schema["doc_id"].dataType.simpleString()
-    counted = rows.mapInArrow(words, f"doc_id {kind}, label double, words array<long>").select("label", F.explode("words").alias("word"))
-    counted = counted.groupBy("word").agg(F.sum("label").cast("long").alias("bad"), F.count("*").alias("many")).where("bad >= 2").toPandas()
+    rows = stored(training_rows(documents, labels, "toxic", max_rows), "sample")
     both = rows.groupBy("label").count().collect()
     toxic, plain = (sum(r["count"] for r in both if (r["label"] > 0) == side) for side in (True, False))
     empty = Field(np.zeros(TABLE), np.zeros(TABLE), np.zeros(TABLE), 0.0, np.zeros((2, 2)), (0.0, 0.0, 0.0))
     if not toxic or not plain:
         return empty
     share = toxic / (toxic + plain)
-    words_found = lexicon(counted["word"].to_numpy(np.int64).view(np.uint64), counted["bad"].to_numpy(float), counted["many"].to_numpy(float), share)
-    some = rows.where("label > 0").orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_token_rows).unionByName(rows.where("label <= 0").orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_token_rows))
-    some = sorted((r.doc_id, r.label, r.text or "") for r in some.collect())
+    kind = documents.schema["doc_id"].dataType.simpleString()
+    counted = rows.mapInArrow(words, f"doc_id {kind}, label double, words array<long>").select("label", F.explode("words").alias("word"))
+    counted = counted.groupBy("word").agg(F.sum("label").cast("long").alias("bad"), F.count("*").alias("many"))
+    words_found = np.sort(lexicon(counted, share).toPandas()["word"].to_numpy(np.int64).view(np.uint64))
+    some = _token_rows(rows, max_token_rows)
     t, n = _tokens_of([r[2] for r in some])
     label = np.array([r[1] > 0 for r in some])
     inside = np.zeros(len(t["hash"]), bool)
@@ -227,7 +282,8 @@ def fit(documents: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, max_t
 def score(docs: DataFrame, field: Field, text: str = "text", column: str = "toxicity", spans: str | None = None) -> DataFrame:
     """docs with the score (0 to 1), and with spans a column of offending stretches: start, end (characters), p.
 
-    Texts are scored whole; null and empty ones have no words, and so the least score. No shuffle.
+    Texts are scored whole; null and empty ones have no words, and so the least score. Each row is scored for itself:
+    repeated rows have equal scores, and a table without rows gives none. No shuffle.
     """
     shared = docs.sparkSession.sparkContext.broadcast(field)  # three tables of TABLE numbers, whatever the input
 
