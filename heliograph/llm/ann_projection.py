@@ -2,17 +2,20 @@
 
 Every row is indexed. A shard's vectors are projected to M dimensions by Gaussian vectors; the squared projected
 distance of two rows, divided by their squared true distance, is chi-square with M degrees of freedom. A kd-tree over
-the projections gives a query's neighbours in ascending order of projected distance, leaf by leaf; each is verified on
-the original vectors. The search of a shard stops once the next projected distance r and the k-th best true distance
-d so far satisfy chi2_M(r**2 / d**2) >= stop: a row nearer than d would then lie within r with that probability.
+the projections gives a query's neighbours in ascending order of projected distance, a few small leaves at a time, in
+the order of their boxes; all points of an opened leaf are verified on the original vectors. The search of a shard
+stops once the next box's distance r and the k-th best true distance d so far satisfy chi2_M(r**2 / d**2) >= stop: a
+row nearer than d would then lie within r with that probability.
 
 Largest inner products become nearest neighbours by one more dimension, sqrt(R**2 - |x|**2) for rows and 0 for
 queries, with R the greatest norm of the shard.
+
+A task builds a shard's index once and searches it for a block of queries that stream by.
 """
 
 from __future__ import annotations
 
-import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -20,15 +23,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import stored
-from .exact_topk import merged, select, tile_rows, tiles, usable
+from .exact_topk import merged, tiles, usable
 
-M = 8
-LEAF = 128
+M = 10
+LEAF = 16
 STOP = 0.97
 SEED = 20
-SHARD, BLOCK = 32768, 1024
-#: Leaves verified before the stopping test is made first; each time after that twice as many.
-FIRST_LEAVES = 8
+#: Rows of a shard, and queries that one index of it serves.
+SHARD, BLOCK = 32768, 8192
+#: Leaves verified before the stopping test is made first; each time after that a quarter more, MOST_LEAVES at most.
+FIRST_LEAVES, MOST_LEAVES = 16, 128
 
 
 def chi_square(x: np.ndarray | float, m: int = M):
@@ -73,67 +77,112 @@ class KdTree:
         return (np.maximum(0, np.maximum(self.low - q, q - self.high)) ** 2).sum(1)
 
 
-def search_shard(ids: np.ndarray, base: np.ndarray, query_ids: np.ndarray, asked: np.ndarray, k: int, stop: float, m: int, leaf: int) -> list[tuple[np.ndarray, ...]]:
-    """(query_id repeated, vec_id, score) lists of each query's best in a shard.
+class Shard:
+    """Index of a shard's vectors of one width.
 
-    Equal vectors are one point of the tree; of each the k + 1 least ids stay, as no query can need more.
+    Equal vectors are one point of the tree. Of its rows those stay that a query can need, whatever its own id: k rows
+    at most of each of the k + 1 least ids.
     """
-    points, owner = np.unique(base, axis=0, return_inverse=True)
-    order = np.lexsort((ids, owner.ravel()))
-    owner, ids = owner.ravel()[order], ids[order]
-    first = np.searchsorted(owner, np.arange(len(points) + 1))
-    kept = np.arange(len(ids)) - first[owner] <= k
-    owner, ids = owner[kept], ids[kept]
-    first = np.searchsorted(owner, np.arange(len(points) + 1))
-    norms = (points**2).sum(1)
-    radius = norms.max()
-    random = np.random.default_rng(SEED)
-    axes = random.standard_normal((points.shape[1] + 1, m))
-    projected = points @ axes[:-1] + np.sqrt(np.maximum(radius - norms, 0))[:, None] * axes[-1]
-    tree, ratio, out = KdTree(projected, leaf), stop_ratio(stop, m), []
-    many = np.diff(first)
-    for q, x, z in zip(query_ids.tolist(), asked, asked @ axes[:-1], strict=True):
-        near = tree.nearness(z)
+
+    def __init__(self, ids: np.ndarray, base: np.ndarray, k: int, m: int, leaf: int) -> None:
+        points, owner = np.unique(base, axis=0, return_inverse=True)
+        order = np.lexsort((ids, owner.ravel()))
+        owner, ids = owner.ravel()[order], ids[order]
+        fresh = np.ones(len(ids), bool)  # the first row of an id at its point
+        fresh[1:] = (owner[1:] != owner[:-1]) | (ids[1:] != ids[:-1])
+        place = np.arange(len(ids))
+        of_id = place - np.maximum.accumulate(np.where(fresh, place, 0))
+        begin = np.searchsorted(owner, np.arange(len(points)))
+        nth_id = np.cumsum(fresh) - np.cumsum(fresh)[begin][owner]
+        kept = (nth_id <= k) & (of_id < k)
+        owner, self.ids = owner[kept], ids[kept]
+        self.first = np.searchsorted(owner, np.arange(len(points) + 1))
+        self.points, self.k, self.m = points, k, m
+        norms = (points**2).sum(1)
+        self.radius = norms.max()
+        self.axes = np.random.default_rng(SEED).standard_normal((points.shape[1] + 1, m))
+        self.projected = points @ self.axes[:-1] + np.sqrt(np.maximum(self.radius - norms, 0))[:, None] * self.axes[-1]
+        self.tree = KdTree(self.projected, leaf)
+        self.verified = 0
+
+    def search(self, q: int, x: np.ndarray, ratio: float) -> tuple[np.ndarray, np.ndarray]:
+        """ids and scores of the k nearest found, nearest first."""
+        z, reach = x @ self.axes[:-1], self.radius + x @ x  # squared distance = reach - 2 * inner product
+        near = self.tree.nearness(z)
         order = np.argsort(near, kind="stable")
-        scores, found, at, step = np.full(0, -np.inf), np.zeros(0, np.int64), 0, FIRST_LEAVES
-        reach = radius + x @ x  # squared distance = radius + |q|**2 - 2 * inner product
-        while at < len(order):
-            if len(scores) == k and near[order[at]] >= ratio * max(reach - 2 * scores[-1], 0.0) and near[order[at]] > 0:
-                break
-            rows = np.concatenate([tree.leaves[i] for i in order[at : at + step]])
-            at, step = at + step, 2 * step
-            new = points[rows] @ x
-            if len(scores) == k:
-                rows, new = rows[new >= scores[-1]], new[new >= scores[-1]]
-            times = many[rows]
-            place = np.repeat(first[rows] - np.cumsum(times) + times, times) + np.arange(times.sum())
-            others = ids[place] != q
-            scores, found = np.concatenate([scores, np.repeat(new, times)[others]]), np.concatenate([found, ids[place][others]])
-            best = np.lexsort((found, -scores))[:k]
-            scores, found = scores[best], found[best]
-        out.append((np.full(len(found), q), found, scores))
-    return out
+        best = (np.zeros(0, np.int64), np.zeros(0))
+        at, step, limit = 0, FIRST_LEAVES, np.inf
+        while at < len(order) and near[order[at]] < limit:
+            rows = np.concatenate([self.tree.leaves[i] for i in order[at : at + step]])
+            at, step = at + step, min(step + step // 4, MOST_LEAVES)
+            best = self.verify(q, x, rows, best)
+            if len(best[0]) == self.k:
+                nearest = max(reach - 2 * best[1][-1], 0.0)
+                limit = ratio * nearest if nearest else np.nextafter(0, 1)
+        return best
+
+    def verify(self, q: int, x: np.ndarray, rows: np.ndarray, best: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        self.verified += len(rows)
+        new = self.points[rows] @ x
+        if len(best[0]) == self.k:
+            rows, new = rows[new >= best[1][-1]], new[new >= best[1][-1]]
+        times = self.first[rows + 1] - self.first[rows]
+        place = np.repeat(self.first[rows] - np.cumsum(times) + times, times) + np.arange(times.sum())
+        others = self.ids[place] != q
+        found, scores = np.concatenate([best[0], self.ids[place][others]]), np.concatenate([best[1], np.repeat(new, times)[others]])
+        order = np.lexsort((found, -scores))[: self.k]
+        return found[order], scores[order]
+
+
+def search_shard(ids: np.ndarray, base: np.ndarray, query_ids: np.ndarray, asked: np.ndarray, k: int, stop: float, m: int, leaf: int) -> list[tuple[np.ndarray, ...]]:
+    """(query_id repeated, vec_id, score) lists of each query's best in a shard."""
+    shard, ratio = Shard(ids, base, k, m, leaf), stop_ratio(stop, m)
+    found = [(q, *shard.search(q, x, ratio)) for q, x in zip(query_ids.tolist(), asked, strict=True)]
+    return [(np.full(len(got), q), got, scores) for q, got, scores in found]
+
+
+def by_width(batch: pa.RecordBatch) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """ids and matrix of the batch's vectors of each width above 0."""
+    ids, column = batch.column("vec_id").to_numpy(), batch.column("vector")
+    widths, flat = np.diff(column.offsets.to_numpy()), column.flatten().to_numpy(zero_copy_only=False)
+    at = np.cumsum(widths) - widths
+    return {int(w): (ids[rows], flat[at[rows, None] + np.arange(w)]) for w in np.unique(widths) if w for rows in [np.flatnonzero(widths == w)]}
 
 
 def search(vectors: DataFrame, queries: DataFrame, k: int = 20, stop: float = STOP, m: int = M, leaf: int = LEAF, column: str = "embedding", vec_id: str = "vec_id", shard: int = SHARD, block: int = BLOCK) -> DataFrame:
     """query_id, rank, vec_id, score (inner product in double precision): the k nearest found for each query.
 
     Vectors that are null, zero or hold null or non-finite components take no part; those of another width than the
-    query's aren't compared with it. A query never finds rows of its own id; ties go to smaller ids.
+    query's aren't compared with it. A query never finds rows of its own id; ties go to smaller ids. Repeated ids are
+    candidates each; queries of one id are ranked together. Empty tables give no rows.
     """
     if m < 2 or m % 2:
         raise ValueError("m has to be even")
-
-    def score(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        found = tile_rows(table)
-        out: list[tuple[np.ndarray, ...]] = []
-        for (ids, base), (query_ids, asked) in zip(found[False], found[True], strict=True):
-            if len(ids) and len(query_ids) and base.shape[1]:
-                out += search_shard(ids, base, query_ids, asked, k, stop, m, leaf)
-        a, b, c = (np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
-        return pa.table([pa.array(a, pa.int64()), pa.array(np.full(len(a), key[0].as_py()), pa.int32()), pa.array(b, pa.int64()), pa.array(c, pa.float64())], ["query_id", "s", "vec_id", "score"])
+    ratio = stop_ratio(stop, m)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come by tile, a tile's vectors before its queries."""
+        tile, held, index = None, {}, {}
+        for batch in batches:
+            s, b, asks = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("s", "b", "asks"))
+            key = s.astype(np.int64) << 32 | b
+            cuts = np.flatnonzero((key[1:] != key[:-1]) | (asks[1:] != asks[:-1])) + 1
+            for i, j in zip([0, *cuts.tolist()], [*cuts.tolist(), batch.num_rows], strict=True) if batch.num_rows else ():
+                if key[i] != tile:
+                    tile, held, index = key[i], {}, {}
+                for width, (ids, rows) in by_width(batch.slice(i, j - i)).items():
+                    if not asks[i]:
+                        held.setdefault(width, []).append((ids, rows))
+                        continue
+                    if width in held:
+                        index[width] = Shard(*(np.concatenate(c) for c in zip(*held.pop(width), strict=True)), k, m, leaf)
+                    if width in index:
+                        found = [(np.full(len(got), q), got, scores) for q, x in zip(ids.tolist(), rows, strict=True) for got, scores in [index[width].search(q, x, ratio)]]
+                        query, got, scores = (np.concatenate(c) for c in zip(*found, strict=True))
+                        yield pa.RecordBatch.from_arrays([pa.array(query, pa.int64()), pa.array(np.full(len(got), s[i]), pa.int32()), pa.array(got, pa.int64()), pa.array(scores, pa.float64())], ["query_id", "s", "vec_id", "score"])
 
     some = F.exists("vector", lambda x: x != 0)
     base, asked = usable(vectors, column, vec_id).where(some), usable(queries, column, vec_id).where(some)
-    lists = tiles(asked, base, shard, block).groupBy("s", "b").applyInArrow(score, "query_id long, s int, vec_id long, score double")
-    return merged(stored(lists, "lists"), k)
+    dealt, shards, blocks = tiles(asked, base, shard, block)
+    rows = dealt.repartitionById(shards * blocks, F.col("s") * blocks + F.col("b")).sortWithinPartitions("s", "b", "asks")
+    return merged(stored(rows.mapInArrow(run, "query_id long, s int, vec_id long, score double"), "lists"), k)
