@@ -26,9 +26,9 @@ TOP_LEVEL_EXACT = [
 ]
 TOP_LEVEL_PREFIXES, TOP_LEVEL_SUFFIXES, TOP_LEVEL_PARTS = ["jdk.proxy", "com.sun.proxy"], ["Allocator", "ByteBufAllocator"], ["$$Lambda"]
 COLLECTIONS = [
-    *(f"java.util.{x}" for x in ("ArrayList", "LinkedList", "HashMap", "LinkedHashMap", "HashSet", "LinkedHashSet", "TreeMap", "TreeSet", "IdentityHashMap", "WeakHashMap", "Vector", "Stack")),
-    "java.util.concurrent.ConcurrentHashMap",
-]
+    "java.util.ArrayList", "java.util.LinkedList", "java.util.HashMap", "java.util.LinkedHashMap", "java.util.HashSet", "java.util.LinkedHashSet", "java.util.TreeMap",
+    "java.util.TreeSet", "java.util.concurrent.ConcurrentHashMap", "java.util.IdentityHashMap", "java.util.WeakHashMap", "java.util.Vector", "java.util.Stack",
+]
 LEAK_PARTS = ["HashMap", "ArrayList", "LinkedList", "HashSet", "ConcurrentHashMap", "LinkedHashMap", "TreeMap", "WeakHashMap", "IdentityHashMap"]
 ROOT_PARTS = ["java.lang.Thread", "java.lang.Class", "java.lang.ClassLoader", "JNI Global", "System Class", "Thread Block", "Busy Monitor", "Native Stack", "Finalizer"]
 UI_JDK_PREFIXES = ["java.", "javax.", "sun.", "jdk.", "com.sun."]
@@ -47,11 +47,11 @@ def _any(tests: list[Column]) -> Column:
 
 
 def class_category(name: Column | str, jdk: list[str] = JDK_PREFIXES, framework: list[str] = FRAMEWORK_PREFIXES, business: list[str] = ()) -> Column:
-    """primitive, jdk, framework, business or application; the first that fits."""
+    """primitive, jdk, framework, business or application; the first that fits. Without a name, unknown."""
     name = _col(name)
     begins = lambda prefixes: _any([name.startswith(p) for p in prefixes])
     return (
-        F.when(name.isin(PRIMITIVE_ARRAYS), "primitive").when(name.endswith("[]") | begins(jdk), "jdk").when(begins(framework), "framework").when(begins(business), "business").otherwise("application")
+        F.when(F.coalesce(name, F.lit("")) == "", "unknown").when(name.isin(PRIMITIVE_ARRAYS), "primitive").when(name.endswith("[]") | begins(jdk), "jdk").when(begins(framework), "framework").when(begins(business), "business").otherwise("application")
     )
 
 

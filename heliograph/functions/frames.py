@@ -63,11 +63,15 @@ def thread_group(name: Column | str) -> Column:
     return F.coalesce(F.nullif(F.regexp_replace(name, "[0-9_#-]+$", ""), F.lit("")), name)
 
 
+#: Forms of thread names, of which the first that fits gives the group.
+GROUP_PATTERNS = [r"^(.*?)-\d+$", r"^(.*?)_\d+$", r"^(.*?)\[\d+\]$", r"^(.*?)#\d+$", r"^pool-\d+-(.*?)$"]
+
+
 def thread_group_by_pattern(name: Column | str) -> Column:
     """The first that fits: name-1, name_1, name[1], name#1, pool-1-name; else the name, `unknown` for none."""
     name = _col(name)
     out = F.when(F.coalesce(name, F.lit("")) == "", "unknown")
-    for pattern in (r"^(.*?)-\d+$", r"^(.*?)_\d+$", r"^(.*?)\[\d+\]$", r"^(.*?)#\d+$", r"^pool-\d+-(.*?)$"):
+    for pattern in GROUP_PATTERNS:
         out = out.when(name.rlike(pattern), F.regexp_extract(name, pattern, 1))
     return out.otherwise(name)
 
@@ -141,11 +145,15 @@ def without_allocation_mark(function: Column | str) -> Column:
     return F.regexp_replace(F.coalesce(_col(function), F.lit("")), ALLOCATION, "")
 
 
+#: Forms of method names (library::function, [tag] function, path/package.function, (*Type).method).
+NATIVE_NAME, TAGGED_NAME = r"^(.+\.so(?:\.[0-9.]+)?)::(\w+)$", r"^\[(\w+)\]\s*(.*)$"
+GO_NAME, RECEIVER_NAME = r"^((?:[\w-]+/)*[\w-]+(?:/[\w-]+)*)\.(\w+)$", r"\(\*?([^)]+)\)\.(\w+)$"
+
+
 def method_parts(name: Column | str) -> Column:
     """struct(type, package, class, method) of a name of a native library, kernel, C++, Go, Java or path style."""
     clean = without_allocation_mark(name)
-    native, tag = r"^(.+\.so(?:\.[0-9.]+)?)::(\w+)$", r"^\[(\w+)\]\s*(.*)$"
-    go = r"^((?:[\w-]+/)*[\w-]+(?:/[\w-]+)*)\.(\w+)$"
+    native, tag, go = NATIVE_NAME, TAGGED_NAME, GO_NAME
     library = F.regexp_extract(clean, native, 1)
     parent = lambda x, sep: F.when(F.instr(x, sep) > 0, F.left(x, F.length(x) - F.length(F.substring_index(x, sep, -1)) - len(sep))).otherwise("")
     make = lambda kind, package, cls, method: F.struct(F.lit(kind).alias("type"), _lit(package).alias("package"), _lit(cls).alias("class"), _lit(method).alias("method"))
@@ -169,7 +177,7 @@ def _lit(x: Column | str) -> Column:
 def search_term(name: Column | str) -> Column:
     """A short part of a name to search for: the method of a Go one, Class.method of a dotted one, and so on."""
     clean = without_allocation_mark(name)
-    receiver = r"\(\*?([^)]+)\)\.(\w+)$"
+    receiver = RECEIVER_NAME
     after = F.substring_index(clean, "/", -1)
     final = F.substring_index(after, ".", -1)
     two = F.substring_index(clean, ".", -2)

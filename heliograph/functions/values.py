@@ -63,6 +63,28 @@ def resource_type(code: Column | str) -> Column:
     return out.otherwise("Unknown")
 
 
+#: States of a recording and of its analysis, by number; an analysis has no state 4.
+STATUSES = {0: "pending", 1: "running", 2: "completed", 3: "failed"}
+ANALYSIS_STATUSES = {0: "pending", 1: "running", 2: "completed", 3: "failed", 5: "cancelled"}
+
+
+def _named(code: Column | str, names: dict[int, str]) -> Column:
+    table = F.create_map(*(F.lit(x) for pair in names.items() for x in pair))
+    return F.coalesce(F.try_element_at(table, _col(code).cast("int")), F.lit("unknown"))
+
+
+def status_name(code: Column | str) -> Column:
+    return _named(code, STATUSES)
+
+
+def analysis_status_name(code: Column | str) -> Column:
+    return _named(code, ANALYSIS_STATUSES)
+
+
+def profiler_name(code: Column | str) -> Column:
+    return _named(code, dict(enumerate(PROFILERS)))
+
+
 #: Analysis modes with their task type and profiler.
 MODES = {
     "java-cpu": (1, 0), "java-alloc": (1, 1), "java-heap": (6, 0), "cpu": (0, 0), "pprof-cpu": (10, 2),
@@ -103,3 +125,14 @@ def format_bytes(n: Column | str, unit: str = " B", most: str = "GB") -> Column:
 def format_duration_ns(n: Column | str) -> Column:
     n = _col(n).cast("double")
     return F.when(n >= 1e9, F.format_string("%.2fs", n / 1e9)).when(n >= 1e6, F.format_string("%.2fms", n / 1e6)).when(n >= 1e3, F.format_string("%.2fus", n / 1e3)).otherwise(F.concat(n.cast("bigint").cast("string"), F.lit("ns")))
+
+
+def format_number(n: Column | str) -> Column:
+    """Thousands and more with one decimal and a letter; below, the number."""
+    n = _col(n).cast("double")
+    return F.when(n >= 1e9, F.format_string("%.1fG", n / 1e9)).when(n >= 1e6, F.format_string("%.1fM", n / 1e6)).when(n >= 1e3, F.format_string("%.1fK", n / 1e3)).otherwise(F.regexp_replace(n.cast("string"), r"\.0$", ""))
+
+
+def format_time(at: Column | str) -> Column:
+    """A time to the second; a dash for none."""
+    return F.coalesce(F.date_format(_col(at), "yyyy-MM-dd HH:mm:ss"), F.lit("-"))

@@ -24,30 +24,52 @@ def names(words: list[str]) -> Column:
     return hit
 
 
+def _keys(functions: DataFrame) -> list[str]:
+    """Where functions are of several profiles, each has suggestions of its own."""
+    return [c for c in ("profile_id",) if c in functions.columns]
+
+
+def _each(rule: str, functions: DataFrame, test: Column) -> DataFrame:
+    return functions.where(test).select(*_keys(functions), F.lit(rule).alias("rule"), "func", F.col("self_pct").alias("value"))
+
+
 def hot_functions(functions: DataFrame, above: float = 15.0) -> DataFrame:
-    return functions.where(F.col("self_pct") > above).select(F.lit("R01").alias("rule"), "func", F.col("self_pct").alias("value"))
+    return _each("R01", functions, F.col("self_pct") > above)
 
 
 def gc_overhead(functions: DataFrame, above: float = 5.0) -> DataFrame:
-    return functions.where(names(GC_WORDS)).agg(F.sum("self_pct").alias("value")).where(F.col("value") > above).select(F.lit("R02").alias("rule"), F.lit("").alias("func"), "value")
+    keys = _keys(functions)
+    return functions.where(names(GC_WORDS)).groupBy(*keys).agg(F.sum("self_pct").alias("value")).where(F.col("value") > above).select(*keys, F.lit("R02").alias("rule"), F.lit("").alias("func"), "value")
 
 
 def lock_contention(functions: DataFrame, each: float = 1.0, above: float = 3.0) -> DataFrame:
+    keys = _keys(functions)
     rows = functions.where(names(LOCK_WORDS) & (F.col("self_pct") > each))
-    rows = rows.agg(F.sum("self_pct").alias("value"), F.array_join(F.array_sort(F.collect_list("func")), ", ").alias("func"))  # under 100 functions have over 1 %
-    return rows.where(F.col("value") > above).select(F.lit("R03").alias("rule"), "func", "value")
+    rows = rows.groupBy(*keys).agg(F.sum("self_pct").alias("value"), F.array_join(F.array_sort(F.collect_list("func")), ", ").alias("func"))  # under 100 functions have over 1 %
+    return rows.where(F.col("value") > above).select(*keys, F.lit("R03").alias("rule"), "func", "value")
 
 
 def frequent_allocation(functions: DataFrame, above: float = 5.0) -> DataFrame:
-    return functions.where(names(ALLOCATION_WORDS) & (F.col("self_pct") > above)).select(F.lit("R04").alias("rule"), "func", F.col("self_pct").alias("value"))
+    return _each("R04", functions, names(ALLOCATION_WORDS) & (F.col("self_pct") > above))
 
 
 def reflection(functions: DataFrame, above: float = 2.0) -> DataFrame:
-    return functions.where(names(REFLECTION_WORDS) & (F.col("self_pct") > above)).select(F.lit("R05").alias("rule"), "func", F.col("self_pct").alias("value"))
+    return _each("R05", functions, names(REFLECTION_WORDS) & (F.col("self_pct") > above))
 
 
 def allocators(functions: DataFrame, above: float = 10.0) -> DataFrame:
-    return functions.where(F.col("self_pct") > above).select(F.lit("R06").alias("rule"), "func", F.col("self_pct").alias("value"))
+    return _each("R06", functions, F.col("self_pct") > above)
+
+
+def by_rule_table(functions: DataFrame, rules: DataFrame) -> DataFrame:
+    """(profile_id,) rule, func, value of rules kept as a table: rule, part, above, deleted (null for rules in force).
+
+    A rule holds for functions whose name holds its part and whose share is above its bound. Rules are few by nature:
+    some thousands that people wrote.
+    """
+    live = F.broadcast(rules.where("deleted is null").select("rule", "part", "above"))
+    hit = F.col("func").contains(F.col("part")) & (F.col("self_pct") > F.col("above"))
+    return functions.join(live, hit).select(*_keys(functions), "rule", "func", F.col("self_pct").alias("value"))
 
 
 RULES: dict[str, Callable[[DataFrame], DataFrame]] = {"R01": hot_functions, "R02": gc_overhead, "R03": lock_contention, "R04": frequent_allocation, "R05": reflection, "R06": allocators}
@@ -55,7 +77,7 @@ PROFILE_RULES = {"cpu": ["R01", "R02", "R03", "R05"], "alloc": ["R01", "R02", "R
 
 
 def advise(functions: DataFrame, kind: str = "cpu") -> DataFrame:
-    """Suggestions on (func, self_pct) rows: rule, func, value."""
+    """Suggestions on ((profile_id,) func, self_pct) rows: (profile_id,) rule, func, value."""
     out = None
     for rule in PROFILE_RULES[kind]:
         rows = RULES[rule](functions)

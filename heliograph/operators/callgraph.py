@@ -19,7 +19,8 @@ def frames(samples: DataFrame) -> DataFrame:
     """profile_id, tid, stack_id, pos, node_id, name, module, caller, is_leaf, value, times: frames of distinct stacks.
 
     Equal stacks of a thread are summed first (times says how many samples they were), and a caller is the frame
-    before in the array, so nothing is shuffled to find it.
+    before in the array, so nothing is shuffled to find it. Shares are of the leaves' sum; where frames feed several
+    results, store them: each reads them twice.
     """
     whole = samples.groupBy("profile_id", "tid", "stack").agg(F.sum("value").alias("value"), F.count("*").alias("times"))
     named = lambda x: fn.node_id(fn.frame_function(x), fn.frame_module(x))
@@ -126,42 +127,65 @@ def thread_graphs(rows: DataFrame, n: int = 50) -> DataFrame:
 def caller_chains(links: DataFrame, matches: DataFrame, max_depth: int = 50, max_nodes: int = 2000) -> DataFrame:
     """node_id, depth of nodes from which a match can be reached, by breadth-first search against the edges.
 
-    One job a level, each level's frontier without nodes met before; it ends with an empty frontier, at max_depth,
-    or once max_nodes are found, which bounds a view.
+    One job a level, each level's frontier without nodes met before; it ends with an empty frontier, at max_depth, or
+    at max_nodes, which bound a view: of the level that reaches max_nodes the first by name stay.
     """
     from ..plans.storage import stored
 
-    frontier = seen = stored(matches.select("node_id").distinct().withColumn("depth", F.lit(0)), "level")
+    frontier = seen = stored(matches.select("node_id").distinct().withColumn("depth", F.lit(0)).orderBy("node_id").limit(max_nodes), "level")
+    many = seen.count()
     for depth in range(1, max_depth + 1):
-        step = links.join(frontier.select(F.col("node_id").alias("target")), "target", "left_semi").select(F.col("source").alias("node_id")).distinct()
-        frontier = stored(step.join(seen, "node_id", "left_anti").withColumn("depth", F.lit(depth)), "level")
-        if frontier.isEmpty():
+        if many >= max_nodes:
             break
-        seen = seen.unionByName(frontier)
-        if seen.count() >= max_nodes:
+        step = links.join(frontier.select(F.col("node_id").alias("target")), "target", "left_semi").select(F.col("source").alias("node_id")).distinct()
+        frontier = stored(step.join(seen.select("node_id"), "node_id", "left_anti").withColumn("depth", F.lit(depth)).orderBy("node_id").limit(max_nodes - many), "level")
+        found = frontier.count()
+        if not found:
             break
+        seen, many = seen.unionByName(frontier), many + found
     return seen
 
 
-def bridges(links: DataFrame, hidden: DataFrame, max_depth: int = 20) -> DataFrame:
-    """source, target of visible nodes joined only through hidden ones; hidden has node_id."""
+def bridges(links: DataFrame, hidden: DataFrame) -> DataFrame:
+    """source, target of visible nodes joined only through hidden ones; hidden has node_id.
+
+    A path through hidden nodes ends where it would come to a pair that it had before, so the rounds are as many as
+    the longest way through hidden nodes.
+    """
     from ..plans.storage import stored
 
     is_hidden = lambda side: hidden.select(F.col("node_id").alias(side))
     path = stored(links.select("source", "target").join(is_hidden("source"), "source", "left_anti").join(is_hidden("target"), "target", "left_semi").distinct(), "paths")
-    inner, met = links.select(F.col("source").alias("target"), F.col("target").alias("next")).join(is_hidden("target"), "target", "left_semi"), path
-    found = None
-    for _ in range(max_depth):
-        step = path.join(inner, "target").select("source", F.col("next").alias("target")).distinct()
+    inner, met = stored(links.select(F.col("source").alias("target"), F.col("target").alias("next")).join(is_hidden("target"), "target", "left_semi").distinct(), "inner"), path
+    found, rounds = None, 0
+    while not path.isEmpty():
+        rounds += 1
+        step = stored(path.join(inner, "target").select("source", F.col("next").alias("target")).distinct(), "steps")
         out = step.join(is_hidden("target"), "target", "left_anti")
         found = out if found is None else found.unionByName(out)
         path = stored(step.join(is_hidden("target"), "target", "left_semi").join(met, ["source", "target"], "left_anti"), "paths")
-        if path.isEmpty():
-            break
         met = met.unionByName(path)
+        if rounds % 16 == 0:
+            met, found = stored(met, "met"), stored(found.distinct(), "bridges")
+    if found is None:
+        return links.select("source", "target").where("false")
     return found.where("source <> target").distinct().join(links.select("source", "target"), ["source", "target"], "left_anti")
 
 
+def documents(points: DataFrame, links: DataFrame) -> DataFrame:
+    """profile_id, document: each profile's graph as one JSON text {nodes, edges}, nodes by name. Prune first."""
+    node = F.struct(F.col("node_id").alias("id"), "name", "module", F.col("self_time").alias("selfTime"), F.col("total_time").alias("totalTime"), F.col("self_pct").alias("selfPct"), F.col("total_pct").alias("totalPct"))
+    edge = F.struct("source", "target", "count", "weight")
+    a = points.groupBy("profile_id").agg(F.array_sort(F.collect_list(node)).alias("nodes"))
+    b = links.groupBy("profile_id").agg(F.array_sort(F.collect_list(edge)).alias("edges"))
+    rows = a.join(b, "profile_id", "left").withColumn("edges", F.coalesce("edges", F.array().cast(b.schema["edges"].dataType)))
+    return rows.select("profile_id", F.to_json(F.struct("nodes", "edges")).alias("document"))
+
+
+#: Forms of labels in graph texts.
+NODE_LABEL, EDGE_LABEL = "%s\n%.2f%%\n(%.2f%%)", "%.2f%%"
+
+
 def dot_lines(points: DataFrame, links: DataFrame) -> DataFrame:
     """ord, line of a Graphviz text of one profile's graph."""
     quote = lambda c: F.replace(F.col(c), F.lit('"'), F.lit('\\"'))
@@ -174,6 +198,6 @@ def dot_lines(points: DataFrame, links: DataFrame) -> DataFrame:
 def xdot(points: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Nodes with an ordinal and label, edges by the ordinals of their ends. For graphs pruned for display."""
     numbered = points.withColumn("ordinal", F.row_number().over(Window.partitionBy("profile_id").orderBy("node_id")) - 1)
-    numbered = numbered.withColumn("label", F.format_string("%s\n%.2f%%\n(%.2f%%)", "name", "self_pct", "total_pct"))
+    numbered = numbered.withColumn("label", F.format_string(NODE_LABEL, "name", "self_pct", "total_pct"))
     end = lambda side: numbered.select("profile_id", F.col("node_id").alias(side), F.col("ordinal").alias(f"{side}_ordinal"))
     return numbered, links.join(end("source"), ["profile_id", "source"]).join(end("target"), ["profile_id", "target"])

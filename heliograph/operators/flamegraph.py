@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -70,13 +72,44 @@ def global_top(samples: DataFrame, n: int = 50) -> DataFrame:
     return rows.join(whole, "profile_id").select("profile_id", "func", "samples", percent("samples", "total").alias("pct"), "threads", "rank")
 
 
+def merged(nodes: DataFrame, name: str = "all") -> DataFrame:
+    """One tree of all profiles' trees: each profile's root, named by profile_id, stands under a root of their sum."""
+    under = nodes.select(F.lit(name).alias("profile_id"), F.concat(F.array("profile_id"), "path").alias("path"), "name", "value", "self", F.col("profile_id").alias("__p"))
+    rows = under.select("profile_id", "path", F.size("path").alias("depth"), F.when(F.size("path") == 1, F.col("__p")).otherwise(F.col("name")).alias("name"), "value", "self")
+    whole = nodes.where("depth = 0").agg(F.sum("value").alias("value")).where("value is not null")
+    root = whole.select(F.lit(name).alias("profile_id"), F.array().cast("array<string>").alias("path"), F.lit(0).alias("depth"), F.lit(name).alias("name"), "value", F.lit(0).cast("bigint").alias("self"))
+    return rows.unionByName(root)
+
+
+def documents(nodes: DataFrame, keys: list[str] = ("profile_id",)) -> DataFrame:
+    """keys and document: each tree as one JSON text of nested {name, value, self, children}, children largest first.
+
+    Built from the deepest level up, a grouped job a level, so a subtree is one row and never passes through the
+    driver. A document is as large as its tree: prune() first.
+    """
+    from ..plans.storage import stored
+
+    keys = list(keys)
+    rows = stored(nodes.select(*keys, "path", "depth", "name", "value", "self"), "nodes")
+    deepest = rows.agg(F.max("depth")).head()[0]
+    if deepest is None:
+        return rows.select(*keys, F.lit("").alias("document"))
+    inner = F.to_json(F.struct("name", "value", "self"))
+    done = None
+    for depth in range(deepest, -1, -1):
+        level = rows.where(F.col("depth") == depth)
+        if done is None:
+            level = level.withColumn("children", F.lit(""))
+        else:
+            order = F.array_sort(F.collect_list(F.struct((-F.col("value")).alias("v"), "name", "text")))
+            above = done.groupBy(*keys, F.slice("path", F.lit(1), F.lit(depth)).alias("path")).agg(F.array_join(F.transform(order, lambda x: x["text"]), ",").alias("children"))
+            level = level.join(above, [*keys, "path"], "left").withColumn("children", F.coalesce("children", F.lit("")))
+        text = F.concat(F.substring(inner, F.lit(1), F.length(inner) - 1), F.lit(',"children":['), "children", F.lit("]}"))
+        done = stored(level.select(*keys, "path", "name", "value", text.alias("text")), "level")
+    return done.select(*keys, F.col("text").alias("document"))
+
+
 def nested(nodes: DataFrame, profile_id: str) -> dict:
-    """One profile's tree as nested dictionaries, for a JSON document; prune() first, as it is built on the driver."""
-    tree: dict = {"name": "root", "value": 0, "children": []}
-    at: dict[tuple, dict] = {(): tree}
-    for r in nodes.where(F.col("profile_id") == profile_id).orderBy("depth", F.desc("value"), F.concat_ws(";", "path")).toLocalIterator():
-        node = at.setdefault(tuple(r.path), {"children": []})
-        node |= {"name": r.name, "value": r.value, "self": r.self}
-        if r.path:
-            at[tuple(r.path[:-1])]["children"].append(node)
-    return tree
+    """One profile's document as nested dictionaries; prune() first, as the driver holds it."""
+    row = documents(nodes.where(F.col("profile_id") == profile_id)).head()
+    return json.loads(row.document) if row else {}

@@ -11,9 +11,10 @@ from pyspark.sql import functions as F
 from ..functions import classes
 from ..functions.values import percent_scaled
 from ..plans.storage import stored
+from . import trees
 from .stats import top
 
-SUPER_ROOT = -1
+SUPER_ROOT = trees.TOP
 
 
 def distinct_refs(refs: DataFrame, objects: DataFrame) -> DataFrame:
@@ -34,56 +35,43 @@ def levels(refs: DataFrame, roots: DataFrame) -> DataFrame:
         if frontier.isEmpty():
             return seen
         seen = seen.unionByName(frontier)
+        seen = seen if level % trees.TABLES else stored(seen, "level")
 
 
 def dominators(refs: DataFrame, roots: DataFrame) -> DataFrame:
-    """obj_id, idom, path of every object a root reaches: its immediate dominator and its dominators from the root down.
+    """obj_id, idom of every object a root reaches: its immediate dominator, SUPER_ROOT above all roots.
 
-    An object's dominators are those that all its referrers share, and itself. As chains of a tree they share the
-    longest common prefix, and that of many arrays is that of the least and the greatest of them, so a round is one
-    grouped min and max. Referrers without a path yet don't count; rounds go on until no path changes, which gives
-    the greatest solution, the true dominators. Paths are as long as the dominator tree is deep.
+    Rounds follow the logarithm of the dominator tree's depth for chains of single references; see trees.
     """
-    links = stored(refs.select("from_id", "to_id").where("from_id <> to_id").distinct(), "links")
-    tops = stored(roots.select(F.col("obj_id").alias("to_id")).distinct(), "tops")
-    paths = stored(tops.select(F.col("to_id").alias("obj_id"), F.array("to_id").alias("path")), "paths")
-    n = F.least(F.size("a"), F.size("b"))
-    # The first place where the two differ ends the common prefix.
-    differs = F.filter(F.sequence(F.lit(1), n), lambda i: F.element_at("a", i) != F.element_at("b", i))
-    common = F.when(n == 0, F.array().cast("array<bigint>")).otherwise(F.slice("a", F.lit(1), F.coalesce(F.try_element_at(differs, F.lit(1)) - 1, n)))
-    while True:
-        met = links.join(paths.select(F.col("obj_id").alias("from_id"), "path"), "from_id").groupBy("to_id").agg(F.min("path").alias("a"), F.max("path").alias("b"))
-        met = met.join(tops.withColumn("root", F.lit(True)), "to_id", "full").select(F.col("to_id").alias("obj_id"), F.when(F.col("root"), F.array("to_id")).otherwise(F.concat(common, F.array("to_id"))).alias("path"))
-        old = paths.select("obj_id", F.col("path").alias("old"))
-        new = stored(met.join(old, "obj_id", "left").select("obj_id", "path", (~F.col("path").eqNullSafe(F.col("old"))).alias("changed")), "paths")
-        paths = new.select("obj_id", "path")
-        if new.where("changed").isEmpty():
-            return paths.select("obj_id", F.coalesce(F.try_element_at("path", F.lit(-2)), F.lit(SUPER_ROOT)).alias("idom"), "path")
+    return trees.renamed(trees.dominator_tree(refs, roots), obj_id="obj_id", idom="up")
 
 
 def retained(objects: DataFrame, doms: DataFrame) -> DataFrame:
-    """obj_id, idom, reachable, retained: what would go with the object; an unreachable one retains itself."""
-    inside = objects.select("obj_id", "shallow").join(doms, "obj_id").select("shallow", F.explode("path").alias("obj_id")).groupBy("obj_id").agg(F.sum("shallow").alias("retained"))
+    """obj_id, class_name, shallow, idom, reachable, retained: what would go with the object; an unreachable one retains itself."""
+    inside = trees.subtree_sums(doms.join(objects.select("obj_id", "shallow"), "obj_id").select("obj_id", F.col("idom").alias("up"), "shallow"), "shallow")
     rows = objects.join(doms.select("obj_id", "idom"), "obj_id", "left").join(inside, "obj_id", "left")
-    return rows.select("obj_id", "class_name", "shallow", "idom", F.col("idom").isNotNull().alias("reachable"), F.coalesce("retained", "shallow").alias("retained"))
+    return rows.select("obj_id", "class_name", "shallow", "idom", F.col("idom").isNotNull().alias("reachable"), F.coalesce("total", "shallow").alias("retained"))
+
+
+def shared_through_arrays(refs: DataFrame, objects: DataFrame, sizes: DataFrame) -> DataFrame:
+    """from_id, to_id, field, child_retained: references to objects that the referrer doesn't dominate, though only arrays of collections share them."""
+    arrays = objects.where("class_name = 'java.lang.Object[]'").select(F.col("obj_id").alias("array_id"))
+    held = objects.where(classes.is_collection("class_name")).select(F.col("obj_id").alias("from_id"))
+    owned = trees.renamed(refs.join(held, "from_id", "left_semi"), array_id="to_id").join(arrays, "array_id", "left_semi").distinct()
+    through = trees.renamed(refs, array_id="from_id", to_id="to_id").distinct().join(owned, "array_id", "left_semi").groupBy("to_id").agg(F.count("*").alias("n"), F.min("array_id").alias("one"))
+    child = sizes.select(F.col("obj_id").alias("to_id"), "idom", F.col("retained").alias("child_retained"))
+    pairs = refs.select("from_id", "to_id", "field").join(child, "to_id").where(~F.col("idom").eqNullSafe(F.col("from_id")))
+    return pairs.join(through, "to_id").where((F.col("n") > 1) | (F.col("one") != F.col("from_id"))).select("from_id", "to_id", "field", "child_retained")
 
 
 def retained_with_collections(sizes: DataFrame, refs: DataFrame) -> DataFrame:
     """sizes with `idea`: a parent also gets children it doesn't dominate that an array of a collection holds.
 
-    One level and no recursion: base sizes are added. sizes is retained()'s result.
+    One level and no recursion: base sizes are added. sizes is retained()'s result; store it, as it is read five times.
     """
-    named = sizes.select("obj_id", "class_name")
-    arrays = named.where("class_name = 'java.lang.Object[]'").select(F.col("obj_id").alias("to_id"))
-    held_by = named.where(classes.is_collection("class_name")).select(F.col("obj_id").alias("from_id"))
-    owned = refs.join(held_by, "from_id", "left_semi").join(arrays, "to_id", "left_semi").select(F.col("to_id").alias("array_id")).distinct()
-    through = refs.select(F.col("from_id").alias("array_id"), F.col("to_id").alias("child")).distinct().join(owned, "array_id", "left_semi")
-    # How many such arrays hold the child, and which if it is one: the parent itself doesn't count.
-    holders = through.groupBy("child").agg(F.count("*").alias("n"), F.min("array_id").alias("one"))
-    child = sizes.select(F.col("obj_id").alias("child"), F.col("idom"), F.col("retained").alias("child_retained"))
-    pairs = refs.select(F.col("from_id").alias("parent"), F.col("to_id").alias("child")).distinct().join(child, "child").where(~F.col("idom").eqNullSafe(F.col("parent")))
-    extra = pairs.join(holders, "child").where((F.col("n") > 1) | (F.col("one") != F.col("parent"))).groupBy(F.col("parent").alias("obj_id")).agg(F.sum("child_retained").alias("__more"))
-    return sizes.join(extra, "obj_id", "left").withColumn("idea", F.col("retained") + F.coalesce("__more", F.lit(0))).drop("__more")
+    once = refs.select("from_id", "to_id", F.lit("").alias("field")).distinct()
+    more = shared_through_arrays(once, sizes, sizes).groupBy(F.col("from_id").alias("obj_id")).agg(F.sum("child_retained").alias("__more"))
+    return sizes.join(more, "obj_id", "left").withColumn("idea", F.col("retained") + F.coalesce("__more", F.lit(0))).drop("__more")
 
 
 def histogram(objects: DataFrame, reachable: DataFrame | None = None) -> DataFrame:
@@ -99,14 +87,15 @@ def top_classes(histogram_rows: DataFrame, n: int = 50) -> DataFrame:
     return rows.limit(n) if n > 0 else rows
 
 
-def class_retained(sizes: DataFrame, doms: DataFrame) -> DataFrame:
+def class_retained(sizes: DataFrame) -> DataFrame:
     """class_name, retained (of objects whose dominator is of another class), attributed (to the nearest such dominator's class)."""
     kind = sizes.select(F.col("obj_id").alias("idom"), F.col("class_name").alias("idom_class"))
-    outer = sizes.where("reachable").join(kind, "idom", "left").where(~F.col("class_name").eqNullSafe(F.col("idom_class"))).groupBy("class_name").agg(F.sum("retained").alias("retained"))
-    up = doms.select("obj_id", F.posexplode("path").alias("pos", "above"))
-    up = up.join(sizes.select(F.col("obj_id").alias("above"), F.col("class_name").alias("above_class")), "above").join(sizes.select("obj_id", "class_name", "shallow"), "obj_id")
-    near = up.where("above_class <> class_name").groupBy("obj_id", "shallow").agg(F.max_by("above_class", "pos").alias("class_name"))
-    return outer.join(near.groupBy("class_name").agg(F.sum("shallow").alias("attributed")), "class_name", "full")
+    inside = sizes.where("reachable")
+    outer = inside.join(kind, "idom", "left").where(~F.col("class_name").eqNullSafe(F.col("idom_class"))).groupBy("class_name").agg(F.sum("retained").alias("retained"))
+    above = trees.nearest_above(inside.select("obj_id", F.col("idom").alias("up"), "class_name"), ~F.col("up_class_name").eqNullSafe(F.col("class_name")))
+    named = above.where(F.col("found") != SUPER_ROOT).join(kind.select(F.col("idom").alias("found"), F.col("idom_class").alias("class_name")), "found")
+    attributed = named.join(sizes.select("obj_id", "shallow"), "obj_id").groupBy("class_name").agg(F.sum("shallow").alias("attributed"))
+    return outer.join(attributed, "class_name", "full")
 
 
 def root_list(roots: DataFrame, class_objects: DataFrame | None = None) -> DataFrame:
@@ -232,15 +221,22 @@ def graph_stats(objects: DataFrame, refs: DataFrame, roots: DataFrame) -> DataFr
     return one.crossJoin(refs.agg(F.countDistinct("to_id").alias("referred")))
 
 
-def class_chain(heap_classes: DataFrame, max_depth: int = 64) -> DataFrame:
-    """class_id, ancestor_id, depth: each class and its superclasses, by a join a level."""
+def class_chain(heap_classes: DataFrame) -> DataFrame:
+    """class_id, ancestor_id, depth: each class and all its superclasses, by a join a level.
+
+    A chain that runs in a circle, as a broken dump may have it, ends where it would come back to the class.
+    """
     up = stored(heap_classes.select("class_id", "super_class_id"), "classes")
     front = found = up.select("class_id", F.col("class_id").alias("ancestor_id"), F.lit(0).alias("depth"))
-    for depth in range(1, max_depth + 1):
-        front = stored(front.join(up.select(F.col("class_id").alias("ancestor_id"), F.col("super_class_id").alias("next")), "ancestor_id").where("next is not null and next <> 0").select("class_id", F.col("next").alias("ancestor_id"), F.lit(depth).alias("depth")), "chain")
+    # No chain without a circle is longer than there are classes.
+    for depth in range(1, up.count() + 1):
+        above = up.select(F.col("class_id").alias("ancestor_id"), F.col("super_class_id").alias("next"))
+        step = front.join(above, "ancestor_id").where("next is not null and next <> 0 and next <> class_id")
+        front = stored(step.select("class_id", F.col("next").alias("ancestor_id"), F.lit(depth).alias("depth")), "chain")
         if front.isEmpty():
             break
         found = found.unionByName(front)
+        found = found if depth % trees.TABLES else stored(found, "chain")
     return found
 
 

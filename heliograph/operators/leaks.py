@@ -43,6 +43,22 @@ def growth(baseline: DataFrame, current: DataFrame, seconds: float, n: int = 50)
     return rows.orderBy(F.desc("growth"), "func").limit(n) if n > 0 else rows
 
 
+def any_stack(functions: DataFrame, stacks: DataFrame) -> DataFrame:
+    """functions (func) with sample_stack: the least stack of (stack) that ends in the function, else that it stands in.
+
+    Stacks are exploded once to their distinct functions, so this is a grouped equi-join, not a search in every stack.
+    """
+    inside = stacks.select(fn.stack_to_string("stack").alias("text"), F.explode(F.array_distinct("stack")).alias("func"), fn.leaf("stack").alias("leaf"))
+    wanted = inside.join(functions.select("func").distinct(), "func", "left_semi")
+    best = wanted.groupBy("func").agg(F.min(F.struct((F.col("func") != F.col("leaf")).alias("inner"), "text")).alias("best"))
+    return functions.join(best.select("func", F.col("best.text").alias("sample_stack")), "func", "left")
+
+
+def of_kind(reports: DataFrame, kind: str | None = None) -> DataFrame:
+    """Reports of one kind (column kind), of all without; an unknown kind has none."""
+    return reports if not kind else reports.where(F.col("kind") == kind.strip().lower())
+
+
 def severity(kind: str, growth_pct: Column, per_minute: Column) -> Column:
     """The first severity both of whose bounds hold; a shrinking profile is `none`."""
     rows = SEVERITIES["goroutine" if kind == "goroutine" else "heap"]

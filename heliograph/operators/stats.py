@@ -109,6 +109,35 @@ def function_threads(samples: DataFrame) -> DataFrame:
     return samples.where((F.size("stack") > 0) & ~fn.is_idle_in_graphs("thread_name")).groupBy("profile_id", fn.leaf("stack").alias("func"), "tid").agg(F.sum("value").alias("samples"))
 
 
+def group_summaries(samples: DataFrame) -> DataFrame:
+    """profile_id, thread_group, threads, samples, pct, top_thread, rank: groups of threads() over all samples, largest first.
+
+    As thread_groups(), but the share is of all samples of the profile, idle ones included.
+    """
+    rows = threads(samples.where(~fn.is_idle_in_graphs("thread_name"))).groupBy("profile_id", fn.thread_group("thread_name").alias("thread_group")).agg(
+        F.count("*").alias("threads"), F.sum("samples").alias("samples"), F.max_by("thread_name", F.struct("samples", "thread_name")).alias("top_thread")
+    )
+    whole = totals(samples, fn.is_idle_in_graphs).select("profile_id", F.col("total_samples").alias("total"))
+    rows = rows.join(whole, "profile_id").select("profile_id", "thread_group", "threads", "samples", percent("samples", "total").alias("pct"), "top_thread")
+    return top(rows, ["profile_id"], [F.desc("samples"), F.asc("thread_group")], None, "rank")
+
+
+def functions_in_detail(samples: DataFrame, n: int = 50, stacks: int = 10) -> DataFrame:
+    """profile_id, func, self, self_pct, rank, threads (tid, samples), stacks (stack, samples): top functions with where they stand.
+
+    Threads are all of the function's, largest first; a function has as many entries as threads run it.
+    """
+    lead = top_functions(samples, n)
+    own = lead.select("profile_id", "func")
+    by_thread = function_threads(samples).join(own, ["profile_id", "func"], "left_semi")
+    entry = F.array_sort(F.collect_list(F.struct((-F.col("samples")).alias("order"), "tid", "samples")))
+    by_thread = by_thread.groupBy("profile_id", "func").agg(F.transform(entry, lambda x: F.struct(x["tid"].alias("tid"), x["samples"].alias("samples"))).alias("threads"))
+    some = stacks_by_function(samples, stacks).join(own, ["profile_id", "func"], "left_semi")
+    entry = F.array_sort(F.collect_list(F.struct("rank", "stack", "samples")))
+    some = some.groupBy("profile_id", "func").agg(F.transform(entry, lambda x: F.struct(x["stack"].alias("stack"), x["samples"].alias("samples"))).alias("stacks"))
+    return lead.join(by_thread, ["profile_id", "func"], "left").join(some, ["profile_id", "func"], "left")
+
+
 def with_others(rows: DataFrame, name: str, value: str, n: int) -> DataFrame:
     """name, value of the n largest rows and the sum of the rest as `Others`."""
     ranked = rows.select(name, value).withColumn("__r", F.row_number().over(Window.orderBy(F.desc(value), F.asc(name))))

@@ -55,15 +55,10 @@ on_heap("M07_retained_sizes", lambda h: sizes(h)[0], f"{_RETAINED} select * from
 on_heap("M17_biggest_objects", lambda h: heap.biggest_objects(sizes(h)[0], 50), f"{_RETAINED} select * from sizes where reachable order by retained desc, obj_id limit 50")
 on_heap("G14_biggest_of_class", lambda h: heap.biggest_objects(sizes(h)[0], 20, class_name="com.shop.customer"), f"{_RETAINED} select * from sizes where reachable and class_name = 'com.shop.customer' order by retained desc, obj_id limit 20")
 on_heap("F28_roots_by_class", lambda h: heap.roots_by_class(h["roots"], sizes(h)[0]), f"{_RETAINED} select class_name, count(*) as roots, cast(sum(shallow) as bigint) as shallow, cast(sum(retained) as bigint) as retained, 'JNI_GLOBAL' as root_type from sizes join roots using (obj_id) group by 1")
-on_heap("F26_class_retained", lambda h: heap.class_retained(*sizes(h)), f"{_RETAINED}, a as (select s.class_name, cast(sum(s.retained) as bigint) as retained from sizes s left join sizes d on d.obj_id = s.idom where s.reachable and s.class_name is distinct from d.class_name group by 1), b as (select d.class_name, cast(sum(s.shallow) as bigint) as attributed from sizes s join sizes d on d.obj_id = s.idom group by 1) select coalesce(a.class_name, b.class_name) as class_name, retained, attributed from a full join b on a.class_name = b.class_name")
-on_heap("M10_retainers_by_depth", lambda h: heap.retainers_by_depth(h["refs"], h["objects"], h["objects"].where(f"obj_id >= {6 * st.STRIDE}")), f"with recursive {H}, w as (select obj_id as target, obj_id as node, 0 as depth, '' as class_name, '' as field from objects where obj_id >= {6 * st.STRIDE} union select target, from_id, depth + 1, f.class_name, refs.field from w join refs on to_id = node join objects f on f.obj_id = from_id where depth < 5), m as (select target, node, class_name, field, cast(min(depth) as integer) as depth from w where depth > 0 group by all), b as (select * from m qualify row_number() over (partition by target, node order by depth, class_name, field) = 1), u as (select distinct target, class_name, field, depth from b) select u.class_name as retainer_class, field, depth, count(*) as count, cast(sum(shallow) as bigint) as size from u join objects on obj_id = target group by all")
-on_heap("M14_paths_to_roots", lambda h: heap.paths_to_roots(h["refs"], h["roots"], h["objects"].where(f"obj_id between {3 * st.STRIDE} and {3 * st.STRIDE + 40}")).select("target", F.concat_ws(">", F.col("path").cast("array<string>")).alias("path"), "length"), f"with {H} select o.to_id as target, r.from_id || '>' || r.to_id || '>' || c.to_id || '>' || o.to_id as path, cast(4 as integer) as length from refs o join refs c on c.to_id = o.from_id join refs r on r.to_id = c.from_id where o.field = 'orders' and c.field = 'customers' and r.field = 'nations' and o.to_id between {3 * st.STRIDE} and {3 * st.STRIDE + 40}")
+on_heap("F26_class_retained", lambda h: heap.class_retained(sizes(h)[0]), f"{_RETAINED}, a as (select s.class_name, cast(sum(s.retained) as bigint) as retained from sizes s left join sizes d on d.obj_id = s.idom where s.reachable and s.class_name is distinct from d.class_name group by 1), b as (select d.class_name, cast(sum(s.shallow) as bigint) as attributed from sizes s join sizes d on d.obj_id = s.idom group by 1) select coalesce(a.class_name, b.class_name) as class_name, retained, attributed from a full join b on a.class_name = b.class_name")
+on_heap("M10_retainers_by_depth", lambda h: heap.retainers_by_depth(h["refs"], h["objects"], h["objects"]), f"with recursive {H}, w as (select obj_id as target, obj_id as node, 0 as depth, '' as class_name, '' as field from objects union select target, from_id, depth + 1, f.class_name, refs.field from w join refs on to_id = node join objects f on f.obj_id = from_id where depth < 5), m as (select target, node, class_name, field, cast(min(depth) as integer) as depth from w where depth > 0 group by all), b as (select * from m qualify row_number() over (partition by target, node order by depth, class_name, field) = 1), u as (select distinct target, class_name, field, depth from b) select u.class_name as retainer_class, field, depth, count(*) as count, cast(sum(shallow) as bigint) as size from u join objects on obj_id = target group by all")
 on_heap("M15_root_list", lambda h: heap.root_list(h["roots"], h["objects"].where("class_name = 'com.shop.nation'")), f"with {H} select * from roots union all select obj_id, 'STICKY_CLASS' from objects where class_name = 'com.shop.nation'")
 on_heap("M19_holders", lambda h: heap.holders_of(h["refs"], h["objects"], 5 * st.STRIDE + 7), f"with {H} select from_id, class_name, field, shallow from refs join objects on obj_id = from_id where to_id = {5 * st.STRIDE + 7} order by from_id, field limit 20")
-on_heap("M16_held_by", lambda h: heap.held_by(h["refs"], h["objects"].withColumn("retained", F.col("shallow")), st.STRIDE + 3, 10), f"with {H}, f as (select * from refs where from_id = {st.STRIDE + 3} order by field, to_id limit 10) select field, to_id, class_name, shallow, shallow as retained from f join objects on obj_id = to_id")
-on_heap("M08_retained_with_collections", lambda h: heap.retained_with_collections(sizes({**h, "objects": h["objects"].withColumn("class_name", F.when(F.col("class_name") == "com.shop.nation", "java.util.ArrayList").when(F.col("class_name") == "com.shop.customer", "java.lang.Object[]").otherwise(F.col("class_name")))})[0], h["refs"]).select("obj_id", "idea"))
-on_heap("G18_stratified_sample", lambda h: heap.stratified_sample(h["objects"], 50, 0.001).groupBy("class_name").agg(F.count("*").alias("n")), f"with {H} select class_name, least(count(*), 50) as n from objects group by 1 having count(*) <= 50 union all select class_name, cast(least(20, ceil((n // 10) / greatest(1, (n // 10) // 20))) + least(17, ceil((n * 4 // 10) / greatest(1, (n * 4 // 10) // 17))) + least(13, ceil((n - n // 10 - n * 4 // 10) / greatest(1, (n - n // 10 - n * 4 // 10) // 13))) as bigint) from (select class_name, count(*) as n from objects group by 1) where n > 50 and n <= 50000 union all select class_name, cast(-1 as bigint) from (select class_name, count(*) as n from objects group by 1) where n > 50000")
-del ORACLE_SQL["G18_stratified_sample"]  # tested against a loop instead
 
 register("F07_leak_growth", f"with {st.SNAPSHOTS}, a as (select func, cast(sum(value) as bigint) as a from snapshots where captured_at = 1998 group by 1), b as (select func, cast(sum(value) as bigint) as b from snapshots where captured_at = 2000 group by 1), g as (select coalesce(a.func, b.func) as func, coalesce(a, 0) as baseline, coalesce(b, 0) as current from a full join b on a.func = b.func) select func, baseline, current, current - baseline as growth, case when baseline > 0 then (current - baseline) / baseline * 100 else 100.0::double end as growth_pct, (current - baseline) / 60.0::double as rate, 'main;' || func as sample_stack from g where current > baseline order by growth desc, func limit 50")(
     lambda spark, d: leaks.growth((s := st.snapshots(spark, d)).where("captured_at = 1998"), s.where("captured_at = 2000"), 60.0)
@@ -72,24 +67,20 @@ register("R08_leak_report", f"with {st.SNAPSHOTS}, t as (select cast(sum(case wh
     lambda spark, d: leaks.report((s := st.snapshots(spark, d)).where("captured_at = 1998"), s.where("captured_at = 2000"), "heap", 60.0).drop("advice")
 )
 register("F08_trend", f"with {st.SNAPSHOTS} select cast(captured_at as integer) as captured_at, cast(sum(value) as bigint) as total, count(*) as stacks from snapshots group by 1")(lambda spark, d: leaks.trend(st.snapshots(spark, d)))
-register("F09_goroutine_groups", "with g as (select 'main;' || event_type || ';g' || (user_id % 5) as stack, count(*) as count from events group by 1), r as (select *, cast(row_number() over (order by count desc, stack) as integer) as rank from g) select stack, count, count * 100.0::double / (select sum(count)::bigint from g) as pct, rank from r where rank <= 12")(
-    lambda spark, d: stats.top(
-        (g := st.table(spark, d, "events").groupBy(F.concat(F.lit("main;"), "event_type", F.lit(";g"), (F.col("user_id") % 5).cast("string")).alias("stack")).agg(F.count("*").alias("count"))).crossJoin(g.agg(F.sum("count").alias("t"))), ["t"], [F.desc("count"), F.asc("stack")], 12, "rank"
-    ).select("stack", "count", values.percent_scaled("count", "t").alias("pct"), "rank")
-)
 
 
-def _functions(spark, d: str) -> DataFrame:
-    """func, self_pct: event types of users as functions, under names that the rules look for."""
+def _functions(spark, d: str, shares: int = 5) -> DataFrame:
+    """func, self_pct: event types of users as functions, under names that the rules look for; fewer shares are larger."""
     name = F.when(F.col("user_id") % 5 == 0, F.concat(F.lit("G1."), "event_type")).when(F.col("user_id") % 5 == 1, F.concat(F.lit("Lock."), "event_type")).when(F.col("user_id") % 5 == 2, F.concat(F.lit("Method.invoke."), "event_type")).otherwise(F.concat(F.lit("App."), "event_type"))
-    rows = st.table(spark, d, "events").groupBy(name.alias("func")).agg(F.count("*").alias("n"))
+    rows = st.table(spark, d, "events").groupBy((name if shares > 1 else F.concat(F.lit("App."), "event_type")).alias("func")).agg(F.count("*").alias("n"))
     return rows.crossJoin(rows.agg(F.sum("n").alias("t"))).select("func", values.percent("n", "t").alias("self_pct"))
 
 
 _FUNCTIONS = "f as (select case user_id % 5 when 0 then 'G1.' when 1 then 'Lock.' when 2 then 'Method.invoke.' else 'App.' end || event_type as func, count(*) as n from events group by 1), s as (select func, n / (select sum(n)::bigint from f) * 100 as self_pct from f)"
+_FEW = "f as (select 'App.' || event_type as func, count(*) as n from events group by 1), s as (select func, n / (select sum(n)::bigint from f) * 100 as self_pct from f)"
 register("R05_reflection", f"with {_FUNCTIONS} select 'R05' as rule, func, self_pct as value from s where contains(func, 'invoke') and self_pct > 2")(lambda spark, d: advisor.reflection(_functions(spark, d)))
-register("R01_hot_functions", f"with {_FUNCTIONS} select 'R01' as rule, func, self_pct as value from s where self_pct > 5")(lambda spark, d: advisor.hot_functions(_functions(spark, d), 5.0))
-register("R06_allocators", f"with {_FUNCTIONS} select 'R06' as rule, func, self_pct as value from s where self_pct > 10")(lambda spark, d: advisor.allocators(_functions(spark, d)))
+register("R01_hot_functions", f"with {_FEW} select 'R01' as rule, func, self_pct as value from s where self_pct > 15")(lambda spark, d: advisor.hot_functions(_functions(spark, d, 1)))
+register("R06_allocators", f"with {_FEW} select 'R06' as rule, func, self_pct as value from s where self_pct > 10")(lambda spark, d: advisor.allocators(_functions(spark, d, 1)))
 register("R02_R03_overheads", f"with {_FUNCTIONS} select 'R02' as rule, '' as func, round(sum(self_pct), 6) as value from s where contains(func, 'G1') having sum(self_pct) > 5 union all select 'R03', string_agg(func, ', ' order by func), round(sum(self_pct), 6) from s where contains(func, 'Lock') and self_pct > 1 having sum(self_pct) > 3")(
     lambda spark, d: advisor.gc_overhead(f := _functions(spark, d)).unionByName(advisor.lock_contention(f)).withColumn("value", F.round("value", 6))
 )
@@ -99,7 +90,5 @@ register("A24_pending_tasks", f"with {st.TASKS} select id, tid, status, analysis
 register("S06_admission", f"with {st.TASKS}, p as (select *, duration between 1 and 120 as high from tasks where status = 2 and analysis_status = 0 order by id desc limit 10), r as (select *, row_number() over (order by high desc, id desc) as slot from p) select id, high, cast(slot as integer) as slot from r where slot <= case when high then 5 else 3 end")(lambda spark, d: queue.admit(queue.pending(st.tasks(spark, d), 10), 5, 2).select("id", "high", "slot"))
 register("F37_incomplete_subtasks", f"with {st.TASKS} select master_tid, count(*) as incomplete from tasks where analysis_status <= 1 and status <> 3 group by 1")(lambda spark, d: queue.incomplete(st.tasks(spark, d)))
 register("S11_master_status", f"with {st.TASKS} select master_tid, count(*) as sub_tasks, count(case when analysis_status <= 1 and status <> 3 then 1 end) = 0 as complete from tasks group by 1")(lambda spark, d: queue.master_status(st.tasks(spark, d)))
-register("A25_point_lookup", f"with {st.TASKS} select id, tid, type from tasks where tid = 't7'")(lambda spark, d: st.tasks(spark, d).where("tid = 't7'").select("id", "tid", "type"))
-register("J11_master_subtasks", f"with {st.TASKS} select m.c_custkey as custkey, t.tid from customer m join tasks t on t.master_tid = 'm' || m.c_custkey where m.c_custkey % 10 = 3")(lambda spark, d: st.table(spark, d, "customer").where("c_custkey % 10 = 3").select(F.col("c_custkey").alias("custkey"), F.concat(F.lit("m"), F.col("c_custkey").cast("string")).alias("master_tid")).join(st.tasks(spark, d), "master_tid").select("custkey", "tid"))
 
 __all__ = ["ORACLE_SQL", "QUERIES"]

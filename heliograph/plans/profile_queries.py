@@ -123,7 +123,7 @@ on_samples("G03_functions_by_thread", lambda s: stats.functions_by_thread(s, 3),
 on_samples("G04_stacks_by_thread", lambda s: stats.stacks_by_thread(s, 20), f"with {S}, f as (select profile_id, tid, array_to_string(stack, ';') as stack, cast(sum(value) as bigint) as samples from samples group by all) select * from (select *, cast(row_number() over (partition by profile_id, tid order by samples desc, stack) as integer) as rank from f) where rank <= 20")
 on_samples("F15_function_threads", stats.function_threads, f"with {S} select profile_id, stack[-1] as func, tid, cast(sum(value) as bigint) as samples from samples where thread_name <> 'swapper/0' group by all")
 on_samples("F35_top_and_others", lambda s: stats.with_others(stats.self_by_function(s).groupBy("func").agg(F.sum("self").alias("self")), "func", "self", 10), f"with {S}, f as (select stack[-1] as func, cast(sum(value) as bigint) as self from samples group by 1), r as (select *, row_number() over (order by self desc, func) as r from f) select func, self from r where r <= 10 union all select 'Others', cast(sum(self) as bigint) from r where r > 10 having count(*) > 0")
-on_samples("G19_search", lambda s: stats.search(stats.self_by_function(s).select("profile_id", "func", "self"), ["func"], "brass", "self", 12), f"with {S}, f as (select profile_id, stack[-1] as func, cast(sum(value) as bigint) as self from samples group by all) select * from f where contains(lower(func), 'brass') order by self desc, func, profile_id limit 12")
+on_samples("G19_search", lambda s: stats.search(stats.self_by_function(s).select("profile_id", "func", "self"), ["func"], "econ", "self", 12), f"with {S}, f as (select profile_id, stack[-1] as func, cast(sum(value) as bigint) as self from samples group by all) select * from f where contains(lower(func), 'econ') order by self desc, func, profile_id limit 12")
 on_samples("G21_page", lambda s: stats.page(stats.self_by_function(s).select("profile_id", "func", "self"), [F.desc("self"), F.asc("func"), F.asc("profile_id")], 3, 20), f"with {S}, f as (select profile_id, stack[-1] as func, cast(sum(value) as bigint) as self from samples group by all) select * from f order by self desc, func, profile_id limit 20 offset 40")
 
 # Flame graphs
@@ -132,13 +132,13 @@ _NODE_ROWS = "profile_id, array_to_string(p, ';') as path, cast(depth as integer
 flat = lambda nodes: nodes.withColumn("path", text("path"))
 on_samples("F10_flame_roll_up", lambda s: flat(fg.roll_up(s)), f"with {S}, {_NODES} select {_NODE_ROWS} from nodes")
 on_samples("F11_flame_by_thread", lambda s: flat(fg.roll_up(s, by_thread=True)), f"with {S}, nodes as (select profile_id, tid, list_slice(stack, 1, i) as p, i as depth, cast(sum(value) as bigint) as value, cast(sum(case when i = 5 then value else 0 end) as bigint) as self from samples, (select unnest(range(6)) as i) where value > 0 group by all) select tid, {_NODE_ROWS} from nodes")
-on_samples("K01_flame_with_thread", lambda s: flat(fg.roll_up(s, thread_frame=True)).where("depth <= 2"), f"with {S}, nodes as (select profile_id, list_slice(list_prepend(thread_name, stack), 1, i) as p, i as depth, cast(sum(value) as bigint) as value, cast(0 as bigint) as self from samples, (select unnest(range(3)) as i) group by all) select {_NODE_ROWS} from nodes")
+on_samples("K01_flame_with_thread", lambda s: flat(fg.roll_up(s, thread_frame=True)), f"with {S}, nodes as (select profile_id, list_slice(list_prepend(thread_name, stack), 1, i) as p, i as depth, cast(sum(value) as bigint) as value, cast(sum(case when i = 6 then value else 0 end) as bigint) as self from samples, (select unnest(range(7)) as i) group by all) select {_NODE_ROWS} from nodes")
 on_samples("E04_flame_prune", lambda s: flat(fg.prune(fg.roll_up(s), 0.5)), f"with {S}, {_NODES}, r as (select profile_id, cast(floor(value * 0.5 / 100) as bigint) as least from nodes where depth = 0) select {_NODE_ROWS} from nodes join r using (profile_id) where depth = 0 or value >= least")
 on_samples("F34_flame_stats", lambda s: fg.tree_stats(fg.roll_up(s)), f"with {S}, {_NODES} select profile_id, max(case when depth = 0 then value end) as total, count(case when depth > 0 then 1 end) as nodes, count(distinct case when depth > 0 then p[-1] end) as distinct_names, cast(max(depth) as integer) as max_depth from nodes group by 1")
-on_samples("E10_flame_search", lambda s: flat(fg.search(fg.roll_up(s), "steel")).select("profile_id", "path", "value"), f"with {S}, {_NODES} select profile_id, array_to_string(p, ';') as path, value from nodes where depth > 0 and contains(lower(p[-1]), 'steel')")
+on_samples("E10_flame_search", lambda s: flat(fg.search(fg.roll_up(s), "brand#2")).select("profile_id", "path", "value"), f"with {S}, {_NODES} select profile_id, array_to_string(p, ';') as path, value from nodes where depth > 0 and contains(lower(p[-1]), 'brand#2')")
 on_samples("B03_folded_lines", lambda s: fg.folded(fg.roll_up(s)), f"with {S}, {_NODES} select profile_id, array_to_string(p, ';') || ' ' || value as line from nodes where depth = 5")
 on_samples("G06_global_top", lambda s: fg.global_top(s, 50), f"with {S}, f as (select profile_id, stack[-1] as func, cast(sum(value) as bigint) as samples, count(distinct tid) as threads from samples where thread_name <> 'swapper/0' group by all), t as (select profile_id, cast(sum(value) as bigint) as total from samples where thread_name <> 'swapper/0' group by 1), r as (select *, cast(row_number() over (partition by profile_id order by samples desc, func) as integer) as rank from f) select profile_id, func, samples, samples / total * 100 as pct, threads, rank from r join t using (profile_id) where rank <= 50")
-on_samples("K07_collapse_filtered", lambda s: flat(fg.roll_up(fg.without_functions(s.withColumn("stack", F.transform("stack", lambda x: F.when(x == "BUILDING", "java.util.Building").otherwise(x))), ["jvm"]))).where("depth <= 3"), f"with {S}, k as (select profile_id, list_filter(stack, lambda x: x <> 'BUILDING') as stack, value from samples), nodes as (select profile_id, list_slice(stack, 1, i) as p, i as depth, cast(sum(value) as bigint) as value, cast(0 as bigint) as self from k, (select unnest(range(4)) as i) group by all) select {_NODE_ROWS} from nodes")
+on_samples("K07_collapse_filtered", lambda s: flat(fg.roll_up(fg.without_functions(s.withColumn("stack", F.transform("stack", lambda x: F.when(x == "BUILDING", "java.util.Building").otherwise(x))), ["jvm"]))), f"with {S}, k as (select profile_id, list_filter(stack, lambda x: x <> 'BUILDING') as stack, value from samples), nodes as (select profile_id, list_slice(stack, 1, i) as p, i as depth, cast(sum(value) as bigint) as value, cast(sum(case when i = len(stack) then value else 0 end) as bigint) as self from k, (select unnest(range(6)) as i) where i <= len(stack) group by all) select {_NODE_ROWS} from nodes")
 on_samples("K11_one_thread", lambda s: flat(fg.roll_up(s.where("tid = 3"))), f"with {S.replace('samples as (', 'everything as (', 1)}, samples as (select * from everything where tid = 3), {_NODES} select {_NODE_ROWS} from nodes")
 
 # Call graphs
@@ -148,7 +148,7 @@ on_frames("F16_call_nodes", cg.nodes, f"with {W}, {_POINTS} select * from nodes"
 on_frames("F17_call_self", lambda f: cg.nodes(f).where("self_time > 0").select("profile_id", "node_id", "self_time", "self_pct"), f"with {W}, {_POINTS} select profile_id, node_id, self_time, self_pct from nodes where self_time > 0")
 on_frames("F18_call_edges", cg.edges, f"with {W}, {_EDGES} select * from edges")
 on_frames("F19_call_degrees", lambda f: cg.degrees(cg.edges(f)), f"with {W}, {_EDGES}, b as (select profile_id, source as node_id, 0 as i, 1 as o from links union all select profile_id, target, 1, 0 from links) select profile_id, node_id, cast(sum(i) as bigint) as caller_count, cast(sum(o) as bigint) as callee_count from b group by all")
-on_samples("F20_recursion", lambda s: cg.recursive_functions(cg.frames(cg.busy(s.withColumn("stack", F.concat("stack", F.array(F.get("stack", F.lit(2))))).where("tid < 3")))), f"with {S} select distinct profile_id, stack[3] as node_id from samples where tid < 3 and thread_name <> 'swapper/0'")
+on_samples("F20_recursion", lambda s: cg.recursive_functions(cg.frames(cg.busy(s.withColumn("stack", F.concat("stack", F.array(F.get("stack", F.lit(2)))))))), f"with {S} select distinct profile_id, stack[3] as node_id from samples where thread_name <> 'swapper/0'")
 on_samples("F21_hot_paths", lambda s: cg.hot_paths(cg.busy(s), 20), f"with {W}, f as (select profile_id, array_to_string(stack, ';') as path, cast(5 as integer) as depth, cast(sum(value) as bigint) as samples from whole group by all), r as (select *, cast(row_number() over (partition by profile_id order by samples desc, path) as integer) as rank from f) select profile_id, path, depth, samples, samples / total * 100 as pct, rank from r join alls using (profile_id) where rank <= 20")
 on_frames("F22_modules", cg.modules, f"with {W} select profile_id, case when module = '' then '[unknown]' else module end as module, cast(sum(value) as bigint) as total_time, cast(sum(case when is_leaf then value else 0 end) as bigint) as self_time, count(distinct name) as functions from frames group by 1, 2")
 on_frames("F22_module_functions", cg.module_functions, f"with {W}, m as (select profile_id, case when module = '' then '[unknown]' else module end as module, name, cast(sum(value) as bigint) as total_time from frames group by 1, 2, 3) select * from (select *, cast(row_number() over (partition by profile_id, module order by total_time desc, name) as integer) as rank from m) where rank <= 5")
@@ -160,8 +160,7 @@ on_frames("G07_top_by_self", lambda f: cg.top_nodes(cg.nodes(f), "self_time", 20
 on_frames("G07_top_by_total", lambda f: cg.top_nodes(cg.nodes(f), "total_time", 20).select("profile_id", "node_id", "total_time", "rank"), f"with {W}, {_POINTS} select * from (select profile_id, node_id, total_time, cast(row_number() over (partition by profile_id order by total_time desc, node_id) as integer) as rank from nodes) where rank <= 20")
 on_frames("G07_callers", lambda f: cg.neighbours(cg.top_nodes(cg.nodes(f), "self_time", 20), cg.edges(f), "target", 3), f"with {W}, {_POINTS}, {_EDGES}, best as (select profile_id, node_id from (select *, row_number() over (partition by profile_id order by self_time desc, node_id) as r from nodes) where r <= 20), c as (select e.profile_id, e.target as node_id, e.source as neighbour, e.count from links e join best b on e.profile_id = b.profile_id and e.target = b.node_id), t as (select profile_id, node_id, cast(sum(count) as bigint) as total from c group by all), r as (select *, cast(row_number() over (partition by profile_id, node_id order by count desc, neighbour) as integer) as rank from c) select r.profile_id, r.node_id, neighbour, count, count / total * 100 as pct, rank from r join t on r.profile_id = t.profile_id and r.node_id = t.node_id where rank <= 3")
 on_frames("G09_thread_graphs", lambda f: cg.thread_graphs(f, 4).select("profile_id", "tid", "source", "target", "count"), f"with {W}, t as (select profile_id, tid, cast(sum(value) as bigint) as total, row_number() over (partition by profile_id order by sum(value) desc, tid) as r from whole group by profile_id, tid) select f.profile_id, f.tid, caller as source, node_id as target, cast(sum(value) as bigint) as count from frames f join t on f.profile_id = t.profile_id and f.tid = t.tid where caller is not null and r <= 4 group by all")
-on_frames("K08_callees_of", lambda f: cg.edges(f).where("source = 'ASIA'").select("profile_id", "target", "count"), f"with {W}, {_EDGES} select profile_id, target, count from links where source = 'ASIA'")
-on_frames("K09_caller_chains", lambda f: cg.caller_chains(cg.edges(f), cg.nodes(f).where("node_id like '%BRASS(Brand#1%'").select("node_id")), f"with recursive {W}, e as (select distinct caller as source, node_id as target from frames where caller is not null), seen as (select distinct node_id, 0 as depth from frames where node_id like '%BRASS(Brand#1%' union select e.source, depth + 1 from seen join e on e.target = seen.node_id) select node_id, cast(min(depth) as integer) as depth from seen group by 1")
+on_frames("K09_caller_chains", lambda f: cg.caller_chains(cg.edges(f), cg.nodes(f).where("node_id like 'ECONOMY(Brand#1%'").select("node_id")), f"with recursive {W}, e as (select distinct caller as source, node_id as target from frames where caller is not null), seen as (select distinct node_id, 0 as depth from frames where node_id like 'ECONOMY(Brand#1%' union select e.source, depth + 1 from seen join e on e.target = seen.node_id) select node_id, cast(min(depth) as integer) as depth from seen group by 1")
 on_frames("K10_bridges", lambda f: cg.bridges(cg.edges(f), f.where("pos = 2").select("node_id").distinct()), f"with {W}, e as (select distinct caller as source, node_id as target, pos from frames where caller is not null) select distinct a.source, b.target from e a join e b on a.target = b.source where a.pos = 2 and b.pos = 3")
 on_frames("B05_xdot_edges", lambda f: cg.xdot(cg.nodes(f).where("total_pct >= 3"), cg.edges(f))[1].select("profile_id", "source_ordinal", "target_ordinal", "count"), f"with {W}, {_POINTS}, {_EDGES}, o as (select profile_id, node_id, cast(row_number() over (partition by profile_id order by node_id) - 1 as integer) as ordinal from nodes where total_pct >= 3) select e.profile_id, a.ordinal as source_ordinal, b.ordinal as target_ordinal, e.count from links e join o a on e.profile_id = a.profile_id and e.source = a.node_id join o b on e.profile_id = b.profile_id and e.target = b.node_id")
-on_frames("B06_dot_lines", lambda f: cg.dot_lines(cg.nodes(f).where("total_pct >= 5 and profile_id = 'p0'"), cg.edges(f).where("false")).groupBy("ord").agg(F.count("*").alias("lines")), f"with {W}, {_POINTS} select 0 as ord, cast(1 as bigint) as lines union all select 1, count(*) from nodes where total_pct >= 5 and profile_id = 'p0' union all select 3, 1")
+on_frames("B06_dot_lines", lambda f: cg.dot_lines(*(x.where("profile_id = 'p0'") for x in cg.prune(cg.nodes(f), cg.edges(f), 3.0, 0.5))).groupBy("ord").agg(F.count("*").alias("lines")), f"with {W}, {_POINTS}, {_EDGES}, n as (select * from nodes where total_pct >= 3.0 and profile_id = 'p0') select 0 as ord, cast(1 as bigint) as lines union all select 1, count(*) from n union all select 2, count(*) from edges where profile_id = 'p0' and weight >= 0.5 and source in (select node_id from n) and target in (select node_id from n) union all select 3, 1")

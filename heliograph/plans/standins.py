@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -162,3 +166,125 @@ TASKS = """tasks as (
            cast(o_orderkey % 4 as integer) as analysis_status, cast(o_orderkey % 300 as integer) as duration, 'm' || o_custkey as master_tid
     from orders
 )"""
+
+
+#: Kinds of stand-in profiles: sample types, and their values by count n and sum v.
+PROFILE_KINDS = {
+    "cpu": [("samples", "count", "n"), ("cpu", "nanoseconds", "v * 1000")],
+    "heap": [("alloc_objects", "count", "n"), ("alloc_space", "bytes", "v * 2"), ("inuse_objects", "count", "n"), ("inuse_space", "bytes", "v")],
+    "goroutine": [("goroutine", "count", "n")],
+    "block": [("contentions", "count", "n"), ("delay", "nanoseconds", "v")],
+    "mutex": [("contentions", "count", "n"), ("delay", "nanoseconds", "v")],
+}
+
+
+def profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sampled profiles written as files and read back: of each kind one of the even events and one of the odd, a minute apart."""
+    from ..sources import pprof
+    from .storage import shared_dir
+
+    half = F.col("event_id") % 2
+    stack = F.array(F.lit("main"), F.concat(F.lit("app."), "event_type"), F.concat(F.lit("work"), (F.col("user_id") % 5).cast("string")))
+    by = table(spark, sf_dir, "events").groupBy(half.alias("half"), stack.alias("stack")).agg(F.count("*").alias("n"), F.sum(F.floor("value")).cast("bigint").alias("v"))
+    rows = None
+    for kind, types in PROFILE_KINDS.items():
+        one = by.select(
+            F.lit(kind).alias("folder"), F.concat(F.lit(f"{kind}_20240101_000"), "half", F.lit("00")).alias("profile_id"),
+            F.array(*(F.struct(F.lit(t).alias("type"), F.lit(u).alias("unit")) for t, u, _ in types)).alias("sample_types"), "stack", F.array(*(F.expr(v).cast("bigint") for _, _, v in types)).alias("values"),
+        )
+        rows = one if rows is None else rows.unionByName(one)
+    path = f"{shared_dir(spark)}/profiles-{uuid.uuid4().hex}"
+    pprof.write(rows, path).count()
+    return pprof.read(spark, path)
+
+
+PROFILES = """stacks as (
+    select event_id % 2 as half, ['main', 'app.' || event_type, 'work' || (user_id % 5)] as stack, count(*) as n, cast(sum(floor(value)) as bigint) as v from events group by all
+)"""
+
+
+#: Ids of the stand-in dump's classes, and from which its objects' ids count.
+DUMP_CLASSES = {"java/lang/Class": 1, "[Ljava/lang/Object;": 2, "com/shop/Region": 3, "com/shop/Nation": 4, "com/shop/Supplier": 5}
+DUMP_IDS = {"region": 1_000, "nation": 2_000, "nations": 3_000, "suppliers": 4_000, "supplier": 1_000_000, "name": 500_000_000}
+
+
+def dump(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """Regions, nations and suppliers as a heap dump, written and read back."""
+    from ..sources import hprof
+
+    return hprof.read(spark, dump_file(spark, sf_dir))
+
+
+def dump_file(spark: SparkSession, sf_dir: str) -> str:
+    """The dump's path: it is one file, so one task writes it."""
+    from .storage import shared_dir
+
+    t = lambda name: table(spark, sf_dir, name)
+    owned = t("supplier").groupBy(F.col("s_nationkey").alias("n_nationkey")).agg(F.array_sort(F.collect_list(F.struct("s_suppkey", "s_name"))).alias("suppliers"))
+    rows = t("nation").join(owned, "n_nationkey", "left").select("n_nationkey", "n_regionkey", F.coalesce("suppliers", F.array().cast("array<struct<s_suppkey:bigint,s_name:string>>")).alias("suppliers"))
+    path = f"{shared_dir(spark)}/dump-{uuid.uuid4().hex}/shop.hprof"
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import pyarrow.fs as pafs
+
+        nations = [r for batch in batches for r in batch.to_pylist()]
+        if nations:
+            fs, at = pafs.FileSystem.from_uri(path)
+            fs.create_dir(at.rsplit("/", 1)[0], recursive=True)
+            with fs.open_output_stream(at, compression=None) as out:
+                for part in dump_bytes(sorted(nations, key=lambda r: r["n_nationkey"])):
+                    out.write(part)
+        yield pa.RecordBatch.from_arrays([pa.array([len(nations)], pa.int64())], ["nations"])
+
+    rows.coalesce(1).mapInArrow(write, "nations long").collect()
+    return path
+
+
+def dump_bytes(nations: list[dict]) -> Iterator[bytes]:
+    """A heap dump of nations with their suppliers: header, strings, classes, and a heap segment a nation."""
+    u1, u2, u4, u8 = (lambda x, n=n: x.to_bytes(n, "big") for n in (1, 2, 4, 8))
+    record = lambda tag, body: u1(tag) + u4(0) + u4(len(body)) + body
+    at = DUMP_IDS
+    names = [*DUMP_CLASSES, "nations", "region", "suppliers", "key", "nation", "name", "balance"]
+    text = {n: i for i, n in enumerate(names, 1)}
+    yield b"JAVA PROFILE 1.0.2\0" + u4(8) + u8(1_700_000_000_000)
+    yield b"".join(record(0x01, u8(i) + n.encode()) for n, i in text.items())
+    yield b"".join(record(0x02, u4(1) + u8(100 + i) + u4(0) + u8(text[n])) for n, i in DUMP_CLASSES.items())
+    layouts = {1: (0, []), 2: (0, []), 3: (8, [("nations", 2)]), 4: (20, [("region", 2), ("suppliers", 2), ("key", 10)]), 5: (24, [("nation", 2), ("name", 2), ("balance", 11)])}
+    head = b"".join(b"\x20" + u8(100 + c) + u4(0) + u8(0) * 6 + u4(size) + u2(0) + u2(0) + u2(len(fields)) + b"".join(u8(text[f]) + u1(t) for f, t in fields) for c, (size, fields) in layouts.items())
+    instance = lambda obj, cls, data: b"\x21" + u8(obj) + u4(0) + u8(100 + cls) + u4(len(data)) + data
+    array = lambda obj, ids: b"\x22" + u8(obj) + u4(0) + u4(len(ids)) + u8(102) + b"".join(map(u8, ids))
+    regions = sorted({n["n_regionkey"] for n in nations})
+    for r in regions:
+        mine = [at["nation"] + n["n_nationkey"] for n in nations if n["n_regionkey"] == r]
+        head += b"\x01" + u8(at["region"] + r) + u8(9) + instance(at["region"] + r, 3, u8(at["nations"] + r)) + array(at["nations"] + r, mine)
+    yield record(0x1C, head)
+    for n in nations:
+        k, some = n["n_nationkey"], n["suppliers"]
+        body = instance(at["nation"] + k, 4, u8(at["region"] + n["n_regionkey"]) + u8(at["suppliers"] + k) + u4(k)) + array(at["suppliers"] + k, [at["supplier"] + s["s_suppkey"] for s in some])
+        for s in some:
+            raw = s["s_name"].encode()
+            body += instance(at["supplier"] + s["s_suppkey"], 5, u8(at["nation"] + k) + u8(at["name"] + s["s_suppkey"]) + u8(7))
+            body += b"\x23" + u8(at["name"] + s["s_suppkey"]) + u4(0) + u4(len(raw)) + u1(8) + raw
+        yield record(0x1C, body)
+    yield record(0x07, u4(123) + u4(45) + u8(678) + u8(90)) + record(0x2C, b"")
+
+
+_D = DUMP_IDS
+DUMP = f"""objects as (
+    select {_D["region"]} + r_regionkey as obj_id, 'com.shop.Region' as class_name, cast(24 as bigint) as shallow from region where r_regionkey in (select n_regionkey from nation)
+    union all select {_D["nations"]} + n_regionkey, 'java.lang.Object[]', cast((16 + count(*) * 8 + 7) // 8 * 8 as bigint) from nation group by n_regionkey
+    union all select {_D["nation"]} + n_nationkey, 'com.shop.Nation', cast(32 as bigint) from nation
+    union all select {_D["suppliers"]} + s_nationkey, 'java.lang.Object[]', cast((16 + count(*) * 8 + 7) // 8 * 8 as bigint) from supplier where s_nationkey in (select n_nationkey from nation) group by s_nationkey
+    union all select {_D["supplier"]} + s_suppkey, 'com.shop.Supplier', cast(40 as bigint) from supplier where s_nationkey in (select n_nationkey from nation)
+    union all select {_D["name"]} + s_suppkey, 'byte[]', cast((16 + strlen(s_name) + 7) // 8 * 8 as bigint) from supplier where s_nationkey in (select n_nationkey from nation)
+    union all select 100 + c, 'java.lang.Class', cast(96 as bigint) from (select unnest(range(1, 6)) as c)
+), refs as (
+    select {_D["region"]} + n_regionkey as from_id, {_D["nations"]} + n_regionkey as to_id, 'nations' as field from nation group by n_regionkey
+    union all select {_D["nations"]} + n_regionkey, {_D["nation"]} + n_nationkey, '[' || (row_number() over (partition by n_regionkey order by n_nationkey) - 1) || ']' from nation
+    union all select {_D["nation"]} + n_nationkey, {_D["region"]} + n_regionkey, 'region' from nation
+    union all select {_D["nation"]} + n_nationkey, {_D["suppliers"]} + n_nationkey, 'suppliers' from nation
+    union all select {_D["suppliers"]} + s_nationkey, {_D["supplier"]} + s_suppkey, '[' || (row_number() over (partition by s_nationkey order by s_suppkey) - 1) || ']' from supplier where s_nationkey in (select n_nationkey from nation)
+    union all select {_D["supplier"]} + s_suppkey, {_D["nation"]} + s_nationkey, 'nation' from supplier where s_nationkey in (select n_nationkey from nation)
+    union all select {_D["supplier"]} + s_suppkey, {_D["name"]} + s_suppkey, 'name' from supplier where s_nationkey in (select n_nationkey from nation)
+)"""

@@ -1,7 +1,8 @@
 """JVM heap dumps as tables: an index of the file's records first, then a task for each heap segment.
 
 Records of strings and classes and the places of heap segments come from a pass over record headers, which skips the
-segments. Segments are then decoded by many tasks, each reading its own range of the file. Instance references are
+segments' bodies. Segments, the long ones in parts, are then decoded by many tasks, each reading its own range of the
+file as a stream. Instance references are
 taken from the raw field bytes by a join to the class layouts, so it doesn't matter which comes first in a dump.
 """
 
@@ -37,15 +38,43 @@ def _signed(x: int) -> int:
 
 
 class _Bytes:
-    def __init__(self, raw: bytes, id_size: int) -> None:
-        self.raw, self.at, self.id_size = raw, 0, id_size
+    """The bytes of a file from a place on, read as they are taken."""
+
+    WINDOW = 1 << 20
+
+    def __init__(self, file, at: int, length: int, id_size: int) -> None:
+        self.file, self.end, self.id_size = file, at + length, id_size
+        self.raw, self.at, self.read_to = b"", 0, at
+        file.seek(at)
+
+    def place(self) -> int:
+        return self.read_to - len(self.raw) + self.at
+
+    def more(self) -> bool:
+        return self.place() < self.end
 
     def take(self, n: int) -> bytes:
-        out = self.raw[self.at : self.at + n]
-        if len(out) < n:
-            raise EOFError
+        if self.at + n > len(self.raw):
+            if self.place() + n > self.end:
+                raise EOFError
+            rest = self.raw[self.at :]
+            new = self.file.read(min(max(n - len(rest), self.WINDOW), self.end - self.read_to))
+            self.read_to += len(new)
+            self.raw, self.at = rest + new, 0
+            if len(self.raw) < n:
+                raise EOFError
         self.at += n
-        return out
+        return self.raw[self.at - n : self.at]
+
+    def skip(self, n: int) -> None:
+        if self.at + n <= len(self.raw):
+            self.at += n
+            return
+        to = self.place() + n
+        if to > self.end:
+            raise EOFError
+        self.raw, self.at, self.read_to = b"", 0, to
+        self.file.seek(to)
 
     def uint(self, n: int) -> int:
         return int.from_bytes(self.take(n), "big")
@@ -54,6 +83,65 @@ class _Bytes:
         return _signed(self.uint(self.id_size))
 
 
+#: Bytes of a heap segment that one task decodes, about; longer segments are split between records.
+PART_BYTES = 64 << 20
+
+
+def pass_over(b: _Bytes) -> bool:
+    """Skip one record of a heap segment; False, at its tag, where the tag is unknown."""
+    ident, start = b.id_size, b.place()
+    tag = b.uint(1)
+    width = lambda t: ident if t == 2 else TYPE_WIDTHS[t]
+    if tag in ROOTS:
+        b.skip(ident + sum(ident if n == "id" else n for n in ROOTS[tag][1]))
+    elif tag == 0x20:
+        b.skip(7 * ident + 8)
+        for _ in range(b.uint(2)):
+            b.skip(2)
+            b.skip(width(b.uint(1)))
+        for _ in range(b.uint(2)):
+            b.skip(ident)
+            b.skip(width(b.uint(1)))
+        b.skip(b.uint(2) * (ident + 1))
+    elif tag == 0x21:
+        b.skip(2 * ident + 4)
+        b.skip(b.uint(4))
+    elif tag == 0x22:
+        b.skip(ident + 4)
+        n = b.uint(4)
+        b.skip(ident + n * ident)
+    elif tag in (0x23, 0xC3):
+        b.skip(ident + 4)
+        n, kind = b.uint(4), b.uint(1)
+        b.skip(n * width(kind) if tag == 0x23 else 0)
+    elif tag == 0xFE:
+        b.skip(4 + ident)
+    elif tag != 0:
+        b.skip(start - b.place())
+        return False
+    return True
+
+
+def parts_of(file, at: int, length: int, id_size: int) -> Iterator[tuple[int, int]]:
+    """Place and length of parts of a heap segment that begin and end with records, of about PART_BYTES each.
+
+    Bodies are skipped, so the pass reads heads of records only. What follows an unknown tag is one part.
+    """
+    if length <= PART_BYTES:
+        yield at, length
+        return
+    b, first = _Bytes(file, at, length, id_size), at
+    try:
+        while b.more() and pass_over(b):
+            if b.place() - first >= PART_BYTES:
+                yield first, b.place() - first
+                first = b.place()
+    except (EOFError, KeyError):
+        pass
+    if first < at + length:
+        yield first, at + length - first
+
+
 def index(spark: SparkSession, path: str) -> DataFrame:
     """INDEX rows of the dumps under path: kind is string, class, segment or summary."""
     files = spark.read.format("binaryFile").load(path).select("path")
@@ -75,16 +163,17 @@ def index(spark: SparkSession, path: str) -> DataFrame:
                         tag, _, length = struct.unpack(">BII", file.read(9))
                         place = file.tell()
                         if tag == 0x01:
-                            b = _Bytes(file.read(length), id_size)
-                            rows.append((name, id_size, taken, "string", b.id(), None, b.raw[id_size:].decode("utf-8", "replace"), place, length))
+                            b = _Bytes(file, place, length, id_size)
+                            rows.append((name, id_size, taken, "string", b.id(), None, b.take(length - id_size).decode("utf-8", "replace"), place, length))
                         elif tag == 0x02:
-                            b = _Bytes(file.read(length), id_size)
+                            b = _Bytes(file, place, length, id_size)
                             b.take(4)
                             cls = b.id()
                             b.take(4)
                             rows.append((name, id_size, taken, "class", cls, b.id(), None, place, length))
                         elif tag in (0x0C, 0x1C):
-                            rows.append((name, id_size, taken, "segment", None, None, None, place, length))
+                            for first, size in parts_of(file, place, length, id_size):
+                                rows.append((name, id_size, taken, "segment", None, None, None, first, size))
                         elif tag == 0x07:
                             live, instances = struct.unpack_from(">II", file.read(length))
                             rows.append((name, id_size, taken, "summary", live, instances, None, place, length))
@@ -98,12 +187,16 @@ def index(spark: SparkSession, path: str) -> DataFrame:
     return files.mapInArrow(run, INDEX)
 
 
-def sub_records(raw: bytes, id_size: int) -> Iterator[tuple]:
-    """RECORD tuples of a segment; an unknown tag ends it."""
-    b = _Bytes(raw, id_size)
+def sub_records(b: _Bytes) -> Iterator[tuple]:
+    """RECORD tuples of a part of a segment. An unknown tag, or a record cut short, ends it, and gives a row itself.
+
+    That row is of kind `unknown` or `cut`, with the tag as id and how many bytes are left as n.
+    """
+    id_size, left = b.id_size, b.end - b.place()
     width = lambda t: id_size if t == 2 else TYPE_WIDTHS[t]
     try:
-        while b.at < len(raw):
+        while b.more():
+            left = b.end - b.place()
             tag = b.uint(1)
             if tag in ROOTS:
                 name, rest = ROOTS[tag]
@@ -157,9 +250,10 @@ def sub_records(raw: bytes, id_size: int) -> Iterator[tuple]:
             elif tag == 0xFE:
                 b.take(4 + id_size)
             elif tag != 0:
+                yield "unknown", tag, None, left, None, None, None
                 return
     except EOFError:
-        return
+        yield "cut", tag, None, left, None, None, None
 
 
 def records(spark: SparkSession, found: DataFrame) -> DataFrame:
@@ -171,15 +265,13 @@ def records(spark: SparkSession, found: DataFrame) -> DataFrame:
         for batch in batches:
             for name, id_size, at, length in zip(*(batch.column(c).to_pylist() for c in ("path", "id_size", "offset", "length")), strict=True):
                 fs, place = pafs.FileSystem.from_uri(name)
-                with fs.open_input_file(place) as file:
-                    file.seek(at)
-                    raw = file.read(length)
                 rows: list[tuple] = []
-                for row in sub_records(raw, id_size):
-                    rows.append(row)
-                    if len(rows) == 10_000:
-                        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
-                        rows = []
+                with fs.open_input_file(place) as file:
+                    for row in sub_records(_Bytes(file, at, length, id_size)):
+                        rows.append(row)
+                        if len(rows) == 10_000:
+                            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+                            rows = []
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
@@ -189,7 +281,10 @@ def records(spark: SparkSession, found: DataFrame) -> DataFrame:
 
 
 def read(spark: SparkSession, path: str, compressed: bool = True) -> dict[str, DataFrame]:
-    """Tables of one dump: objects (obj_id, class_id, class_name, shallow, kind), classes, class_fields, refs, roots, class_objects, summary."""
+    """Tables of one dump: header, strings, objects (obj_id, class_id, class_name, shallow, kind), classes, class_fields, refs, roots, class_objects, summary.
+
+    `undecoded` has a row (kind, tag, bytes) for every stretch of a heap segment that an unknown tag or a cut record hid.
+    """
     header, reference, array_header = LAYOUT[compressed]
     found = stored(index(spark, path), "hprof-index")
     rows = stored(records(spark, found), "hprof-records")
@@ -217,6 +312,9 @@ def read(spark: SparkSession, path: str, compressed: bool = True) -> dict[str, D
     field_refs = rows.where("kind = 'instance'").select(F.col("id").alias("from_id"), "class_id", "data").join(offsets, "class_id").select("from_id", big_endian("data", (F.col("offset") + 1).cast("int")).alias("to_id"), F.col("name").alias("field"))
     refs = class_refs.unionByName(static_refs).unionByName(array_refs.where("to_id <> 0")).unionByName(field_refs.where("to_id <> 0"))
     return {
+        "header": found.select("id_size", "taken_ms").distinct(),
+        "strings": strings,
+        "undecoded": rows.where("kind in ('unknown', 'cut')").select("kind", F.col("id").alias("tag"), F.col("n").alias("bytes")),
         "objects": objects.select("obj_id", "class_id", "class_name", "shallow", "kind"),
         "classes": layouts.join(class_names, "class_id", "left").select("class_id", "name", "super_class_id", "instance_size", "static_fields"),
         "class_fields": fields,

@@ -113,6 +113,56 @@ def decode(raw: bytes) -> Iterator[tuple[list, list, list, int]]:
         yield kinds, values, [places.get(i, {"address": 0, "lines": []}) for i in ids], duration
 
 
+def _message(*parts: tuple[int, int | bytes]) -> bytes:
+    out = bytearray()
+    for number, value in parts:
+        out += _number(number << 3 | (0 if isinstance(value, int) else 2))
+        out += _number(value) if isinstance(value, int) else _number(len(value)) + value
+    return bytes(out)
+
+
+def _number(x: int) -> bytes:
+    out, x = bytearray(), x & (1 << 64) - 1
+    while x > 0x7F:
+        out.append(x & 0x7F | 0x80)
+        x >>= 7
+    out.append(x)
+    return bytes(out)
+
+
+def encode(types: list[tuple[str, str]], samples: list[tuple[list[str], list[int]]], duration: int = 0) -> bytes:
+    """A gzip profile of (stack from the root, values) samples; frames are functions without files."""
+    strings = {"": 0}
+    text = lambda s: strings.setdefault(s, len(strings))
+    kinds = [_message((1, text(t)), (2, text(u))) for t, u in types]
+    at: dict[str, int] = {}
+    rows = [_message((1, b"".join(_number(at.setdefault(f, len(at) + 1)) for f in reversed(stack))), (2, b"".join(map(_number, values)))) for stack, values in samples]
+    places = [_message((1, i), (4, _message((1, i)))) for i in at.values()]
+    functions = [_message((1, i), (2, text(f)), (3, text(f))) for f, i in at.items()]
+    parts = [(n, x) for n, some in ((1, kinds), (2, rows), (4, places), (5, functions), (6, [s.encode() for s in strings])) for x in some]
+    return gzip.compress(_message(*parts, (10, duration)), compresslevel=1, mtime=0)
+
+
+def write(samples: DataFrame, path: str) -> DataFrame:
+    """Write (folder, profile_id, sample_types, stack, values) as a file a profile under path/folder; folder, profile_id, samples.
+
+    Equal stacks should be one row. The result has to be read for the files to be there.
+    """
+
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        import pyarrow.fs as pafs
+
+        folder, name = (k.as_py() for k in key)
+        rows = table.select(["sample_types", "stack", "values"]).to_pylist()
+        fs, base = pafs.FileSystem.from_uri(path)
+        fs.create_dir(f"{base}/{folder}", recursive=True)
+        with fs.open_output_stream(f"{base}/{folder}/{name}.pprof", compression=None) as out:
+            out.write(encode([(t["type"], t["unit"]) for t in rows[0]["sample_types"]], [(r["stack"], r["values"]) for r in sorted(rows, key=lambda r: r["stack"])]))
+        return pa.table([[folder], [name], pa.array([len(rows)], pa.int64())], ["folder", "profile_id", "samples"])
+
+    return samples.select("folder", "profile_id", "sample_types", "stack", "values").groupBy("folder", "profile_id").applyInArrow(run, "folder string, profile_id string, samples long")
+
+
 def read(spark: SparkSession, path: str) -> DataFrame:
     """pprof_samples of all `.pprof` and `.pb.gz` files below path: profile_id, profile_type, captured_at and SCHEMA's columns.
 

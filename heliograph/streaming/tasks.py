@@ -1,17 +1,16 @@
-"""The analysis queue: pending tasks, admission by priority, status, roll-up to master tasks, and a streaming intake."""
+"""The analysis queue: pending tasks, admission by priority, status, roll-up to master tasks; see intake for its streams."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
 from ..functions.values import is_high_priority
 
 COMPLETED, PENDING = 2, 0
-TASK_SCHEMA = "id long, tid string, type int, status int, analysis_status int, duration int, master_tid string"
 
 
 def pending(tasks: DataFrame, n: int = 10) -> DataFrame:
@@ -20,8 +19,11 @@ def pending(tasks: DataFrame, n: int = 10) -> DataFrame:
 
 
 def admit(batch: DataFrame, workers: int = 5, reserved: int = 2) -> DataFrame:
-    """The batch's tasks that find a worker: short ones any free one, others none of the reserved. batch is a bounded poll."""
-    rows = batch.withColumn("high", is_high_priority("duration"))
+    """The batch's tasks that find a worker: short ones any free one, others none of the reserved.
+
+    Only as many tasks as there are workers are ranked: each Spark task keeps its first ones.
+    """
+    rows = batch.withColumn("high", is_high_priority("duration")).orderBy(F.desc("high"), F.desc("id")).limit(workers)
     rows = rows.withColumn("slot", F.row_number().over(Window.orderBy(F.desc("high"), F.desc("id"))))
     return rows.where(F.col("slot") <= F.when(F.col("high"), workers).otherwise(workers - reserved))
 
@@ -37,6 +39,21 @@ def master_status(tasks: DataFrame) -> DataFrame:
     return tasks.groupBy("master_tid").agg(F.count("*").alias("sub_tasks"), (open_ == 0).alias("complete"))
 
 
+def with_suggestions(masters: DataFrame, tasks: DataFrame, suggestions: DataFrame) -> DataFrame:
+    """masters (master_tid, groups) with a group of suggestions for each analysed sub-task that has any, and `complete`.
+
+    groups is array<struct<tid, items array<struct<func, suggestion>>>>, ordered by tid; a sub-task's new group takes
+    its old one's place. suggestions is (tid, func, suggestion); empty ones are left out.
+    """
+    said = suggestions.where(F.trim(F.coalesce("suggestion", F.lit(""))) != "").groupBy("tid").agg(F.array_sort(F.collect_list(F.struct("func", "suggestion"))).alias("items"))
+    new = tasks.where(F.col("analysis_status") == COMPLETED).select("master_tid", "tid").join(said, "tid").select("master_tid", F.struct("tid", "items").alias("g"), F.lit(1).alias("order"))
+    old = masters.select("master_tid", F.explode("groups").alias("g"), F.lit(0).alias("order"))
+    last = old.unionByName(new).groupBy("master_tid", F.col("g.tid").alias("tid")).agg(F.max_by("g", "order").alias("g"))
+    groups = last.groupBy("master_tid").agg(F.array_sort(F.collect_list("g")).alias("__groups"))
+    rows = masters.join(groups, "master_tid", "left").join(master_status(tasks).select("master_tid", F.col("complete").alias("__complete")), "master_tid", "left")
+    return rows.withColumn("groups", F.coalesce("__groups", "groups")).withColumn("complete", F.coalesce("__complete", F.lit(False))).drop("__groups", "__complete")
+
+
 def with_status(tasks: DataFrame, updates: DataFrame) -> DataFrame:
     """tasks with the latest of updates (tid, analysis_status, seq); raises if an update names no task."""
     last = updates.groupBy("tid").agg(F.max_by("analysis_status", "seq").alias("__new"))
@@ -46,27 +63,21 @@ def with_status(tasks: DataFrame, updates: DataFrame) -> DataFrame:
     return tasks.join(last, "tid", "left").withColumn("analysis_status", F.coalesce("__new", "analysis_status")).drop("__new")
 
 
-def intake(spark: SparkSession, paths: list[str], per_trigger: int = 100) -> DataFrame:
-    """A stream of the tasks that land as JSON in any of the folders, each with the folder it came from."""
-    out = None
-    for path in paths:
-        rows = spark.readStream.schema(TASK_SCHEMA).option("maxFilesPerTrigger", per_trigger).json(path).withColumn("source", F.lit(path))
-        out = rows if out is None else out.unionByName(rows)
-    return out
-
-
 def process(stream: DataFrame, handle: Callable[[DataFrame, int], None], checkpoint: str, workers: int = 5, reserved: int = 2, waiting: str | None = None) -> DataStreamWriter:
-    """A writer that hands each micro-batch's admitted tasks to handle(); the rest go to the folder `waiting`.
+    """A writer that hands each micro-batch's admitted tasks to handle(); pending ones that find no worker go to `waiting`.
 
-    A folder of waiting tasks that is also an intake offers them again, so none stays behind. Spark repeats a batch
-    after a failure: handle has to be idempotent by batch number.
+    A folder of waiting tasks that is also an intake offers them again, so none stays behind. Tasks that aren't
+    pending, as they failed or were analysed before, are done with. Spark repeats a batch after a failure: handle has
+    to be idempotent by batch number.
     """
 
     def each(batch: DataFrame, number: int) -> None:
-        admitted = admit(batch.where((F.col("status") == COMPLETED) & (F.col("analysis_status") == PENDING)), workers, reserved)
+        ready = batch.where((F.col("status") == COMPLETED) & (F.col("analysis_status") == PENDING))
+        admitted = admit(ready, workers, reserved)
         handle(admitted, number)
         if waiting:
-            rest = batch.join(admitted.select("id"), "id", "left_anti").drop("source")
-            rest.write.mode("overwrite").json(f"{waiting}/batch-{number}")
+            rest = ready.join(admitted.select("id"), "id", "left_anti").drop("source")
+            if not rest.isEmpty():
+                rest.write.mode("overwrite").json(f"{waiting}/batch-{number}")
 
     return stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)
