@@ -29,8 +29,8 @@ def on_profiles(name: str, operator, sql: str) -> None:
     register(name, sql)(lambda spark, d: operator(st.profiles(spark, d)))
 
 
-_FUNCTIONS = F.transform(F.flatten(F.transform("locations", lambda x: x["lines"])), lambda x: x["func"])
-on_profiles("A05_profile_samples", lambda p: p.select("profile_id", "profile_type", F.concat_ws(";", F.reverse(_FUNCTIONS)).alias("stack"), F.concat_ws(",", F.col("values").cast("array<string>")).alias("vals")), of_kinds("select {name} as profile_id, '{kind}' as profile_type, array_to_string(stack, ';') as stack, {values} as vals from stacks"))
+_functions = lambda: F.transform(F.flatten(F.transform("locations", lambda x: x["lines"])), lambda x: x["func"])
+on_profiles("A05_profile_samples", lambda p: p.select("profile_id", "profile_type", F.concat_ws(";", F.reverse(_functions())).alias("stack"), F.concat_ws(",", F.col("values").cast("array<string>")).alias("vals")), of_kinds("select {name} as profile_id, '{kind}' as profile_type, array_to_string(stack, ';') as stack, {values} as vals from stacks"))
 on_profiles("A06_A07_profile_files", lambda p: p.groupBy("profile_id", "profile_type").agg(F.date_format(F.min("captured_at"), "yyyy-MM-dd HH:mm:ss").alias("captured_at"), F.count("*").alias("samples")), of_kinds("select {name} as profile_id, '{kind}' as profile_type, '2024-01-01 00:0' || half || ':00' as captured_at, count(*) as samples from stacks group by half"))
 on_profiles("A06_latest", lambda p: pprof.latest(p).groupBy("profile_type", "profile_id").agg(F.count("*").alias("samples")), of_kinds("select {name} as profile_id, '{kind}' as profile_type, count(*) as samples from stacks where half = 1 group by half"))
 on_profiles("C14_detected_kind", lambda p: p.select("profile_type", pprof.detect_kind(F.col("sample_types.type")).alias("detected")).distinct(), "select unnest(['cpu', 'heap', 'goroutine', 'block', 'mutex']) as profile_type, unnest(['cpu', 'heap', 'goroutine', 'block', 'block']) as detected")
