@@ -14,8 +14,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 SCALE = 1024
-#: Vectors of a shard, and queries of a block: a tile holds SHARD x BLOCK scores.
-SHARD, BLOCK = 4096, 1024
+#: Vectors of a shard, and queries of a block: a tile holds SHARD x BLOCK scores, a task 256 queries of them at once.
+SHARD, BLOCK = 8192, 4096
 #: Lists that one merge takes together.
 FAN_IN = 16
 
@@ -27,8 +27,10 @@ def usable(vectors: DataFrame, column: str = "embedding", vec_id: str = "vec_id"
     return vectors.select(F.col(vec_id).cast("long").alias("vec_id"), v.alias("vector")).where(F.col("vec_id").isNotNull() & F.col("vector").isNotNull() & ~bad)
 
 
-def tiles(queries: DataFrame, vectors: DataFrame, shard: int, block: int) -> DataFrame:
-    """vec_id, vector, and tile (s, b) and whether the row is a query there: each shard meets each block of queries.
+def tiles(queries: DataFrame, vectors: DataFrame, shard: int, block: int) -> tuple[DataFrame, int, int]:
+    """vec_id, vector, and tile (s, b) and whether the row is a query there; how many shards and blocks.
+
+    Each shard meets each block of queries.
 
     Shards and blocks are dealt by hash of the id, so no tile depends on where rows lie or what they hold.
     """
@@ -38,7 +40,7 @@ def tiles(queries: DataFrame, vectors: DataFrame, shard: int, block: int) -> Dat
     own = lambda n, salt: F.pmod(F.xxhash64("vec_id", F.lit(salt)), F.lit(n)).cast("int")
     stored_side = vectors.select("vec_id", "vector", own(shards, 1).alias("s"), F.explode(spread(blocks)).alias("b"), F.lit(False).alias("asks"))
     asking_side = queries.select("vec_id", "vector", F.explode(spread(shards)).alias("s"), own(blocks, 2).alias("b"), F.lit(True).alias("asks"))
-    return stored_side.unionByName(asking_side)
+    return stored_side.unionByName(asking_side), shards, blocks
 
 
 def tile_rows(batch: pa.Table) -> dict[bool, list[tuple[np.ndarray, np.ndarray]]]:
@@ -98,7 +100,8 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, scale: int = SCA
 
     A query never finds rows of its own id. Vectors that are null or hold null or non-finite components take no part;
     those of another width than the query's aren't compared with it. Fewer candidates than k give them all; ties go
-    to smaller ids; repeated ids are candidates each. Scores have to fit a long.
+    to smaller ids; repeated ids are candidates each, and queries of one id are ranked together. Empty tables give no
+    rows. Scores have to fit a long.
     """
     from .common import stored
 
@@ -117,5 +120,5 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, scale: int = SCA
         return pa.table([pa.array(columns[0], pa.int64()), pa.array(np.full(len(columns[0]), key[0].as_py()), pa.int32()), *(pa.array(c, pa.int64()) for c in columns[1:])], ["query_id", "s", "vec_id", "score"])
 
     base, asked = usable(vectors, column, vec_id), usable(queries, column, vec_id)
-    lists = tiles(asked, base, shard, block).groupBy("s", "b").applyInArrow(score, "query_id long, s int, vec_id long, score long")
+    lists = tiles(asked, base, shard, block)[0].groupBy("s", "b").applyInArrow(score, "query_id long, s int, vec_id long, score long")
     return merged(stored(lists, "tiles"), k)
