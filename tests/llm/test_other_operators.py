@@ -101,6 +101,37 @@ def test_projection_recall_where_the_stop_fires(spark, monkeypatch):
     assert ann_projection.FIRST_LEAVES * len(at) < Leaves.read < 0.75 * Leaves.all * len(at)
 
 
+def test_searches_of_repeated_ids_and_nothing(spark):
+    """op2 and op8: repeated ids are candidates each; queries of one id are ranked together; empty tables give nothing."""
+    x = np.random.default_rng(9).normal(size=(60, 8)).round(2)
+    rows = [(i, v.tolist(), 0, 0.0) for i, v in enumerate(x)] + [(20, x[20].tolist(), 0, 0.0)] * 30 + [(40, x[20].tolist(), 0, 0.0)] + [(7, x[7].tolist(), 0, 0.0)] * 5 + [(None, x[7].tolist(), 0, 0.0)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int, score double").repartition(3)
+    known = [r for r in rows if r[0] is not None]
+    queries = frame.where("vec_id in (0, 20)").dropDuplicates(["vec_id"])
+    for search, vector, k in ((ann_projection.search, lambda v: np.array(v), 4), (exact_topk.search, lambda v: np.floor(1024 * np.array(v)), 4)):
+        got = {}
+        for r in search(frame, queries, k, shard=16, block=1).orderBy("query_id", "rank").collect():
+            got.setdefault(r.query_id, []).append((r.vec_id, round(r.score, 6)))
+        for q in (0, 20):
+            best = sorted((-round(float(vector(v) @ vector(x[q].tolist())), 6), i) for i, v, _, _ in known if i != q)[:k]
+            assert got[q] == [(i, -s) for s, i in best]
+        assert got[20][0][0] == 40
+        both = search(frame, frame.where("vec_id = 20").limit(2), k).collect()
+        assert sorted(r["rank"] for r in both) == [1, 2, 3, 4] and {r.vec_id for r in both if r["rank"] <= 2} == {40}
+        assert search(frame.where("false"), frame.where("false"), k).count() == 0 and search(frame, frame.where("false"), k).count() == 0
+
+
+def test_projection_search_reads_little_of_clusters():
+    random = np.random.default_rng(1)
+    x = random.normal(size=(300, 64))[random.integers(300, size=30_000)] + 0.35 * random.normal(size=(30_000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    shard, hits = ann_projection.Shard(np.arange(len(x)), x, 20, ann_projection.M, ann_projection.LEAF), 0
+    for q in range(0, len(x), 300):
+        got, _ = shard.search(q, x[q], ann_projection.stop_ratio())
+        hits += len(set(got.tolist()) & {i for i, _ in nearest((x @ x[q]).tolist(), q, 20)})
+    assert hits >= 0.99 * 2000 and shard.verified < 0.3 * 100 * len(x)
+
+
 def test_chi_square():
     assert np.isclose(ann_projection.chi_square(7.344, 8), 0.5, atol=1e-3) and np.isclose(ann_projection.chi_square(ann_projection.stop_ratio(0.9, 8), 8), 0.9)
     with pytest.raises(ValueError, match="even"):
@@ -175,6 +206,16 @@ def test_snapshots_collapse(spark):
     assert chat_collapse.collapse(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
 
 
+def test_snapshots_of_repeated_rows_and_clashing_columns(spark):
+    """A turn logged twice is two turns; a long conversation is one text; other columns are left out."""
+    long = [(9, i, "user", f"t{i}" * 20) for i in range(3000)]
+    rows = [(1, 0, "user", "hi"), (1, 0, "user", "hi"), (2, 0, "user", "hi"), *long]
+    frame = spark.createDataFrame([(*r, 5, 6, "x") for r in rows], "conv_id long, turn long, role string, text string, n long, pos long, rendered string").repartition(3)
+    got = {r.conv_id: r for r in chat_collapse.collapse(frame).collect()}
+    assert set(got) == {1, 9} and (got[1].n_turns, got[9].n_turns) == (2, 3000)
+    assert got[9].rendered == "".join(f"<|im_start|>user\n{t}<|im_end|>\n" for _, _, _, t in long)
+
+
 def test_collapse_is_native(spark):
     rows = spark.createDataFrame(TURNS, "conv_id long, turn long, role string, text string")
     plan = chat_collapse.maximal(chat_collapse.prefix_hashes(rows))._jdf.queryExecution().executedPlan().toString()

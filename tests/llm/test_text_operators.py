@@ -77,8 +77,23 @@ def test_sorted_string_tables(spark, ids):
     wanted = spark.createDataFrame([(0,), (4,), (77,), (-5,), (None,)], "doc_id long")
     assert {r.doc_id: r.ids for r in token_sst.look_up(spark, path, wanted).collect()} == {0: ids[0], 4: ids[4]}
     assert token_sst.write_and_read(docs(spark, [])).count() == 0
-    with pytest.raises(ValueError, match="without doc_id"):
-        token_sst.write_and_read(frame.withColumn("doc_id", F.lit(None).cast("long")))
+
+
+@pytest.mark.parametrize("shards", [1, 5])
+def test_sorted_string_tables_of_null_and_repeated_ids(spark, ids, shards):
+    """Nulls first, then ids; equal ids by checksum; every shard's documents before the next one's."""
+    keys = [None, None, 3, 3, 3, -(1 << 63), (1 << 63) - 1, None, 3, 3]
+    frame = spark.createDataFrame([(k, t, "en") for k, t in zip(keys, TEXTS, strict=True)], "doc_id long, text string, lang string").repartition(3)
+    path = fresh_path(spark, "sst")
+    made = token_sst.write_shards(frame, path, shards)
+    got = sorted((tuple(r) for r in token_sst.read_shards(spark, path, made).collect()), key=lambda r: (r[1], r[2]))
+    # As stored, ids of 16 bits: equal ids are ordered by the checksum of those.
+    narrow = lambda x: zlib.crc32(np.array(x, "<u2").tobytes())
+    order = sorted(range(len(keys)), key=lambda i: (keys[i] is not None, keys[i] or 0, narrow(ids[i])))
+    start = np.cumsum([0, *(len(ids[i]) for i in order)]).tolist()
+    assert got == [(keys[i], start[k], len(ids[i]), crc(ids[i])) for k, i in enumerate(order)]
+    found = token_sst.look_up(spark, path, spark.createDataFrame([(None,), (3,), (7,)], "doc_id long")).collect()
+    assert sorted((repr(r.doc_id), r.ids) for r in found) == sorted((repr(k), x) for k, x in zip(keys, ids, strict=True) if k in (None, 3))
 
 
 def test_dropout_without_drops_is_the_model(spark):
@@ -87,6 +102,42 @@ def test_dropout_without_drops_is_the_model(spark):
     assert [r.ids for r in rows] == [sp.encode(t or "") for t in TEXTS]
 
 
+def agenda(vocabulary, chars, key, dropout):
+    """Merges of one segment, one after another: the best-ranked candidate that isn't dropped, ties to the left."""
+    pieces = [(i, i + 1, int(vocabulary.char[c])) for i, c in enumerate(chars)]
+    ranks = {int(p): (int(m), int(r)) for p, m, r in zip(vocabulary.pairs, vocabulary.merged, vocabulary.rank, strict=True)}
+    while True:
+        best = None
+        for i, ((a, b, x), (_, c, y)) in enumerate(zip(pieces, pieces[1:], strict=False)):
+            found = ranks.get(x * vocabulary.size + y) if x >= 0 and y >= 0 else None
+            spot = a << 42 ^ b << 21 ^ (c if i + 2 < len(pieces) else 0)
+            if found and not (dropout and sp_dropout.dropped(np.array([key], np.uint64), np.array([spot], np.uint64), dropout)[0]) and (best is None or found[1] < best[0]):
+                best = (found[1], i, (a, c, found[0]))
+        if best is None:
+            return [p[2] for p in pieces]
+        pieces[best[1] : best[1] + 2] = [best[2]]
+
+
+@pytest.mark.parametrize("dropout", [0.0, 0.1, 0.5])
+def test_dropout_is_brute_force(dropout):
+    coder = sp_dropout.Encoder(sp_dropout.default_model(), dropout)
+    words = ["international", "unbelievably", "aaaaaaaa", "x", "thermodynamics"] * 12
+    chars = [[ord(c) for c in sp_dropout.SPACE + w] for w in words]
+    keys = np.random.default_rng(3).integers(1 << 63, size=len(words)).astype(np.uint64)
+    ids, size, _, _ = sp_dropout.merge_all(coder.vocabulary, np.concatenate(chars), np.repeat(np.arange(len(words)), list(map(len, chars))), keys, dropout)
+    got = [x.tolist() for x in np.split(ids, np.cumsum(size)[:-1])]
+    assert got == [agenda(coder.vocabulary, c, k, dropout) for c, k in zip(chars, keys.tolist(), strict=True)]
+
+
+def test_dropout_of_repeated_rows_and_nothing(spark):
+    frame = docs(spark)
+    rows = sp_dropout.encode(frame.unionByName(frame)).collect()
+    assert len(rows) == 2 * len(TEXTS) and len({(r.doc_id, tuple(r.ids)) for r in rows}) == len(TEXTS)
+    assert sp_dropout.encode(docs(spark, [])).count() == 0
+    clash = frame.select("doc_id", "text", F.lit(1).alias("ids"), F.lit(2).alias("n_tokens"))
+    assert sp_dropout.encode(clash).columns == ["doc_id", "ids", "n_tokens", "ids_crc32", "lossless"]
+
+
 def test_dropout_varies_and_decodes(spark):
     texts = [*TEXTS, "▁ mark ▁▁ kept", "😀\t\n  tail  "]
     frame = docs(spark, texts)
@@ -279,6 +330,85 @@ def test_marginals_are_those_of_all_paths():
     assert np.allclose(pairs.sum((1, 2)), 1)
 
 
+def one_by_one(emission, transitions):
+    """P(toxic) of the words of one chain, word after word."""
+    pot = [np.exp(np.clip(np.array([-e / 2, e / 2]), -30, 30)) for e in emission]
+    t = np.exp(transitions)
+    forward, backward = [pot[0] / pot[0].sum()], [np.full(2, 0.5)]
+    for p in pot[1:]:
+        f = (forward[-1] @ t) * p
+        forward.append(f / f.sum())
+    for p in pot[:0:-1]:
+        b = t @ (p * backward[-1])
+        backward.append(b / b.sum())
+    both = np.array(forward) * np.array(backward[::-1])
+    return both[:, 1] / both.sum(1)
+
+
+def test_marginals_of_long_chains():
+    random = np.random.default_rng(7)
+    size = [1, 64, 65, 700, 2, 128, 129, 63]
+    emission, transitions = random.normal(size=sum(size)) * 3, random.normal(size=(2, 2))
+    new = np.zeros(sum(size), bool)
+    at = np.cumsum([0, *size])
+    new[at[:-1]] = True
+    p, pairs = toxicity_crf.marginals(emission, new, transitions)
+    for a, b in zip(at, at[1:], strict=False):
+        assert np.allclose(p[a:b], one_by_one(emission[a:b], transitions))
+    # A word's marginal is that of the pairs it stands in.
+    assert np.allclose(pairs[:, 1].sum(1), p[np.flatnonzero(~new) - 1]) and np.allclose(pairs[:, :, 1].sum(1), p[~new])
+
+
+def test_lexicon_and_score_are_brute_force(spark):
+    frame, labels = labelled(spark, lambda bad, w, r: " ".join(w[:30] + (['"Idiot!!!!"', "(moron),"] if bad else []) + w[30:]) + ".")
+    labels = labels.withColumnRenamed("label", "toxic")
+    field = toxicity_crf.fit(frame, labels)
+    tokens = toxicity_crf.Tokens()
+    entry = lambda word: {k: int(tokens(np.frombuffer(word.encode(), np.uint8), np.array([0, len(word.encode())]))[k][0]) for k in ("word", "head", "tail", "hash")}
+    # Marks at a word's ends, however many, aren't part of it.
+    assert entry('"Idiot!!!!"') == entry("idiot") == entry("((((((idiot") and entry("....")["hash"] != entry("...")["hash"]
+    rows = {r.doc_id: r for r in toxicity_crf.score(frame, field).where("doc_id < 12").collect()}
+    for r in rows.values():
+        p = []
+        for sentence in re.findall(r"[^.!?]+?[.!?](?=\s|$)|.+$", r.text.replace('!!!!"', "@@@@@")):
+            words = [w.strip('"@(),.') for w in sentence.split()]
+            e = [field.bias + field.words[f["word"]] + field.heads[f["head"]] + field.tails[f["tail"]] for f in map(entry, words)]
+            p += one_by_one(np.array(e), field.transitions).tolist()
+        a, b, c = field.layer
+        assert np.isclose(r.toxicity, 1 / (1 + np.exp(-(a * np.log1p(sum(p)) + b * max(p) + c))))
+    counts = spark.createDataFrame([(1, 40, 40), (2, 1, 1), (3, 30, 400), (4, 39, 40), (5, 20, 30)], "word long, bad long, many long")
+    want = set()
+    for w, bad, many in [(1, 40, 40), (2, 1, 1), (3, 30, 400), (4, 39, 40), (5, 20, 30)]:
+        ratio = bad * np.log(bad / many / 0.2) + ((many - bad) * np.log((1 - bad / many) / 0.8) if bad < many else 0)
+        if ratio >= toxicity_crf.EVIDENCE and bad / many >= 0.7:
+            want.add(w)
+    assert {r.word for r in toxicity_crf.lexicon(counts, 0.2).collect()} == want == {1, 4}
+
+
+def test_scores_of_repeated_rows_and_nothing(spark):
+    """op3 and op10: equal rows have equal scores, in the sample too; empty tables and null ids end nothing."""
+    frame, labels = labelled(spark, lambda bad, w, r: " ".join(w[:30] + (["scum"] if bad else []) + w[30:]) + ("." if bad else ""), n=80)
+    twice = frame.unionByName(frame).unionByName(docs(spark, [None, "x"]).withColumn("doc_id", F.lit(None).cast("long")))
+    for module, name in ((toxicity_crf, "toxic"), (rule_quality, "quality")):
+        given = labels.unionByName(labels).withColumnRenamed("label", name)
+        model = module.fit(twice, given)
+        column = {"toxic": "toxicity", "quality": "quality_score"}[name]
+        rows = module.score(twice, model).collect()
+        assert len(rows) == 162 and all(0 <= r[column] <= 1 for r in rows)
+        assert len({(r.doc_id, r[column]) for r in rows if r.doc_id is not None}) == 80
+        nothing = module.fit(docs(spark, []), given.where("false"))
+        assert module.score(docs(spark, []), nothing).count() == 0
+
+
+def test_compiled_rules_are_the_matrix(spark):
+    frame, labels = labelled(spark, lambda good, w, r: " ".join(w) + "." if good else " | ".join(w[: r.integers(3, 30)] * 2))
+    model = rule_quality.fit(frame, labels.withColumnRenamed("label", "quality"))
+    rows = rule_quality.with_statistics(frame).withColumn("p", model.column()).collect()
+    x = np.array([[r[rule_quality.OWN + k] for k in rule_quality.STATISTICS] for r in rows])
+    z = model.intercept + rule_quality.holds_matrix(x, model.rules, rule_quality.STATISTICS) @ np.array(model.weights)
+    assert np.allclose([r.p for r in rows], 1 / (1 + np.exp(-z)))
+
+
 def test_field_learns_toxic_words(spark):
     frame, labels = labelled(spark, lambda bad, w, r: " ".join(w[:30] + ([str(x) for x in r.choice(["Idiot", "moron,", "scum"], 2)] if bad else []) + w[30:]) + ".")
     field = toxicity_crf.fit(frame, labels.withColumnRenamed("label", "toxic"))
