@@ -25,9 +25,9 @@ def renamed(df: DataFrame, **names: str) -> DataFrame:
 def jumps(tree: DataFrame) -> list[DataFrame]:
     """(obj_id, up, steps) for jumps of 1, 2, 4, ... ancestors, until every jump ends at TOP: steps is the depth there.
 
-    A jump that would go beyond TOP ends there, after the steps there are.
+    A jump that would go beyond TOP ends there, after the steps there are. tree has to be stored.
     """
-    found = [stored(tree.select("obj_id", "up", F.lit(1).alias("steps")), "jumps")]
+    found = [tree.select("obj_id", "up", F.lit(1).alias("steps"))]
     while not found[-1].where(F.col("up") != TOP).isEmpty():
         last = found[-1]
         onward = renamed(last, up="obj_id", next="up", more="steps")
@@ -77,7 +77,7 @@ def spanning_tree(links: DataFrame, tops: DataFrame) -> DataFrame:
     by = stored(inner.groupBy(F.col("to_id").alias("obj_id")).agg(F.min("from_id").alias("up"), F.count("*").alias("n")), "referrers")
     alone = by.where("n = 1").select("obj_id", "up")
     # The chain's beginning: a top, a node with several referrers, or nothing, for chains that run in a circle.
-    ptr, left = stored(alone, "chains"), alone.count()
+    ptr, left = alone, alone.count()
     going = left > 0
     while going and left:
         onward = renamed(ptr, up="obj_id", next="up")
