@@ -12,6 +12,7 @@ from ..operators import advisor, heap, leaks, stats
 from ..streaming import tasks as queue
 from . import standins as st
 from .profile_queries import ORACLE_SQL, QUERIES, register
+from .storage import stored
 
 H = st.HEAP
 
@@ -25,6 +26,11 @@ def sizes(h: dict[str, DataFrame]) -> tuple[DataFrame, DataFrame]:
     return heap.retained(h["objects"], doms), doms
 
 
+def sized(h: st.Tables) -> DataFrame:
+    """Retained sizes, stored once a session for the queries that only look at them."""
+    return st.once(*h.at, lambda: stored(sizes(h)[0], "sizes"))
+
+
 on_heap("F25_class_histogram", lambda h: heap.histogram(h["objects"]), f"with {H}, c as (select class_name, count(*) as instances, cast(sum(shallow) as bigint) as total_size from objects group by 1), t as (select cast(sum(total_size) as bigint) as total from c) select class_name, instances, total_size, total_size / instances as avg_size, total_size * 100.0::double / total as pct from c, t")
 on_heap("G13_top_classes", lambda h: heap.top_classes(heap.histogram(h["objects"]), 3).select("class_name", "instances", "total_size"), f"with {H} select class_name, count(*) as instances, cast(sum(shallow) as bigint) as total_size from objects group by 1 order by total_size desc, class_name limit 3")
 on_heap("M02_graph_stats", lambda h: heap.graph_stats(h["objects"], h["refs"], h["roots"]), f"with {H} select (select count(*) from objects) as objects, (select count(*) from refs) as refs, (select count(*) from roots) as roots, (select count(distinct to_id) from refs) as referred")
@@ -52,10 +58,10 @@ _CHAINS = f"""with {H}, tree as (
 on_heap("M04_dominators", lambda h: heap.dominators(h["refs"], h["roots"]).select("obj_id", "idom"), f"{_CHAINS} select obj_id, cast(idom as bigint) as idom from doms")
 _RETAINED = f"{_CHAINS.replace('with ', 'with recursive ', 1)}, up as (select obj_id, obj_id as top from doms union all select up.obj_id, idom from up join doms on doms.obj_id = up.top where idom >= 0), kept as (select top as obj_id, cast(sum(shallow) as bigint) as retained from up join objects on objects.obj_id = up.obj_id group by 1), sizes as (select o.obj_id, class_name, shallow, cast(idom as bigint) as idom, idom is not null as reachable, coalesce(retained, shallow) as retained from objects o left join doms using (obj_id) left join kept using (obj_id))"
 on_heap("M07_retained_sizes", lambda h: sizes(h)[0], f"{_RETAINED} select * from sizes")
-on_heap("M17_biggest_objects", lambda h: heap.biggest_objects(sizes(h)[0], 50), f"{_RETAINED} select * from sizes where reachable order by retained desc, obj_id limit 50")
-on_heap("G14_biggest_of_class", lambda h: heap.biggest_objects(sizes(h)[0], 20, class_name="com.shop.customer"), f"{_RETAINED} select * from sizes where reachable and class_name = 'com.shop.customer' order by retained desc, obj_id limit 20")
-on_heap("F28_roots_by_class", lambda h: heap.roots_by_class(h["roots"], sizes(h)[0]), f"{_RETAINED} select class_name, count(*) as roots, cast(sum(shallow) as bigint) as shallow, cast(sum(retained) as bigint) as retained, 'JNI_GLOBAL' as root_type from sizes join roots using (obj_id) group by 1")
-on_heap("F26_class_retained", lambda h: heap.class_retained(sizes(h)[0]), f"{_RETAINED}, a as (select s.class_name, cast(sum(s.retained) as bigint) as retained from sizes s left join sizes d on d.obj_id = s.idom where s.reachable and s.class_name is distinct from d.class_name group by 1), b as (select d.class_name, cast(sum(s.shallow) as bigint) as attributed from sizes s join sizes d on d.obj_id = s.idom group by 1) select coalesce(a.class_name, b.class_name) as class_name, retained, attributed from a full join b on a.class_name = b.class_name")
+on_heap("M17_biggest_objects", lambda h: heap.biggest_objects(sized(h), 50), f"{_RETAINED} select * from sizes where reachable order by retained desc, obj_id limit 50")
+on_heap("G14_biggest_of_class", lambda h: heap.biggest_objects(sized(h), 20, class_name="com.shop.customer"), f"{_RETAINED} select * from sizes where reachable and class_name = 'com.shop.customer' order by retained desc, obj_id limit 20")
+on_heap("F28_roots_by_class", lambda h: heap.roots_by_class(h["roots"], sized(h)), f"{_RETAINED} select class_name, count(*) as roots, cast(sum(shallow) as bigint) as shallow, cast(sum(retained) as bigint) as retained, 'JNI_GLOBAL' as root_type from sizes join roots using (obj_id) group by 1")
+on_heap("F26_class_retained", lambda h: heap.class_retained(sized(h)), f"{_RETAINED}, a as (select s.class_name, cast(sum(s.retained) as bigint) as retained from sizes s left join sizes d on d.obj_id = s.idom where s.reachable and s.class_name is distinct from d.class_name group by 1), b as (select d.class_name, cast(sum(s.shallow) as bigint) as attributed from sizes s join sizes d on d.obj_id = s.idom group by 1) select coalesce(a.class_name, b.class_name) as class_name, retained, attributed from a full join b on a.class_name = b.class_name")
 on_heap("M10_retainers_by_depth", lambda h: heap.retainers_by_depth(h["refs"], h["objects"], h["objects"]), f"with recursive {H}, w as (select obj_id as target, obj_id as node, 0 as depth, '' as class_name, '' as field from objects union select target, from_id, depth + 1, f.class_name, refs.field from w join refs on to_id = node join objects f on f.obj_id = from_id where depth < 5), m as (select target, node, class_name, field, cast(min(depth) as integer) as depth from w where depth > 0 group by all), b as (select * from m qualify row_number() over (partition by target, node order by depth, class_name, field) = 1), u as (select distinct target, class_name, field, depth from b) select u.class_name as retainer_class, field, depth, count(*) as count, cast(sum(shallow) as bigint) as size from u join objects on obj_id = target group by all")
 on_heap("M15_root_list", lambda h: heap.root_list(h["roots"], h["objects"].where("class_name = 'com.shop.nation'")), f"with {H} select * from roots union all select obj_id, 'STICKY_CLASS' from objects where class_name = 'com.shop.nation'")
 on_heap("M19_holders", lambda h: heap.holders_of(h["refs"], h["objects"], 5 * st.STRIDE + 7), f"with {H} select from_id, class_name, field, shallow from refs join objects on obj_id = from_id where to_id = {5 * st.STRIDE + 7} order by from_id, field limit 20")

@@ -17,7 +17,7 @@ from . import modes, sinks, views
 from . import standins as st
 from .decoder_queries import _GROUPS, of_kinds
 from .profile_queries import register
-from .storage import shared_dir, stored
+from .storage import shared_dir
 
 S, W, H = st.SAMPLES, st.WHOLE, st.HEAP
 on_heap = hq.on_heap
@@ -62,17 +62,15 @@ V = {"com.shop.orders": "java.util.ArrayList", "com.shop.lineitem": "java.lang.O
 _VARIANT = "case class_name when 'com.shop.orders' then 'java.util.ArrayList' when 'com.shop.lineitem' then 'java.lang.Object[]' else class_name end"
 
 
-def with_collections(h: dict[str, DataFrame]) -> dict[str, DataFrame]:
+def with_collections(h: st.Tables) -> st.Tables:
     """The stand-in heap with orders as lists and their lines as their arrays; parts and suppliers are what the arrays hold."""
     name = F.col("class_name")
     for old, new in V.items():
         name = F.when(F.col("class_name") == old, new).otherwise(name)
-    return {**h, "objects": h["objects"].withColumn("class_name", name), "refs": h["refs"].withColumn("field", F.when(F.col("field") == "suppliers", "elements").otherwise(F.col("field")))}
+    return st.Tables({**h, "objects": h["objects"].withColumn("class_name", name), "refs": h["refs"].withColumn("field", F.when(F.col("field") == "suppliers", "elements").otherwise(F.col("field")))}, (*h.at[:2], "collections"))
 
 
-def sized(h: dict[str, DataFrame]) -> DataFrame:
-    return stored(hq.sizes(h)[0], "sizes")
-
+sized = hq.sized
 
 # What arrays of collections share: parts and suppliers by how many lines hold them.
 _THROUGH = f"{hq._RETAINED}, through as (select to_id, count(*) as n, min(from_id) as one from (select distinct from_id, to_id from refs where field in ('part', 'supplier')) group by 1), loose as (select r.from_id, r.to_id, s.retained from refs r join sizes s on s.obj_id = r.to_id join through t on t.to_id = r.to_id where s.idom is distinct from r.from_id and (t.n > 1 or t.one <> r.from_id))"

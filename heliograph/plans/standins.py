@@ -16,6 +16,26 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: What was made once in a session for several queries, by application, folder and name.
+_MADE: dict[tuple[str, str, str], object] = {}
+
+
+def once(spark: SparkSession, sf_dir: str, name: str, make):
+    """make()'s result, kept for the session: files and stored tables that many queries look at."""
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _MADE:
+        _MADE[key] = make()
+    return _MADE[key]
+
+
+class Tables(dict):
+    """A heap's tables by name, that know of which session and folder they are."""
+
+    def __init__(self, tables: dict[str, DataFrame], at: tuple[SparkSession, str, str]) -> None:
+        super().__init__(tables)
+        self.at = at
+
+
 def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A sample a line item, in two profiles; suppliers are threads, region to part are the stack."""
     t = lambda name: table(spark, sf_dir, name)
@@ -125,7 +145,7 @@ def heap(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     for r in refs[1:]:
         links = links.unionByName(r)
     roots = t("region").select(_heap_id(0, c("r_regionkey")).alias("obj_id"), F.lit("JNI_GLOBAL").alias("root_type"))
-    return {"objects": objects, "refs": links.distinct(), "roots": roots}
+    return Tables({"objects": objects, "refs": links.distinct(), "roots": roots}, (spark, sf_dir, "heap"))
 
 
 _ID = lambda i, key: f"{i * STRIDE} + {key}"
@@ -181,6 +201,13 @@ PROFILE_KINDS = {
 def profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sampled profiles written as files and read back: of each kind one of the even events and one of the odd, a minute apart."""
     from ..sources import pprof
+
+    return pprof.read(spark, once(spark, sf_dir, "profiles", lambda: profile_files(spark, sf_dir)))
+
+
+def profile_files(spark: SparkSession, sf_dir: str) -> str:
+    """The folder of the profiles' files."""
+    from ..sources import pprof
     from .storage import shared_dir
 
     half = F.col("event_id") % 2
@@ -195,7 +222,7 @@ def profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
         rows = one if rows is None else rows.unionByName(one)
     path = f"{shared_dir(spark)}/profiles-{uuid.uuid4().hex}"
     pprof.write(rows, path).count()
-    return pprof.read(spark, path)
+    return path
 
 
 PROFILES = """stacks as (
@@ -212,7 +239,7 @@ def dump(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     """Regions, nations and suppliers as a heap dump, written and read back."""
     from ..sources import hprof
 
-    return hprof.read(spark, dump_file(spark, sf_dir))
+    return hprof.read(spark, once(spark, sf_dir, "dump", lambda: dump_file(spark, sf_dir)))
 
 
 def dump_file(spark: SparkSession, sf_dir: str) -> str:
