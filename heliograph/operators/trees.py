@@ -23,15 +23,17 @@ def renamed(df: DataFrame, **names: str) -> DataFrame:
 
 
 def jumps(tree: DataFrame) -> list[DataFrame]:
-    """(obj_id, up, steps) for jumps of 1, 2, 4, ... ancestors, until every jump ends at TOP: steps is the depth there.
+    """(obj_id, up, steps, way) for jumps of 1, 2, 4, ... ancestors, until every jump ends at TOP: steps is the depth there.
 
-    A jump that would go beyond TOP ends there, after the steps there are. tree has to be stored.
+    A jump that would go beyond TOP ends there, after the steps there are. way is the nodes from below `up` down to the
+    node itself; beyond SHALLOW jumps it is null, as ways would be long. tree has to be stored.
     """
-    found = [tree.select("obj_id", "up", F.lit(1).alias("steps"))]
+    found = [tree.select("obj_id", "up", F.lit(1).alias("steps"), F.array("obj_id").alias("way"))]
     while not found[-1].where(F.col("up") != TOP).isEmpty():
         last = found[-1]
-        onward = renamed(last, up="obj_id", next="up", more="steps")
-        jump = last.join(onward, "up", "left").select("obj_id", F.coalesce("next", F.lit(TOP)).alias("up"), (F.col("steps") + F.coalesce("more", F.lit(0))).alias("steps"))
+        onward = renamed(last, up="obj_id", next="up", more="steps", before="way")
+        way = F.concat(F.coalesce("before", F.array().cast("array<bigint>")), "way") if len(found) < SHALLOW else F.lit(None).cast("array<bigint>")
+        jump = last.join(onward, "up", "left").select("obj_id", F.coalesce("next", F.lit(TOP)).alias("up"), (F.col("steps") + F.coalesce("more", F.lit(0))).alias("steps"), way.alias("way"))
         found.append(stored(jump, "jumps"))
     return found
 
@@ -101,16 +103,6 @@ def spanning_tree(links: DataFrame, tops: DataFrame) -> DataFrame:
     return stored(seen.unionByName(chained), "tree")
 
 
-def _ways(levels: list[DataFrame]) -> DataFrame:
-    """obj_id, way: TOP, and the nodes from there down to each."""
-    ways = levels[0].select("obj_id", F.array("obj_id").alias("way"))
-    for level in levels:
-        above = renamed(ways, up="obj_id", before="way")
-        ways = ways.join(level.select("obj_id", "up"), "obj_id").join(above, "up", "left")
-        ways = ways.select("obj_id", F.concat(F.coalesce("before", F.array().cast("array<bigint>")), "way").alias("way"))
-    return ways.select("obj_id", F.concat(F.array(F.lit(TOP).cast("bigint")), "way").alias("way"))
-
-
 def common_ancestors(pairs: DataFrame, levels: list[DataFrame]) -> DataFrame:
     """key, found: of each key's nodes (key, node) the nearest common ancestor, a node being its own.
 
@@ -119,7 +111,8 @@ def common_ancestors(pairs: DataFrame, levels: list[DataFrame]) -> DataFrame:
     the common part of many of them is that of the least and the greatest, one grouped job.
     """
     if len(levels) <= SHALLOW:
-        ways = pairs.join(renamed(_ways(levels), node="obj_id", way="way"), "node", "left").select("key", F.coalesce("way", F.array(F.lit(TOP).cast("bigint"))).alias("way"))
+        way = F.concat(F.array(F.lit(TOP).cast("bigint")), F.coalesce("way", F.array().cast("array<bigint>"))).alias("way")
+        ways = pairs.join(renamed(levels[-1], node="obj_id", way="way"), "node", "left").select("key", way)
         ends = ways.groupBy("key").agg(F.min("way").alias("a"), F.max("way").alias("b"))
         n = F.least(F.size("a"), F.size("b"))
         differs = F.filter(F.sequence(F.lit(1), n), lambda i: F.element_at("a", i) != F.element_at("b", i))
@@ -149,12 +142,13 @@ def dominator_tree(links: DataFrame, tops: DataFrame) -> DataFrame:
 
     In any spanning tree a node's dominators are ancestors of it and of all its referrers. So each node with several
     referrers goes up to the nearest common ancestor of them, all at once, until none moves; then the tree is that of
-    the dominators. Nodes of one referrer never move. TOP is above all tops.
+    the dominators. Nodes of one referrer never move, and a node that refers to nothing is above nothing, so that its
+    move changes nothing else. TOP is above all tops.
     """
     links = stored(links.where("from_id <> to_id").select("from_id", "to_id").distinct(), "links")
     tops = stored(tops.select("obj_id").distinct(), "tops")
     tree = spanning_tree(links, tops)
-    live = links.join(renamed(tree.where(F.col("up") != TOP), to_id="obj_id"), "to_id", "left_semi").join(renamed(tree, from_id="obj_id"), "from_id", "left_semi")
+    live = stored(links.join(renamed(tree.where(F.col("up") != TOP), to_id="obj_id"), "to_id", "left_semi").join(renamed(tree, from_id="obj_id"), "from_id", "left_semi"), "live")
     several = live.groupBy(F.col("to_id").alias("key")).agg(F.count("*").alias("n")).where("n > 1").select("key")
     pairs = stored(renamed(live, key="to_id", node="from_id").join(several, "key", "left_semi"), "pairs")
     if pairs.isEmpty():
@@ -165,5 +159,5 @@ def dominator_tree(links: DataFrame, tops: DataFrame) -> DataFrame:
         found = renamed(common_ancestors(ends, jumps(tree)), obj_id="key", new="found")
         moved = stored(tree.join(found, "obj_id", "left").select("obj_id", F.coalesce("new", "up").alias("up"), (F.coalesce("new", "up") != F.col("up")).alias("moved")), "tree")
         tree = moved.select("obj_id", "up")
-        if moved.where("moved").isEmpty():
+        if moved.where("moved").join(renamed(live, obj_id="from_id"), "obj_id", "left_semi").isEmpty():
             return tree

@@ -24,7 +24,7 @@ def reach(edges, roots, without=None):
 
 def test_dominators_by_removal_of_nodes(spark):
     random.seed(3)
-    for edges, roots, n in [([(1, 3), (2, 4), (4, 3)], [1, 2], 5), ([(0, 1), (1, 2), (2, 1), (0, 2), (2, 3)], [0], 5), (random.sample(list(itertools.permutations(range(9), 2)), 16), [0, 1], 9), *((random.sample(list(itertools.permutations(range(14), 2)), 24), [0], 14) for _ in range(4))]:
+    for edges, roots, n in [([(1, 3), (2, 4), (4, 3)], [1, 2], 5), ([(0, 1), (1, 2), (2, 1), (0, 2), (2, 3)], [0], 5), (random.sample(list(itertools.permutations(range(9), 2)), 16), [0, 1], 9), *((random.sample(list(itertools.permutations(range(14), 2)), 24), [0], 14) for _ in range(2))]:
         objects, refs, tops = tables(spark, edges, roots, n)
         doms = heap.dominators(refs, tops)
         above = {r.obj_id: r.idom for r in doms.collect()}
