@@ -2,19 +2,22 @@
 
 Every row is indexed. A shard's vectors are projected to M dimensions by Gaussian vectors; the squared projected
 distance of two rows, divided by their squared true distance, is chi-square with M degrees of freedom. A kd-tree over
-the projections gives a query's neighbours in ascending order of projected distance, a few small leaves at a time, in
-the order of their boxes; all points of an opened leaf are verified on the original vectors. The search of a shard
-stops once the next box's distance r and the k-th best true distance d so far satisfy chi2_M(r**2 / d**2) >= stop: a
-row nearer than d would then lie within r with that probability.
+the projections gives a query's neighbours in ascending order of projected distance: a heap holds the nodes met but
+not entered, each with its cell's distance from the query, and the nearest is entered or, if it is a leaf, its points
+are verified on the original vectors, a few leaves at a time. The search of a shard stops once the nearest node's
+distance r and the k-th best true distance d so far satisfy chi2_M(r**2 / d**2) >= stop: a row nearer than d would then
+lie within r with that probability.
 
 Largest inner products become nearest neighbours by one more dimension, sqrt(R**2 - |x|**2) for rows and 0 for
-queries, with R the greatest norm of the shard.
+queries, with R the greatest norm of the shard. Shards and queries are scaled by their greatest components first, so
+that no finite vector's square overflows; scores are the inner products of the original vectors.
 
 A task builds a shard's index once and searches it for a block of queries that stream by.
 """
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,13 +29,13 @@ from .common import stored
 from .exact_topk import merged, tiles, usable
 
 M = 10
-LEAF = 16
+LEAF, BUSH = 16, 32
 STOP = 0.97
 SEED = 20
 #: Rows of a shard, and queries that one index of it serves.
 SHARD, BLOCK = 32768, 8192
 #: Leaves verified before the stopping test is made first; each time after that a quarter more, MOST_LEAVES at most.
-FIRST_LEAVES, MOST_LEAVES = 16, 128
+FIRST_LEAVES, MOST_LEAVES = 16, 256
 
 
 def chi_square(x: np.ndarray | float, m: int = M):
@@ -54,27 +57,98 @@ def stop_ratio(stop: float = STOP, m: int = M) -> float:
 
 
 class KdTree:
-    """Leaves of a kd-tree: places of their points in a row, and the corners of their bounding boxes."""
+    """A kd-tree over points: inner nodes with the axis and place of their cut, above leaves with their boxes' corners.
+
+    Nodes of BUSH leaves at most are the lowest that are entered one by one; their leaves are met together.
+    """
 
     def __init__(self, points: np.ndarray, leaf: int = LEAF) -> None:
-        parts, done = [np.arange(len(points))], []
+        self.axis, self.cut, self.children, self.bush, self.leaves = [], [], [], [], []
+        self.low, self.high = points.min(0).tolist(), points.max(0).tolist()
+        parts, most = [(-1, np.arange(len(points)))], leaf * BUSH
+        while parts:
+            parent, rows = parts.pop()
+            node = len(self.axis)
+            if parent >= 0:
+                self.children[parent].append(node)
+            axis, lower, upper = self.halves(points, rows)
+            self.axis.append(axis)
+            self.children.append([])
+            if len(rows) <= most or lower is None:
+                self.cut.append(0.0)
+                self.bush.append((len(self.leaves), self.plant(points, rows, leaf)))
+                continue
+            self.cut.append(float(points[upper, axis].min()))
+            self.bush.append(None)
+            # The part below the cut comes off the stack first, so it is the first child.
+            parts += [(node, upper), (node, lower)]
+        self.least = np.array([points[r].min(0) for r in self.leaves])
+        self.most = np.array([points[r].max(0) for r in self.leaves])
+
+    @staticmethod
+    def halves(points: np.ndarray, rows: np.ndarray) -> tuple[int, np.ndarray | None, np.ndarray | None]:
+        """The axis in which rows spread most, and its lower and upper half; none of rows that are all alike."""
+        spread = np.ptp(points[rows], axis=0)
+        axis, half = int(np.argmax(spread)), len(rows) // 2
+        if not spread[axis]:
+            return axis, None, None
+        order = np.argpartition(points[rows, axis], half)
+        return axis, rows[order[:half]], rows[order[half:]]
+
+    def plant(self, points: np.ndarray, rows: np.ndarray, leaf: int) -> int:
+        """Append the leaves of a part; where they end."""
+        parts = [rows]
         while parts:
             rows = parts.pop()
-            spread = np.ptp(points[rows], axis=0) if len(rows) else np.zeros(1)
-            if len(rows) <= leaf or not spread.max():
-                done += [rows[i : i + leaf] for i in range(0, len(rows), leaf)]
+            _, lower, upper = self.halves(points, rows) if len(rows) > leaf else (0, None, None)
+            if lower is None:
+                self.leaves += [rows[i : i + leaf] for i in range(0, len(rows), leaf)]
+            else:
+                parts += [upper, lower]
+        return len(self.leaves)
+
+    def nearest(self, q: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Leaves and the squared distances of their boxes, nearest first, as many at a time as are known to be next.
+
+        A node is entered only when leaves are asked for that can lie in it.
+        """
+        z = q.tolist()
+        apart = [max(0.0, a - x, x - b) for x, a, b in zip(z, self.low, self.high, strict=True)]
+        heap = [(sum(x * x for x in apart), 0, apart)]
+        met, far_of = np.zeros(0, np.int64), np.zeros(0)
+        while heap:
+            far, node, apart = heapq.heappop(heap)
+            if self.bush[node] is None:
+                axis = self.axis[node]
+                past = z[axis] - self.cut[node]
+                near, other = self.children[node] if past < 0 else self.children[node][::-1]
+                heapq.heappush(heap, (far, near, apart))
+                # The other side's cell is at least as far as the cut in this axis, and as far as this cell in others.
+                own = apart[axis]
+                further = max(own, abs(past))
+                apart = apart.copy()
+                apart[axis] = further
+                heapq.heappush(heap, (far + further * further - own * own, other, apart))
                 continue
-            axis = int(np.argmax(spread))
-            half = len(rows) // 2
-            order = np.argpartition(points[rows, axis], half)
-            parts += [rows[order[:half]], rows[order[half:]]]
-        self.leaves = done
-        self.low = np.array([points[r].min(0) for r in done]).reshape(len(done), -1)
-        self.high = np.array([points[r].max(0) for r in done]).reshape(len(done), -1)
+            a, b = self.bush[node]
+            box = (np.maximum(0, np.maximum(self.least[a:b] - q, q - self.most[a:b])) ** 2).sum(1)
+            met, far_of = np.concatenate([met, np.arange(a, b)]), np.concatenate([far_of, box])
+            ready = far_of <= heap[0][0] if heap else np.ones(len(met), bool)
+            if ready.any():
+                order = np.argsort(far_of[ready], kind="stable")
+                yield met[ready][order], far_of[ready][order]
+                met, far_of = met[~ready], far_of[~ready]
+
 
-    def nearness(self, q: np.ndarray) -> np.ndarray:
-        """Squared distance of a query to each leaf's box."""
-        return (np.maximum(0, np.maximum(self.low - q, q - self.high)) ** 2).sum(1)
+def inner(points: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """points @ x in double precision; where it overflows, an infinity of the true product's sign."""
+    with np.errstate(over="ignore", invalid="ignore"):
+        found = points @ x
+        odd = np.flatnonzero(~np.isfinite(found))
+        if len(odd):
+            a, b = np.abs(points[odd]).max(1), np.abs(x).max()
+            found[odd] = ((points[odd] / a[:, None]) @ (x / b)) * a * b
+    return found
 
 
 class Shard:
@@ -98,40 +172,65 @@ class Shard:
         owner, self.ids = owner[kept], ids[kept]
         self.first = np.searchsorted(owner, np.arange(len(points) + 1))
         self.points, self.k, self.m = points, k, m
-        norms = (points**2).sum(1)
+        self.largest = np.abs(points).max()
+        # Where the shard's vectors are of one scale, the original ones are searched; else a scaled copy.
+        self.even = 2.0**-400 < self.largest < 2.0**400
+        self.scale = 1.0 if self.even else self.largest
+        self.scaled = points if self.even else points / self.scale
+        norms = (self.scaled**2).sum(1)
         self.radius = norms.max()
         self.axes = np.random.default_rng(SEED).standard_normal((points.shape[1] + 1, m))
-        self.projected = points @ self.axes[:-1] + np.sqrt(np.maximum(self.radius - norms, 0))[:, None] * self.axes[-1]
+        self.projected = self.scaled @ self.axes[:-1] + np.sqrt(np.maximum(self.radius - norms, 0))[:, None] * self.axes[-1]
         self.tree = KdTree(self.projected, leaf)
         self.verified = 0
 
     def search(self, q: int, x: np.ndarray, ratio: float) -> tuple[np.ndarray, np.ndarray]:
         """ids and scores of the k nearest found, nearest first."""
-        z, reach = x @ self.axes[:-1], self.radius + x @ x  # squared distance = reach - 2 * inner product
-        near = self.tree.nearness(z)
-        order = np.argsort(near, kind="stable")
-        best = (np.zeros(0, np.int64), np.zeros(0))
-        at, step, limit = 0, FIRST_LEAVES, np.inf
-        while at < len(order) and near[order[at]] < limit:
-            rows = np.concatenate([self.tree.leaves[i] for i in order[at : at + step]])
-            at, step = at + step, min(step + step // 4, MOST_LEAVES)
-            best = self.verify(q, x, rows, best)
+        largest = np.abs(x).max()
+        # A query of another scale than the shard's has the same nearest rows when it is scaled.
+        y = x if self.even and 2.0**-400 < largest < 2.0**400 else x / largest
+        z, reach = y @ self.axes[:-1], self.radius + y @ y  # squared distance = reach - 2 * inner product
+        best, dots = (np.zeros(0, np.int64), np.zeros(0)), np.zeros(0)
+        limit, step = np.inf, FIRST_LEAVES
+        waiting: list[int] = []
+
+        def check() -> None:
+            nonlocal best, dots, limit, step
+            best, dots = self.verify(q, x, y, np.concatenate([self.tree.leaves[i] for i in waiting]), best, dots)
+            waiting.clear()
+            step = min(step + -(-step // 4), MOST_LEAVES)
             if len(best[0]) == self.k:
-                nearest = max(reach - 2 * best[1][-1], 0.0)
+                nearest = max(reach - 2 * dots[-1], 0.0)
                 limit = ratio * nearest if nearest else np.nextafter(0, 1)
+
+        for leaves, far in self.tree.nearest(z):
+            at = 0
+            while at < len(leaves) and far[at] < limit:
+                some = leaves[at : at + step - len(waiting)]
+                waiting += some.tolist()
+                at += len(some)
+                if len(waiting) >= step:
+                    check()
+            if at < len(leaves):
+                break
+        if waiting:
+            check()
         return best
 
-    def verify(self, q: int, x: np.ndarray, rows: np.ndarray, best: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    def verify(self, q: int, x: np.ndarray, y: np.ndarray, rows: np.ndarray, best: tuple[np.ndarray, np.ndarray], dots: np.ndarray) -> tuple[tuple[np.ndarray, np.ndarray], np.ndarray]:
+        """The best with these points: ids and scores on the original vectors, and the scaled inner products."""
         self.verified += len(rows)
-        new = self.points[rows] @ x
+        new = inner(self.points[rows], x)
         if len(best[0]) == self.k:
             rows, new = rows[new >= best[1][-1]], new[new >= best[1][-1]]
+        scaled = new if y is x and self.even else self.scaled[rows] @ y
         times = self.first[rows + 1] - self.first[rows]
         place = np.repeat(self.first[rows] - np.cumsum(times) + times, times) + np.arange(times.sum())
         others = self.ids[place] != q
         found, scores = np.concatenate([best[0], self.ids[place][others]]), np.concatenate([best[1], np.repeat(new, times)[others]])
+        dots = np.concatenate([dots, np.repeat(scaled, times)[others]])
         order = np.lexsort((found, -scores))[: self.k]
-        return found[order], scores[order]
+        return (found[order], scores[order]), np.sort(dots)[::-1][: self.k]
 
 
 def search_shard(ids: np.ndarray, base: np.ndarray, query_ids: np.ndarray, asked: np.ndarray, k: int, stop: float, m: int, leaf: int) -> list[tuple[np.ndarray, ...]]:
@@ -154,7 +253,8 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, stop: float = ST
 
     Vectors that are null, zero or hold null or non-finite components take no part; those of another width than the
     query's aren't compared with it. A query never finds rows of its own id; ties go to smaller ids. Repeated ids are
-    candidates each; queries of one id are ranked together. Empty tables give no rows.
+    candidates each; queries of one id are ranked together. Scores that overflow are infinite and tie. Empty tables give
+    no rows.
     """
     if m < 2 or m % 2:
         raise ValueError("m has to be even")

@@ -3,6 +3,10 @@
 A chat log often holds a conversation again after every turn. Each conversation's turns get rolling prefix hashes; a
 conversation whose whole hash is a proper prefix of a longer one's is a snapshot of that one. Anti-joins keep the
 maximal conversations, one of each group of equal ones, and only those are rendered.
+
+Turns are sorted by range over all conversations, so one that has a third of all turns is hashed by as many tasks as it
+has turns for: each rolls over its own turns, and what the tasks before it come to is joined to them. A rendered
+conversation is one text, so the rendering alone is one row's work for each.
 """
 
 from __future__ import annotations
@@ -10,25 +14,57 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import partitions, stored
 
 START, END = "<|im_start|>", "<|im_end|>"
 
 
-def prefix_hashes(turns: DataFrame, conv_id: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
-    """conv_id, pos (from 1), n (turns in all), role, text, h1, h2: two hashes of the turns up to pos.
+def within_parts(rows: DataFrame, parts: DataFrame) -> DataFrame:
+    """rows with the columns of parts, which has a row for each conversation and part."""
+    named = parts.withColumnsRenamed({"conv_id": "__conv", "part": "__part"})
+    here = (F.col("part") == F.col("__part")) & F.col("conv_id").eqNullSafe(F.col("__conv"))
+    return rows.join(named, here).drop("__conv", "__part")
+
+
+def earlier(total: Column) -> Column:
+    """What a conversation's parts before come to."""
+    return F.coalesce(total.over(Window.partitionBy("conv_id").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+
+
+def numbered(turns: DataFrame, conv_id: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
+    """conv_id, part, pos (from 1), n (turns in all), role, text: parts are what one task of a range sort has of a conversation.
+
+    Turns of equal number are ordered by role and text. Turns without conv_id are a conversation of their own. A turn
+    that is repeated is as many turns; the sort can cut between them.
+    """
+    named = [F.col(c).alias(a) for c, a in ((conv_id, "conv_id"), (turn, "turn"), (role, "role"), (text, "text"))]
+    order = ["conv_id", "turn", "role", "text", "row"]
+    dealt = turns.select(*named).withColumn("row", F.monotonically_increasing_id()).repartitionByRange(partitions(turns.sparkSession), *order).sortWithinPartitions(*order)
+    rows = stored(dealt.drop("row").withColumns({"part": F.spark_partition_id(), "at": F.monotonically_increasing_id()}), "turns")
+    parts = rows.groupBy("conv_id", "part").agg(F.count("*").alias("turns"), F.min("at").alias("first"))
+    shift = F.col("first") - earlier(F.sum("turns")) - 1
+    places = parts.select("conv_id", "part", F.sum("turns").over(Window.partitionBy("conv_id")).alias("n"), shift.alias("shift"))
+    return within_parts(rows, places).select("conv_id", "part", (F.col("at") - F.col("shift")).cast("int").alias("pos"), "n", "role", "text")
+
+
+def rolled(rows: DataFrame) -> DataFrame:
+    """conv_id, pos, n, role, text, h1, h2 of numbered(): two hashes of the turns up to pos.
 
     A turn's hash is keyed by its position, role and text, null told apart from empty; a prefix's is their exclusive
-    or, so it rolls on in one pass over a conversation's sorted turns. Turns of equal number are ordered by role and
-    text. Turns without conv_id are a conversation of their own.
+    or, so it rolls on in one pass over a part's turns from what the parts before come to.
     """
-    by = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
     own = [F.col("role").isNull(), F.coalesce("role", F.lit("")), F.col("text").isNull(), F.coalesce("text", F.lit(""))]
-    rows = turns.select(F.col(conv_id).alias("conv_id"), F.col(turn).alias("turn"), F.col(role).alias("role"), F.col(text).alias("text"))
-    rows = rows.withColumns({"pos": F.row_number().over(by), "n": F.count("*").over(Window.partitionBy("conv_id"))})
-    rolling = Window.partitionBy("conv_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    hashed = {f"h{i}": F.bit_xor(F.xxhash64(F.lit(i), "pos", *own)).over(rolling) for i in (1, 2)}
-    return rows.withColumns(hashed).select("conv_id", "pos", "n", "role", "text", *hashed)
+    rows = rows.withColumns({f"h{i}": F.xxhash64(F.lit(i), "pos", *own) for i in (1, 2)})
+    sums = rows.groupBy("conv_id", "part").agg(*(F.bit_xor(f"h{i}").alias(f"h{i}") for i in (1, 2)))
+    before = sums.select("conv_id", "part", *(earlier(F.bit_xor(f"h{i}")).alias(f"before{i}") for i in (1, 2)))
+    here = Window.partitionBy("conv_id", "part").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = within_parts(rows.withColumns({f"h{i}": F.bit_xor(f"h{i}").over(here) for i in (1, 2)}), before)
+    return rows.select("conv_id", "pos", "n", "role", "text", *(F.col(f"h{i}").bitwiseXOR(F.col(f"before{i}")).alias(f"h{i}") for i in (1, 2)))
+
+
+def prefix_hashes(turns: DataFrame, conv_id: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
+    """conv_id, pos (from 1), n (turns in all), role, text, h1, h2: two hashes of the turns up to pos; see rolled()."""
+    return rolled(numbered(turns, conv_id, turn, role, text))
 
 
 def maximal(prefixes: DataFrame) -> DataFrame:
@@ -59,7 +95,7 @@ def collapse(turns: DataFrame) -> DataFrame:
 
     Null roles and texts are rendered as empty. An empty log gives no rows.
     """
-    prefixes = stored(prefix_hashes(turns), "prefixes")
+    rows = numbered(turns)
+    prefixes = stored(rolled(rows).select("conv_id", "pos", "n", "h1", "h2"), "prefixes")
     kept = maximal(prefixes).withColumnRenamed("conv_id", "__kept")
-    rows = prefixes.select("conv_id", "pos", "role", "text")
-    return render(rows.join(kept, F.col("conv_id").eqNullSafe(F.col("__kept"))).drop("__kept"))
+    return render(rows.select("conv_id", "pos", "role", "text").join(kept, F.col("conv_id").eqNullSafe(F.col("__kept"))).drop("__kept"))

@@ -97,31 +97,47 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 class WordHasher:
-    """64-bit hashes of the words `[^\\x20\\x09-\\x0D]+` of texts, A-Z lower-cased, for a whole buffer at once.
+    """62-bit hashes of the words `[^\\x20\\x09-\\x0D]+` of texts, for a whole buffer at once; A-Z lower-cased if fold.
 
-    A word's hash is sum(code(byte) * base**i) mod 2**64, from differences of prefix sums, then mixed.
+    A word's hash is sum(code(byte) * base ** place) modulo 2 ** 31 - 1 for two bases with codes of their own, from
+    differences of prefix sums, then mixed. Modulo a prime two words of n bytes are alike by chance about (n / 2 ** 31)
+    ** 2; modulo 2 ** 64 there are words that collide for every base.
     """
 
+    PRIME = np.uint64((1 << 31) - 1)
+    BASES = (0x5DEECE66, 0x2545F491)
+    #: Spreads places for keys of other kinds.
     BASE = 0x9E3779B97F4A7C15
 
-    def __init__(self) -> None:
-        codes = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(self.BASE))
-        codes[65:91] = codes[97:123]
-        self.codes = codes
+    def __init__(self, fold: bool = True) -> None:
+        self.codes = [self.reduced(mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(self.BASE ^ base))) for base in self.BASES]
+        for codes in self.codes:
+            if fold:
+                codes[65:91] = codes[97:123]
         self.space = np.zeros(256, bool)
         self.space[[0x20, *range(0x09, 0x0E)]] = True
-        self.up = self.down = np.ones(1, np.uint64)
-
-    def powers(self, n: int) -> None:
-        if len(self.up) <= n:
-            size = max(n + 1, CHUNK_BYTES + (CHUNK_BYTES >> 2))
-            for name, base in (("up", self.BASE), ("down", pow(self.BASE, -1, 1 << 64))):
-                steps = np.full(size, base, np.uint64)
-                steps[0] = 1
-                setattr(self, name, np.multiply.accumulate(steps))
-
-    def __call__(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Start, end and the prefix sums' array of all words; see hashes()."""
+        self.up = [np.ones(1, np.uint64) for _ in self.BASES]
+        self.down = [np.ones(1, np.uint64) for _ in self.BASES]
+
+    @classmethod
+    def once(cls, x: np.ndarray) -> np.ndarray:
+        """x below 2 ** 62 to less than 2 ** 32, the same modulo PRIME."""
+        return (x & cls.PRIME) + (x >> np.uint64(31))
+
+    @classmethod
+    def reduced(cls, x: np.ndarray) -> np.ndarray:
+        x = cls.once(cls.once(x))
+        return np.where(x >= cls.PRIME, x - cls.PRIME, x)
+
+    def prepare(self, most: int) -> None:
+        """Powers up to a word's greatest place."""
+        for k, base in enumerate(self.BASES):
+            for table, step in ((self.up, base), (self.down, pow(base, -1, int(self.PRIME)))):
+                while len(table[k]) <= most:
+                    table[k] = np.concatenate([table[k], self.reduced(table[k] * np.uint64(pow(step, len(table[k]), int(self.PRIME))))])
+
+    def __call__(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, tuple]:
+        """Start, end and the prefix sums of all words; see hashes()."""
         space = self.space[data]
         first = np.ones(len(data), bool)
         first[1:] = space[:-1]
@@ -131,16 +147,30 @@ class WordHasher:
         ends = offsets[1:][offsets[1:] > 0]
         last[ends - 1] = True
         word = ~space
-        return np.flatnonzero(first & word), np.flatnonzero(last & word) + 1, self.sums(data)
-
-    def sums(self, data: np.ndarray) -> np.ndarray:
-        self.powers(len(data))
-        sums = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(self.codes[data] * self.up[: len(data)], out=sums[1:])
-        return sums
-
-    def hashes(self, sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return mix((sums[end] - sums[start]) * self.down[start])
+        start = np.flatnonzero(first & word)
+        return start, np.flatnonzero(last & word) + 1, self.sums(data, start, word)
+
+    def sums(self, data: np.ndarray, start: np.ndarray, inside: np.ndarray | None = None) -> tuple:
+        """Places of bytes in the words that begin at start, and prefix sums; bytes not inside words count for nothing."""
+        begin = np.zeros(len(data), np.int64)
+        begin[start] = start
+        place = np.arange(len(data)) - np.maximum.accumulate(begin)
+        if inside is not None:
+            place *= inside
+        self.prepare(int(place.max(initial=0)))
+        found = []
+        for codes, up in zip(self.codes, self.up, strict=True):
+            sums = np.zeros(len(data) + 1, np.uint64)
+            np.cumsum(self.once(codes[data] * up[place]), out=sums[1:])
+            found.append(sums)
+        return place, *found
+
+    def hashes(self, sums: tuple, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Of the parts of words from start to end."""
+        place, *found = sums
+        at = place[start]
+        both = [self.reduced(self.reduced(x[end] - x[start]) * down[at]) for x, down in zip(found, self.down, strict=True)]
+        return mix(both[0] << np.uint64(31) | both[1])
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:

@@ -1,7 +1,8 @@
 """Best-fit packing, planned on the histogram of lengths: documents only learn their places, by rank within length.
 
 The plan sees counts of at most `capacity` lengths, whatever the number of documents. Documents are ranked within
-(length, salt), so that a length that most documents share is ranked by many tasks.
+(length, salt), so that a length that most documents share is ranked by many tasks. The salt is drawn by a number that
+each piece has for itself, stored with it: pieces of one row that is repeated are spread like any others.
 """
 
 from __future__ import annotations
@@ -101,16 +102,17 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str | None = No
 def pack(items: DataFrame, capacity: int = CAPACITY, length: str = "length", keys: tuple[str, ...] = ("doc_id", "piece")) -> DataFrame:
     """items with sequence_id and offset: sequences of at most capacity, each gapless from 0.
 
-    items is read three times, so give a stored table. Lengths have to be from 1 to capacity.
+    items is stored with numbers of its rows, and read three times. Lengths have to be from 1 to capacity.
     """
-    spark = items.sparkSession
+    spark, names = items.sparkSession, items.columns
+    items = stored(items.withColumn("__row", F.monotonically_increasing_id()), "numbered")
     # At most `capacity` rows reach the driver.
     counts = {int(r[0]): int(r[1]) for r in items.groupBy(length).count().collect()}
     if any(n < 1 or n > capacity for n in counts):
         raise ValueError(f"lengths have to be from 1 to {capacity}")
     runs = spark.createDataFrame(found := plan(counts, capacity), "run_length long, rank_from long, rank_to long, first_sequence long, each long, place long")
-    salted = items.withColumn("__salt", F.pmod(F.xxhash64(*keys), F.lit(max(64, partitions(spark)))).cast("int"))
-    rank = F.row_number().over(Window.partitionBy(length, "__salt").orderBy(*keys)) - 1
+    salted = items.withColumn("__salt", F.pmod(F.xxhash64("__row"), F.lit(max(64, partitions(spark)))).cast("int"))
+    rank = F.row_number().over(Window.partitionBy(length, "__salt").orderBy(*keys, "__row")) - 1
     before = F.sum("__n").over(Window.partitionBy(length).orderBy("__salt").rowsBetween(Window.unboundedPreceding, -1))
     first = salted.groupBy(length, "__salt").agg(F.count("*").alias("__n")).select(length, "__salt", F.coalesce(before, F.lit(0)).alias("__before"))
     ranked = salted.withColumn("__rank", rank).join(first, [length, "__salt"]).withColumn("__rank", F.col("__rank") + F.col("__before"))
@@ -118,7 +120,7 @@ def pack(items: DataFrame, capacity: int = CAPACITY, length: str = "length", key
         runs = F.broadcast(runs)
     within = F.col("__rank") - F.col("rank_from")
     return ranked.join(runs, (F.col(length) == F.col("run_length")) & (F.col("__rank") >= F.col("rank_from")) & (F.col("__rank") < F.col("rank_to"))).select(
-        *items.columns,
+        *names,
         (F.col("first_sequence") + F.floor(within / F.col("each"))).alias("sequence_id"),
         (F.col("place") + within % F.col("each") * F.col(length)).alias("offset"),
     )
@@ -129,4 +131,4 @@ def pack_documents(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str | N
 
     Texts are tokenized once: the pieces' table, without texts or ids, goes to the shared folder.
     """
-    return pack(stored(pieces(docs, capacity, tokenizer), "pieces"), capacity)
+    return pack(pieces(docs, capacity, tokenizer), capacity)

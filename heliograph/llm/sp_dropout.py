@@ -7,13 +7,15 @@ every machine and in every retry. A document's key is its id and text: every occ
 
 No merge crosses from a word into white space after it, so texts are cut into segments, (spaces, word). What is kept of
 a distinct segment are the merges made without dropout: an occurrence that drops none of them has its ids, and all
-others are merged anew. The agendas of all segments to be merged advance together, a merge each a round.
+others are merged anew. The agendas of all short segments to be merged advance together, a merge each a round; a long
+segment's agenda is a heap, so a text of n characters without white space takes n log n steps. Both give the same.
 Characters that are no piece become byte pieces, and so does the space mark itself where a text holds one; so ids
 decode to the very bytes that were encoded.
 """
 
 from __future__ import annotations
 
+import heapq
 import zlib
 from collections.abc import Iterator
 
@@ -29,6 +31,8 @@ from .tokens import IdPool, worker_memory
 SPACE = "▁"
 DROPOUT, SEED = 0.1, 17
 NONE = np.int64(1) << 62
+#: Characters of a segment from which its agenda is a heap.
+LONG = 64
 
 
 def default_model() -> str:
@@ -65,6 +69,7 @@ class Vocabulary:
         found = [(ids[p[:k]] * n + ids[p[k:]], i, rank[i]) for p, i in ids.items() for k in range(1, len(p)) if p[:k] in ids and p[k:] in ids]
         found.sort()
         self.pairs, self.merged, self.rank = (np.array(c, np.int64) for c in zip(*found, strict=True))
+        self.merge_of = {pair: (merged, int(r)) for pair, merged, r in found}
         raw = [bytes([int(p[3:5], 16)]) if sp.is_byte(i) else p.replace(SPACE, " ").encode() if plain[i] else b"" for i, p in enumerate(pieces)]
         self.length = np.array([len(x) for x in raw], np.int64)
         self.first = np.cumsum(self.length) - self.length
@@ -83,6 +88,66 @@ def dropped(keys: np.ndarray, spots: np.ndarray, dropout: float) -> np.ndarray:
     return mix(keys ^ mix(spots + np.uint64(1))) < np.uint64(min(dropout, 1.0) * (2**64 - 1025))
 
 
+def merge_long(vocabulary: Vocabulary, symbol: np.ndarray, key: int, dropout: float) -> tuple[list[int], list[int], list[int]]:
+    """Symbols that are left of one segment's, their places, and the spots of the merges made: by a heap of candidates.
+
+    A candidate's entry is (rank, start) as one number. It is stale unless it still is what `wanted` has for its start,
+    which holds each start's candidate, or -1 for none, for one that is dropped, and for a symbol merged into another.
+    """
+    n, size, mask = len(symbol), vocabulary.size, (1 << 64) - 1
+    share = int(np.uint64(min(dropout, 1.0) * (2**64 - 1025)))
+    i = np.flatnonzero((symbol[:-1] >= 0) & (symbol[1:] >= 0))
+    pair = symbol[i] * size + symbol[i + 1]
+    place = np.minimum(np.searchsorted(vocabulary.pairs, pair), len(vocabulary.pairs) - 1)
+    hit = vocabulary.pairs[place] == pair
+    i, place = i[hit], place[hit]
+    if dropout > 0:
+        a = i.astype(np.uint64)
+        spot = a * np.uint64(1 << 42) ^ (a + np.uint64(1)) * np.uint64(1 << 21) ^ np.where(i + 2 < n, i + 2, 0).astype(np.uint64)
+        kept = ~dropped(np.uint64(key), spot, dropout)
+        i, place = i[kept], place[kept]
+    order = vocabulary.rank[place] << 40 | i
+    wanted, into = np.full(n + 1, -1), np.zeros(n, np.int64)
+    wanted[i], into[i] = order, vocabulary.merged[place]
+    heap, wanted, into, symbols = order.tolist(), wanted.tolist(), into.tolist(), symbol.tolist()
+    after, before, spots = list(range(1, n + 1)), list(range(-1, n)), []
+    merge_of, place_of = vocabulary.merge_of, (1 << 40) - 1
+    heapq.heapify(heap)
+    while heap:
+        found = heapq.heappop(heap)
+        x = found & place_of
+        if wanted[x] != found:
+            continue
+        y = after[x]
+        z = after[y]
+        spots.append(((x << 42) ^ (y << 21) ^ (z if z < n else 0)) & mask)
+        symbols[x], after[x], before[z], wanted[y] = into[x], z, x, -1
+        for x in (x, before[x]):  # noqa: B020, PLW2901  the merged symbol with its right neighbour, and its left one with it
+            if x < 0:
+                continue
+            wanted[x], y = -1, after[x]
+            if y >= n or symbols[x] < 0 or symbols[y] < 0 or (made := merge_of.get(symbols[x] * size + symbols[y])) is None:
+                continue
+            if share:
+                z = after[y]
+                h = (((x << 42) ^ (y << 21) ^ (z if z < n else 0)) + 1) & mask
+                h = (h ^ h >> 30) * 0xBF58476D1CE4E5B9 & mask
+                h = (h ^ h >> 27) * 0x94D049BB133111EB & mask
+                h ^= h >> 31 ^ key
+                h = (h ^ h >> 30) * 0xBF58476D1CE4E5B9 & mask
+                h = (h ^ h >> 27) * 0x94D049BB133111EB & mask
+                if h ^ h >> 31 < share:
+                    continue
+            into[x] = made[0]
+            wanted[x] = entry = made[1] << 40 | x
+            heapq.heappush(heap, entry)
+    places, x = [], 0
+    while x < n:
+        places.append(x)
+        x = after[x]
+    return [symbols[x] for x in places], places, spots
+
+
 def merge_all(vocabulary: Vocabulary, chars: np.ndarray, owner: np.ndarray, keys: np.ndarray, dropout: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Ids of the segments' pieces in a row, the piece count of each segment, and the same of the merges made.
 
@@ -95,6 +160,14 @@ def merge_all(vocabulary: Vocabulary, chars: np.ndarray, owner: np.ndarray, keys
     begin = np.searchsorted(owner, np.arange(n))
     made: list[tuple[np.ndarray, np.ndarray]] = []
     done: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    many = np.bincount(owner, minlength=n)
+    for k in np.flatnonzero(many > LONG).tolist():
+        left, places, spots = merge_long(vocabulary, symbol[begin[k] : begin[k] + many[k]], int(keys[k]), dropout)
+        done.append((np.full(len(left), k), begin[k] + np.array(places, np.int64), np.array(left, np.int64)))
+        made.append((np.full(len(spots), k), np.array(spots, np.uint64)))
+    if (many > LONG).any():
+        short = ~(many > LONG)[owner]
+        symbol, owner, start = symbol[short], owner[short], start[short]
     while len(symbol):
         # Rank of the merge with the next symbol; NONE where there is none, or where it is dropped.
         joined = np.zeros(len(symbol), bool)
@@ -153,8 +226,7 @@ class Encoder:
             raise ValueError("dropout is a share, from 0 to 1")
         self.vocabulary, self.dropout, self.seed = Vocabulary(path), dropout, seed
         # Ids and merges of segments without dropout; both pools see the same segments, so they know the same ones.
-        self.hasher, self.pool, self.merges = WordHasher(), IdPool(), IdPool()
-        self.hasher.codes = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(WordHasher.BASE))
+        self.hasher, self.pool, self.merges = WordHasher(fold=False), IdPool(), IdPool()
 
     def __call__(self, data: np.ndarray, offsets: np.ndarray, doc_keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids in a row, and the n + 1 places where texts begin; doc_keys key each text's dropout."""
@@ -169,7 +241,7 @@ class Encoder:
         start = np.flatnonzero(new)
         end = np.append(start[1:], len(text))
         doc = np.searchsorted(offsets, start, "right") - 1
-        sums = self.hasher.sums(text)
+        sums = self.hasher.sums(text, start)
         words, spots = self.hasher.hashes(sums, start, end), []
 
         def learn(first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

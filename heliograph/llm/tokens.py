@@ -94,26 +94,27 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.hasher = WordHasher()
         self.pool = IdPool()
-        self.plain, self.ends = self.of_letters(path)
+        with open(path, encoding="utf-8") as file:
+            spec = json.load(file)
+        # Words that differ in case only are one word to the hasher where the normalizer makes them one.
+        lowers = {"type": "Lowercase"} in ((spec.get("normalizer") or {}).get("normalizers") or [spec.get("normalizer")])
+        self.hasher = WordHasher(fold=lowers)
+        self.plain, self.ends = self.of_letters(spec) if lowers else (None, None)
 
     @staticmethod
-    def of_letters(path: str):
-        """The same model behind a split at spaces only, and which ids end a word; None where that isn't the same.
+    def of_letters(spec: dict):
+        """The same model (of a tokenizer that lower-cases) behind a split at spaces only, and which ids end a word; None where that isn't the same.
 
         For a lower-cased word of LETTERS normalizer and word pattern change nothing, so words in a row can go
         through the model as one string, and come apart at the word ends.
         """
         from tokenizers import Tokenizer
 
-        with open(path, encoding="utf-8") as file:
-            spec = json.load(file)
         model, before = spec["model"], (spec.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
-        lowers = {"type": "Lowercase"} in ((spec.get("normalizer") or {}).get("normalizers") or [])
-        if model.get("type") != "BPE" or model.get("end_of_word_suffix") != WORD_END or not lowers or before[0].get("pattern") != {"Regex": WORD_PATTERN}:
+        if model.get("type") != "BPE" or model.get("end_of_word_suffix") != WORD_END or before[0].get("pattern") != {"Regex": WORD_PATTERN}:
             return None, None
-        spec |= {"normalizer": None, "added_tokens": [], "pre_tokenizer": {"type": "Sequence", "pretokenizers": [{"type": "WhitespaceSplit"}, *before[1:]]}}
+        spec = spec | {"normalizer": None, "added_tokens": [], "pre_tokenizer": {"type": "Sequence", "pretokenizers": [{"type": "WhitespaceSplit"}, *before[1:]]}}
         ends = np.zeros(1 + max(model["vocab"].values()), bool)
         ends[[i for piece, i in model["vocab"].items() if piece.endswith(WORD_END)]] = True
         return Tokenizer.from_str(json.dumps(spec)), ends
