@@ -149,7 +149,12 @@ def test_packing_of_a_row_that_a_third_of_all_are(spark, monkeypatch):
     frame = spark.range(2000).selectExpr("id as doc_id", "concat('w', id) as text").unionByName(spark.range(1000).selectExpr("7L as doc_id", "'same words' as text"))
     seen = {}
     stored = histogram_packing.stored
-    monkeypatch.setattr(histogram_packing, "stored", lambda df, name: seen.setdefault(name, stored(df, name)))
+
+    def noted(df, name):
+        seen[name] = stored(df, name)
+        return seen[name]
+
+    monkeypatch.setattr(histogram_packing, "stored", noted)
     got = histogram_packing.pack_documents(frame).collect()
     assert len(got) == 3000 and len({(r.sequence_id, r.offset) for r in got}) == 3000
     salts = seen["numbered"].groupBy("length", F.pmod(F.xxhash64("__row"), F.lit(64))).count().agg(F.max("count"), F.percentile("count", 0.5)).head()
