@@ -61,15 +61,30 @@ def allocators(functions: DataFrame, above: float = 10.0) -> DataFrame:
     return _each("R06", functions, F.col("self_pct") > above)
 
 
-def by_rule_table(functions: DataFrame, rules: DataFrame) -> DataFrame:
-    """(profile_id,) rule, func, value of rules kept as a table: rule, part, above, deleted (null for rules in force).
+#: Rules of a table that may be broadcast.
+MOST_RULES = 10_000
 
-    A rule holds for functions whose name holds its part and whose share is above its bound. Rules are few by nature:
-    some thousands that people wrote.
+
+def by_rule_table(functions: DataFrame, rules: DataFrame, *keys: str) -> DataFrame:
+    """(profile_id or keys,) rule, func, value of rules kept as a table: rule, part, above, deleted (null for rules in force).
+
+    A rule holds for functions whose name holds its part and whose share is above its bound. Up to MOST_RULES rules are
+    sent to all tasks; more are dealt, and meet the distinct functions' names in blocks.
     """
-    live = F.broadcast(rules.where("deleted is null").select("rule", "part", "above"))
+    live = rules.where("deleted is null").select("rule", "part", "above")
     hit = F.col("func").contains(F.col("part")) & (F.col("self_pct") > F.col("above"))
-    return functions.join(live, hit).select(*_keys(functions), "rule", "func", F.col("self_pct").alias("value"))
+    n = live.count()
+    if n <= MOST_RULES:
+        live = F.broadcast(live)
+        rows = functions.join(live, hit)
+    else:
+        # Each block of rules meets each name once: a stated set of rules against all names.
+        blocks = -(-n // MOST_RULES)
+        dealt = live.withColumn("__block", F.pmod(F.xxhash64("rule", "part", "above"), F.lit(blocks)))
+        names = functions.select("func").distinct().withColumn("__block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+        held = names.join(dealt, (names["__block"] == dealt["__block"]) & F.col("func").contains(F.col("part"))).select("func", "rule", "part", "above")
+        rows = functions.join(held, "func").where(F.col("self_pct") > F.col("above"))
+    return rows.select(*(keys or _keys(functions)), "rule", "func", F.col("self_pct").alias("value"))
 
 
 RULES: dict[str, Callable[[DataFrame], DataFrame]] = {"R01": hot_functions, "R02": gc_overhead, "R03": lock_contention, "R04": frequent_allocation, "R05": reflection, "R06": allocators}

@@ -9,8 +9,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
 from ..functions.values import is_high_priority
+from ..operators import advisor
+from ..plans import saved
 
-COMPLETED, PENDING = 2, 0
+COMPLETED, PENDING, FAILED = 2, 0, 3
+#: What analysed() saves of each batch.
+SAVED = {"results": "tid string, func string, self_pct double", "suggestions": "tid string, master_tid string, rule string, func string, value double", "status": "tid string, master_tid string, analysis_status int"}
 
 
 def pending(tasks: DataFrame, n: int = 10) -> DataFrame:
@@ -81,3 +85,32 @@ def process(stream: DataFrame, handle: Callable[[DataFrame, int], None], checkpo
                 rest.write.mode("overwrite").json(f"{waiting}/batch-{number}")
 
     return stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)
+
+
+def analysed(stream: DataFrame, analyse: Callable[[DataFrame], DataFrame], rules: Callable[[], DataFrame], root: str, checkpoint: str) -> DataStreamWriter:
+    """A writer that analyses each micro-batch's pending tasks and saves results, suggestions and status to the store `root`.
+
+    analyse(tasks) gives (tid, func, self_pct); rules() is called for every batch, so a rule that was added, changed
+    or deleted since holds from the next batch on. A task without a result row failed. All three tables of a batch
+    become visible together, once; a batch that Spark repeats changes nothing.
+    """
+
+    def each(batch: DataFrame, number: int) -> None:
+        if saved.committed(batch.sparkSession, root, number):
+            return
+        ready = batch.where((F.col("status") == COMPLETED) & (F.col("analysis_status") == PENDING)).select("tid", "master_tid").distinct()
+        results = analyse(ready).select("tid", "func", "self_pct").persist()
+        try:
+            suggestions = advisor.by_rule_table(results, rules(), "tid").join(ready, "tid").select("tid", "master_tid", "rule", "func", "value")
+            done = results.select("tid", F.lit(True).alias("done")).distinct()
+            status = ready.join(done, "tid", "left").select("tid", "master_tid", F.when(F.col("done"), COMPLETED).otherwise(FAILED).alias("analysis_status"))
+            saved.save({"results": results, "suggestions": suggestions, "status": status}, root, number)
+        finally:
+            results.unpersist()
+
+    return stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)
+
+
+def of_store(spark, root: str, table: str) -> DataFrame:
+    """A table of analysed()'s store, of committed batches; of tasks analysed again the last batch's rows."""
+    return saved.load(spark, root, table, SAVED[table], ("tid",))
