@@ -211,5 +211,10 @@ def contains_ignoring_case(text: Column | str, part: str) -> Column:
 
 
 def truncated(text: Column | str, n: int) -> Column:
-    text = _col(text)
-    return F.when(F.octet_length(text) > n, F.concat(F.left(text, F.lit(max(0, n - 3))), F.lit("..."))).otherwise(text)
+    """A text of more than n bytes as its first n - 3 bytes and three dots; a character that this would cut goes whole."""
+    text, kept = _col(text), max(0, n - 3)
+    raw = F.encode(text, "UTF-8")
+    # Bytes 128 to 191 go on with a character: the cut goes back to where one begins, 3 bytes at most.
+    begins = F.filter(F.array(*(F.lit(k) for k in range(kept, max(kept - 4, -1), -1))), lambda k: (F.conv(F.hex(F.substring(raw, k + 1, F.lit(1))), 16, 10).cast("int").bitwiseAND(0xC0)) != 0x80)
+    at = F.coalesce(F.get(begins, F.lit(0)), F.lit(0))
+    return F.when(F.octet_length(text) > n, F.concat(F.decode(F.substring(raw, F.lit(1), at), "UTF-8"), F.lit("..."))).otherwise(text)

@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from ..functions import classes
 from ..functions.values import percent_scaled
 from ..plans.storage import stored
-from . import trees
+from . import bits, trees
+from .ranks import ranked
 from .stats import top
 
 SUPER_ROOT = trees.TOP
@@ -130,21 +131,12 @@ def retainers_by_depth(refs: DataFrame, objects: DataFrame, targets: DataFrame,
     Each target meets an object once, over its least field; count and size are of different targets. A search goes
     no further from an object of which stop holds (over class_name), as for business classes.
     """
-    sized = objects.select(F.col("obj_id").alias("target"), F.col("shallow").alias("target_size"))
     links = stored(refs.groupBy("from_id", "to_id").agg(F.min("field").alias("field")).join(objects.select(F.col("obj_id").alias("from_id"), "class_name"), "from_id"), "links")
-    frontier = seen = stored(targets.select(F.col("obj_id").alias("target"), F.col("obj_id").alias("node")).distinct(), "met")
-    found = None
-    for depth in range(1, max_depth + 1):
-        step = links.join(frontier.select("target", F.col("node").alias("to_id")), "to_id").groupBy("target", F.col("from_id").alias("node")).agg(F.min(F.struct("class_name", "field")).alias("by"))
-        step = stored(step.join(seen, ["target", "node"], "left_anti").select("target", "node", "by.class_name", "by.field"), "met")
-        if step.isEmpty():
-            break
-        once = step.select("target", "class_name", "field").distinct().join(sized, "target")
-        level = once.groupBy(F.col("class_name").alias("retainer_class"), "field", F.lit(depth).alias("depth")).agg(F.count("*").alias("count"), F.sum("target_size").alias("size"))
-        found = level if found is None else found.unionByName(level)
-        seen = seen.unionByName(step.select("target", "node"))
-        frontier = (step.where(~stop) if stop is not None else step).select("target", "node")
-    return found if found is not None else objects.sparkSession.createDataFrame([], "retainer_class string, field string, depth int, count long, size long")
+    numbers = bits.numbered(targets.select("obj_id").distinct())
+    once = bits.targets_of(bits.search(links, numbers, max_depth, stop), "class_name", "field", "depth")
+    sized = numbers.join(objects.select("obj_id", F.col("shallow").alias("target_size")), "obj_id").select("number", "target_size")
+    rows = once.join(sized, "number").groupBy(F.col("class_name").alias("retainer_class"), "field", "depth")
+    return rows.agg(F.count("*").alias("count"), F.sum("target_size").alias("size"))
 
 
 def paths_to_roots(refs: DataFrame, roots: DataFrame, targets: DataFrame, max_depth: int = 15, per_target: int = 3) -> DataFrame:
@@ -199,10 +191,10 @@ def array_holders(refs: DataFrame, objects: DataFrame, sizes: DataFrame) -> Data
 def stratified_sample(objects: DataFrame, n: int = 1000, least_ratio: float = 0.01) -> DataFrame:
     """Per class at most max(n, least_ratio of it) objects: of the largest tenth 40 %, the next four tenths 35 %, the rest 25 %.
 
-    Objects are taken at even steps down each stratum's sizes.
+    Objects are taken at even steps down each stratum's sizes. Places come from a range sort over all classes, so a
+    class of a third of all objects isn't sorted by one task.
     """
-    by = Window.partitionBy("class_name").orderBy(F.desc("shallow"), "obj_id")
-    rows = objects.withColumns({"__i": F.row_number().over(by) - 1, "__n": F.count("*").over(Window.partitionBy("class_name"))})
+    rows = ranked(objects, ["class_name"], [F.desc("shallow"), F.asc("obj_id")]).withColumnsRenamed({"pos": "__i", "n": "__n"})
     size = F.least(F.greatest(F.lit(n), F.floor(F.col("__n") * least_ratio)), F.col("__n"))
     head, middle = F.floor(F.col("__n") / 10), F.floor(F.col("__n") * 4 / 10)
     a, b = F.floor(size * 40 / 100), F.floor(size * 35 / 100)

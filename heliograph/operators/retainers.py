@@ -7,42 +7,26 @@ from pyspark.sql import functions as F
 
 from ..functions import classes
 from ..plans.storage import stored
+from . import bits
 from .heap import retained, retained_with_collections, shared_through_arrays, stratified_sample
 from .stats import top
-from .trees import TABLES, renamed
+from .trees import renamed
 
 #: Fields whose targets count as their holder's own.
 OWNING_FIELDS = ["<loaded_class>", "classes", "loadedClasses", "children", "elements", "entries", "items", "value", "data", "content"]
 
 
-def met(refs: DataFrame, objects: DataFrame, targets: DataFrame, max_depth: int, goes_on=None) -> DataFrame:
-    """target, node, class_name, field, depth of all that refer to the targets (obj_id), directly or through others.
-
-    Breadth-first; each target meets a node once, over its least (class, field). goes_on(found) may tell, from the
-    rows found so far, the targets (target) to search further for.
-    """
+def found_by(refs: DataFrame, objects: DataFrame, numbers: DataFrame, max_depth: int, done=None) -> DataFrame:
+    """bits.search() of numbered targets against references; objects without a class are `(unknown)`."""
     kind = objects.select(F.col("obj_id").alias("from_id"), F.coalesce("class_name", F.lit("(unknown)")).alias("class_name"))
     links = stored(refs.groupBy("from_id", "to_id").agg(F.min("field").alias("field")).join(kind, "from_id"), "links")
-    frontier = seen = stored(targets.select(F.col("obj_id").alias("target"), F.col("obj_id").alias("node")).distinct(), "met")
-    found = None
-    for depth in range(1, max_depth + 1):
-        step = links.join(frontier.select("target", F.col("node").alias("to_id")), "to_id").groupBy("target", F.col("from_id").alias("node")).agg(F.min(F.struct("class_name", "field")).alias("by"))
-        step = stored(step.join(seen, ["target", "node"], "left_anti").select("target", "node", "by.class_name", "by.field", F.lit(depth).alias("depth")), "met")
-        if step.isEmpty():
-            break
-        found = step if found is None else found.unionByName(step)
-        seen = seen.unionByName(step.select("target", "node"))
-        seen = seen if depth % TABLES else stored(seen, "met")
-        frontier = step.select("target", "node")
-        if goes_on is not None:
-            frontier = frontier.join(goes_on(found), "target", "left_semi")
-    return found if found is not None else objects.sparkSession.createDataFrame([], "target long, node long, class_name string, field string, depth int")
+    return bits.search(links, numbers, max_depth, done=done)
 
 
 def _sampled(objects: DataFrame, wanted: DataFrame, samples: int) -> tuple[DataFrame, DataFrame]:
-    """A stratified sample of each wanted class (class_name): obj_id, class_name, shallow; and per class its totals."""
+    """A stratified sample of each wanted class (class_name): obj_id, class_name, shallow, number; and per class its totals."""
     rows = objects.join(wanted.select("class_name").distinct(), "class_name", "left_semi")
-    sample = stored(stratified_sample(rows, samples).select("obj_id", "class_name", "shallow"), "sample")
+    sample = bits.numbered(stratified_sample(rows, samples).select("obj_id", "class_name", "shallow"), "class_name")
     whole = rows.groupBy("class_name").agg(F.count("*").alias("instances"), F.sum("shallow").alias("total_size"))
     taken = sample.groupBy("class_name").agg(F.count("*").alias("sampled"), F.sum("shallow").alias("sampled_size"))
     return sample, whole.join(taken, "class_name").select(F.col("class_name").alias("target_class"), "instances", "total_size", "sampled", "sampled_size")
@@ -61,8 +45,8 @@ def by_depth(refs: DataFrame, objects: DataFrame, wanted: DataFrame, n: int | No
     is over 100 per cent. Ranked by depth, then size; the first n of each class.
     """
     sample, whole = _sampled(objects, wanted, samples)
-    once = met(refs, objects, sample, max_depth).select("target", "class_name", "field", "depth").distinct()
-    once = once.withColumnRenamed("class_name", "retainer_class").join(renamed(sample, target="obj_id", target_class="class_name", shallow="shallow"), "target")
+    once = bits.targets_of(found_by(refs, objects, sample, max_depth), "class_name", "field", "depth")
+    once = once.withColumnRenamed("class_name", "retainer_class").join(renamed(sample, number="number", target_class="class_name", shallow="shallow"), "number")
     rows = once.groupBy("target_class", "retainer_class", "field", "depth").agg(F.count("*").alias("n"), F.sum("shallow").alias("s")).join(whole, "target_class")
     rows = rows.withColumns({"count": _scaled("n"), "size": _scaled("s")})
     pct = F.when(F.col("total_size") > 0, F.least(F.col("size") * 100.0 / F.col("total_size"), F.lit(100.0))).otherwise(0.0)
@@ -84,12 +68,16 @@ def business(refs: DataFrame, objects: DataFrame, wanted: DataFrame, roots: Data
     share is of the sampled targets' size; depth and root are those of the nearest of the class's objects.
     """
     sample, whole = _sampled(objects, wanted, samples)
-    many = lambda found: found.where(classes.is_business("class_name")).groupBy("target").agg(F.countDistinct("class_name").alias("n")).where(F.col("n") >= enough)
-    searched = sample.select(F.col("obj_id").alias("target"))
-    found = met(refs, objects, sample, max_depth, lambda f: searched.join(many(f), "target", "left_anti")).where(classes.is_business("class_name"))
+
+    def done(found: DataFrame) -> DataFrame:
+        many = bits.targets_of(found.where(classes.is_business("class_name")), "class_name").groupBy("number").agg(F.count("*").alias("n"))
+        return bits.as_words(many.where(F.col("n") >= enough))
+
+    found = found_by(refs, objects, sample, max_depth, done).where(classes.is_business("class_name"))
     rooted = roots.select(F.col("obj_id").alias("node"), F.lit(True).alias("is_root")).distinct()
-    near = found.join(rooted, "node", "left").groupBy("target", "class_name").agg(F.min(F.struct("depth", F.col("is_root").isNull().alias("no_root"))).alias("at"))
-    near = near.join(renamed(sample, target="obj_id", target_class="class_name", shallow="shallow"), "target")
+    near = bits.targets_of(found.join(rooted, "node", "left").withColumn("no_root", F.col("is_root").isNull()), "class_name", "depth", "no_root")
+    near = near.groupBy("number", "class_name").agg(F.min(F.struct("depth", "no_root")).alias("at"))
+    near = near.join(renamed(sample, number="number", target_class="class_name", shallow="shallow"), "number")
     rows = near.groupBy("target_class", "class_name").agg(F.min("at").alias("at"), F.count("*").alias("n"), F.sum("shallow").alias("s")).join(whole, "target_class")
     pct = F.when(F.col("sampled_size") > 0, F.least(F.col("s") * 100.0 / F.col("sampled_size"), F.lit(100.0))).otherwise(0.0)
     rows = rows.select("target_class", "class_name", "at.depth", _scaled("n").alias("count"), _scaled("s").alias("size"), pct.alias("pct"), (~F.col("at.no_root")).alias("is_root"))
@@ -126,6 +114,18 @@ def sub_graph(refs: DataFrame, objects: DataFrame, class_name: str, seeds: int =
     return nodes.join(named, "obj_id").select("obj_id", "class_name", "shallow", "depth"), edges.select("from_id", "to_id", "field")
 
 
+def sub_graphs(refs: DataFrame, objects: DataFrame, wanted: DataFrame, most: int = 20, **limits: int) -> tuple[DataFrame, DataFrame]:
+    """sub_graph() of each wanted class (class_name), at most `most` of them: nodes and edges with of_class before them."""
+    # A few names reach the driver: a picture for each is asked for.
+    names = [r.class_name for r in wanted.select("class_name").distinct().orderBy("class_name").limit(most).collect()]
+    nodes = objects.sparkSession.createDataFrame([], "of_class string, obj_id long, class_name string, shallow long, depth int")
+    edges = objects.sparkSession.createDataFrame([], "of_class string, from_id long, to_id long, field string")
+    for name in names:
+        n, e = sub_graph(refs, objects, name, **limits)
+        nodes, edges = nodes.unionByName(n.withColumn("of_class", F.lit(name))), edges.unionByName(e.withColumn("of_class", F.lit(name)))
+    return nodes, edges
+
+
 def of_arrays(refs: DataFrame, objects: DataFrame) -> DataFrame:
     """class_name, references: classes, arrays left out, that refer to arrays."""
     arrays = objects.where("class_name like '%[]'").select(F.col("obj_id").alias("to_id"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import classes, values
 from ..functions import frames as fn
-from ..operators import advisor, callgraph, flamegraph, heap, leaks, retainers, stats
+from ..operators import advisor, callgraph, flamegraph, heap, leaks, paths, retainers, stats
 from ..streaming import intake
 from ..streaming import tasks as queue
 from . import heap_queries as hq
@@ -83,13 +83,29 @@ _ALL = 1 << 40
 on_heap("M11_top_retainers", lambda h: retainers.of_top_classes(h["refs"], h["objects"], heap.histogram(h["objects"]), heap.histogram(h["objects"]).select("class_name", F.col("total_size").alias("retained")), 7, 8, samples=_ALL), f"{_MET}, u as (select distinct target, target_class, class_name, field, depth from b), r as (select u.target_class, u.class_name as retainer_class, field, depth, count(*) as count, cast(sum(shallow) as bigint) as size from u join objects on obj_id = target group by all) select target_class, retainer_class, field, depth, count, size, least(size * 100.0::double / total, 100.0) as pct, rank, total as class_retained from (select *, cast(row_number() over (partition by target_class order by depth, size desc, retainer_class, field) as integer) as rank from r) join whole using (target_class) where rank <= 8")
 on_heap("M12_business_retainers", lambda h: retainers.business(h["refs"], h["objects"], h["objects"].select("class_name").distinct(), h["roots"], samples=_ALL, max_depth=5), f"{_MET}, n as (select target, target_class, class_name, cast(min(depth) as integer) as depth from b group by all), r as (select n.target_class, n.class_name, min(depth) as depth, count(*) as count, cast(sum(shallow) as bigint) as size from n join objects on obj_id = target group by all) select r.target_class, class_name, depth, count, size, least(size * 100.0::double / total, 100.0) as pct, class_name = 'com.shop.region' as is_root, cast(row_number() over (partition by r.target_class order by size desc, class_name) as integer) as rank from r join whole using (target_class)")
 on_heap("M13_sub_graph", lambda h: retainers.sub_graph(h["refs"], h["objects"], "com.shop.nation")[1], f"with {H} select from_id, to_id, field from refs where field = 'nations' and to_id in (select obj_id from objects where class_name = 'com.shop.nation' order by obj_id limit 10)")
-on_heap("M13_sub_graph_nodes", lambda h: retainers.sub_graph(h["refs"], h["objects"], "com.shop.nation")[0], f"with {H}, n as (select obj_id, 0 as depth from objects where class_name = 'com.shop.nation' order by obj_id limit 10), m as (select * from n union all select distinct from_id, 1 from refs where to_id in (select obj_id from n)) select obj_id, class_name, shallow, cast(depth as integer) as depth from m join objects using (obj_id)")
+on_heap("M13_sub_graph_nodes", lambda h: retainers.sub_graph(h["refs"], h["objects"], "com.shop.nation")[0], f"with {H}, n as materialized (select {st.STRIDE} + n_nationkey as obj_id, n_regionkey as above, 0 as depth from nation order by 1 limit 10), m as materialized (select obj_id, depth from n union all select distinct cast(above as bigint), 1 from n) select obj_id, class_name, shallow, cast(depth as integer) as depth from m join (select * from objects where class_name in ('com.shop.nation', 'com.shop.region')) o using (obj_id)")
 on_heap("F30_holders_of_arrays", lambda h: retainers.of_arrays((v := with_collections(h))["refs"], v["objects"]), f"with {H} select 'java.util.ArrayList' as class_name, count(*) as references from refs where field = 'lines'")
 on_heap("F31_array_holders", lambda h: heap.array_holders((v := with_collections(h))["refs"], v["objects"], v["objects"].withColumn("retained", F.col("shallow"))), f"with {H}, c as (select from_id, count(distinct to_id) as n from refs where field in ('part', 'supplier') group by 1) select 'java.util.ArrayList' as holder_class, count(*) as arrays, cast(sum(coalesce(n, 0)) as bigint) as children, cast(sum(shallow) as bigint) as retained from refs r join objects o on o.obj_id = r.to_id left join c on c.from_id = r.to_id where field = 'lines'")
 on_heap("J09_retained_over_total", lambda h: retainers.with_retainers_size(heap.histogram(h["objects"]), h["objects"].where("class_name = 'com.shop.part'").select(F.col("class_name").alias("target_class"), F.lit(7).cast("long").alias("class_retained")).distinct()).select("class_name", "total_size", "size"), f"with {H}, c as (select class_name, cast(sum(shallow) as bigint) as total_size from objects group by 1) select class_name, total_size, case when class_name = 'com.shop.part' then 7 else total_size end as size from c")
 _PATHS = f"select {3 * st.STRIDE} + o_orderkey as target, n_regionkey || '>' || ({st.STRIDE} + n_nationkey) || '>' || ({2 * st.STRIDE} + c_custkey) || '>' || ({3 * st.STRIDE} + o_orderkey) as path, cast(4 as integer) as length from orders join customer on o_custkey = c_custkey join nation on c_nationkey = n_nationkey"
 _orders = lambda h: heap.paths_to_roots(h["refs"], h["roots"], h["objects"].where("class_name = 'com.shop.orders'"))
 on_heap("M14_paths_to_roots", lambda h: _orders(h).select("target", F.concat_ws(">", F.col("path").cast("array<string>")).alias("path"), "length"), _PATHS)
+_WAYS = f"""with recursive {H}, l as (select obj_id, 0 as level from roots union select to_id, level + 1 from l join refs on from_id = obj_id), levels as materialized (
+    select obj_id, min(level) as level from l group by 1
+), f as materialized (select from_id, to_id, min(field) as field from refs group by all), w as (
+    select distinct obj_id, 0 as level, [obj_id] as back, [cast(null as varchar)] as fields from roots
+    union all
+    select to_id, w.level + 1, list_prepend(to_id, back), list_prepend(f.field, fields) from w join f on from_id = w.obj_id join levels v on v.obj_id = to_id and v.level = w.level + 1
+), ways as (select obj_id as target, row_number() over (partition by obj_id order by back) as rank, len(back) as length, list_reverse(list_transform(list_zip(back, fields), lambda z : coalesce(z[2], '') || ':' || z[1])) as steps from w)"""
+_steps = lambda path: F.concat_ws(">", F.transform(path, lambda s: F.concat(F.coalesce(s["field"], F.lit("")), F.lit(":"), s["obj_id"].cast("string"))))
+on_heap("M14_paths_with_fields", lambda h: paths.root_paths(paths.shortest_ways(h["refs"], h["roots"]), h["objects"], h["objects"]).select("target", "rank", "length", _steps("path").alias("path")), f"{_WAYS} select target, cast(rank as integer) as rank, cast(length as integer) as length, array_to_string(steps, '>') as path from ways where rank <= 3")
+on_heap(
+    "M17_biggest_described",
+    lambda h: paths.described(heap.biggest_objects(s := sized(h), 30), h["refs"], s, paths.shortest_ways(h["refs"], h["roots"], 1), 5).select(
+        "obj_id", "retained", F.concat_ws(",", F.transform("fields", lambda f: F.concat(f["name"], F.lit(":"), f["to_id"].cast("string"), F.lit(":"), f["class_name"], F.lit(":"), f["retained"].cast("string")))).alias("fields"), _steps("path").alias("path")
+    ),
+    f"{hq._RETAINED}, big as (select * from sizes where reachable order by retained desc, obj_id limit 30), h as (select from_id, field, to_id from (select distinct from_id, field, to_id from refs where from_id in (select obj_id from big)) qualify row_number() over (partition by from_id order by field, to_id) <= 5), t as (select from_id, string_agg(field || ':' || to_id || ':' || s.class_name || ':' || s.retained, ',' order by s.retained desc, field, to_id) as fields from h join sizes s on s.obj_id = to_id group by 1), {_WAYS[len('with recursive ' + H) + 2:]}, p as (select target, array_to_string(steps, '>') as path from ways where rank = 1) select big.obj_id, retained, coalesce(fields, '') as fields, path from big left join t on from_id = big.obj_id left join p on target = big.obj_id",
+)
 on_heap("F33_roots_by_head", lambda h: retainers.roots_by_head(_orders(h), h["roots"], h["objects"]), f"with p as ({_PATHS}) select 'JNI_GLOBAL' as root_type, 'com.shop.region' as class_name, count(distinct target) as targets, count(*) as paths from p")
 on_heap("G15_ordered_retainers", lambda h: retainers.ordered(heap.retainers_by_depth(h["refs"], h["objects"], h["objects"].where("class_name = 'com.shop.orders'")), 2), f"with {H} select 'com.shop.customer' as retainer_class, 'orders' as field, cast(1 as integer) as depth, count(*) as count, cast(sum(shallow) as bigint) as size from objects where class_name = 'com.shop.orders' union all select 'com.shop.nation', 'customers', 2, count(*), cast(sum(shallow) as bigint) from objects where class_name = 'com.shop.orders'")
 on_heap("G17_roots_by_size", lambda h: retainers.roots_by_size(h["roots"], sized(h), 3), f"{hq._RETAINED} select obj_id, 'JNI_GLOBAL' as root_type, class_name, shallow, retained from sizes where class_name = 'com.shop.region' order by retained desc, obj_id limit 3")
@@ -147,10 +163,11 @@ on_profiles("Q_PALL_functions", lambda p: modes.analyze(p, "pprof-all", "quick")
 
 
 def _heap_mode(h: dict[str, DataFrame], name: str) -> DataFrame:
-    return modes.java_heap(h, _STANDARD, retainers_of=0)[name]
+    return modes.java_heap(h, _STANDARD, retainers_of=0, graphs_of=0, details=False)[name]
 
 
 on_heap("Q_HEAP_classes", lambda h: _heap_mode(h, "classes"), f"{hq._RETAINED}, a as (select s.class_name, cast(sum(s.retained) as bigint) as retained from sizes s left join sizes d on d.obj_id = s.idom where s.reachable and s.class_name is distinct from d.class_name group by 1), b as (select d.class_name, cast(sum(s.shallow) as bigint) as attributed from sizes s join sizes d on d.obj_id = s.idom group by 1) select coalesce(a.class_name, b.class_name) as class_name, retained, attributed from a full join b on a.class_name = b.class_name")
+on_heap("Q_HEAP_graph_edges", lambda h: retainers.sub_graphs(h["refs"], h["objects"], h["objects"].where("class_name in ('com.shop.nation', 'com.shop.region')").select("class_name"))[1], f"with {H} select 'com.shop.nation' as of_class, from_id, to_id, field from refs where field = 'nations' and to_id in (select {st.STRIDE} + n_nationkey from nation order by 1 limit 10)")
 on_heap("Q_HEAP_biggest", lambda h: _heap_mode(h, "biggest").select("obj_id", "class_name", "retained", "idea"), f"{hq._RETAINED} select obj_id, class_name, retained, retained as idea from sizes where reachable order by retained desc, obj_id limit 100")
 
 

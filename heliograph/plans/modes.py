@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.values import MODES, parse_mode, parse_preset
-from ..operators import advisor, callgraph, flamegraph, heap, leaks, retainers, stats
+from ..operators import advisor, callgraph, flamegraph, heap, leaks, paths, retainers, stats
 from ..sources import collapsed, graphs, pprof
 from . import sinks
 from .storage import stored
@@ -97,8 +97,14 @@ def _suggested(samples: DataFrame, limits: Preset, kind: str) -> DataFrame:
     return advisor.advise(stored(stats.top_functions(samples, limits.functions, limits.idle), "functions"), kind)
 
 
-def java_heap(tables: dict[str, DataFrame], limits: Preset, retainers_of: int = 20, graphs_of: int = 0) -> Results:
-    """histogram, classes, biggest, roots, roots_by_class, retainers, business_retainers, suggestions, stats of a heap."""
+def java_heap(tables: dict[str, DataFrame], limits: Preset, retainers_of: int = 20, graphs_of: int | None = None, details: bool | None = None) -> Results:
+    """histogram, classes, biggest, biggest_details, roots, roots_by_class, retainers, business_retainers, graph_nodes, graph_edges, suggestions, stats of a heap.
+
+    biggest_details has the largest objects' fields and a path from a root, graphs are of the first graphs_of classes:
+    both unless the preset is without paths.
+    """
+    details = limits.paths if details is None else details
+    graphs_of = (5 if limits.paths else 0) if graphs_of is None else graphs_of
     objects, refs = stored(tables["objects"].where("obj_id is not null").dropDuplicates(["obj_id"]), "objects"), stored(tables["refs"], "refs")
     roots = stored(heap.root_list(tables["roots"], tables.get("class_objects")), "roots")
     doms = heap.dominators(refs, roots)
@@ -119,6 +125,10 @@ def java_heap(tables: dict[str, DataFrame], limits: Preset, retainers_of: int =
         lead = heap.top_classes(histogram, min(10, retainers_of)).select("class_name")
         found["retainers"] = retainers.of_top_classes(refs, objects, histogram, by_class.where("retained is not null").select("class_name", "retained"), retainers_of)
         found["business_retainers"] = retainers.business(refs, objects, lead, roots)
+    if details:
+        found["biggest_details"] = paths.described(found["biggest"], refs, sizes, paths.shortest_ways(refs, roots, 1))
+    if graphs_of:
+        found["graph_nodes"], found["graph_edges"] = retainers.sub_graphs(refs, objects, heap.top_classes(histogram, graphs_of).select("class_name"))
     return found
 
 
