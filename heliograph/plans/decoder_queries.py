@@ -53,17 +53,17 @@ def on_dump(name: str, operator, sql: str) -> None:
 
 
 _STRINGS = [*st.DUMP_CLASSES, "nations", "region", "suppliers", "key", "nation", "name", "balance"]
-_CLASS_NAMES = {k: 100 + v for k, v in zip(("java.lang.Class", "java.lang.Object[]", "com.shop.Region", "com.shop.Nation", "com.shop.Supplier"), st.DUMP_CLASSES.values(), strict=True)}
+_CLASS_NAMES = {k: 100 + v for k, v in zip(("java.lang.Class", "java.lang.Object[]", "com.shop.Region", "com.shop.Nation", "com.shop.Supplier", "com.shop.Named", "com.shop.Entity"), st.DUMP_CLASSES.values(), strict=True)}
 on_dump("A08_A09_dump_header", lambda t: t["header"], "select cast(8 as integer) as id_size, cast(1700000000000 as bigint) as taken_ms")
 on_dump("A10_dump_strings", lambda t: t["strings"], f"select unnest(range(1, {len(_STRINGS) + 1})) as name_id, unnest({_STRINGS}) as text")
-on_dump("A11_J02_dump_classes", lambda t: t["classes"].select("class_id", "name", "instance_size"), f"select unnest({list(_CLASS_NAMES.values())}::bigint[]) as class_id, unnest({list(_CLASS_NAMES)}) as name, unnest([0, 0, 8, 20, 24]::bigint[]) as instance_size")
+on_dump("A11_J02_dump_classes", lambda t: t["classes"].select("class_id", "name", "instance_size"), f"select unnest({list(_CLASS_NAMES.values())}::bigint[]) as class_id, unnest({list(_CLASS_NAMES)}) as name, unnest([0, 0, 8, 20, 24, 16, 8]::bigint[]) as instance_size")
 on_dump("A12_dump_roots", lambda t: t["roots"], f"select distinct {st.DUMP_IDS['region']} + n_regionkey as obj_id, 'JNI_GLOBAL' as root_type from nation")
-on_dump("A13_dump_class_fields", lambda t: t["class_fields"].select("class_id", "name", "type"), "select unnest([103, 104, 104, 104, 105, 105, 105]::bigint[]) as class_id, unnest(['nations', 'region', 'suppliers', 'key', 'nation', 'name', 'balance']) as name, unnest([2, 2, 2, 10, 2, 2, 11]::integer[]) as type")
+on_dump("A13_dump_class_fields", lambda t: t["class_fields"].select("class_id", "name", "type"), "select unnest([103, 104, 104, 104, 105, 106, 107]::bigint[]) as class_id, unnest(['nations', 'region', 'suppliers', 'key', 'balance', 'name', 'nation']) as name, unnest([2, 2, 2, 10, 11, 2, 2]::integer[]) as type")
 on_dump("A14_A17_A19_J01_dump_objects", lambda t: t["objects"].select("obj_id", "class_name", "shallow"), f"with {st.DUMP} select * from objects")
 on_dump("A15_A16_dump_references", lambda t: t["refs"], f"with {st.DUMP} select * from refs")
 on_dump("A18_dump_summary", lambda t: t["summary"], "select cast(123 as bigint) as live_bytes, cast(45 as bigint) as live_instances")
 on_dump("A12_nothing_undecoded", lambda t: t["undecoded"].agg(F.count("*").alias("n")), "select cast(0 as bigint) as n")
-on_dump("J10_class_chain", lambda t: heap.class_chain(t["classes"]), f"select unnest({list(_CLASS_NAMES.values())}::bigint[]) as class_id, unnest({list(_CLASS_NAMES.values())}::bigint[]) as ancestor_id, cast(0 as integer) as depth")
+on_dump("J10_class_chain", lambda t: heap.class_chain(t["classes"]), f"select unnest({list(_CLASS_NAMES.values())}::bigint[]) as class_id, unnest({list(_CLASS_NAMES.values())}::bigint[]) as ancestor_id, cast(0 as integer) as depth union all select unnest([105, 105, 106]), unnest([106, 107, 107]), unnest([1, 2, 1])")
 _SUPPLIER = st.DUMP_IDS["supplier"] + 1
 on_dump("M18_G16_object_fields", lambda t: heap.object_fields(t["objects"], t["refs"], t["classes"], t["class_fields"], t["objects"].withColumn("retained", F.col("shallow")), _SUPPLIER).select("name", "type", "to_id", "class_name"), f"select unnest(['nation', 'name', 'balance']) as name, unnest([2, 2, 11]::integer[]) as type, unnest([{st.DUMP_IDS['nation']} + s_nationkey, {st.DUMP_IDS['name']} + 1, null]::bigint[]) as to_id, unnest(['com.shop.Nation', 'byte[]', null]) as class_name from supplier where s_suppkey = 1")
 

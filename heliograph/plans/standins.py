@@ -231,7 +231,9 @@ PROFILES = """stacks as (
 
 
 #: Ids of the stand-in dump's classes, and from which its objects' ids count.
-DUMP_CLASSES = {"java/lang/Class": 1, "[Ljava/lang/Object;": 2, "com/shop/Region": 3, "com/shop/Nation": 4, "com/shop/Supplier": 5}
+DUMP_CLASSES = {"java/lang/Class": 1, "[Ljava/lang/Object;": 2, "com/shop/Region": 3, "com/shop/Nation": 4, "com/shop/Supplier": 5, "com/shop/Named": 6, "com/shop/Entity": 7}
+#: Superclasses in the stand-in dump.
+DUMP_ABOVE = {5: 6, 6: 7}
 DUMP_IDS = {"region": 1_000, "nation": 2_000, "nations": 3_000, "suppliers": 4_000, "supplier": 1_000_000, "name": 500_000_000}
 
 
@@ -277,8 +279,9 @@ def dump_bytes(nations: list[dict]) -> Iterator[bytes]:
     yield b"JAVA PROFILE 1.0.2\0" + u4(8) + u8(1_700_000_000_000)
     yield b"".join(record(0x01, u8(i) + n.encode()) for n, i in text.items())
     yield b"".join(record(0x02, u4(1) + u8(100 + i) + u4(0) + u8(text[n])) for n, i in DUMP_CLASSES.items())
-    layouts = {1: (0, []), 2: (0, []), 3: (8, [("nations", 2)]), 4: (20, [("region", 2), ("suppliers", 2), ("key", 10)]), 5: (24, [("nation", 2), ("name", 2), ("balance", 11)])}
-    head = b"".join(b"\x20" + u8(100 + c) + u4(0) + u8(0) * 6 + u4(size) + u2(0) + u2(0) + u2(len(fields)) + b"".join(u8(text[f]) + u1(t) for f, t in fields) for c, (size, fields) in layouts.items())
+    layouts = {1: (0, []), 2: (0, []), 3: (8, [("nations", 2)]), 4: (20, [("region", 2), ("suppliers", 2), ("key", 10)]), 5: (24, [("balance", 11)]), 6: (16, [("name", 2)]), 7: (8, [("nation", 2)])}
+    above = lambda c: u8(100 + DUMP_ABOVE[c]) if c in DUMP_ABOVE else u8(0)
+    head = b"".join(b"\x20" + u8(100 + c) + u4(0) + above(c) + u8(0) * 5 + u4(size) + u2(0) + u2(0) + u2(len(fields)) + b"".join(u8(text[f]) + u1(t) for f, t in fields) for c, (size, fields) in layouts.items())
     instance = lambda obj, cls, data: b"\x21" + u8(obj) + u4(0) + u8(100 + cls) + u4(len(data)) + data
     array = lambda obj, ids: b"\x22" + u8(obj) + u4(0) + u4(len(ids)) + u8(102) + b"".join(map(u8, ids))
     regions = sorted({n["n_regionkey"] for n in nations})
@@ -291,7 +294,7 @@ def dump_bytes(nations: list[dict]) -> Iterator[bytes]:
         body = instance(at["nation"] + k, 4, u8(at["region"] + n["n_regionkey"]) + u8(at["suppliers"] + k) + u4(k)) + array(at["suppliers"] + k, [at["supplier"] + s["s_suppkey"] for s in some])
         for s in some:
             raw = s["s_name"].encode()
-            body += instance(at["supplier"] + s["s_suppkey"], 5, u8(at["nation"] + k) + u8(at["name"] + s["s_suppkey"]) + u8(7))
+            body += instance(at["supplier"] + s["s_suppkey"], 5, u8(7) + u8(at["name"] + s["s_suppkey"]) + u8(at["nation"] + k))
             body += b"\x23" + u8(at["name"] + s["s_suppkey"]) + u4(0) + u4(len(raw)) + u1(8) + raw
         yield record(0x1C, body)
     yield record(0x07, u4(123) + u4(45) + u8(678) + u8(90)) + record(0x2C, b"")
@@ -305,9 +308,10 @@ DUMP = f"""objects as (
     union all select {_D["suppliers"]} + s_nationkey, 'java.lang.Object[]', cast((16 + count(*) * 8 + 7) // 8 * 8 as bigint) from supplier where s_nationkey in (select n_nationkey from nation) group by s_nationkey
     union all select {_D["supplier"]} + s_suppkey, 'com.shop.Supplier', cast(40 as bigint) from supplier where s_nationkey in (select n_nationkey from nation)
     union all select {_D["name"]} + s_suppkey, 'byte[]', cast((16 + strlen(s_name) + 7) // 8 * 8 as bigint) from supplier where s_nationkey in (select n_nationkey from nation)
-    union all select 100 + c, 'java.lang.Class', cast(96 as bigint) from (select unnest(range(1, 6)) as c)
+    union all select 100 + c, 'java.lang.Class', cast(96 as bigint) from (select unnest(range(1, 8)) as c)
 ), refs as (
     select {_D["region"]} + n_regionkey as from_id, {_D["nations"]} + n_regionkey as to_id, 'nations' as field from nation group by n_regionkey
+    union all select unnest([105, 106]), unnest([106, 107]), '<superclass>'
     union all select {_D["nations"]} + n_regionkey, {_D["nation"]} + n_nationkey, '[' || (row_number() over (partition by n_regionkey order by n_nationkey) - 1) || ']' from nation
     union all select {_D["nation"]} + n_nationkey, {_D["region"]} + n_regionkey, 'region' from nation
     union all select {_D["nation"]} + n_nationkey, {_D["suppliers"]} + n_nationkey, 'suppliers' from nation

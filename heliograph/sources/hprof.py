@@ -1,7 +1,7 @@
 """JVM heap dumps as tables: an index of the file's records first, then a task for each heap segment.
 
-Records of strings and classes and the places of heap segments come from a pass over record headers, which skips the
-segments' bodies. Segments, the long ones in parts, are then decoded by many tasks, each reading its own range of the
+Records of strings and classes and the places of heap segments come from record headers, which many tasks look for, each
+in its own range of the file, and which skip the segments' bodies. Segments, the long ones in parts, are then decoded by many tasks, each reading its own range of the
 file as a stream. Instance references are
 taken from the raw field bytes by a join to the class layouts, so it doesn't matter which comes first in a dump.
 """
@@ -11,6 +11,7 @@ from __future__ import annotations
 import struct
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
@@ -142,49 +143,163 @@ def parts_of(file, at: int, length: int, id_size: int) -> Iterator[tuple[int, in
         yield first, at + length - first
 
 
-def index(spark: SparkSession, path: str) -> DataFrame:
-    """INDEX rows of the dumps under path: kind is string, class, segment or summary."""
-    files = spark.read.format("binaryFile").load(path).select("path")
+#: Bytes of a dump whose records one task looks for, and successive heads that have to agree on where they are.
+RANGE_BYTES, AGREE = 64 << 20, 8
+#: Tags of a dump's records.
+TAGS = (0x01, 0x02, 0x03, 0x04, 0x05, 0x06, 0x07, 0x0A, 0x0B, 0x0C, 0x0D, 0x0E, 0x1C, 0x2C)
+
+
+def dump_head(file) -> tuple[int, int, int]:
+    """Size of ids, milliseconds when it was taken, and where the first record begins."""
+    file.seek(0)
+    head = b""
+    while not head.endswith(b"\0"):
+        if not (one := file.read(1)):
+            raise ValueError("not a heap dump: its first line has no end")
+        head += one
+    return *struct.unpack(">IQ", file.read(12)), file.tell()
+
+
+def agrees(file, at: int, size: int) -> bool:
+    """Whether AGREE heads in a row from `at`, or all up to the file's end, have known tags and lengths that fit."""
+    for _ in range(AGREE):
+        if at == size:
+            return True
+        if at + 9 > size:
+            return False
+        file.seek(at)
+        tag, _, length = struct.unpack(">BII", file.read(9))
+        at += 9 + length
+        if tag not in TAGS or at > size:
+            return False
+    return True
+
+
+def first_record(file, start: int, stop: int, size: int) -> int | None:
+    """The first place from start on, before stop, where records seem to begin."""
+    known = np.zeros(256, bool)
+    known[list(TAGS)] = True
+    for base in range(start, stop, _Bytes.WINDOW):
+        file.seek(base)
+        raw = np.frombuffer(file.read(min(_Bytes.WINDOW + 9, size - base)), np.uint8)
+        spots = np.flatnonzero(known[raw[: max(0, min(len(raw) - 8, stop - base))]])
+        length = sum(raw[spots + 5 + k].astype(np.int64) << 8 * (3 - k) for k in range(4))
+        for spot in spots[base + spots + 9 + length <= size].tolist():
+            if agrees(file, base + spot, size):
+                return base + spot
+    return None
+
+
+def records_from(file, name: str, id_size: int, taken: int, head: int, at: int, stop: int, size: int) -> Iterator[tuple]:
+    """INDEX tuples of the records that begin from `at` on and before stop, last of all a `bounds` row with where they end.
+
+    A bounds row has the first record's place as id, where the last one ends as other, the dump's first one's as offset.
+    """
+    begin = at
+    while at < stop and at + 9 <= size:
+        file.seek(at)
+        tag, _, length = struct.unpack(">BII", file.read(9))
+        place = at + 9
+        if tag == 0x01:
+            b = _Bytes(file, place, length, id_size)
+            yield name, id_size, taken, "string", b.id(), None, b.take(length - id_size).decode("utf-8", "replace"), place, length
+        elif tag == 0x02:
+            b = _Bytes(file, place, length, id_size)
+            b.take(4)
+            cls = b.id()
+            b.take(4)
+            yield name, id_size, taken, "class", cls, b.id(), None, place, length
+        elif tag in (0x0C, 0x1C):
+            for first, part in parts_of(file, place, length, id_size):
+                yield name, id_size, taken, "segment", None, None, None, first, part
+        elif tag == 0x07:
+            live, instances = struct.unpack_from(">II", file.read(length))
+            yield name, id_size, taken, "summary", live, instances, None, place, length
+        at = place + length
+    yield name, id_size, taken, "bounds", begin, size if at < stop else at, None, head, 0
+
+
+def ranges_read(ranges: DataFrame) -> DataFrame:
+    """INDEX rows and `at` of ranges (path, at, stop, start): from start, or where start is null from the first record found."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = [x.split()[0] for x in INDEX.split(", ")]
-        kinds = [pa.int64() if x.endswith("long") else pa.int32() if x.endswith(" int") else pa.string() for x in INDEX.split(", ")]
+        columns = [*INDEX.split(", "), "at long"]
+        names = [x.split()[0] for x in columns]
+        kinds = [pa.int64() if x.endswith("long") else pa.int32() if x.endswith(" int") else pa.string() for x in columns]
         for batch in batches:
-            for name in batch.column(0).to_pylist():
-                fs, at = pafs.FileSystem.from_uri(name)
+            for name, at, stop, start in zip(*(batch.column(c).to_pylist() for c in ("path", "at", "stop", "start")), strict=True):
+                fs, place = pafs.FileSystem.from_uri(name)
                 rows: list[tuple] = []
-                with fs.open_input_file(at) as file:
-                    head = b""
-                    while not head.endswith(b"\0"):
-                        head += file.read(1)
-                    id_size, taken = struct.unpack(">IQ", file.read(12))
-                    end = file.size()
-                    while file.tell() + 9 <= end:
-                        tag, _, length = struct.unpack(">BII", file.read(9))
-                        place = file.tell()
-                        if tag == 0x01:
-                            b = _Bytes(file, place, length, id_size)
-                            rows.append((name, id_size, taken, "string", b.id(), None, b.take(length - id_size).decode("utf-8", "replace"), place, length))
-                        elif tag == 0x02:
-                            b = _Bytes(file, place, length, id_size)
-                            b.take(4)
-                            cls = b.id()
-                            b.take(4)
-                            rows.append((name, id_size, taken, "class", cls, b.id(), None, place, length))
-                        elif tag in (0x0C, 0x1C):
-                            for first, size in parts_of(file, place, length, id_size):
-                                rows.append((name, id_size, taken, "segment", None, None, None, first, size))
-                        elif tag == 0x07:
-                            live, instances = struct.unpack_from(">II", file.read(length))
-                            rows.append((name, id_size, taken, "summary", live, instances, None, place, length))
-                        file.seek(place + length)
-                        if len(rows) >= 10_000:
-                            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
-                            rows = []
+                with fs.open_input_file(place) as file:
+                    size = file.size()
+                    id_size, taken, head = dump_head(file)
+                    begin = start if start is not None else head if at <= head < stop else first_record(file, at, stop, size)
+                    if begin is None:
+                        rows.append((name, id_size, taken, "bounds", None, None, None, head, 0, at))
+                    else:
+                        for row in records_from(file, name, id_size, taken, head, begin, stop, size):
+                            rows.append((*row, at))
+                            if len(rows) >= 10_000:
+                                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+                                rows = []
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
-    return files.mapInArrow(run, INDEX)
+    return ranges.select("path", "at", "stop", "start").mapInArrow(run, f"{INDEX}, at long")
+
+
+def misread(bounds: list[tuple], heads: dict[str, int]) -> tuple[list[tuple[str, int]], list[tuple[str, int, int]]]:
+    """Ranges (path, at) that begin where those before end, and (path, at, start) of the first of each dump that don't.
+
+    bounds are (path, at, stop, begin, end) of all ranges; a range that a record of one before covers is right if
+    nothing of it is used.
+    """
+    right, wrong, expected, broken = [], [], dict(heads), set()
+    for path, at, stop, begin, end in sorted(bounds, key=lambda b: (b[0], b[1])):
+        if path in broken or expected[path] >= stop:
+            continue
+        if begin == expected[path]:
+            right.append((path, at))
+            expected[path] = end
+        else:
+            wrong.append((path, at, expected[path]))
+            broken.add(path)
+    return right, wrong
+
+
+def index(spark: SparkSession, path: str, range_bytes: int | None = None) -> DataFrame:
+    """INDEX rows of the dumps under path: kind is string, class, segment or summary.
+
+    Each task looks for the records that begin in a range of a dump: it searches for a place from which on several
+    heads agree. What it found is used only if it begins where the range before it ends; a range that was misled, as
+    by bytes of an object that look like records, is read again from the right place. So the rows are those of one
+    pass over the whole dump, whatever it holds.
+    """
+    step = range_bytes or RANGE_BYTES
+    files = spark.read.format("binaryFile").load(path).select("path", "length")
+    at = F.explode(F.sequence(F.lit(0), F.greatest(F.col("length") - 1, F.lit(0)), F.lit(step).cast("long"))).alias("at")
+    ranges = files.select("path", "length", at).select("path", "at", F.least(F.col("at") + step, "length").alias("stop"), F.lit(None).cast("long").alias("start"))
+    ranges = ranges.repartition(max(1, min(ranges.count(), 4 * spark.sparkContext.defaultParallelism)), "path", "at")
+    found = stored(ranges_read(ranges), "hprof-ranges")
+    # A row a range reaches the driver, 16 for each GB of a dump.
+    stops = {(r["path"], r["at"]): r["stop"] for r in ranges.select("path", "at", "stop").collect()}
+    told = found.where("kind = 'bounds'").select("path", "at", "id", "other", "offset").collect()
+    bounds, heads = {(r["path"], r["at"]): (r["id"], r["other"]) for r in told}, {r["path"]: r["offset"] for r in told}
+    tables = [found]
+    while True:
+        right, wrong = misread([(*k, stops[k], *v) for k, v in bounds.items()], heads)
+        if not wrong:
+            break
+        redo = spark.createDataFrame([(p, a, stops[p, a], start) for p, a, start in wrong], "path string, at long, stop long, start long")
+        more = stored(ranges_read(redo), "hprof-ranges")
+        bounds |= {(r["path"], r["at"]): (r["id"], r["other"]) for r in more.where("kind = 'bounds'").collect()}
+        tables = [t.join(F.broadcast(redo.select("path", "at")), ["path", "at"], "left_anti").select(*t.columns) for t in tables] + [more]
+    kept = spark.createDataFrame(right, "path string, at long")
+    whole = tables[0]
+    for t in tables[1:]:
+        whole = whole.unionByName(t)
+    names = [x.split()[0] for x in INDEX.split(", ")]
+    return whole.where("kind <> 'bounds'").join(F.broadcast(kept), ["path", "at"], "left_semi").select(*names)
 
 
 def sub_records(b: _Bytes) -> Iterator[tuple]:
