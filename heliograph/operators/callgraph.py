@@ -146,30 +146,56 @@ def caller_chains(links: DataFrame, matches: DataFrame, max_depth: int = 50, max
     return seen
 
 
+def passed_on(links: DataFrame) -> DataFrame:
+    """links (source, target, ends) where every target with one way on is replaced by where that way ends.
+
+    ends says which targets are ends. Pointer doubling: a chain of n such nodes takes log n rounds. A way that runs in
+    a circle has no end; its links are left out.
+    """
+    from ..plans.storage import stored
+
+    links = stored(links.where("source <> target").distinct(), "links")
+    onward = links.join(links.where("not ends").select(F.col("target").alias("source")).distinct(), "source", "left_semi")
+    alone = stored(onward.groupBy("source").agg(F.min("target").alias("to"), F.count("*").alias("n")).where("n = 1").select(F.col("source").alias("node"), "to"), "alone")
+    ptr, left = alone, alone.count()
+    going = left > 0
+    while going and left:
+        step = ptr.select(F.col("node").alias("to"), F.col("to").alias("next"))
+        ptr = stored(ptr.join(step, "to", "left").select("node", F.coalesce("next", "to").alias("to"), F.col("next").isNotNull().alias("moved")), "ways")
+        going, left = not ptr.where("moved").isEmpty(), left // 2
+    last = ptr.select("node", "to").join(alone.select(F.col("node").alias("to"), F.lit(True).alias("circles")), "to", "left")
+    ways = last.select(F.col("node").alias("target"), F.when(F.col("circles").isNull(), F.col("to")).alias("to"), F.lit(True).alias("alone"))
+    rest = links.join(alone.select(F.col("node").alias("source")), "source", "left_anti").join(ways, "target", "left")
+    return rest.select("source", F.when(F.coalesce("alone", F.lit(False)), F.col("to")).otherwise(F.col("target")).alias("target")).where("target is not null and source <> target").distinct()
+
+
 def bridges(links: DataFrame, hidden: DataFrame) -> DataFrame:
     """source, target of visible nodes joined only through hidden ones; hidden has node_id.
 
-    A path through hidden nodes ends where it would come to a pair that it had before, so the rounds are as many as
-    the longest way through hidden nodes.
+    Hidden nodes with one way on are drawn together first, however many follow each other. A path through those that
+    branch ends where it would come to a pair that it had before, so the rounds are as many as such nodes on the
+    longest way.
     """
     from ..plans.storage import stored
 
-    is_hidden = lambda side: hidden.select(F.col("node_id").alias(side))
-    path = stored(links.select("source", "target").join(is_hidden("source"), "source", "left_anti").join(is_hidden("target"), "target", "left_semi").distinct(), "paths")
-    inner, met = stored(links.select(F.col("source").alias("target"), F.col("target").alias("next")).join(is_hidden("target"), "target", "left_semi").distinct(), "inner"), path
-    found, rounds = None, 0
+    is_hidden = lambda side: hidden.select(F.col("node_id").alias(side)).distinct()
+    marked = links.select("source", "target").distinct().join(hidden.select(F.col("node_id").alias("target"), F.lit(False).alias("ends")).distinct(), "target", "left").withColumn("ends", F.coalesce("ends", F.lit(True)))
+    # Visible sources aren't drawn together: only hidden targets can be passed on from.
+    short = stored(passed_on(marked), "short")
+    outer = short.join(is_hidden("source"), "source", "left_anti")
+    direct = outer.join(is_hidden("target"), "target", "left_anti")
+    path = stored(outer.join(is_hidden("target"), "target", "left_semi").select("source", "target"), "paths")
+    inner, met = stored(short.select(F.col("source").alias("target"), F.col("target").alias("next")).join(is_hidden("target"), "target", "left_semi"), "inner"), path
+    found, rounds = direct.select("source", "target"), 0
     while not path.isEmpty():
         rounds += 1
         step = stored(path.join(inner, "target").select("source", F.col("next").alias("target")).distinct(), "steps")
-        out = step.join(is_hidden("target"), "target", "left_anti")
-        found = out if found is None else found.unionByName(out)
-        path = stored(step.join(is_hidden("target"), "target", "left_semi").join(met, ["source", "target"], "left_anti"), "paths")
+        found = found.unionByName(step.join(is_hidden("target"), "target", "left_anti"))
+        path = stored(step.join(is_hidden("target"), "target", "left_semi").join(met, ["source", "target"], "left_anti").select("source", "target"), "paths")
         met = met.unionByName(path)
         if rounds % 16 == 0:
             met, found = stored(met, "met"), stored(found.distinct(), "bridges")
-    if found is None:
-        return links.select("source", "target").where("false")
-    return found.where("source <> target").distinct().join(links.select("source", "target"), ["source", "target"], "left_anti")
+    return found.where("source <> target").distinct().join(links.select("source", "target"), ["source", "target"], "left_anti").select("source", "target")
 
 
 def documents(points: DataFrame, links: DataFrame) -> DataFrame:

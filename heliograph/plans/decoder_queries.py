@@ -11,7 +11,7 @@ from ..operators import callgraph as cg
 from ..operators import flamegraph as fg
 from ..operators import heap, stats
 from ..sources import graphs, hprof, pprof
-from . import sinks
+from . import sinks, views
 from . import standins as st
 from .profile_queries import register
 from .storage import shared_dir
@@ -78,6 +78,16 @@ register("A20_B09_kept_graph", f"with {st.HEAP} select class_name, count(*) as i
 register("A20_kept_references", f"with {st.HEAP} select field, count(*) as n from refs group by 1")(lambda spark, d: _kept(spark, d)["refs"].groupBy("field").agg(F.count("*").alias("n")))
 
 
+def _lookups(spark: SparkSession, d: str) -> dict:
+    path, h = f"{shared_dir(spark)}/kept-{uuid.uuid4().hex}", st.heap(spark, d)
+    graphs.save_lookups({"objects": h["objects"], "refs": h["refs"], "roots": h["roots"], "sizes": h["objects"].withColumn("retained", F.col("shallow") * 3)}, path, 16)
+    return views.kept_views(graphs.Lookups(spark, path))
+
+
+register("Q_API3_A20_kept_holders", f"with {st.HEAP} select from_id, class_name, field, shallow from refs join objects on obj_id = from_id where to_id = {5 * st.STRIDE + 7} order by from_id, field limit 20")(lambda spark, d: _lookups(spark, d)["retainers"](5 * st.STRIDE + 7))
+register("Q_API3_A20_kept_held", f"with {st.HEAP}, f as (select field, to_id from refs where from_id = {st.STRIDE} + 3 order by field, to_id limit 10) select field, to_id, class_name, shallow, shallow * 3 as retained from f join objects on obj_id = to_id")(lambda spark, d: _lookups(spark, d)["gc-root-retained"](st.STRIDE + 3, 10))
+
+
 def _path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 

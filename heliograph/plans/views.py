@@ -11,6 +11,7 @@ from ..functions import frames as fn
 from ..functions.values import analysis_status_name, format_bytes, format_time, is_high_priority, resource_type, task_type_name
 from ..operators import flamegraph, heap, leaks, retainers, stats
 from ..sources import collapsed
+from ..sources.graphs import Lookups
 from .sinks import read_documents
 
 #: Where the flame document of each kind of profile lies under a task's folder: the first that is there counts.
@@ -75,6 +76,23 @@ def heap_views(tables: dict[str, DataFrame], sizes: DataFrame) -> dict[str, Call
     }
 
 
+def kept_views(kept: Lookups) -> dict[str, Callable[..., DataFrame]]:
+    """heap_views()'s questions about one object of a kept graph with sizes: they read the buckets of its id, not the heap."""
+
+    def info(obj_id: int) -> DataFrame:
+        return object_info(kept.of("objects", obj_id), kept.of("sizes", obj_id), kept.of("roots", obj_id), obj_id)
+
+    def held_by(obj_id: int, n: int = 50) -> DataFrame:
+        first = kept.of("refs_from", obj_id).orderBy("field", "to_id").limit(n).select("field", "to_id")
+        return kept.joined(first, "to_id", "sizes").select("field", "to_id", "class_name", "shallow", "retained").orderBy(F.desc("retained"), "to_id")
+
+    def holders_of(obj_id: int, n: int = 20) -> DataFrame:
+        first = kept.of("refs_to", obj_id).orderBy("from_id", "field").limit(n).select("from_id", "field")
+        return kept.joined(first, "from_id", "objects").select("from_id", "class_name", "field", "shallow")
+
+    return {"info": info, "gc-root-retained": held_by, "retainers": holders_of}
+
+
 def task_list(tasks: DataFrame, n: int = 100) -> DataFrame:
     """tid, type, resource, status, priority, changed of the n tasks that changed last (column modified)."""
     rows = tasks.orderBy(F.desc("modified"), F.desc("id")).limit(n)

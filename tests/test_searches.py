@@ -143,3 +143,65 @@ def test_truncated_bytes(spark):
     rows = spark.createDataFrame([(t,) for t in texts], "t string")
     for n in (12, 8, 5, 3, 2):
         assert [r.x for r in rows.select(fn.truncated("t", n).alias("x")).collect()] == [cut(t, n) for t in texts]
+
+
+def linked(links, hidden):
+    """Visible pairs joined only through hidden nodes, without those that a link joins."""
+    onward = defaultdict(set)
+    for a, b in links:
+        onward[a].add(b)
+    found = set()
+    for s in {a for a, _ in links} - hidden:
+        seen, front = set(), [b for b in onward[s] if b in hidden]
+        while front:
+            h = front.pop()
+            if h in seen:
+                continue
+            seen.add(h)
+            for b in onward[h]:
+                if b in hidden:
+                    front.append(b)
+                elif b != s:
+                    found.add((s, b))
+    return found - set(links)
+
+
+def test_bridges(spark, monkeypatch):
+    from heliograph.operators import callgraph
+    from heliograph.plans import storage
+
+    rounds, stored = [], storage.stored
+    monkeypatch.setattr(storage, "stored", lambda df, name: rounds.append(name) or stored(df, name))
+    chain = [(f"h{i:04d}", f"h{i + 1:04d}") for i in range(1000)]
+    circle = [("v", "c0"), ("c0", "c1"), ("c1", "c2"), ("c2", "c0"), ("c3", "c3"), ("v", "c3")]
+    draw = random.Random(11)
+    mesh = [(f"m{draw.randrange(30)}", f"m{draw.randrange(30)}") for _ in range(60)]
+    links = [*chain, *circle, *mesh]
+    hidden = {f"h{i:04d}" for i in range(1, 1000)} | {"c0", "c1", "c2", "c3"} | {f"m{i}" for i in range(20)}
+    frames = spark.createDataFrame(links, "source string, target string"), spark.createDataFrame([(h,) for h in hidden], "node_id string")
+    got = {tuple(r) for r in callgraph.bridges(*frames).collect()}
+    assert got == linked(links, hidden) and ("h0000", "h1000") in got
+    assert rounds.count("ways") + rounds.count("steps") <= 20
+    assert callgraph.bridges(frames[0], frames[1].where("false")).count() == 0
+
+
+def test_lookups_read_few_buckets(spark, tmp_path):
+    from heliograph.plans import views
+    from heliograph.sources import graphs
+
+    o = spark.createDataFrame([(i, f"x.C{i % 3}", 8 + i) for i in range(500)], OBJECTS)
+    refs = [(i, 7, "hub") for i in range(400)] + [(7, i, "item") for i in range(60)]
+    r = spark.createDataFrame(refs, REFS)
+    graphs.save_lookups({"objects": o, "refs": r, "roots": spark.createDataFrame([(7, "JNI")], "obj_id long, root_type string"), "sizes": o.withColumn("retained", F.col("shallow") * 2)}, f"file://{tmp_path}", 8)
+    kept = graphs.Lookups(spark, f"file://{tmp_path}")
+    assert kept.buckets == 8 and kept.of("refs_to", 7).count() == 401 and kept.of("refs_from", 9999).count() == 0
+    plan = kept.of("refs_to", 7)._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(bucket" in plan and "PushedFilters: [IsNotNull(to_id), EqualTo(to_id,7)]" in plan
+    ask = views.kept_views(kept)
+    assert [(x.from_id, x.class_name, x.shallow) for x in ask["retainers"](7, 3).orderBy("from_id").collect()] == [(0, "x.C0", 8), (1, "x.C1", 9), (2, "x.C2", 10)]
+    assert [(x.to_id, x.retained) for x in ask["gc-root-retained"](7, 5).collect()] == [(i, 2 * (8 + i)) for i in (7, 3, 2, 1, 0)]
+    row = ask["info"](7).head()
+    assert (row.obj_id, row.class_name, row.shallow, row.retained, row.root_type) == (7, "x.C1", 15, 30, "JNI")
+    assert "dynamicpruning" in ask["retainers"](7, 3)._jdf.queryExecution().toString()
+    with pytest.raises(ValueError, match="0 sets"):
+        graphs.Lookups(spark, f"file://{tmp_path}/lookups-8")
