@@ -75,6 +75,25 @@ register("R08_leak_report", f"with {st.SNAPSHOTS}, t as (select cast(sum(case wh
 register("F08_trend", f"with {st.SNAPSHOTS} select cast(captured_at as integer) as captured_at, cast(sum(value) as bigint) as total, count(*) as stacks from snapshots group by 1")(lambda spark, d: leaks.trend(st.snapshots(spark, d)))
 
 
+def _years(spark, d: str) -> DataFrame:
+    """Orders of each year as a snapshot of a heap profile."""
+    orders = st.table(spark, d, "orders")
+    return orders.select(F.year("o_orderdate").alias("captured_at"), F.concat("o_orderpriority", F.lit("."), "o_orderstatus").alias("func"), F.round("o_totalprice").cast("bigint").alias("value"))
+
+
+register("F08_trend_of_all_years", "select cast(year(o_orderdate) as integer) as captured_at, cast(sum(cast(round(o_totalprice) as bigint)) as bigint) as total, count(*) as stacks from orders group by 1")(lambda spark, d: leaks.trend(_years(spark, d)))
+register(
+    "F07_growth_of_the_first_years",
+    "with s as (select year(o_orderdate) as y, o_orderpriority || '.' || o_orderstatus as func, cast(round(o_totalprice) as bigint) as value from orders), e as (select min(y) as a, min(y) + 1 as b from s), g as (select func, cast(coalesce(sum(case when y = a then value end), 0) as bigint) as baseline, cast(coalesce(sum(case when y = b then value end), 0) as bigint) as current from s, e where y in (a, b) group by func) select func, baseline, current, current - baseline as growth from g where current > baseline order by growth desc, func limit 50",
+)(lambda spark, d: _between(_years(spark, d)))
+
+
+def _between(rows: DataFrame) -> DataFrame:
+    a = rows.agg(F.min("captured_at")).head()[0]
+    stacks = rows.withColumn("stack", F.array(F.lit("main"), "func"))
+    return leaks.growth(stacks.where(F.col("captured_at") == a), stacks.where(F.col("captured_at") == a + 1), 60.0).select("func", "baseline", "current", "growth")
+
+
 def _functions(spark, d: str, shares: int = 5) -> DataFrame:
     """func, self_pct: event types of users as functions, under names that the rules look for; fewer shares are larger."""
     name = F.when(F.col("user_id") % 5 == 0, F.concat(F.lit("G1."), "event_type")).when(F.col("user_id") % 5 == 1, F.concat(F.lit("Lock."), "event_type")).when(F.col("user_id") % 5 == 2, F.concat(F.lit("Method.invoke."), "event_type")).otherwise(F.concat(F.lit("App."), "event_type"))

@@ -203,6 +203,16 @@ def _retainer_files(spark: SparkSession, d: str) -> DataFrame:
 
 register("Q_API2_retainers", f"with {H}, o as (select count(*) as n, cast(sum(shallow) as bigint) as s from objects where class_name = 'com.shop.orders') select unnest(['com.shop.customer', 'com.shop.nation', 'com.shop.region']) as retainer_class, unnest(['orders', 'customers', 'nations']) as field, n as count, s as size from o")(_retainer_files)
 
+def _batch_set(spark: SparkSession, d: str) -> DataFrame:
+    """Leak reports and the profiles that they compare, written as a set and read back."""
+    out, p = f"{shared_dir(spark)}/task-{uuid.uuid4().hex}", st.profiles(spark, d)
+    sinks.write_leaks(modes.leak_reports(p), p, out)
+    reports = spark.read.json(f"{out}/reports").select("kind", F.col("growth").alias("n"))
+    return reports.unionByName(spark.read.json(f"{out}/profiles").groupBy(F.concat(F.lit("profiles of "), "profile_type").alias("kind")).agg(F.count("*").alias("n")))
+
+
+register("B08_batch_set", f"{_LEAKS.replace('select *, case when growth_pct', 'select kind, growth, case when growth_pct', 1).replace('with ', 'with z as (with ', 1)}) select kind, cast(growth as bigint) as n from z union all select 'profiles of ' || unnest(['cpu', 'heap', 'goroutine', 'block', 'mutex']), cast(2 as bigint)")(_batch_set)
+
 # Tasks
 T = st.TASKS
 _POSTS = "case event_id % 5 when 0 then '{\"tid\":\"t' || event_id || '\",\"id\":' || event_id || '}' when 1 then '{\"id\":1}' when 2 then 'no json' when 3 then null else '{\"tid\":\"\"}' end"

@@ -164,3 +164,5 @@ on_frames("K09_caller_chains", lambda f: cg.caller_chains(cg.edges(f), cg.nodes(
 on_frames("K10_bridges", lambda f: cg.bridges(cg.edges(f), f.where("pos = 2").select("node_id").distinct()), f"with {W}, e as (select distinct caller as source, node_id as target, pos from frames where caller is not null) select distinct a.source, b.target from e a join e b on a.target = b.source where a.pos = 2 and b.pos = 3")
 on_frames("B05_xdot_edges", lambda f: cg.xdot(cg.nodes(f).where("total_pct >= 3"), cg.edges(f))[1].select("profile_id", "source_ordinal", "target_ordinal", "count"), f"with {W}, {_POINTS}, {_EDGES}, o as (select profile_id, node_id, cast(row_number() over (partition by profile_id order by node_id) - 1 as integer) as ordinal from nodes where total_pct >= 3) select e.profile_id, a.ordinal as source_ordinal, b.ordinal as target_ordinal, e.count from links e join o a on e.profile_id = a.profile_id and e.source = a.node_id join o b on e.profile_id = b.profile_id and e.target = b.node_id")
 on_frames("B06_dot_lines", lambda f: cg.dot_lines(*(x.where("profile_id = 'p0'") for x in cg.prune(cg.nodes(f), cg.edges(f), 3.0, 0.5))).groupBy("ord").agg(F.count("*").alias("lines")), f"with {W}, {_POINTS}, {_EDGES}, n as (select * from nodes where total_pct >= 3.0 and profile_id = 'p0') select 0 as ord, cast(1 as bigint) as lines union all select 1, count(*) from n union all select 2, count(*) from edges where profile_id = 'p0' and weight >= 0.5 and source in (select node_id from n) and target in (select node_id from n) union all select 3, 1")
+on_frames("B05_xdot_nodes", lambda f: cg.xdot(cg.nodes(f).where("total_pct >= 3"), cg.edges(f))[0].select("profile_id", "node_id", "ordinal", "label"), f"with {W}, {_POINTS} select profile_id, node_id, cast(row_number() over (partition by profile_id order by node_id) - 1 as integer) as ordinal, printf('%s\n%.2f%%\n(%.2f%%)', name, self_pct, total_pct) as label from nodes where total_pct >= 3")
+on_frames("B06_dot_text", lambda f: cg.dot_lines(*(x.where("profile_id = 'p0'") for x in cg.prune(cg.nodes(f), cg.edges(f), 3.0, 0.5))), f"with {W}, {_POINTS}, {_EDGES}, n as (select * from nodes where total_pct >= 3.0 and profile_id = 'p0') select 0 as ord, 'digraph callgraph {{' as line union all select 1, printf('  \"%s\" [label=\"%s\\n%.2f%%\\n(%.2f%%)\"];', node_id, name, self_pct, total_pct) from n union all select 2, printf('  \"%s\" -> \"%s\" [label=\"%.2f%%\"];', source, target, weight) from edges where profile_id = 'p0' and weight >= 0.5 and source in (select node_id from n) and target in (select node_id from n) union all select 3, '}}'")

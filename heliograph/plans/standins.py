@@ -16,13 +16,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-#: What was made once in a session for several queries, by application, folder and name.
-_MADE: dict[tuple[str, str, str], object] = {}
+#: What was made once in a session for several queries, by application, folder with its tables' files, and name.
+_MADE: dict[tuple, object] = {}
+
+
+def files_of(spark: SparkSession, sf_dir: str) -> tuple:
+    """Name, size and time of what lies in the folder."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(sf_dir)
+    return tuple(sorted((f.getPath().getName(), f.getLen(), f.getModificationTime()) for f in at.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(at)))
 
 
 def once(spark: SparkSession, sf_dir: str, name: str, make):
-    """make()'s result, kept for the session: files and stored tables that many queries look at."""
-    key = (spark.sparkContext.applicationId, sf_dir, name)
+    """make()'s result, kept for the session as long as the folder's files are the same.
+
+    Files that stand-ins are written to, and the retained sizes that queries about the largest objects look at, are
+    made by the first query that asks for them: times of later ones are those of the look-up alone. M07_retained_sizes
+    and M04_dominators always make theirs.
+    """
+    key = (spark.sparkContext.applicationId, sf_dir, files_of(spark, sf_dir), name)
     if key not in _MADE:
         _MADE[key] = make()
     return _MADE[key]

@@ -166,7 +166,8 @@ def write(samples: DataFrame, path: str) -> DataFrame:
 def read(spark: SparkSession, path: str) -> DataFrame:
     """pprof_samples of all `.pprof` and `.pb.gz` files below path: profile_id, profile_type, captured_at and SCHEMA's columns.
 
-    A profile is decoded by one task, a file of some megabytes at most by nature; its samples are rows.
+    A profile is decoded by one task, a file of some megabytes at most by nature; its samples are rows. profile_id is
+    the file's name; of files in several folders that share one it is the way from the folder read.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.{pprof,pb.gz}").load(path).select("path", F.col("modificationTime").alias("modified"), "content")
 
@@ -177,8 +178,8 @@ def read(spark: SparkSession, path: str) -> DataFrame:
                 for k in range(0, len(rows), 5000):
                     yield pa.RecordBatch.from_pylist(rows[k : k + 5000], schema=_arrow(batch.schema.field("modified").type))
 
-    rows = files.mapInArrow(run, SCHEMA)
-    return rows.select(file_id("path").alias("profile_id"), profile_kind("path").alias("profile_type"), captured_at("path", F.col("modified")).alias("captured_at"), "*")
+    rows = files.mapInArrow(run, SCHEMA).join(profile_ids(files.select("path"), root_of(spark, path)), "path")
+    return rows.select("profile_id", profile_kind("path").alias("profile_type"), captured_at("path", F.col("modified")).alias("captured_at"), *(c for c in rows.columns if c != "profile_id"))
 
 
 def _arrow(time: pa.DataType) -> pa.Schema:
@@ -192,6 +193,20 @@ def file_id(path: Column | str) -> Column:
     return F.regexp_replace(F.substring_index(F.col(path) if isinstance(path, str) else path, "/", -1), r"\.(pprof|pb\.gz)$", "")
 
 
+def root_of(spark: SparkSession, path: str) -> str:
+    """The folder that is read as its files' paths begin with it; empty for a pattern."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return "" if any(c in path for c in "*?[{") else at.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(at).toString().rstrip("/") + "/"
+
+
+def profile_ids(paths: DataFrame, root: str) -> DataFrame:
+    """path, profile_id: the file's name without its kind's ending, with its folders where the name comes in several."""
+    name = file_id("path")
+    below = F.regexp_replace(F.when(F.startswith("path", F.lit(root)), F.substring("path", len(root) + 1, 1 << 20)).otherwise(F.col("path")), r"\.(pprof|pb\.gz)$", "")
+    many = paths.groupBy(name.alias("name")).agg(F.count("*").alias("files"))
+    return paths.withColumn("name", name).join(many, "name").select("path", F.when(F.col("files") > 1, below).otherwise(F.col("name")).alias("profile_id"))
+
+
 def profile_kind(path: Column | str) -> Column:
     """By the folder it lies in, else by the first kind its name holds; `unknown` without."""
     path = F.lower(F.col(path) if isinstance(path, str) else path)

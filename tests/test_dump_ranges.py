@@ -69,3 +69,23 @@ def test_inherited_fields(spark, tmp_path):
     at = standins.DUMP_IDS
     got = {(r.field, r.to_id) for r in t["refs"].where(f"from_id = {at['supplier'] + 7}").collect()}
     assert got == {("nation", at["nation"] + 3), ("name", at["name"] + 7)}
+
+
+def test_profiles_of_one_name_in_several_folders(spark, tmp_path):
+    from heliograph.sources import pprof
+
+    for folder, n in (("host1", 1), ("host2", 2), ("host2/old", 3)):
+        (tmp_path / folder).mkdir(parents=True, exist_ok=True)
+        (tmp_path / folder / "cpu_1.pprof").write_bytes(pprof.encode([("samples", "count")], [(["main"], [n])]))
+    (tmp_path / "host2" / "heap_7.pb.gz").write_bytes(pprof.encode([("inuse_space", "bytes")], [(["main"], [9])]))
+    found = {r.profile_id: r["values"] for r in pprof.read(spark, str(tmp_path)).collect()}
+    assert found == {"host1/cpu_1": [1], "host2/cpu_1": [2], "host2/old/cpu_1": [3], "heap_7": [9]}
+    assert {r.profile_id for r in pprof.read(spark, f"file://{tmp_path}/host1").collect()} == {"cpu_1"}
+
+
+def test_stand_ins_are_made_anew_for_other_files(spark, tmp_path):
+    made = []
+    ask = lambda: standins.once(spark, f"file://{tmp_path}", "x", lambda: made.append(1) or len(made))
+    assert (ask(), ask()) == (1, 1)
+    (tmp_path / "orders.parquet").write_bytes(b"new")
+    assert (ask(), ask()) == (2, 2)
