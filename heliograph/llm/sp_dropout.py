@@ -31,6 +31,8 @@ from .tokens import IdPool, worker_memory
 SPACE = "▁"
 DROPOUT, SEED = 0.1, 17
 NONE = np.int64(1) << 62
+#: Slots (by hash) of the table of pairs.
+TABLE_BITS = 19
 #: Characters of a segment from which its agenda is a heap.
 LONG = 64
 
@@ -69,12 +71,44 @@ class Vocabulary:
         found = [(ids[p[:k]] * n + ids[p[k:]], i, rank[i]) for p, i in ids.items() for k in range(1, len(p)) if p[:k] in ids and p[k:] in ids]
         found.sort()
         self.pairs, self.merged, self.rank = (np.array(c, np.int64) for c in zip(*found, strict=True))
+        self.table = self.slots()
         self.merge_of = {pair: (merged, int(r)) for pair, merged, r in found}
         raw = [bytes([int(p[3:5], 16)]) if sp.is_byte(i) else p.replace(SPACE, " ").encode() if plain[i] else b"" for i, p in enumerate(pieces)]
         self.length = np.array([len(x) for x in raw], np.int64)
         self.first = np.cumsum(self.length) - self.length
         self.raw = np.frombuffer(b"".join(raw), np.uint8)
 
+    def slot(self, pair: np.ndarray) -> np.ndarray:
+        return ((pair.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - TABLE_BITS)).astype(np.int64)
+
+    def slots(self) -> np.ndarray:
+        """A hash table of the pairs: their places, -1 where there is none; a taken slot's pair goes to the next one."""
+        if len(self.pairs) > 1 << TABLE_BITS - 1:
+            raise ValueError("the model has more merges than the table of pairs is made for")
+        table = np.full(1 << TABLE_BITS, -1, np.int64)
+        left, at = np.arange(len(self.pairs)), self.slot(self.pairs)
+        while len(left):
+            free = table[at] < 0
+            _, first = np.unique(at[free], return_index=True)
+            put = np.flatnonzero(free)[first]
+            table[at[put]] = left[put]
+            rest = np.ones(len(left), bool)
+            rest[put] = False
+            left, at = left[rest], (at[rest] + 1) % len(table)
+        return table
+
+    def find(self, pair: np.ndarray) -> np.ndarray:
+        """The place of each pair among the merges, -1 for one that isn't there."""
+        at = self.slot(pair)
+        place = self.table[at]
+        open_ = np.flatnonzero((place >= 0) & (self.pairs[place] != pair))
+        while len(open_):
+            at[open_] = (at[open_] + 1) % len(self.table)
+            found = self.table[at[open_]]
+            place[open_] = found
+            open_ = open_[(found >= 0) & (self.pairs[found] != pair[open_])]
+        return place
+
     def spell(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The bytes of pieces in a row, and the len(ids) + 1 places where pieces begin."""
         size = self.length[ids]
@@ -98,8 +132,8 @@ def merge_long(vocabulary: Vocabulary, symbol: np.ndarray, key: int, dropout: fl
     share = int(np.uint64(min(dropout, 1.0) * (2**64 - 1025)))
     i = np.flatnonzero((symbol[:-1] >= 0) & (symbol[1:] >= 0))
     pair = symbol[i] * size + symbol[i + 1]
-    place = np.minimum(np.searchsorted(vocabulary.pairs, pair), len(vocabulary.pairs) - 1)
-    hit = vocabulary.pairs[place] == pair
+    place = vocabulary.find(pair)
+    hit = place >= 0
     i, place = i[hit], place[hit]
     if dropout > 0:
         a = i.astype(np.uint64)
@@ -174,8 +208,8 @@ def merge_all(vocabulary: Vocabulary, chars: np.ndarray, owner: np.ndarray, keys
         joined[:-1] = (owner[1:] == owner[:-1]) & (symbol[1:] >= 0) & (symbol[:-1] >= 0)
         i = np.flatnonzero(joined)
         pair = symbol[i] * vocabulary.size + symbol[i + 1]
-        place = np.minimum(np.searchsorted(vocabulary.pairs, pair), len(vocabulary.pairs) - 1)
-        hit = vocabulary.pairs[place] == pair
+        place = vocabulary.find(pair)
+        hit = place >= 0
         i, place = i[hit], place[hit]
         spot = np.zeros(0, np.uint64)
         if len(i):
