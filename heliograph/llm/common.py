@@ -62,6 +62,13 @@ def put_in_place(fs: pafs.FileSystem, made: str, name: str) -> None:
     fs.delete_file(made)
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """name, or with underscores before it a name that no column of df has."""
+    while name.lower() in map(str.lower, df.columns):
+        name = "_" + name
+    return name
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

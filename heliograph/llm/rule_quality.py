@@ -223,6 +223,12 @@ def score(documents: DataFrame, model: RuleEnsemble, column: str = "quality_scor
     """documents with the score (0 to 1); every text is read whole, a null or empty one has statistics of zero.
 
     Each row is scored for itself: repeated rows have equal scores, other columns (of whatever name) stay as they are,
-    and a table without rows gives none.
+    and a table without rows gives none. It is an error if documents has the score's column already.
     """
-    return with_statistics(documents).withColumn(column, model.column()).drop(*(OWN + k for k in STATISTICS))
+    names = documents.columns
+    if column.lower() in map(str.lower, names):
+        raise ValueError(f"there is a column {column} already")
+    # While statistics are there, the table's own columns go by number, so that none has a statistic's name.
+    plain = documents.toDF(*(f"{OWN}in_{i}" for i in range(len(names))))
+    scored = with_statistics(plain, f"{OWN}in_{names.index('text')}").withColumn(OWN + "score", model.column())
+    return scored.select(*(F.col(f"{OWN}in_{i}").alias(n) for i, n in enumerate(names)), F.col(OWN + "score").alias(column))

@@ -29,6 +29,7 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from .common import chunks, fresh_path, mix, put_in_place, stored, utf8
 from .tokens import WordEncoder, default_tokenizer, worker_memory
@@ -180,6 +181,8 @@ def encoded(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
             crc = [zlib.crc32(raw[a:b]) for a, b in zip(ends.tolist(), ends[1:].tolist(), strict=False)]
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("row"), pa.array(np.diff(at)), pa.array(crc, pa.int64()), pa.array([wide] * part.num_rows), body], ["doc_id", "row", "n_tokens", "crc", "wide", "body"])
 
+    if not isinstance(docs.schema["doc_id"].dataType, IntegralType):
+        raise TypeError("keys of these files are whole numbers: doc_id has to be a byte, short, int or long")
     rows = docs.select(F.col("doc_id").cast("long"), F.monotonically_increasing_id().alias("row"), "text")
     return rows.mapInArrow(run, "doc_id long, row long, n_tokens long, crc long, wide boolean, body binary")
 

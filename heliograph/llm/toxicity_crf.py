@@ -283,8 +283,12 @@ def score(docs: DataFrame, field: Field, text: str = "text", column: str = "toxi
     """docs with the score (0 to 1), and with spans a column of offending stretches: start, end (characters), p.
 
     Texts are scored whole; null and empty ones have no words, and so the least score. Each row is scored for itself:
-    repeated rows have equal scores, and a table without rows gives none. No shuffle.
+    repeated rows have equal scores, and a table without rows gives none. It is an error if docs has a column of the
+    score's or the spans' name. No shuffle.
     """
+    for name in (column, spans):
+        if name and name.lower() in map(str.lower, docs.columns):
+            raise ValueError(f"there is a column {name} already")
     shared = docs.sparkSession.sparkContext.broadcast(field)  # three tables of TABLE numbers, whatever the input
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
