@@ -172,3 +172,67 @@ def test_collapse_of_one_conversation_of_most_turns(spark):
     got = {r.conv_id: (r.n_turns, r.rendered) for r in chat_collapse.collapse(frame).collect()}
     line = lambda role, text: f"<|im_start|>{role or ''}\n{text or ''}<|im_end|>\n"
     assert got == {5: (3000, "".join(line(r, t) for *_, r, t in hot)), None: (50, line("user", None) * 50), 7: (2, line(None, "alone") + line("user", "alone"))}
+
+
+def test_blocks_of_long_texts_are_more(spark, monkeypatch):
+    """Blocks are cut by grams: with few a block, links are found across many of them."""
+    draw = random.Random(9)
+    base = [f"w{draw.randrange(5000)}" for _ in range(400)]
+    texts = []
+    for i in range(90):
+        own = base.copy()
+        for _ in range(draw.randint(0, 40)):
+            own[draw.randrange(len(own))] = f"x{draw.randrange(9999)}"
+        texts.append(" ".join(own))
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    whole = sorted(tuple(r) for r in ngram_join.join(frame).collect())
+    monkeypatch.setattr(ngram_join, "BLOCK_GRAMS", 2000)
+    assert sorted(tuple(r) for r in ngram_join.join(frame).collect()) == whole
+    grams = [{tuple(t.split()[i : i + 4]) for i in range(397)} for t in texts]
+    lead = list(range(90))
+
+    def find(x):
+        while lead[x] != x:
+            x = lead[x]
+        return x
+
+    for i in range(90):
+        for j in range(i):
+            if 100 * len(grams[i] & grams[j]) >= 85 * len(grams[i] | grams[j]):
+                lead[max(find(i), find(j))] = min(find(i), find(j))
+    assert whole == [(i, len(grams[i]), find(i)) for i in range(90)] and len({find(i) for i in range(90)}) > 3
+
+
+def test_clashing_names(spark, sf):
+    """Columns named like an operator's own stay as they are; a score's name that is taken is an error."""
+    from heliograph.llm import rule_quality, toxicity_crf
+
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    docs = spark.read.parquet(f"{sf}/documents.parquet").where("doc_id < 60")
+    odd = [rule_quality.OWN + rule_quality.STATISTICS[0], rule_quality.OWN + "in_1", rule_quality.OWN + "score", "label"]
+    wide = docs.select("*", *(F.lit(7).alias(c) for c in odd))
+    model = rule_quality.fit(docs, labels)
+    plain = {r.doc_id: r.s for r in rule_quality.score(docs, model, "s").collect()}
+    for r in rule_quality.score(wide, model, "s").collect():
+        assert [r[c] for c in odd] == [7] * 4 and r.s == plain[r.doc_id]
+    with pytest.raises(ValueError, match="already"):
+        rule_quality.score(wide, model, "LABEL")
+    field = toxicity_crf.fit(docs, labels)
+    with pytest.raises(ValueError, match="already"):
+        toxicity_crf.score(wide, field, column="text")
+    with pytest.raises(TypeError, match="whole numbers"):
+        token_sst.write_and_read(docs.withColumn("doc_id", F.col("doc_id").cast("string")))
+
+
+def test_pipeline_keeps_columns_of_its_own_names(spark, sf):
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet").where("doc_id < 100")
+    odd = ["score", "row", "__score", "__row", "_row", "component_id"]
+    wide = docs.select("*", *(F.concat(F.lit(c), F.col("doc_id").cast("string")).alias(c) for c in odd))
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        kept = stage(spark, wide, sf)
+        assert kept.columns == wide.columns
+        rows = kept.collect()
+        assert rows and all(r[c] == f"{c}{r.doc_id}" for r in rows for c in odd)
+        assert {r.doc_id for r in rows} == {r.doc_id for r in stage(spark, docs, sf).select("doc_id").collect()}
