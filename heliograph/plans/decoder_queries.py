@@ -168,6 +168,6 @@ def _heap_files(spark: SparkSession, d: str) -> DataFrame:
 
 
 register("B07_heap_files", f"with {st.HEAP} select class_name, count(*) as instances, cast(sum(shallow) as bigint) as total_size, (select count(*) from roots) as roots from objects group by 1")(_heap_files)
-register("A09_record_index", "select 'class' as kind, cast(5 as bigint) as n union all select 'segment', count(*) + 1 from nation union all select 'string', cast(12 as bigint) union all select 'summary', cast(1 as bigint)")(
+register("A09_record_index", f"select 'class' as kind, cast({len(st.DUMP_CLASSES)} as bigint) as n union all select 'segment', count(*) + 1 from nation union all select 'string', cast({len(_STRINGS)} as bigint) union all select 'summary', cast(1 as bigint)")(
     lambda spark, d: hprof.index(spark, st.dump_file(spark, d)).groupBy("kind").agg(F.count("*").alias("n"))
 )
