@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..streaming import masters, tasks
+from ..streaming import intake, masters, tasks
 from . import saved
 from . import standins as st
 from .profile_queries import register
@@ -67,3 +67,18 @@ register(
     "S07_S09_B11_analysed_tasks",
     f"with {T}, {_SHARES}, ready as (select distinct tid from tasks where status = 2 and analysis_status = 0 and tid is not null), rules as (select 'X' || r_regionkey as rule, upper(left(r_name, 1)) as part from region where r_regionkey <= 2) select tid, rule, func, round(self_pct, 6) as value from functions join ready using (tid) join rules on contains(func, part) where self_pct > 60 union all select tid, null, null, case when exists (select 1 from functions f where f.tid = ready.tid) then 2.0 else 3.0 end from ready",
 )(_analysed)
+
+
+def _taken_in(spark: SparkSession, d: str) -> DataFrame:
+    """Tasks that land in two folders, and a source that is switched off, as one stream; each with its source's name."""
+    rows, root = st.tasks(spark, d), f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    for name, odd in (("even", 0), ("odd", 1)):
+        rows.where(F.col("id") % 2 == odd).write.json(f"{root}/{name}")
+    sources = [f"{root}/even", intake.Source("http", "posted", {"path": f"{root}/odd", "per_trigger": "3"}), intake.Source("kafka", "off", {}, enabled=False)]
+    stream = intake.intake(spark, sources).withColumn("source", F.when(F.col("source") == "posted", "posted").otherwise("landing"))
+    writer = stream.writeStream.foreachBatch(lambda batch, n: saved.save({"tasks": batch}, root, n)).option("checkpointLocation", f"{root}/checkpoint")
+    writer.trigger(availableNow=True).start().awaitTermination()
+    return saved.load(spark, root, "tasks", f"{intake.TASK_SCHEMA}, source string").select("source", "id", "tid", "master_tid")
+
+
+register("S02_S04_H06_intake", f"with {T} select case when id % 2 = 0 then 'landing' else 'posted' end as source, id, tid, master_tid from tasks")(_taken_in)
