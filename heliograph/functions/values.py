@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -107,9 +109,27 @@ def parse_preset(text: str) -> str:
     return PRESETS[preset]
 
 
+def fixed(x: Column | str, places: int) -> Column:
+    """x with that many decimals, rounded as C and Go do: the double's exact value, ties to even.
+
+    format_string rounds the double's shortest text, ties away from zero. Here product + error is exactly x * 10**places:
+    the error is that of a product of halves, and decides where the product alone is a tie. From 2**45 on, where places
+    are few beside the digits before them, and for what is no number, the text is that of format_string.
+    """
+    x, ten = _col(x).cast("double"), float(10**places)
+    product = x * ten
+    high = x * 134217729.0 - (x * 134217729.0 - x)
+    error = (x - high) * ten - (product - high * ten)
+    over = product - F.rint(product)
+    units = F.rint(product) + F.when((F.abs(over) == 0.5) & (over * error > 0), over * 2).otherwise(0.0)
+    text = (F.abs(units).cast("decimal(20,0)") * F.lit(Decimal(1).scaleb(-places))).cast("string")
+    sign = F.when((x < 0) | (x.cast("string") == "-0.0"), "-").otherwise("")
+    return F.when(F.abs(x) < float(1 << 45), F.concat(sign, text)).otherwise(F.format_string(f"%.{places}f", x))
+
+
 def format_percent(x: Column | str) -> Column:
     """Two decimals, without trailing zeros."""
-    return F.regexp_replace(F.regexp_replace(F.format_string("%.2f", _col(x).cast("double")), "0+$", ""), r"\.$", "")
+    return F.regexp_replace(F.regexp_replace(fixed(x, 2), "0+$", ""), r"\.$", "")
 
 
 def format_bytes(n: Column | str, unit: str = " B", most: str = "GB") -> Column:
@@ -117,20 +137,20 @@ def format_bytes(n: Column | str, unit: str = " B", most: str = "GB") -> Column:
     units = ["KB", "MB", "GB", "TB"][: ["KB", "MB", "GB", "TB"].index(most) + 1]
     out = F.when(n < 1024, F.concat(n.cast("bigint").cast("string"), F.lit(unit)))
     for i, u in enumerate(units, 1):
-        text = F.format_string(f"%.2f {u}", n / 1024**i)
+        text = F.concat(fixed(n / 1024**i, 2), F.lit(f" {u}"))
         out = out.otherwise(text) if u == most else out.when(n < 1024 ** (i + 1), text)
     return out
 
 
 def format_duration_ns(n: Column | str) -> Column:
     n = _col(n).cast("double")
-    return F.when(n >= 1e9, F.format_string("%.2fs", n / 1e9)).when(n >= 1e6, F.format_string("%.2fms", n / 1e6)).when(n >= 1e3, F.format_string("%.2fus", n / 1e3)).otherwise(F.concat(n.cast("bigint").cast("string"), F.lit("ns")))
+    return F.when(n >= 1e9, F.concat(fixed(n / 1e9, 2), F.lit("s"))).when(n >= 1e6, F.concat(fixed(n / 1e6, 2), F.lit("ms"))).when(n >= 1e3, F.concat(fixed(n / 1e3, 2), F.lit("us"))).otherwise(F.concat(n.cast("bigint").cast("string"), F.lit("ns")))
 
 
 def format_number(n: Column | str) -> Column:
     """Thousands and more with one decimal and a letter; below, the number."""
     n = _col(n).cast("double")
-    return F.when(n >= 1e9, F.format_string("%.1fG", n / 1e9)).when(n >= 1e6, F.format_string("%.1fM", n / 1e6)).when(n >= 1e3, F.format_string("%.1fK", n / 1e3)).otherwise(F.regexp_replace(n.cast("string"), r"\.0$", ""))
+    return F.when(n >= 1e9, F.concat(fixed(n / 1e9, 1), F.lit("G"))).when(n >= 1e6, F.concat(fixed(n / 1e6, 1), F.lit("M"))).when(n >= 1e3, F.concat(fixed(n / 1e3, 1), F.lit("K"))).otherwise(F.regexp_replace(n.cast("string"), r"\.0$", ""))
 
 
 def format_time(at: Column | str) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import frames as fn
-from ..functions.values import percent
+from ..functions.values import fixed, percent
 from .stats import top
 
 
@@ -209,21 +209,21 @@ def documents(points: DataFrame, links: DataFrame) -> DataFrame:
 
 
 #: Forms of labels in graph texts.
-NODE_LABEL, EDGE_LABEL = "%s\n%.2f%%\n(%.2f%%)", "%.2f%%"
+NODE_LABEL, EDGE_LABEL = "%s\n%s%%\n(%s%%)", "%s%%"
 
 
 def dot_lines(points: DataFrame, links: DataFrame) -> DataFrame:
     """ord, line of a Graphviz text of one profile's graph."""
     quote = lambda c: F.replace(F.col(c), F.lit('"'), F.lit('\\"'))
     head = points.limit(1).select(F.lit(0).alias("ord"), F.lit("digraph callgraph {").alias("line"))
-    node = points.select(F.lit(1).alias("ord"), F.format_string('  "%s" [label="%s\\n%.2f%%\\n(%.2f%%)"];', quote("node_id"), quote("name"), "self_pct", "total_pct").alias("line"))
-    edge = links.select(F.lit(2).alias("ord"), F.format_string('  "%s" -> "%s" [label="%.2f%%"];', quote("source"), quote("target"), "weight").alias("line"))
+    node = points.select(F.lit(1).alias("ord"), F.format_string('  "%s" [label="%s\\n%s%%\\n(%s%%)"];', quote("node_id"), quote("name"), fixed("self_pct", 2), fixed("total_pct", 2)).alias("line"))
+    edge = links.select(F.lit(2).alias("ord"), F.format_string('  "%s" -> "%s" [label="%s%%"];', quote("source"), quote("target"), fixed("weight", 2)).alias("line"))
     return head.unionByName(node).unionByName(edge).unionByName(points.limit(1).select(F.lit(3).alias("ord"), F.lit("}").alias("line")))
 
 
 def xdot(points: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Nodes with an ordinal and label, edges by the ordinals of their ends. For graphs pruned for display."""
     numbered = points.withColumn("ordinal", F.row_number().over(Window.partitionBy("profile_id").orderBy("node_id")) - 1)
-    numbered = numbered.withColumn("label", F.format_string(NODE_LABEL, "name", "self_pct", "total_pct"))
+    numbered = numbered.withColumn("label", F.format_string(NODE_LABEL, "name", fixed("self_pct", 2), fixed("total_pct", 2)))
     end = lambda side: numbered.select("profile_id", F.col("node_id").alias(side), F.col("ordinal").alias(f"{side}_ordinal"))
     return numbered, links.join(end("source"), ["profile_id", "source"]).join(end("target"), ["profile_id", "target"])

@@ -45,6 +45,12 @@ def test_classes_and_values(spark):
     assert column(spark, ["com.a.X$$Lambda$1", "jdk.proxy2.P", "a.PoolAllocator", "com.a.B"], classes.is_top_level_filtered) == [True, True, True, False]
     assert column(spark, ["1.50", "2", "0.126"], lambda x: values.format_percent(F.col(x).cast("double"))) == ["1.5", "2", "0.13"]
     assert column(spark, ["12", "2048"], lambda x: values.format_bytes(F.col(x).cast("long"))) == ["12 B", "2.00 KB"]
+    # Ties to even, of the double's exact value: 8.125, 0.125 and 2.5 are ties, 1.005, 1.015 and 0.045 are not.
+    ties = ["8.125", "0.125", "0.375", "1.005", "1.015", "0.045", "-0.125", "-0.0", "1e300", "99.995", "0.005"]
+    assert column(spark, ties, lambda x: values.fixed(F.col(x).cast("double"), 2)) == ["8.12", "0.12", "0.38", f"{1.005:.2f}", f"{1.015:.2f}", f"{0.045:.2f}", "-0.12", "-0.00", "1" + "0" * 300 + ".00", f"{99.995:.2f}", f"{0.005:.2f}"]
+    assert column(spark, [str(4352 * 512), "12"], lambda x: values.format_bytes(F.col(x).cast("long"))) == ["2.12 MB", "12 B"]
+    assert column(spark, ["1250", "1350", "1000000250"], lambda x: values.format_number(F.col(x).cast("long"))) == ["1.2K", "1.4K", "1.0G"]
+    assert column(spark, ["1125000", "1135000"], lambda x: values.format_duration_ns(F.col(x).cast("long"))) == ["1.12ms", "1.14ms"]
     assert values.parse_preset(" Fast ") == "quick" and values.parse_mode("JAVA-CPU") == "java-cpu"
 
 
