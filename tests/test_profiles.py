@@ -49,6 +49,8 @@ def test_classes_and_values(spark):
     ties = ["8.125", "0.125", "0.375", "1.005", "1.015", "0.045", "-0.125", "-0.0", "1e300", "99.995", "0.005"]
     assert column(spark, ties, lambda x: values.fixed(F.col(x).cast("double"), 2)) == ["8.12", "0.12", "0.38", f"{1.005:.2f}", f"{1.015:.2f}", f"{0.045:.2f}", "-0.12", "-0.00", "1" + "0" * 300 + ".00", f"{99.995:.2f}", f"{0.005:.2f}"]
     assert column(spark, [str(4352 * 512), "12"], lambda x: values.format_bytes(F.col(x).cast("long"))) == ["2.12 MB", "12 B"]
+    # 1.15 is a double below it, 1.25 a tie.
+    assert column(spark, ["1150000000", "1250000000", "1050000"], lambda x: values.format_number(F.col(x).cast("long"))) == ["1.1G", "1.2G", "1.1M"]
     assert column(spark, ["1250", "1350", "1000000250"], lambda x: values.format_number(F.col(x).cast("long"))) == ["1.2K", "1.4K", "1.0G"]
     assert column(spark, ["1125000", "1135000"], lambda x: values.format_duration_ns(F.col(x).cast("long"))) == ["1.12ms", "1.14ms"]
     assert values.parse_preset(" Fast ") == "quick" and values.parse_mode("JAVA-CPU") == "java-cpu"
