@@ -100,6 +100,12 @@ def advise(functions: DataFrame, kind: str = "cpu") -> DataFrame:
     return out
 
 
+def heap_shares(histogram: DataFrame, first: int = 10, above: float = 10.0) -> DataFrame:
+    """rule, class_name, value of the leading classes that hold more than that share of a heap, whatever its size."""
+    lead = histogram.orderBy(F.desc("total_size"), "class_name").limit(first)
+    return lead.where(F.col("pct") > above).select(F.lit("R07_share").alias("rule"), "class_name", F.col("pct").cast("double").alias("value"))
+
+
 def advise_heap(histogram: DataFrame, first: int = 10) -> DataFrame:
     """rule, class_name, value: over the leading classes and the heap as a whole; histogram is of heap.histogram()."""
     lead = histogram.orderBy(F.desc("total_size"), "class_name").limit(first)
@@ -107,7 +113,7 @@ def advise_heap(histogram: DataFrame, first: int = 10) -> DataFrame:
     row = lambda rows, rule, value: rows.select(F.lit(rule).alias("rule"), "class_name", value.cast("double").alias("value"))
     whole = histogram.agg(F.sum("total_size").alias("size"), F.count("*").alias("n")).withColumn("class_name", F.lit(""))
     parts = [
-        row(lead.where(c("pct") > 10), "R07_share", c("pct")),
+        heap_shares(histogram, first),
         row(lead.where(classes.may_leak("class_name") & (c("instances") > 10_000)), "R07_collections", c("instances")),
         row(lead.where((c("class_name") == "java.lang.String") & (c("instances") > 100_000)), "R07_strings", c("instances")),
         row(lead.where(c("class_name").isin("byte[]", "char[]") & (c("total_size") > 100 << 20)), "R07_buffers", c("total_size")),

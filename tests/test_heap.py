@@ -3,7 +3,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from heliograph.operators import heap
+from heliograph.operators import advisor, heap
 
 
 def tables(spark, edges, roots, n):
@@ -141,3 +141,10 @@ def test_heap_dump(spark, tmp_path):
     assert [tuple(r) for r in t["roots"].collect()] == [(1000, "JNI_GLOBAL")]
     names = {(r.name, r.type) for r in t["class_fields"].collect()}
     assert names == {("next", 2), ("count", 10), ("other", 2)}
+
+
+def test_shares_of_a_heap_of_gigabytes(spark):
+    """The rule of shares says nothing of the heap's size, the rules together do."""
+    rows = heap.histogram(spark.createDataFrame([(1, "x.A", 3 << 30), (2, "x.B", 1 << 20)], "obj_id long, class_name string, shallow long"))
+    assert [(r.rule, r.class_name) for r in advisor.heap_shares(rows).collect()] == [("R07_share", "x.A")]
+    assert sorted(r.rule for r in advisor.advise_heap(rows).collect()) == ["R07_heap", "R07_share"]
