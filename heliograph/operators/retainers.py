@@ -71,7 +71,7 @@ def business(refs: DataFrame, objects: DataFrame, wanted: DataFrame, roots: Data
 
     def done(found: DataFrame) -> DataFrame:
         many = bits.targets_of(found.where(classes.is_business("class_name")), "class_name").groupBy("number").agg(F.count("*").alias("n"))
-        return bits.as_words(many.where(F.col("n") >= enough))
+        return many.where(F.col("n") >= enough).select("number")
 
     found = found_by(refs, objects, sample, max_depth, done).where(classes.is_business("class_name"))
     rooted = roots.select(F.col("obj_id").alias("node"), F.lit(True).alias("is_root")).distinct()

@@ -67,6 +67,23 @@ def test_rows_of_a_level_are_nodes(spark):
     assert {(x.class_name, x.depth, x["count"], x.is_root) for x in few} == {("x.Hub", 1, 900, False), ("x.App", 2, 900, True)}
 
 
+def test_blocks_of_one_word_where_few_targets_meet(spark, monkeypatch):
+    """Targets with referrers of their own have rows of one word, and the same results as with any number of words."""
+    n = bits.BITS * 2
+    objects = [(i, "x.T", 8) for i in range(n)] + [(n + i, f"x.R{i % 3}", 8) for i in range(2 * n)]
+    refs = [(n + i, i % n, "b" if i % 5 else "a") for i in range(2 * n)] + [(n + i, n + (i * 7) % (2 * n), "c") for i in range(2 * n)]
+    o, r = spark.createDataFrame(objects, OBJECTS), spark.createDataFrame(refs, REFS)
+    links = r.join(o.select(F.col("obj_id").alias("from_id"), "class_name"), "from_id")
+    numbers = bits.numbered(o.where("class_name = 'x.T'").select("obj_id"))
+    rows = bits.search(links, numbers, 2)
+    assert bits.words_for(links, numbers) == 1 and [c for c in rows.columns if c in bits.NAMES] == ["w0"]
+    targets = o.where(f"obj_id < {n}")
+    found = lambda: sorted(map(tuple, heap.retainers_by_depth(r, o, targets, 2).collect()))
+    few = found()
+    monkeypatch.setattr(bits, "words_for", lambda *_: bits.WORDS)
+    assert few == found() and len(few) > 3
+
+
 def test_business_search_ends_when_enough_are_found(spark):
     chain = [(i, f"x.C{i}", 8) for i in range(12)]
     o, r = spark.createDataFrame(chain, OBJECTS), spark.createDataFrame([(i + 1, i, "f") for i in range(11)], REFS)
