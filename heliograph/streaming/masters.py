@@ -1,7 +1,8 @@
 """The roll-up of sub-tasks to their master tasks as a stream with state: a sub-task changes its own part only.
 
-A master's state is a map from sub-task to its last version, and two counts. So a batch touches the sub-tasks that it
-has, however many a master has, and a restart goes on from the checkpoint.
+A master's state is its sub-tasks' last versions, and two counts. Up to PACKED sub-tasks are one value, read and written
+once a batch; more are a map from sub-task to version. So a batch touches the sub-tasks that it has, however many a
+master has, few masters' sub-tasks cost no call each, and a restart goes on from the checkpoint.
 """
 
 from __future__ import annotations
@@ -16,6 +17,8 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from .tasks import COMPLETED
 
 FAILED = 3
+#: Sub-tasks of a master that are kept as one value.
+PACKED = 256
 #: What the stream has to hold: a version of a sub-task; the greatest seq counts.
 UPDATE = "master_tid string, tid string, seq long, status int, analysis_status int, suggestions array<struct<func string, suggestion string>>"
 GROUPS = "array<struct<tid string, items array<struct<func string, suggestion string>>>>"
@@ -34,15 +37,16 @@ class Masters(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.tasks = handle.getMapState("tasks", "tid string", "seq long, open boolean, said long, items string")
-        self.counts = handle.getValueState("counts", "sub_tasks long, open long")
+        self.counts = handle.getValueState("counts", "sub_tasks long, open long, packed string")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        sub_tasks, still_open = self.counts.get() if self.counts.exists() else (0, 0)
+        sub_tasks, still_open, packed = self.counts.get() or (0, 0, "{}")
+        known = None if packed is None else json.loads(packed)
         changed = False
         for batch in rows:
             for x in batch.sort_values("seq", kind="stable").to_dict("records"):
                 task = (x["tid"],)
-                seq, was_open, said_at, items = self.tasks.getValue(task) if self.tasks.containsKey(task) else (None, False, None, "[]")
+                seq, was_open, said_at, items = (self.tasks.getValue(task) if known is None else known.get(x["tid"])) or (None, False, None, "[]")
                 new = said(x["suggestions"]) if x["analysis_status"] == COMPLETED else []
                 # Status is the last version's, suggestions are those of the last version that has any.
                 fresh, speaks = seq is None or x["seq"] > seq, bool(new) and (said_at is None or x["seq"] > said_at)
@@ -50,13 +54,22 @@ class Masters(StatefulProcessor):
                     continue
                 is_open = bool(x["analysis_status"] <= 1 and x["status"] != FAILED) if fresh else was_open
                 said_at, items = (int(x["seq"]), json.dumps(new)) if speaks else (said_at, items)
-                self.tasks.updateValue(task, (int(x["seq"]) if fresh else seq, is_open, said_at, items))
+                version = (int(x["seq"]) if fresh else seq, is_open, said_at, items)
+                if known is None:
+                    self.tasks.updateValue(task, version)
+                else:
+                    known[x["tid"]] = version
+                if known is not None and len(known) > PACKED:
+                    for tid, v in known.items():
+                        self.tasks.updateValue((tid,), tuple(v))
+                    known = None
                 sub_tasks += seq is None
                 still_open += int(is_open) - int(was_open)
                 changed = True
         if changed:
-            self.counts.update((int(sub_tasks), int(still_open)))
-            groups = [{"tid": task[0], "items": [{"func": f, "suggestion": s} for f, s in json.loads(v[3])]} for task, v in self.tasks.iterator() if v[3] != "[]"]
+            self.counts.update((int(sub_tasks), int(still_open), None if known is None else json.dumps(known)))
+            versions = ((task[0], v) for task, v in self.tasks.iterator()) if known is None else known.items()
+            groups = [{"tid": tid, "items": [{"func": f, "suggestion": s} for f, s in json.loads(v[3])]} for tid, v in versions if v[3] != "[]"]
             yield pd.DataFrame({"master_tid": [key[0]], "sub_tasks": [int(sub_tasks)], "complete": [still_open == 0], "groups": [sorted(groups, key=lambda g: g["tid"])]})
 
     def close(self) -> None:

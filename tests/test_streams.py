@@ -3,6 +3,7 @@
 import json
 import sqlite3
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -35,6 +36,52 @@ def test_saved_batches(spark, tmp_path, monkeypatch):
     assert saved.commits(spark, root).count() == 2
 
 
+class Handle:
+    """State of one master that counts how often it is asked or told something."""
+
+    def __init__(self):
+        self.calls, self.value, self.rows = 0, None, {}
+
+    def getMapState(self, *_):  # noqa: N802
+        def told(f):
+            def call(*args):
+                self.calls += 1
+                return f(*args)
+
+            return staticmethod(call)
+
+        return type("Rows", (), {"containsKey": told(lambda k: k in self.rows), "getValue": told(self.rows.get), "updateValue": told(self.rows.__setitem__), "iterator": told(lambda: iter(list(self.rows.items())))})
+
+    def getValueState(self, *_):  # noqa: N802
+        return self
+
+    def exists(self):
+        self.calls += 1
+        return self.value is not None
+
+    def get(self):
+        self.calls += 1
+        return self.value
+
+    def update(self, value):
+        self.calls, self.value = self.calls + 1, value
+
+
+def test_state_of_few_sub_tasks_is_one_value():
+    """A batch of a small master is two calls, and a master that grows keeps its sub-tasks."""
+    handle, master = Handle(), masters.Masters()
+    master.init(handle)
+    batch = lambda a, b, seq: pd.DataFrame([{"tid": f"t{i}", "seq": seq, "status": 2, "analysis_status": 2, "suggestions": [{"func": "f", "suggestion": f"{i}.{seq}"}]} for i in range(a, b)])
+    (row,) = master.handleInputRows(("m",), iter([batch(0, 100, 1)]), None)
+    assert handle.calls == 2 and row.sub_tasks[0] == 100 and len(row.groups[0]) == 100
+    (row,) = master.handleInputRows(("m",), iter([batch(50, 400, 2)]), None)
+    assert row.sub_tasks[0] == 400 and bool(row.complete[0]) and len(handle.rows) == 400
+    said = {g["tid"]: g["items"][0]["suggestion"] for g in row.groups[0]}
+    assert said == {f"t{i}": f"{i}.{1 if i < 50 else 2}" for i in range(400)}
+    (row,) = master.handleInputRows(("m",), iter([batch(0, 1, 3)]), None)
+    assert row.sub_tasks[0] == 400 and len(row.groups[0]) == 400
+
+
 def test_masters_with_state(spark, tmp_path):
     """Groups and completeness as the batch roll-up has them, over two runs of one checkpoint; repeats change nothing."""
     landing, out = tmp_path / "in", {}
