@@ -71,6 +71,27 @@ def test_dominators_of_a_long_list(spark, monkeypatch):
     assert written.count("sums") <= 20
 
 
+def test_shallow_graphs_go_level_by_level(spark, monkeypatch):
+    """Few rounds, links shuffled once; repeated links and nodes met again from another level or below another top."""
+    from heliograph.operators import trees
+
+    written = []
+    monkeypatch.setattr(trees, "stored", lambda df, name, keep=trees.stored: (written.append(name), keep(df, name))[1])
+    edges = [(0, 2), (0, 2), (1, 3), (2, 4), (3, 4), (2, 5), (5, 6), (2, 6), (1, 7), (6, 7), (4, 8), (8, 4), (8, 8)]
+    _, refs, tops = tables(spark, edges, [0, 1], 9)
+    got = {r.obj_id: r.idom for r in heap.dominators(refs, tops).collect()}
+    assert got == {0: -1, 1: -1, 2: 0, 3: 1, 4: -1, 5: 2, 6: 2, 7: -1, 8: 4}
+    apart = [e for e in edges if e != (2, 6)]  # without it all is clear from single referrers and tops
+    written.clear()
+    objects, refs, tops = tables(spark, [e for e in apart if e != (8, 4)], [0, 1], 9)
+    doms = heap.dominators(refs, tops)
+    assert {r.obj_id: r.idom for r in doms.collect()} == got | {6: 5}
+    assert set(written) == {"tops", "layer"} and len(written) <= 8
+    written.clear()
+    assert {r.obj_id: r.retained for r in heap.retained(objects, doms).collect()} == {0: 10 + 12 + 15 + 16, 1: 11 + 13, 2: 12 + 15 + 16, 3: 13, 4: 14 + 18, 5: 15 + 16, 6: 16, 7: 17, 8: 18}
+    assert set(written) == {"below"} and len(written) <= 6
+
+
 def test_collections_own_what_their_arrays_hold(spark):
     # 0 list -> 1 Object[] -> 2 item; 3 holder -> 2, so the item is nobody's alone.
     objects = spark.createDataFrame([(0, "java.util.ArrayList", 16), (1, "java.lang.Object[]", 16), (2, "x.Item", 8), (3, "x.Holder", 8)], "obj_id long, class_name string, shallow long")
