@@ -26,14 +26,15 @@ def distinct_refs(refs: DataFrame, objects: DataFrame) -> DataFrame:
 
 def levels(refs: DataFrame, roots: DataFrame) -> DataFrame:
     """obj_id, level: least number of references from a root; objects that no root reaches have no row."""
-    links = stored(refs.select("from_id", "to_id").distinct(), "links")
+    links = kept(refs.select("from_id", "to_id"), "from_id")
     frontier = seen = stored(roots.select("obj_id").distinct().withColumn("level", F.lit(0)), "level")
     level = 0
     while True:
         level += 1
         step = links.join(frontier.select(F.col("obj_id").alias("from_id")), "from_id", "left_semi").select(F.col("to_id").alias("obj_id")).distinct()
-        frontier = stored(step.join(seen, "obj_id", "left_anti").withColumn("level", F.lit(level)), "level")
+        frontier = stored(step.join(seen.select("obj_id"), "obj_id", "left_anti").withColumn("level", F.lit(level)), "level")
         if frontier.isEmpty():
+            links.unpersist()
             return seen
         seen = seen.unionByName(frontier)
         seen = seen if level % trees.TABLES else stored(seen, "level")

@@ -92,6 +92,15 @@ def test_shallow_graphs_go_level_by_level(spark, monkeypatch):
     assert set(written) == {"below"} and len(written) <= 6
 
 
+def test_levels_over_links_dealt_once(spark, monkeypatch):
+    """No level shuffles the references again: they are kept by referrer, not stored; repeated ones do no harm."""
+    written = []
+    monkeypatch.setattr(heap, "stored", lambda df, name, keep=heap.stored: (written.append(name), keep(df, name))[1])
+    _, refs, tops = tables(spark, [(0, 1), (0, 1), (1, 2), (2, 0), (0, 3), (3, 2), (4, 0)], [0], 5)
+    assert {r.obj_id: r.level for r in heap.levels(refs, tops).collect()} == {0: 0, 1: 1, 3: 1, 2: 2}
+    assert set(written) == {"level"}
+
+
 def test_collections_own_what_their_arrays_hold(spark):
     # 0 list -> 1 Object[] -> 2 item; 3 holder -> 2, so the item is nobody's alone.
     objects = spark.createDataFrame([(0, "java.util.ArrayList", 16), (1, "java.lang.Object[]", 16), (2, "x.Item", 8), (3, "x.Holder", 8)], "obj_id long, class_name string, shallow long")
