@@ -272,6 +272,28 @@ def test_parts_meet_whatever_differs():
             assert signed[0] & signed[1]
 
 
+def test_signatures_take_ten_bytes_and_sets_few_moves(spark):
+    texts = [" ".join(f"w{i * 1000 + j}" for j in range(300)) for i in range(30)]
+    rows = ngram_join.part_signatures(docs(spark, texts), 4, 85, "doc_id", "text").collect()
+    n = sum(len(ngram_join.part_hashes(np.arange(i, i + 297, dtype=np.uint64), np.array([0, 297]), e, 85)[0]) for i in range(30) for e in (0, 1))
+    assert sum(len(r.sigs) + len(r.fps) for r in rows) < 11 * n
+    # A large group's sets move to few blocks, until these hold as many sets or grams as a task should.
+    size = spark.createDataFrame([(100, 50_000), (11_000, 3_000_000), (100_000, 3_000_000), (11_000, 400_000_000)], "n long, grams long")
+    assert [r[0] for r in size.select(ngram_join.blocks(F.col("n"), F.col("grams"), ngram_join.BLOCK)).collect()] == [1, 8, 13, 96]
+
+
+def test_signatures_that_cross_batches_connect(spark):
+    """Equal signatures meet whatever row, batch and task they come from, also of negative hashes."""
+    combiner, rows = ngram_join.Combiner(), []
+    sig = np.array([-5, 7, -(1 << 62), -5, 9, 7], np.int64)
+    for part in (slice(0, 3), slice(3, 6)):
+        list(combiner.add(sig[part], ngram_join.mix(sig[part].view(np.uint64)).view(np.int64), np.arange(6, dtype=np.int64)[part] - 3))
+        for batch in combiner.flush():
+            rows += [(r["deal"], bytearray(r["sigs"]), bytearray(r["fps"])) for r in batch.to_pylist()]
+    found = components(ngram_join.sharing(spark.createDataFrame(rows, ngram_join.Combiner.SCHEMA).repartition(3))).collect()
+    assert {r.node: r.component for r in found} == {-3: -3, 0: -3, -2: -2, 2: -2}
+
+
 def test_merge_skip_counts_occurrences():
     random = np.random.default_rng(8)
     for need in (1, 2, 3, 5):
