@@ -57,14 +57,23 @@ def retained(objects: DataFrame, doms: DataFrame) -> DataFrame:
     return rows.select("obj_id", "class_name", "shallow", "idom", F.col("idom").isNotNull().alias("reachable"), F.coalesce("total", "shallow").alias("retained"))
 
 
-def shared_through_arrays(refs: DataFrame, objects: DataFrame, sizes: DataFrame) -> DataFrame:
-    """from_id, to_id, field, child_retained: references to objects that the referrer doesn't dominate, though only arrays of collections share them."""
+def shared_through_arrays(refs: DataFrame, objects: DataFrame, sizes: DataFrame, few: DataFrame | None = None) -> DataFrame:
+    """from_id, to_id, field, child_retained: references to objects that the referrer doesn't dominate, though only arrays of collections share them.
+
+    With few (from_id) those of a few objects: only references to what these refer to are looked at for arrays.
+    """
+    child = sizes.select(F.col("obj_id").alias("to_id"), "idom", F.col("retained").alias("child_retained"))
+    pairs = refs.select("from_id", "to_id", "field")
+    pairs = pairs if few is None else pairs.join(trees.few(few.select("from_id")), "from_id", "left_semi")
+    pairs = pairs.join(child, "to_id").where(~F.col("idom").eqNullSafe(F.col("from_id")))
+    inside = refs
+    if few is not None:
+        pairs = stored(pairs, "pairs")
+        inside = refs.join(trees.few(pairs.select("to_id").distinct()), "to_id", "left_semi")
     arrays = objects.where("class_name = 'java.lang.Object[]'").select(F.col("obj_id").alias("array_id"))
     held = objects.where(classes.is_collection("class_name")).select(F.col("obj_id").alias("from_id"))
     owned = trees.renamed(refs.join(held, "from_id", "left_semi"), array_id="to_id").join(arrays, "array_id", "left_semi").distinct()
-    through = trees.renamed(refs, array_id="from_id", to_id="to_id").distinct().join(owned, "array_id", "left_semi").groupBy("to_id").agg(F.count("*").alias("n"), F.min("array_id").alias("one"))
-    child = sizes.select(F.col("obj_id").alias("to_id"), "idom", F.col("retained").alias("child_retained"))
-    pairs = refs.select("from_id", "to_id", "field").join(child, "to_id").where(~F.col("idom").eqNullSafe(F.col("from_id")))
+    through = trees.renamed(inside, array_id="from_id", to_id="to_id").distinct().join(owned, "array_id", "left_semi").groupBy("to_id").agg(F.count("*").alias("n"), F.min("array_id").alias("one"))
     return pairs.join(through, "to_id").where((F.col("n") > 1) | (F.col("one") != F.col("from_id"))).select("from_id", "to_id", "field", "child_retained")
 
 

@@ -149,7 +149,7 @@ def owned_sizes(refs: DataFrame, objects: DataFrame, sizes: DataFrame, class_nam
     loader = F.lower(F.lit(class_name)).contains("classloader")
     few = refs.join(renamed(best, from_id="obj_id"), "from_id", "left_semi")
     kinds = objects.select(F.col("obj_id").alias("to_id"), F.col("class_name").alias("to_class"))
-    pairs = shared_through_arrays(refs, objects, sizes).join(renamed(best, from_id="obj_id"), "from_id", "left_semi").join(kinds, "to_id", "left")
+    pairs = shared_through_arrays(refs, objects, sizes, renamed(best, from_id="obj_id")).join(kinds, "to_id", "left")
     owns = few.where(F.col("field").isin(OWNING_FIELDS)).select("from_id", "to_id").distinct().withColumn("owns", F.lit(True))
     pairs = pairs.join(owns, ["from_id", "to_id"], "left")
     child = pairs.groupBy("from_id", "to_id").agg(
@@ -169,7 +169,7 @@ def diagnosis(refs: DataFrame, objects: DataFrame, sizes: DataFrame, class_name:
     best = stored(sizes.where(F.col("class_name") == class_name).orderBy(F.desc("retained"), "obj_id").limit(n).select("obj_id", "retained"), "best")
     child = sizes.select(F.col("obj_id").alias("to_id"), "idom", F.col("retained").alias("size"))
     held = refs.select("from_id", "to_id").distinct().join(renamed(best, from_id="obj_id"), "from_id", "left_semi").join(child, "to_id")
-    through = shared_through_arrays(refs, objects, sizes).select("from_id", "to_id", F.lit(True).alias("through")).distinct()
+    through = shared_through_arrays(refs, objects, sizes, renamed(best, from_id="obj_id")).select("from_id", "to_id", F.lit(True).alias("through")).distinct()
     own = F.col("idom").eqNullSafe(F.col("from_id"))
     some = lambda test: F.sum(F.when(test, F.col("size")).otherwise(0))
     by = held.join(through, ["from_id", "to_id"], "left").groupBy(F.col("from_id").alias("obj_id")).agg(

@@ -188,3 +188,15 @@ def test_sources(spark):
     posts = spark.createDataFrame([("GET", "{}"), ("POST", "{"), ("POST", '{"tid":"a","id":1}'), ("POST", '{"id":1}'), ("POST", " " * (intake.MOST_BYTES + 1)), ("POST", None)], "method string, body string")
     assert [r.c for r in posts.select(intake.answer("method", "body").alias("c")).collect()] == [405, 400, 202, 400, 413, 400]
     assert posts.limit(3).select(intake.answer("method", "body", False).alias("c")).collect()[2].c == 503
+
+
+def test_children_of_few_objects_are_those_of_all(spark):
+    # Two lists share 12 through their arrays; 20 and 21 hold it and 13 themselves.
+    objects = spark.createDataFrame([(0, "java.util.ArrayList", 16), (1, "java.util.ArrayList", 16), (2, "java.lang.Object[]", 16), (3, "java.lang.Object[]", 16), (12, "x.Item", 8), (13, "x.Item", 8), (20, "x.Holder", 8), (21, "x.Holder", 8)], "obj_id long, class_name string, shallow long")
+    refs = spark.createDataFrame([(0, 2, "data"), (1, 3, "data"), (2, 12, "[0]"), (3, 12, "[0]"), (3, 13, "[1]"), (20, 12, "value"), (21, 12, "value"), (21, 13, "value")], "from_id long, to_id long, field string")
+    from heliograph.operators import heap
+
+    sizes = heap.retained(objects, heap.dominators(refs, objects.where("obj_id in (0, 1, 20, 21)").select("obj_id")))
+    whole = heap.shared_through_arrays(refs, objects, sizes)
+    some = heap.shared_through_arrays(refs, objects, sizes, spark.createDataFrame([(21,), (0,)], "from_id long"))
+    assert sorted(some.collect()) == sorted(whole.where("from_id in (0, 21)").collect()) and some.count() == 2
