@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.storage import stored
+from ..plans.storage import kept, stored
 from .heap import biggest_objects
 from .stats import top
-from .trees import TABLES, renamed
+from .trees import TABLES, few, renamed
 
 
 def shortest_ways(refs: DataFrame, roots: DataFrame, per_node: int = 3) -> DataFrame:
@@ -16,9 +16,10 @@ def shortest_ways(refs: DataFrame, roots: DataFrame, per_node: int = 3) -> DataF
 
     Way k of an object ends with a reference from `by`, over `field`, the least of several, after that one's way
     by_way; a root has one way, of level 0. Ways are ordered by the last referrer's id, then by its own ways. The graph
-    is made once, a join a level; rows have no arrays, and an object has per_node rows at most.
+    is made once, a join a level over links that are dealt by referrer once; rows have no arrays, and an object has
+    per_node rows at most.
     """
-    links = stored(refs.groupBy("from_id", "to_id").agg(F.min("field").alias("field")), "links")
+    links = kept(refs.groupBy("from_id", "to_id").agg(F.min("field").alias("field")), "from_id")
     start = roots.select("obj_id").distinct()
     none = F.lit(None).cast("long")
     level = stored(start.select("obj_id", F.lit(0).alias("way"), F.lit(0).alias("level"), none.alias("by"), F.lit(None).cast("int").alias("by_way"), F.lit(None).cast("string").alias("field")), "ways")
@@ -31,11 +32,30 @@ def shortest_ways(refs: DataFrame, roots: DataFrame, per_node: int = 3) -> DataF
         level = first.select(F.col("to_id").alias("obj_id"), (F.col("way") - 1).cast("int").alias("way"), F.lit(depth).alias("level"), F.col("from_id").alias("by"), "by_way", "field")
         level = stored(level, "ways")
         if level.isEmpty():
+            links.unpersist()
             return found
         found = found.unionByName(level)
         found = found if depth % TABLES else stored(found, "ways")
 
 
+def leading_to(refs: DataFrame, targets: DataFrame) -> DataFrame:
+    """The refs that lie on ways to the targets (obj_id): to them, and to whatever refers to them directly or not."""
+    front = seen = stored(targets.select("obj_id").distinct(), "above")
+    rounds = 0
+    while not front.isEmpty():
+        rounds += 1
+        step = refs.join(few(renamed(front, to_id="obj_id")), "to_id", "left_semi").select(F.col("from_id").alias("obj_id")).distinct()
+        front = stored(step.join(seen, "obj_id", "left_anti"), "above")
+        seen = seen.unionByName(front)
+        seen = seen if rounds % TABLES else stored(seen, "above")
+    return refs.join(few(renamed(seen, to_id="obj_id")), "to_id", "left_semi")
+
+
+def ways_to(refs: DataFrame, roots: DataFrame, targets: DataFrame, per_node: int = 3) -> DataFrame:
+    """shortest_ways() of the targets (obj_id) and of all on their ways: for few targets, as other objects are left alone."""
+    return shortest_ways(leading_to(refs, targets), roots, per_node)
+
+
 def root_paths(ways: DataFrame, objects: DataFrame, targets: DataFrame) -> DataFrame:
     """target, rank (from 1), length, path of the targets (obj_id): path is array<obj_id, class_name, field>, root first.
 
@@ -65,19 +85,20 @@ def described(big: DataFrame, refs: DataFrame, sizes: DataFrame, ways: DataFrame
     The first `fields` references of an object by name and target are looked at. Objects without references have an
     empty array. big is few: it is stored, and only its references are read.
     """
-    few = stored(big, "big")
-    held = refs.join(renamed(few, from_id="obj_id"), "from_id", "left_semi").select("from_id", F.col("field").alias("name"), "to_id").distinct()
+    some = stored(big, "big")
+    held = refs.join(renamed(some, from_id="obj_id"), "from_id", "left_semi").select("from_id", F.col("field").alias("name"), "to_id").distinct()
     held = top(held, ["from_id"], [F.asc("name"), F.asc("to_id")], fields)
     held = held.join(renamed(sizes, to_id="obj_id", class_name="class_name", retained="retained"), "to_id")
     by_size = F.array_sort(F.collect_list(F.struct((-F.col("retained")).alias("less"), "name", "to_id", "class_name", "retained")))
     held = held.groupBy(F.col("from_id").alias("obj_id")).agg(by_size.alias("__fields"))
     shape = F.transform("__fields", lambda f: F.struct(*(f[c].alias(c) for c in ("name", "to_id", "class_name", "retained"))))
-    way = root_paths(ways, sizes, few).where("rank = 1").select(F.col("target").alias("obj_id"), "path")
-    rows = few.join(held, "obj_id", "left").join(way, "obj_id", "left")
+    way = root_paths(ways, sizes, some).where("rank = 1").select(F.col("target").alias("obj_id"), "path")
+    rows = some.join(held, "obj_id", "left").join(way, "obj_id", "left")
     empty = F.array().cast("array<struct<name:string,to_id:bigint,class_name:string,retained:bigint>>")
     return rows.select(*big.columns, F.coalesce(shape, empty).alias("fields"), "path")
 
 
 def biggest_described(sizes: DataFrame, refs: DataFrame, roots: DataFrame, n: int = 100, by: str = "retained", fields: int = 50) -> DataFrame:
     """biggest_objects() with their fields and a path from a root."""
-    return described(biggest_objects(sizes, n, by), refs, sizes, shortest_ways(refs, roots, 1), fields)
+    big = biggest_objects(sizes, n, by)
+    return described(big, refs, sizes, ways_to(refs, roots, big, 1), fields)

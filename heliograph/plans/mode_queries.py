@@ -101,7 +101,7 @@ _steps = lambda path: F.concat_ws(">", F.transform(path, lambda s: F.concat(F.co
 on_heap("M14_paths_with_fields", lambda h: paths.root_paths(paths.shortest_ways(h["refs"], h["roots"]), h["objects"], h["objects"]).select("target", "rank", "length", _steps("path").alias("path")), f"{_WAYS} select target, cast(rank as integer) as rank, cast(length as integer) as length, array_to_string(steps, '>') as path from ways where rank <= 3")
 on_heap(
     "M17_biggest_described",
-    lambda h: paths.described(heap.biggest_objects(s := sized(h), 30), h["refs"], s, paths.shortest_ways(h["refs"], h["roots"], 1), 5).select(
+    lambda h: paths.described(big := heap.biggest_objects(s := sized(h), 30), h["refs"], s, paths.ways_to(h["refs"], h["roots"], big, 1), 5).select(
         "obj_id", "retained", F.concat_ws(",", F.transform("fields", lambda f: F.concat(f["name"], F.lit(":"), f["to_id"].cast("string"), F.lit(":"), f["class_name"], F.lit(":"), f["retained"].cast("string")))).alias("fields"), _steps("path").alias("path")
     ),
     f"{hq._RETAINED}, big as (select * from sizes where reachable order by retained desc, obj_id limit 30), h as (select from_id, field, to_id from (select distinct from_id, field, to_id from refs where from_id in (select obj_id from big)) qualify row_number() over (partition by from_id order by field, to_id) <= 5), t as (select from_id, string_agg(field || ':' || to_id || ':' || s.class_name || ':' || s.retained, ',' order by s.retained desc, field, to_id) as fields from h join sizes s on s.obj_id = to_id group by 1), {_WAYS[len('with recursive ' + H) + 2:]}, p as (select target, array_to_string(steps, '>') as path from ways where rank = 1) select big.obj_id, retained, coalesce(fields, '') as fields, path from big left join t on from_id = big.obj_id left join p on target = big.obj_id",

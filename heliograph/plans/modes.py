@@ -126,7 +126,7 @@ def java_heap(tables: dict[str, DataFrame], limits: Preset, retainers_of: int =
         found["retainers"] = retainers.of_top_classes(refs, objects, histogram, by_class.where("retained is not null").select("class_name", "retained"), retainers_of)
         found["business_retainers"] = retainers.business(refs, objects, lead, roots)
     if details:
-        found["biggest_details"] = paths.described(found["biggest"], refs, sizes, paths.shortest_ways(refs, roots, 1))
+        found["biggest_details"] = paths.described(found["biggest"], refs, sizes, paths.ways_to(refs, roots, found["biggest"], 1))
     if graphs_of:
         found["graph_nodes"], found["graph_edges"] = retainers.sub_graphs(refs, objects, heap.top_classes(histogram, graphs_of).select("class_name"))
     return found

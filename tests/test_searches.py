@@ -138,6 +138,16 @@ def test_ways_with_fields(spark):
     assert paths.root_paths(made, o, o.where("false")).count() == 0
 
 
+def test_ways_of_few_targets_leave_others_alone(spark):
+    objects, refs = graph(300, 5, most=2)
+    r = spark.createDataFrame([*refs, *((10_000 + i, 20_000 + i, "far") for i in range(50))], REFS)
+    roots, targets = spark.createDataFrame([(x, "JNI") for x in (0, 7, 9, 10_003)], "obj_id long, root_type string"), spark.createDataFrame([(40,), (41,), (299,)], "obj_id long")
+    assert paths.leading_to(r, targets).where("field = 'far'").count() == 0
+    few = lambda ways: sorted(map(str, paths.root_paths(ways, spark.createDataFrame(objects, OBJECTS), targets).collect()))
+    made = few(paths.ways_to(r, roots, targets))
+    assert made and made == few(paths.shortest_ways(r, roots))
+
+
 def test_described_objects(spark):
     o = spark.createDataFrame([(0, "x.Root", 8), (1, "x.Big", 800), (2, "x.A", 16), (3, "x.B", 24)], OBJECTS)
     r = spark.createDataFrame([(0, 1, "big"), (1, 2, "a"), (1, 3, "b"), (1, 3, "b"), (3, 1, "back")], REFS)
