@@ -178,3 +178,45 @@ def test_shares_of_a_heap_of_gigabytes(spark):
     rows = heap.histogram(spark.createDataFrame([(1, "x.A", 3 << 30), (2, "x.B", 1 << 20)], "obj_id long, class_name string, shallow long"))
     assert [(r.rule, r.class_name) for r in advisor.heap_shares(rows).collect()] == [("R07_share", "x.A")]
     assert sorted(r.rule for r in advisor.advise_heap(rows).collect()) == ["R07_heap", "R07_share"]
+
+
+def test_class_sums_walk_over_chains_of_a_class_alone(spark, monkeypatch):
+    """Objects below another class are summed in one grouped job; only those below their own class are followed, by doubling."""
+    from heliograph.operators import trees
+
+    written = []
+    for module in (heap, trees):
+        monkeypatch.setattr(module, "stored", lambda df, name, keep=module.stored: (written.append(name), keep(df, name))[1])
+    kind = ["A", "B", "B", "B", "B", "C", "B", None, None, "A", "A"]
+    up = [-1, 0, 1, 2, 3, 4, 5, 0, 7, -1, 9]
+    rows = [(i, k, 10 + i, u, True, 100 + i) for i, (k, u) in enumerate(zip(kind, up))] + [(11, "A", 7, None, False, 7)]
+    sizes = spark.createDataFrame(rows, "obj_id long, class_name string, shallow long, idom long, reachable boolean, retained long")
+    want_outer, want_in = {}, {}
+    for i, (k, u) in enumerate(zip(kind, up)):
+        if k != (kind[u] if u >= 0 else None):
+            want_outer[k] = want_outer.get(k, 0) + 100 + i
+        while u >= 0 and kind[u] == k:
+            u = up[u]
+        if u >= 0:
+            want_in[kind[u]] = want_in.get(kind[u], 0) + 10 + i
+    found = heap.class_retained(sizes).collect()
+    assert {r.class_name: r.retained for r in found if r.retained is not None} == want_outer
+    assert {r.class_name: r.attributed for r in found if r.attributed is not None} == want_in
+    assert set(written) == {"by_class", "chains", "heads"} and written.count("heads") <= 4
+    written.clear()
+    heap.class_retained(sizes.where("obj_id in (0, 1, 5)")).collect()
+    assert written == ["by_class"]
+
+
+def test_a_heap_deals_its_references_once(spark, monkeypatch):
+    """Sizes and what arrays share walk over references kept by referrer; neither these nor the sizes without collections are written."""
+    from heliograph.plans import modes
+
+    written = []
+    monkeypatch.setattr(modes, "stored", lambda df, name, keep=modes.stored: (written.append(name), keep(df, name))[1])
+    objects = spark.createDataFrame([(0, "java.util.ArrayList", 16), (1, "java.lang.Object[]", 16), (2, "x.Item", 8), (3, "x.Holder", 8)], "obj_id long, class_name string, shallow long")
+    refs = spark.createDataFrame([(0, 1, "data"), (1, 2, "[0]"), (3, 2, "item"), (3, 2, "again")], "from_id long, to_id long, field string")
+    roots = spark.createDataFrame([(0, "JNI"), (3, "JNI")], "obj_id long, root_type string")
+    found = modes.java_heap({"objects": objects, "refs": refs, "roots": roots}, modes.preset(), 0, 0, False)
+    assert {r.obj_id: (r.retained, r.idea) for r in found["sizes"].collect()} == {0: (32, 32), 1: (16, 16), 2: (8, 8), 3: (8, 16)}
+    assert written.count("sizes") == 1 and "refs" not in written
