@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import classes
 from ..functions.values import percent_scaled
-from ..plans.storage import kept, stored
+from ..plans.storage import dealt, kept, stored
 from . import bits, trees
 from .ranks import ranked
 from .stats import top
@@ -40,19 +40,20 @@ def levels(refs: DataFrame, roots: DataFrame) -> DataFrame:
         seen = seen if level % trees.TABLES else stored(seen, "level")
 
 
-def dominators(refs: DataFrame, roots: DataFrame) -> DataFrame:
+def dominators(refs: DataFrame, roots: DataFrame, keep: bool = True) -> DataFrame:
     """obj_id, idom of every object a root reaches: its immediate dominator, SUPER_ROOT above all roots.
 
     Rounds follow the logarithm of the dominator tree's depth for chains of single references; see trees. refs may have
-    pairs repeatedly.
+    pairs repeatedly. Without keep they are kept by from_id already.
     """
-    return trees.renamed(trees.dominator_tree(refs, roots), obj_id="obj_id", idom="up")
+    return trees.renamed(trees.dominator_tree(refs, roots, keep), obj_id="obj_id", idom="up")
 
 
 def retained(objects: DataFrame, doms: DataFrame) -> DataFrame:
     """obj_id, class_name, shallow, idom, reachable, retained: what would go with the object; an unreachable one retains itself."""
-    held = kept(objects.join(doms.select("obj_id", "idom"), "obj_id", "left").select("obj_id", "class_name", "shallow", "idom"), "obj_id")
-    inside = trees.subtree_sums(held.where("idom is not null").select("obj_id", F.col("idom").alias("up"), "shallow"), "shallow")
+    held = dealt(objects, "obj_id").join(dealt(doms.select("obj_id", "idom"), "obj_id"), "obj_id", "left").select("obj_id", "class_name", "shallow", "idom")
+    held = kept(held, "obj_id", deal=False)
+    inside = trees.subtree_sums(held.where("idom is not null").select("obj_id", F.col("idom").alias("up"), "shallow"), "shallow", keep=False)
     rows = held.join(inside, "obj_id", "left")
     return rows.select("obj_id", "class_name", "shallow", "idom", F.col("idom").isNotNull().alias("reachable"), F.coalesce("total", "shallow").alias("retained"))
 
@@ -77,14 +78,23 @@ def shared_through_arrays(refs: DataFrame, objects: DataFrame, sizes: DataFrame,
     return pairs.join(through, "to_id").where((F.col("n") > 1) | (F.col("one") != F.col("from_id"))).select("from_id", "to_id", "field", "child_retained")
 
 
-def retained_with_collections(sizes: DataFrame, refs: DataFrame) -> DataFrame:
+def retained_with_collections(sizes: DataFrame, refs: DataFrame, deal: bool = True) -> DataFrame:
     """sizes with `idea`: a parent also gets children it doesn't dominate that an array of a collection holds.
 
-    One level and no recursion: base sizes are added. sizes is retained()'s result; store it, as it is read five times.
+    One level and no recursion: base sizes are added. sizes is retained()'s result, stored, or as it comes without deal.
+    Sizes are dealt by object once, and references by what they refer to, however many looks at them there are; refs
+    that are dealt by from_id before are shuffled for nothing else.
     """
-    once = refs.select("from_id", "to_id", F.lit("").alias("field")).distinct()
-    more = shared_through_arrays(once, sizes, sizes).groupBy(F.col("from_id").alias("obj_id")).agg(F.sum("child_retained").alias("__more"))
-    return sizes.join(more, "obj_id", "left").withColumn("idea", F.col("retained") + F.coalesce("__more", F.lit(0))).drop("__more")
+    whole = kept(sizes, "obj_id", deal)
+    links = refs.select("from_id", "to_id").distinct()
+    held = links.join(trees.renamed(whole.where(classes.is_collection("class_name")), from_id="obj_id"), "from_id", "left_semi").select(F.col("to_id").alias("obj_id")).distinct()
+    owned = stored(whole.where("class_name = 'java.lang.Object[]'").join(held, "obj_id", "left_semi").select(F.col("obj_id").alias("from_id"), F.lit(True).alias("owned")), "owned")
+    into = kept(links.join(owned, "from_id", "left"), "to_id")
+    through = into.where("owned").groupBy("to_id").agg(F.count("*").alias("n"), F.min("from_id").alias("one"))
+    pairs = into.join(through, "to_id").where((F.col("n") > 1) | (F.col("one") != F.col("from_id"))).select("from_id", "to_id")
+    child = whole.select(F.col("obj_id").alias("to_id"), "idom", F.col("retained").alias("child_retained"))
+    more = pairs.join(child, "to_id").where(~F.col("idom").eqNullSafe(F.col("from_id"))).groupBy(F.col("from_id").alias("obj_id")).agg(F.sum("child_retained").alias("__more"))
+    return whole.join(more, "obj_id", "left").withColumn("idea", F.col("retained") + F.coalesce("__more", F.lit(0))).drop("__more")
 
 
 def histogram(objects: DataFrame, reachable: DataFrame | None = None) -> DataFrame:

@@ -183,7 +183,7 @@ def diagnosis(refs: DataFrame, objects: DataFrame, sizes: DataFrame, class_name:
 #: Ways to size objects by name; add more. Each takes (objects, refs, doms) and gives retained() rows with `size`.
 CALCULATORS = {
     "standard": lambda objects, refs, doms: retained(objects, doms).withColumn("size", F.col("retained")),
-    "collections": lambda objects, refs, doms: retained_with_collections(stored(retained(objects, doms), "sizes"), refs).withColumn("size", F.col("idea")),
+    "collections": lambda objects, refs, doms: retained_with_collections(retained(objects, doms), refs, deal=False).withColumn("size", F.col("idea")),
 }
 #: Ways to look at a class's largest objects, by name; each takes (refs, objects, sizes, class_name, n).
 DIAGNOSES = {"owned": owned_sizes, "scenarios": diagnosis}

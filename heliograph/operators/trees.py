@@ -48,12 +48,14 @@ def few(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= FEW else df
 
 
-def subtree_sums(tree: DataFrame, value: str) -> DataFrame:
+def subtree_sums(tree: DataFrame, value: str, keep: bool = True) -> DataFrame:
     """obj_id, total: the sum of value over each node of tree (obj_id, up, value) and all below it.
 
-    In the k-th round a node gets the sum of those k below it, until there are none.
+    In the k-th round a node gets the sum of those k below it, until there are none. Without keep tree is of a table
+    that is kept by obj_id already.
     """
-    nodes = kept(tree.select("obj_id", "up", F.col(value).alias("total")), "obj_id")
+    nodes = tree.select("obj_id", "up", F.col(value).alias("total"))
+    nodes = kept(nodes, "obj_id") if keep else nodes
     inner = nodes.where(F.col("up") != TOP)
     sent = found = stored(inner.groupBy(F.col("up").alias("obj_id")).agg(F.sum("total").alias("more")), "below")
     for _ in range(LAYERS):
@@ -191,16 +193,17 @@ def layered(links: DataFrame, tops: DataFrame) -> tuple[DataFrame, bool] | None:
     return rows, not rows.where("open").isEmpty()
 
 
-def dominator_tree(links: DataFrame, tops: DataFrame) -> DataFrame:
+def dominator_tree(links: DataFrame, tops: DataFrame, keep: bool = True) -> DataFrame:
     """obj_id, up of everything that tops reach over links (from_id, to_id): its immediate dominator.
 
     In any spanning tree a node's dominators are ancestors of it and of all its referrers. So each node with several
     referrers goes up to the nearest common ancestor of them, all at once, until none moves; then the tree is that of
     the dominators. Nodes of one referrer never move, and a node that refers to nothing is above nothing, so that its
-    move changes nothing else. TOP is above all tops.
+    move changes nothing else. TOP is above all tops. Without keep links are kept by from_id already.
     """
     tops = stored(tops.select("obj_id").distinct(), "tops")
-    every = kept(links.where("from_id <> to_id").select("from_id", "to_id"), "from_id")
+    every = links.where("from_id <> to_id").select("from_id", "to_id")
+    every = kept(every, "from_id") if keep else every
     found = layered(every, tops)
     if found and not found[1]:
         every.unpersist()

@@ -17,7 +17,7 @@ from . import modes, sinks, views
 from . import standins as st
 from .decoder_queries import _GROUPS, of_kinds
 from .profile_queries import register
-from .storage import shared_dir
+from .storage import kept, shared_dir
 
 S, W, H = st.SAMPLES, st.WHOLE, st.HEAP
 on_heap = hq.on_heap
@@ -72,10 +72,17 @@ def with_collections(h: st.Tables) -> st.Tables:
 
 sized = hq.sized
 
+
+def _calculated(v: st.Tables) -> DataFrame:
+    """Sizes with collections; dominators and what arrays share walk over the same references, dealt by referrer once."""
+    refs = kept(v["refs"].select("from_id", "to_id"), "from_id", deal=False)
+    return retainers.CALCULATORS["collections"](v["objects"], refs, heap.dominators(refs, v["roots"], keep=False))
+
+
 # What arrays of collections share: parts and suppliers by how many lines hold them.
 _THROUGH = f"{hq._RETAINED}, through as (select to_id, count(*) as n, min(from_id) as one from (select distinct from_id, to_id from refs where field in ('part', 'supplier')) group by 1), loose as (select r.from_id, r.to_id, s.retained from refs r join sizes s on s.obj_id = r.to_id join through t on t.to_id = r.to_id where s.idom is distinct from r.from_id and (t.n > 1 or t.one <> r.from_id))"
-on_heap("M08_retained_with_collections", lambda h: heap.retained_with_collections(sized(v := with_collections(h)), v["refs"]).select("obj_id", "retained", "idea"), f"{_THROUGH} select obj_id, s.retained, s.retained + coalesce(m.more, 0) as idea from sizes s left join (select from_id, cast(sum(retained) as bigint) as more from loose group by 1) m on m.from_id = s.obj_id")
-on_heap("M09_U02_calculators", lambda h: (v := with_collections(h)) and retainers.CALCULATORS["collections"](v["objects"], v["refs"], heap.dominators(v["links"], v["roots"])).agg(F.sum("size").alias("size"), F.count("*").alias("n")), f"{_THROUGH} select cast((select sum(retained) from sizes) + (select coalesce(sum(retained), 0) from loose) as bigint) as size, (select count(*) from sizes) as n")
+on_heap("M08_retained_with_collections", lambda h: _calculated(with_collections(h)).select("obj_id", "retained", "idea"), f"{_THROUGH} select obj_id, s.retained, s.retained + coalesce(m.more, 0) as idea from sizes s left join (select from_id, cast(sum(retained) as bigint) as more from loose group by 1) m on m.from_id = s.obj_id")
+on_heap("M09_U02_calculators", lambda h: _calculated(with_collections(h)).agg(F.sum("size").alias("size"), F.count("*").alias("n")), f"{_THROUGH} select cast((select sum(retained) from sizes) + (select coalesce(sum(retained), 0) from loose) as bigint) as size, (select count(*) from sizes) as n")
 on_heap("M21_owned_sizes", lambda h: retainers.owned_sizes((v := with_collections(h))["refs"], v["objects"], sized(v), "com.shop.nation").drop("loaded_classes"), f"{_THROUGH}, best as (select * from sizes where class_name = 'com.shop.nation' order by retained desc, obj_id limit 10) select b.obj_id, b.shallow, b.retained, b.retained - b.shallow as dominated, coalesce(m.more, 0) as through_arrays, b.retained + coalesce(m.more, 0) as owned from best b left join (select from_id, cast(sum(retained) as bigint) as more from loose group by 1) m on m.from_id = b.obj_id")
 on_heap("M20_U03_diagnosis", lambda h: retainers.DIAGNOSES["scenarios"]((v := with_collections(h))["refs"], v["objects"], sized(v), "com.shop.nation"), f"{_THROUGH}, best as (select * from sizes where class_name = 'com.shop.nation' order by retained desc, obj_id limit 10), held as (select r.from_id as obj_id, s.retained, s.idom = r.from_id as own, exists (select 1 from loose x where x.from_id = r.from_id and x.to_id = r.to_id) as through from refs r join best b on b.obj_id = r.from_id join sizes s on s.obj_id = r.to_id), g as (select obj_id, count(*) as fields, count(case when own then 1 end) as dominated_fields, cast(sum(case when own then retained else 0 end) as bigint) as dominated, count(case when not own then 1 end) as shared_fields, cast(sum(case when not own then retained else 0 end) as bigint) as shared, cast(sum(case when through then retained else 0 end) as bigint) as through_arrays from held group by 1) select g.*, b.retained as standard, b.retained + through_arrays as with_arrays, b.retained + shared as with_shared from g join best b using (obj_id)")
 _MET = f"with recursive {H}, w as (select obj_id as target, obj_id as node, class_name as target_class, 0 as depth, '' as class_name, '' as field from objects union select target, from_id, target_class, depth + 1, f.class_name, refs.field from w join refs on to_id = node join objects f on f.obj_id = from_id where depth < 5), m as (select target, target_class, node, class_name, field, cast(min(depth) as integer) as depth from w where depth > 0 group by all), b as (select * from m qualify row_number() over (partition by target, node order by depth, class_name, field) = 1), whole as (select class_name as target_class, count(*) as instances, cast(sum(shallow) as bigint) as total from objects group by 1)"

@@ -12,7 +12,7 @@ from ..functions.values import MODES, parse_mode, parse_preset
 from ..operators import advisor, callgraph, flamegraph, heap, leaks, paths, retainers, stats
 from ..sources import collapsed, graphs, pprof
 from . import sinks
-from .storage import stored
+from .storage import kept, stored
 
 Results = dict[str, DataFrame]
 
@@ -105,10 +105,11 @@ def java_heap(tables: dict[str, DataFrame], limits: Preset, retainers_of: int =
     """
     details = limits.paths if details is None else details
     graphs_of = (5 if limits.paths else 0) if graphs_of is None else graphs_of
-    objects, refs = stored(tables["objects"].where("obj_id is not null").dropDuplicates(["obj_id"]), "objects"), stored(tables["refs"], "refs")
+    objects = stored(tables["objects"].where("obj_id is not null").dropDuplicates(["obj_id"]), "objects")
+    refs = kept(tables["refs"], "from_id")  # for all walks from referrers
     roots = stored(heap.root_list(tables["roots"], tables.get("class_objects")), "roots")
-    doms = heap.dominators(refs, roots)
-    sizes = stored(heap.retained_with_collections(stored(heap.retained(objects, doms), "sizes"), refs), "sizes")
+    doms = heap.dominators(refs, roots, keep=False)
+    sizes = stored(heap.retained_with_collections(heap.retained(objects, doms), refs, deal=False), "sizes")
     histogram = stored(heap.histogram(objects), "histogram")
     by_class = stored(heap.class_retained(sizes), "by_class")
     found = {
