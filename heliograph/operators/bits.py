@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ..plans.storage import stored
 from .ranks import ranked
-from .trees import TABLES, renamed
+from .trees import TABLES, few, renamed
 
 WORDS = 16
 BITS = 64 * WORDS
@@ -68,7 +68,8 @@ def words_for(links: DataFrame, numbers: DataFrame) -> int:
 def search(links: DataFrame, numbers: DataFrame, max_depth: int, stop: Column | None = None, done: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """block, node, class_name, field, depth and words: which targets meet a node first at this depth, and over which field.
 
-    links is (from_id, to_id, field, class_name of from_id), stored. A target meets a node once, over the least field
+    links is (from_id, to_id, field, class_name of from_id), kept by to_id, so that a level shuffles what it has reached
+    and not all references again. A target meets a node once, over the least field
     of the references that lead to it. A search goes no further from nodes of which stop holds (over class_name), nor
     for the targets (number) that done(found so far) gives.
     """
@@ -77,7 +78,7 @@ def search(links: DataFrame, numbers: DataFrame, max_depth: int, stop: Column |
     # A reference's class and field as one number, in order of fields; so rows that are shuffled hold no text.
     pairs = links.select("class_name", "field").distinct().withColumn("__all", F.lit(0))
     pairs = stored(ranked(pairs, ["__all"], [F.asc("field"), F.asc("class_name")]).select(F.col("class_name").alias("__class"), F.col("field").alias("__field"), F.col("pos").alias("name")), "names")
-    coded = links.join(pairs, F.col("class_name").eqNullSafe(F.col("__class")) & F.col("field").eqNullSafe(F.col("__field"))).select("from_id", "to_id", "name")
+    coded = links.join(few(pairs), F.col("class_name").eqNullSafe(F.col("__class")) & F.col("field").eqNullSafe(F.col("__field"))).select("from_id", "to_id", "name")
     called = pairs.select("name", F.col("__class").alias("class_name"), F.col("__field").alias("field"))
     frontier = seen = stored(_or(_set(numbers, words, F.col("obj_id").alias("node")), "block", "node"), "seen")
     found = None

@@ -159,12 +159,13 @@ def retainers_by_depth(refs: DataFrame, objects: DataFrame, targets: DataFrame,
     Each target meets an object once, over its least field; count and size are of different targets. A search goes
     no further from an object of which stop holds (over class_name), as for business classes.
     """
-    links = stored(refs.groupBy("from_id", "to_id").agg(F.min("field").alias("field")).join(objects.select(F.col("obj_id").alias("from_id"), "class_name"), "from_id"), "links")
+    links = kept(refs.groupBy("from_id", "to_id").agg(F.min("field").alias("field")).join(objects.select(F.col("obj_id").alias("from_id"), "class_name"), "from_id"), "to_id")
     numbers = bits.numbered(targets.select("obj_id").distinct())
     once = bits.targets_of(bits.search(links, numbers, max_depth, stop), "class_name", "field", "depth")
     sized = numbers.join(objects.select("obj_id", F.col("shallow").alias("target_size")), "obj_id").select("number", "target_size")
     rows = once.join(sized, "number").groupBy(F.col("class_name").alias("retainer_class"), "field", "depth")
     return rows.agg(F.count("*").alias("count"), F.sum("target_size").alias("size"))
+    links.unpersist()
 
 
 def paths_to_roots(refs: DataFrame, roots: DataFrame, targets: DataFrame, max_depth: int = 15, per_target: int = 3) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import classes
-from ..plans.storage import stored
+from ..plans.storage import kept, stored
 from . import bits
 from .heap import retained, retained_with_collections, shared_through_arrays, stratified_sample
 from .stats import top
@@ -19,8 +19,10 @@ OWNING_FIELDS = ["<loaded_class>", "classes", "loadedClasses", "children", "elem
 def found_by(refs: DataFrame, objects: DataFrame, numbers: DataFrame, max_depth: int, done=None) -> DataFrame:
     """bits.search() of numbered targets against references; objects without a class are `(unknown)`."""
     kind = objects.select(F.col("obj_id").alias("from_id"), F.coalesce("class_name", F.lit("(unknown)")).alias("class_name"))
-    links = stored(refs.groupBy("from_id", "to_id").agg(F.min("field").alias("field")).join(kind, "from_id"), "links")
-    return bits.search(links, numbers, max_depth, done=done)
+    links = kept(refs.groupBy("from_id", "to_id").agg(F.min("field").alias("field")).join(kind, "from_id"), "to_id")
+    found = bits.search(links, numbers, max_depth, done=done)
+    links.unpersist()
+    return found
 
 
 def _sampled(objects: DataFrame, wanted: DataFrame, samples: int) -> tuple[DataFrame, DataFrame]:

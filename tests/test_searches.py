@@ -232,3 +232,14 @@ def test_lookups_read_few_buckets(spark, tmp_path):
     assert "dynamicpruning" in ask["retainers"](7, 3)._jdf.queryExecution().toString()
     with pytest.raises(ValueError, match="0 sets"):
         graphs.Lookups(spark, f"file://{tmp_path}/lookups-8")
+
+
+def test_a_search_deals_its_references_once(spark, monkeypatch):
+    """References are kept by what they lead to for all levels, and let go when what was found is stored."""
+    kept, written = [], []
+    monkeypatch.setattr(heap, "kept", lambda df, key, keep=heap.kept: (kept.append((key, keep(df, key))), kept[-1][1])[1])
+    monkeypatch.setattr(heap, "stored", lambda df, name, keep=heap.stored: (written.append(name), keep(df, name))[1])
+    objects, refs = graph(60, 3)
+    o, r = spark.createDataFrame(objects, OBJECTS), spark.createDataFrame(refs, REFS)
+    assert heap.retainers_by_depth(r, o, o, 3).count() > 0
+    assert [k for k, _ in kept] == ["to_id"] and not kept[0][1].is_cached and not written
