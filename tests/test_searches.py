@@ -243,3 +243,18 @@ def test_a_search_deals_its_references_once(spark, monkeypatch):
     o, r = spark.createDataFrame(objects, OBJECTS), spark.createDataFrame(refs, REFS)
     assert heap.retainers_by_depth(r, o, o, 3).count() > 0
     assert [k for k, _ in kept] == ["to_id"] and not kept[0][1].is_cached and not written
+
+
+def test_direct_retainers_are_summed_before_their_classes_meet(spark):
+    """Parts of the joins have the number that Spark shuffles to, not fewer and larger ones; counts and sizes are of all references."""
+    objects, refs = graph(300, 9)
+    o, r = spark.createDataFrame(objects, OBJECTS), spark.createDataFrame(refs + [(7, 10**6, "a"), (10**6, 7, "a")], REFS)
+    kind, size, want = {x[0]: x[1] for x in objects}, {x[0]: x[2] for x in objects}, defaultdict(lambda: [0, 0])
+    for a, b, f in refs:
+        if kind[b] is not None:
+            want[kind[b], kind[a], f][0] += 1
+            want[kind[b], kind[a], f][1] += size[b]
+    rows = heap.retainers(r, o)
+    got = {(x.target_class, x.retainer_class, x.field): [x["count"], x["size"]] for x in rows.collect()}
+    assert got == want
+    assert "REPARTITION_BY_NUM" in rows._jdf.queryExecution().executedPlan().toString()
