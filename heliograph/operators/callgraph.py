@@ -16,13 +16,20 @@ def busy(samples: DataFrame, include_idle: bool = False) -> DataFrame:
 
 
 def frames(samples: DataFrame) -> DataFrame:
-    """profile_id, tid, stack_id, pos, node_id, name, module, caller, is_leaf, value, times: frames of distinct stacks.
+    """frames_of() distinct stacks of samples. Where frames feed several results, store the stacks: each reads them twice."""
+    return frames_of(stacks(samples))
 
-    Equal stacks of a thread are summed first (times says how many samples they were), and a caller is the frame
-    before in the array, so nothing is shuffled to find it. Shares are of the leaves' sum; where frames feed several
-    results, store them: each reads them twice.
+
+def stacks(samples: DataFrame) -> DataFrame:
+    """profile_id, tid, stack, value, times: equal stacks of a thread as one, with their sum and how many samples they were."""
+    return samples.groupBy("profile_id", "tid", "stack").agg(F.sum("value").alias("value"), F.count("*").alias("times"))
+
+
+def frames_of(whole: DataFrame) -> DataFrame:
+    """profile_id, tid, stack_id, pos, node_id, name, module, caller, is_leaf, value, times: frames of stacks().
+
+    A caller is the frame before in the array, so nothing is shuffled to find it. Shares are of the leaves' sum.
     """
-    whole = samples.groupBy("profile_id", "tid", "stack").agg(F.sum("value").alias("value"), F.count("*").alias("times"))
     named = lambda x: fn.node_id(fn.frame_function(x), fn.frame_module(x))
     rows = whole.withColumns({"__n": F.transform("stack", named), "stack_id": F.xxhash64("profile_id", "tid", "stack")})
     rows = rows.select("profile_id", "tid", "stack_id", "value", "times", "__n", F.size("stack").alias("__size"), F.posexplode("stack").alias("pos", "frame"))
@@ -132,6 +139,7 @@ def caller_chains(links: DataFrame, matches: DataFrame, max_depth: int = 50, max
     """
     from ..plans.storage import stored
 
+    links = stored(links.select("source", "target").distinct(), "links")  # as they are asked for at each level
     frontier = seen = stored(matches.select("node_id").distinct().withColumn("depth", F.lit(0)).orderBy("node_id").limit(max_nodes), "level")
     many = seen.count()
     for depth in range(1, max_depth + 1):

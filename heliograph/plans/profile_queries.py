@@ -14,6 +14,7 @@ from ..operators import flamegraph as fg
 from ..operators import stats
 from ..sources import collapsed
 from . import standins as st
+from .storage import stored
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -35,7 +36,8 @@ def on_samples(name: str, operator: Callable[[DataFrame], DataFrame], sql: str)
 
 
 def on_frames(name: str, operator: Callable[[DataFrame], DataFrame], sql: str) -> None:
-    on_samples(name, lambda s: operator(cg.frames(cg.busy(s))), sql)
+    """A query over frames of the stand-in's stacks, which are stored, as operators look at frames twice or more."""
+    on_samples(name, lambda s: operator(cg.frames_of(stored(cg.stacks(cg.busy(s)), "stacks"))), sql)
 
 
 def text(column: str):

@@ -133,3 +133,24 @@ def test_pprof(spark, tmp_path):
     assert got == {"leaf": (30, 30), "main": (10, 40)}
     assert {(tuple(r.stack), r.value) for r in pprof.to_samples(rows, "samples").collect()} == {(("main", "leaf"), 3), (("main",), 1)}
     assert struct.calcsize("<Q") == 8
+
+
+def test_edges_are_made_once_for_all_levels(spark, monkeypatch):
+    """Searches over call graphs look at stored edges, and their queries at stored stacks, however many levels there are."""
+    from heliograph.plans import profile_queries, storage
+
+    written = []
+    stored = storage.stored
+    monkeypatch.setattr(storage, "stored", lambda df, name: (written.append(name), stored(df, name))[1])
+    monkeypatch.setattr(profile_queries, "stored", storage.stored)
+    links = spark.createDataFrame([("a", "b", "1"), ("a", "b", "2"), ("b", "c", "1"), ("c", "d", "1")], "source string, target string, profile_id string")
+    chain = callgraph.caller_chains(links, spark.createDataFrame([("d",)], "node_id string"))
+    assert {(r.node_id, r.depth) for r in chain.collect()} == {("d", 0), ("c", 1), ("b", 2), ("a", 3)}
+    assert written[0] == "links" and written.count("links") == 1
+    written.clear()
+    hidden = spark.createDataFrame([("b",), ("c",)], "node_id string")
+    assert [tuple(r) for r in callgraph.bridges(links, hidden).collect()] == [("a", "d")]
+    assert written[:2] == ["links", "hidden"]
+    written.clear()
+    profile_queries.QUERIES["F18_call_edges"](spark, "/root/testdata/sf0.001")
+    assert written == ["stacks"]
