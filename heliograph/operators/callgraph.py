@@ -186,8 +186,9 @@ def bridges(links: DataFrame, hidden: DataFrame) -> DataFrame:
     """
     from ..plans.storage import stored
 
-    is_hidden = lambda side: hidden.select(F.col("node_id").alias(side)).distinct()
-    marked = links.select("source", "target").distinct().join(hidden.select(F.col("node_id").alias("target"), F.lit(False).alias("ends")).distinct(), "target", "left").withColumn("ends", F.coalesce("ends", F.lit(True)))
+    links, hidden = stored(links.select("source", "target").distinct(), "links"), stored(hidden.select("node_id").distinct(), "hidden")
+    is_hidden = lambda side: hidden.select(F.col("node_id").alias(side))
+    marked = links.join(hidden.select(F.col("node_id").alias("target"), F.lit(False).alias("ends")), "target", "left").withColumn("ends", F.coalesce("ends", F.lit(True)))
     # Visible sources aren't drawn together: only hidden targets can be passed on from.
     short = stored(passed_on(marked), "short")
     outer = short.join(is_hidden("source"), "source", "left_anti")
@@ -203,7 +204,7 @@ def bridges(links: DataFrame, hidden: DataFrame) -> DataFrame:
         met = met.unionByName(path)
         if rounds % 16 == 0:
             met, found = stored(met, "met"), stored(found.distinct(), "bridges")
-    return found.where("source <> target").distinct().join(links.select("source", "target"), ["source", "target"], "left_anti").select("source", "target")
+    return found.where("source <> target").distinct().join(links, ["source", "target"], "left_anti").select("source", "target")
 
 
 def documents(points: DataFrame, links: DataFrame) -> DataFrame:
