@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.storage import stored
 from . import collapsed, hprof, pprof
 
 #: Tables of a kept heap graph; those after the first three may be absent.
@@ -45,8 +46,10 @@ def save_lookups(tables: dict[str, DataFrame], path: str, buckets: int = 64) ->
     """Write the tables of BY_ID that are there under path, for Lookups: a folder a bucket of ids, sorted by id, with Bloom filters.
 
     References are kept in both directions. A bucket is written by as many tasks as a range sort over (bucket, ids)
-    gives it, so an object that a third of all references lead to is no one task's.
+    gives it, so an object that a third of all references lead to is no one task's. References are stored first, as
+    they are looked at four times: by two sorts, each of which also looks where its ranges end.
     """
+    tables = {**tables, "refs": stored(tables["refs"], "refs")} if "refs" in tables else tables
     for name, (table, key) in BY_ID.items():
         if table not in tables:
             continue

@@ -200,3 +200,16 @@ def test_children_of_few_objects_are_those_of_all(spark):
     whole = heap.shared_through_arrays(refs, objects, sizes)
     some = heap.shared_through_arrays(refs, objects, sizes, spark.createDataFrame([(21,), (0,)], "from_id long"))
     assert sorted(some.collect()) == sorted(whole.where("from_id in (0, 21)").collect()) and some.count() == 2
+
+
+def test_lookups_of_references_read_them_once(spark, tmp_path, monkeypatch):
+    """Both directions are sorted from one stored table, not from what the references are made of."""
+    from heliograph.sources import graphs
+
+    written = []
+    monkeypatch.setattr(graphs, "stored", lambda df, name, keep=graphs.stored: (written.append(name), keep(df, name))[1])
+    refs = spark.createDataFrame([(1, 2, "a"), (3, 2, "b"), (2, 4, "c")], "from_id long, to_id long, field string")
+    graphs.save_lookups({"refs": refs}, f"file://{tmp_path}", 4)
+    found = graphs.Lookups(spark, f"file://{tmp_path}")
+    assert {r.from_id for r in found.of("refs_to", 2).collect()} == {1, 3} and [r.to_id for r in found.of("refs_from", 2).collect()] == [4]
+    assert written == ["refs"]
