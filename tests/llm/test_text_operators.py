@@ -258,6 +258,33 @@ def test_ngram_join_of_null_ids(spark):
     assert sorted((repr(r.doc_id), repr(r.component_id)) for r in got) == sorted((repr(i), repr(c)) for (i, _), c in zip(rows, want, strict=True))
 
 
+def test_ngram_join_beyond_what_is_broadcast(spark, monkeypatch):
+    """Beyond BROADCAST_IDS texts stay where they are and sets move once: ids go as bits, sets are kept by fp."""
+    monkeypatch.setattr(ngram_join, "BROADCAST_IDS", 20)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        ids = spark.range(5, 900, 3).select(F.col("id").alias("doc_id")).unionByName(spark.range(1).select(F.lit(None).cast("long").alias("doc_id")))
+        some = ngram_join.among(docs(spark, ["text"] * 1000), ids, "doc_id")
+        plan = some._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan and "hashpartitioning" not in plan
+        assert sorted(r.doc_id for r in some.collect()) == list(range(5, 900, 3))
+        named = spark.createDataFrame([(f"d{i}",) for i in range(50)], "doc_id string")
+        assert sorted(r.doc_id for r in ngram_join.among(named, named.where("doc_id < 'd3'"), "doc_id").collect()) == sorted(f"d{i}" for i in range(50) if f"d{i}" < "d3")
+        texts = near_texts(1)
+        frame = docs(spark, texts).select("doc_id", "text")
+        kept = []
+        monkeypatch.setattr(ngram_join, "sets_of", lambda *a, made=ngram_join.sets_of: (kept.append(made(*a)), kept[-1])[1])
+        assert sorted(tuple(r) for r in ngram_join.join(frame).collect()) == brute_components(texts)
+        assert kept[0][0] is kept[0][1] and not kept[0][1].is_cached
+        # One id in several rows: what isn't wanted, or comes twice, is left out.
+        twice = frame.unionByName(frame).unionByName(frame.select("doc_id", F.concat("text", F.lit(" and"), F.col("doc_id").cast("string")).alias("text")))
+        beyond = sorted(tuple(r) for r in ngram_join.join(twice).collect())
+        monkeypatch.setattr(ngram_join, "BROADCAST_IDS", 1_000_000)
+        assert beyond == sorted(tuple(r) for r in ngram_join.join(twice).collect())
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_parts_meet_whatever_differs():
     random = np.random.default_rng(4)
     for n in (1, 2, 3, 7, 20, 64, 200, 900):
