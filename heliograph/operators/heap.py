@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import classes
 from ..functions.values import percent_scaled
 from ..plans.storage import dealt, kept, stored
-from . import bits, trees
+from . import bits, trees, walks
 from .ranks import ranked
 from .stats import top
 
@@ -162,8 +162,14 @@ def retainers_by_depth(refs: DataFrame, objects: DataFrame, targets: DataFrame,
     Each target meets an object once, over its least field; count and size are of different targets. A search goes
     no further from an object of which stop holds (over class_name), as for business classes.
     """
-    links = kept(refs.groupBy("from_id", "to_id").agg(F.min("field").alias("field")).join(objects.select(F.col("obj_id").alias("from_id"), "class_name"), "from_id"), "to_id")
-    numbers = bits.numbered(targets.select("obj_id").distinct())
+    links = refs.groupBy("from_id", "to_id").agg(F.min("field").alias("field")).join(objects.select(F.col("obj_id").alias("from_id"), "class_name"), "from_id")
+    once = targets.select("obj_id").distinct()
+    if stop is None and walks.worth(objects, once):
+        rows = walks.counted(links, objects, objects.join(once, "obj_id", "left_semi"), max_depth, [])
+        if rows is not None:
+            return rows.groupBy(F.col("label_class").alias("retainer_class"), F.col("label_field").alias("field"), "depth").agg(F.sum("n").alias("count"), F.sum("s").alias("size"))
+    links = kept(links, "to_id")
+    numbers = bits.numbered(once)
     once = bits.targets_of(bits.search(links, numbers, max_depth, stop), "class_name", "field", "depth")
     links.unpersist()
     sized = numbers.join(objects.select("obj_id", F.col("shallow").alias("target_size")), "obj_id").select("number", "target_size")

@@ -7,31 +7,45 @@ from pyspark.sql import functions as F
 
 from ..functions import classes
 from ..plans.storage import kept, stored
-from . import bits
+from . import bits, walks
 from .heap import retained, retained_with_collections, shared_through_arrays, stratified_sample
 from .stats import top
-from .trees import renamed
+from .trees import few, renamed
 
 #: Fields whose targets count as their holder's own.
 OWNING_FIELDS = ["<loaded_class>", "classes", "loadedClasses", "children", "elements", "entries", "items", "value", "data", "content"]
 
 
-def found_by(refs: DataFrame, objects: DataFrame, numbers: DataFrame, max_depth: int, done=None) -> DataFrame:
-    """bits.search() of numbered targets against references; objects without a class are `(unknown)`."""
+def _links(refs: DataFrame, objects: DataFrame) -> DataFrame:
+    """refs, each pair once over its least field, with the referrer's class; objects without a class are `(unknown)`."""
     kind = objects.select(F.col("obj_id").alias("from_id"), F.coalesce("class_name", F.lit("(unknown)")).alias("class_name"))
-    links = kept(refs.groupBy("from_id", "to_id").agg(F.min("field").alias("field")).join(kind, "from_id"), "to_id")
+    return refs.groupBy("from_id", "to_id").agg(F.min("field").alias("field")).join(kind, "from_id")
+
+
+def found_by(refs: DataFrame, objects: DataFrame, numbers: DataFrame, max_depth: int, done=None) -> DataFrame:
+    """bits.search() of numbered targets against references."""
+    links = kept(_links(refs, objects), "to_id")
     found = bits.search(links, numbers, max_depth, done=done)
     links.unpersist()
     return found
 
 
+def _known(objects: DataFrame) -> DataFrame:
+    return objects.select("obj_id", F.coalesce("class_name", F.lit("(unknown)")).alias("class_name"))
+
+
 def _sampled(objects: DataFrame, wanted: DataFrame, samples: int) -> tuple[DataFrame, DataFrame]:
-    """A stratified sample of each wanted class (class_name): obj_id, class_name, shallow, number; and per class its totals."""
+    """A stratified sample of each wanted class (class_name): obj_id, target_class, shallow; and per class its totals."""
     rows = objects.join(wanted.select("class_name").distinct(), "class_name", "left_semi")
-    sample = bits.numbered(stratified_sample(rows, samples).select("obj_id", "class_name", "shallow"), "class_name")
-    whole = rows.groupBy("class_name").agg(F.count("*").alias("instances"), F.sum("shallow").alias("total_size"))
-    taken = sample.groupBy("class_name").agg(F.count("*").alias("sampled"), F.sum("shallow").alias("sampled_size"))
-    return sample, whole.join(taken, "class_name").select(F.col("class_name").alias("target_class"), "instances", "total_size", "sampled", "sampled_size")
+    whole = stored(rows.groupBy("class_name").agg(F.count("*").alias("instances"), F.sum("shallow").alias("total_size")), "whole")
+    if (whole.agg(F.max("instances")).head()[0] or 0) <= samples:
+        sample = rows
+        taken = whole.select("class_name", F.col("instances").alias("sampled"), F.col("total_size").alias("sampled_size"))
+    else:
+        sample = stored(stratified_sample(rows, samples).select("obj_id", "class_name", "shallow"), "sample")
+        taken = sample.groupBy("class_name").agg(F.count("*").alias("sampled"), F.sum("shallow").alias("sampled_size"))
+    whole = whole.join(taken, "class_name").select(F.col("class_name").alias("target_class"), "instances", "total_size", "sampled", "sampled_size")
+    return renamed(sample, obj_id="obj_id", target_class="class_name", shallow="shallow"), whole
 
 
 def _scaled(value: str) -> Column:
@@ -47,9 +61,15 @@ def by_depth(refs: DataFrame, objects: DataFrame, wanted: DataFrame, n: int | No
     is over 100 per cent. Ranked by depth, then size; the first n of each class.
     """
     sample, whole = _sampled(objects, wanted, samples)
-    once = bits.targets_of(found_by(refs, objects, sample, max_depth), "class_name", "field", "depth")
-    once = once.withColumnRenamed("class_name", "retainer_class").join(renamed(sample, number="number", target_class="class_name", shallow="shallow"), "number")
-    rows = once.groupBy("target_class", "retainer_class", "field", "depth").agg(F.count("*").alias("n"), F.sum("shallow").alias("s")).join(whole, "target_class")
+    rows = walks.counted(_links(refs, objects), _known(objects), sample, max_depth, ["target_class"]) if walks.worth(objects, sample) else None
+    if rows is not None:
+        rows = rows.groupBy("target_class", F.col("label_class").alias("retainer_class"), F.col("label_field").alias("field"), "depth").agg(F.sum("n").alias("n"), F.sum("s").alias("s"))
+    else:
+        numbers = bits.numbered(sample, "target_class")
+        once = bits.targets_of(found_by(refs, objects, numbers, max_depth), "class_name", "field", "depth")
+        once = once.withColumnRenamed("class_name", "retainer_class").join(numbers.drop("obj_id"), "number")
+        rows = once.groupBy("target_class", "retainer_class", "field", "depth").agg(F.count("*").alias("n"), F.sum("shallow").alias("s"))
+    rows = rows.join(whole, "target_class")
     rows = rows.withColumns({"count": _scaled("n"), "size": _scaled("s")})
     pct = F.when(F.col("total_size") > 0, F.least(F.col("size") * 100.0 / F.col("total_size"), F.lit(100.0))).otherwise(0.0)
     rows = rows.select("target_class", "retainer_class", "field", "depth", "count", F.least("size", "total_size").alias("size"), pct.alias("pct"))
@@ -70,20 +90,43 @@ def business(refs: DataFrame, objects: DataFrame, wanted: DataFrame, roots: Data
     share is of the sampled targets' size; depth and root are those of the nearest of the class's objects.
     """
     sample, whole = _sampled(objects, wanted, samples)
+    rooted = roots.select("obj_id", F.lit(True).alias("is_root")).distinct()
+    rows = _business_of_many(refs, objects, sample, rooted, max_depth, enough) if walks.worth(objects, sample) else None
+    rows = (_business_of_few(refs, objects, sample, rooted, max_depth, enough) if rows is None else rows).join(whole, "target_class")
+    pct = F.when(F.col("sampled_size") > 0, F.least(F.col("s") * 100.0 / F.col("sampled_size"), F.lit(100.0))).otherwise(0.0)
+    rows = rows.select("target_class", "class_name", "at.depth", _scaled("n").alias("count"), _scaled("s").alias("size"), pct.alias("pct"), (~F.col("at.no_root")).alias("is_root"))
+    return top(rows, ["target_class"], [F.desc("size"), F.asc("class_name")], n, "rank")
+
+
+def _business_of_few(refs: DataFrame, objects: DataFrame, sample: DataFrame, rooted: DataFrame, max_depth: int, enough: int) -> DataFrame:
+    """target_class, class_name, at, n, s by a search from the targets, a bit for each."""
+    numbers = bits.numbered(sample, "target_class")
 
     def done(found: DataFrame) -> DataFrame:
         many = bits.targets_of(found.where(classes.is_business("class_name")), "class_name").groupBy("number").agg(F.count("*").alias("n"))
         return many.where(F.col("n") >= enough).select("number")
 
-    found = found_by(refs, objects, sample, max_depth, done).where(classes.is_business("class_name"))
-    rooted = roots.select(F.col("obj_id").alias("node"), F.lit(True).alias("is_root")).distinct()
-    near = bits.targets_of(found.join(rooted, "node", "left").withColumn("no_root", F.col("is_root").isNull()), "class_name", "depth", "no_root")
-    near = near.groupBy("number", "class_name").agg(F.min(F.struct("depth", "no_root")).alias("at"))
-    near = near.join(renamed(sample, number="number", target_class="class_name", shallow="shallow"), "number")
-    rows = near.groupBy("target_class", "class_name").agg(F.min("at").alias("at"), F.count("*").alias("n"), F.sum("shallow").alias("s")).join(whole, "target_class")
-    pct = F.when(F.col("sampled_size") > 0, F.least(F.col("s") * 100.0 / F.col("sampled_size"), F.lit(100.0))).otherwise(0.0)
-    rows = rows.select("target_class", "class_name", "at.depth", _scaled("n").alias("count"), _scaled("s").alias("size"), pct.alias("pct"), (~F.col("at.no_root")).alias("is_root"))
-    return top(rows, ["target_class"], [F.desc("size"), F.asc("class_name")], n, "rank")
+    found = found_by(refs, objects, numbers, max_depth, done).where(classes.is_business("class_name"))
+    near = bits.targets_of(found.join(renamed(rooted, node="obj_id", is_root="is_root"), "node", "left").withColumn("no_root", F.col("is_root").isNull()), "class_name", "depth", "no_root")
+    near = near.groupBy("number", "class_name").agg(F.min(F.struct("depth", "no_root")).alias("at")).join(numbers.drop("obj_id"), "number")
+    return near.groupBy("target_class", "class_name").agg(F.min("at").alias("at"), F.count("*").alias("n"), F.sum("shallow").alias("s"))
+
+
+def _business_of_many(refs: DataFrame, objects: DataFrame, sample: DataFrame, rooted: DataFrame, max_depth: int, enough: int) -> DataFrame | None:
+    """The same from labels of class and root, which all objects that have the same ones share."""
+    links = _links(refs, objects).join(few(renamed(rooted, from_id="obj_id", is_root="is_root")), "from_id", "left")
+    links = links.withColumn("field", F.col("is_root").isNull().cast("string"))
+    rows = walks.counted(links, _known(objects), sample, max_depth, ["target_class"], classes.is_business("class_name"), fields=False)
+    if rows is None:
+        return None
+    rows = rows.withColumnsRenamed({"label_class": "class_name"}).withColumn("no_root", F.col("label_field") == "true")
+    near = stored(rows.groupBy("gid", "target_class", "n", "s", "class_name", "depth").agg(F.min("no_root").alias("no_root")), "near")
+    # A search ends with the depth at which there are enough classes.
+    first = near.groupBy("gid", "class_name").agg(F.min("depth").alias("end"))
+    ends = top(first, ["gid"], [F.asc("end"), F.asc("class_name")], enough, "rank").where(F.col("rank") == enough).select("gid", "end")
+    near = near.join(ends, "gid", "left").where(F.col("end").isNull() | (F.col("depth") <= F.col("end")))
+    near = near.groupBy("gid", "target_class", "n", "s", "class_name").agg(F.min(F.struct("depth", "no_root")).alias("at"))
+    return near.groupBy("target_class", "class_name").agg(F.min("at").alias("at"), F.sum("n").alias("n"), F.sum("s").alias("s"))
 
 
 def sub_graph(refs: DataFrame, objects: DataFrame, class_name: str, seeds: int = 10, max_depth: int = 10, max_nodes: int = 100, few: int = 20, least_depth: int = 5) -> tuple[DataFrame, DataFrame]:

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from heliograph.functions import frames as fn
-from heliograph.operators import bits, heap, paths, ranks, retainers
+from heliograph.operators import bits, heap, paths, ranks, retainers, walks
 from heliograph.plans import modes
 
 OBJECTS, REFS = "obj_id long, class_name string, shallow long", "from_id long, to_id long, field string"
@@ -258,3 +258,46 @@ def test_direct_retainers_are_summed_before_their_classes_meet(spark):
     got = {(x.target_class, x.retainer_class, x.field): [x["count"], x["size"]] for x in rows.collect()}
     assert got == want
     assert "REPARTITION_BY_NUM" in rows._jdf.queryExecution().executedPlan().toString()
+
+
+def layers(draw, wide):
+    """A graph by layers, but that C1 refers to C4 directly too, and twice to C2; some of C5 refer to each other at random."""
+    sizes = [3, 8, wide, 2 * wide, 30]
+    ids, first = [], 0
+    for n in sizes:
+        ids.append(list(range(first, first + n)))
+        first += n
+    objects = [(i, f"x.C{k}", draw.randint(1, 9) * 8) for k, some in enumerate(ids) for i in some]
+    refs = [(draw.choice(ids[k]), i, "down") for k in range(4) for i in ids[k + 1] for _ in range(2)]
+    refs += [(draw.choice(ids[1]), i, draw.choice(["over", "a"])) for i in ids[4]] + [(draw.choice(ids[1]), i, "b") for i in ids[2]]
+    return objects, refs
+
+
+@pytest.mark.parametrize("circles", [False, True])
+def test_labels_of_all_objects_are_those_of_a_search(spark, monkeypatch, circles):
+    """Nearly all objects as targets: labels pass over references once, doubtful objects have bits; no search from targets."""
+    objects, refs = layers(random.Random(7), 150)
+    if circles:
+        refs += [(a, b, f) for a, b, f in graph(8, 4)[1] if 3 <= a < 11] + [(3, 4, "next"), (4, 3, "next"), (5, 5, "next")]
+        monkeypatch.setattr(walks, "DOUBTS", 0)
+    o, r = spark.createDataFrame(objects, OBJECTS), spark.createDataFrame(refs, REFS)
+    size, kind = {x[0]: x[2] for x in objects}, {x[0]: x[1] for x in objects}
+    by_class, business = defaultdict(lambda: [0, 0]), defaultdict(set)
+    for t, c, f, d in backward(objects, refs, kind, 4):
+        by_class[kind[t], c, f, d][0] += 1
+        by_class[kind[t], c, f, d][1] += size[t]
+        business[kind[t], c].add(t)
+    whole = defaultdict(lambda: [0, 0])
+    for (_, *k), (n, s) in by_class.items():
+        whole[tuple(k)][0] += n
+        whole[tuple(k)][1] += s
+    roots, wanted = o.where("obj_id < 2").select("obj_id"), o.select("class_name").distinct()
+    asked = lambda: (sorted(map(tuple, retainers.business(r, o, wanted, roots, n=None, max_depth=4, samples=10**6, enough=3).collect())))
+    monkeypatch.setattr(walks, "SHARE", 0)
+    searched = asked()
+    monkeypatch.setattr(walks, "SHARE", 4)
+    monkeypatch.setattr(bits, "search", None)
+    assert {(x.retainer_class, x.field, x.depth): [x["count"], x["size"]] for x in heap.retainers_by_depth(r, o, o, 4).collect()} == whole
+    found = retainers.by_depth(r, o, wanted, None, 4, 10**6).collect()
+    assert {(x.target_class, x.retainer_class, x.field, x.depth): [x["count"], x["size"]] for x in found} == by_class
+    assert asked() == searched and len(searched) > 8
