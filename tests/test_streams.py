@@ -5,6 +5,7 @@ import sqlite3
 
 import pandas as pd
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from heliograph.operators import advisor
@@ -82,6 +83,24 @@ def test_state_of_few_sub_tasks_is_one_value():
     assert row.sub_tasks[0] == 400 and len(row.groups[0]) == 400
 
 
+def test_masters_over_rows_are_those_over_frames():
+    """Rows make no pandas frame a master, and give what frames give, from the same state."""
+    assert issubclass(masters.RowMasters, masters.Masters)
+    say = lambda *x: [{"func": f, "suggestion": s} for f, s in x]
+    batches = [[("a", 2, 2, 0, None), ("a", 1, 2, 2, say(("g", "look"), ("f", "see"))), ("b", 1, 3, 0, None)], [("b", 2, 2, 2, say(("f", " "))), ("a", 3, 2, 2, [])], [("a", 2, 2, 2, say(("x", "late")))]]
+    keys, found = ("tid", "seq", "status", "analysis_status", "suggestions"), []
+    for kind, shape in ((masters.Masters, lambda rows: pd.DataFrame(rows, columns=keys)), (masters.RowMasters, lambda rows: None)):
+        master = kind()
+        master.init(Handle())
+        out = []
+        for rows in batches:
+            given = iter([shape(rows)]) if kind is masters.Masters else iter([Row(**dict(zip(keys, r, strict=True))) for r in rows])
+            for x in master.handleInputRows(("m",), given, None):
+                out.append(x.to_dict("records")[0] if kind is masters.Masters else x.asDict(True))
+        found.append(out)
+    assert found[0] == found[1] and [x["sub_tasks"] for x in found[1]] == [2, 2, 2] and found[1][2]["groups"][0]["items"] == say(("x", "late"))
+
+
 def test_masters_with_state(spark, tmp_path):
     """Groups and completeness as the batch roll-up has them, over two runs of one checkpoint; repeats change nothing."""
     landing, out = tmp_path / "in", {}
