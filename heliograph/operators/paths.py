@@ -11,6 +11,10 @@ from .stats import top
 from .trees import TABLES, few, renamed
 
 
+#: One of so many objects as a target is enough to build all paths from the roots down.
+MANY = 4
+
+
 def shortest_ways(refs: DataFrame, roots: DataFrame, per_node: int = 3) -> DataFrame:
     """obj_id, way, level, by, by_way, field: the per_node first shortest ways to every object that a root reaches.
 
@@ -60,8 +64,11 @@ def root_paths(ways: DataFrame, objects: DataFrame, targets: DataFrame) -> DataF
     """target, rank (from 1), length, path of the targets (obj_id): path is array<obj_id, class_name, field>, root first.
 
     A step's field is what the step before refers to it by, null for the root. Targets that no root reaches have no
-    row. ways is shortest_ways(); it is read once a level up from the targets.
+    row. ways is shortest_ways(); it is read once a level up from the targets, or, where one of MANY objects is a
+    target, once in all.
     """
+    if targets.count() * MANY >= objects.count():
+        return _paths_of_all(ways, objects, targets)
     step = renamed(ways, node="obj_id", node_way="way", level="level", by="by", by_way="by_way", field="field")
     own = stored(targets.select(F.col("obj_id").alias("target")).distinct(), "targets")
     at = step.join(renamed(own, node="target"), "node").select(F.col("node").alias("target"), (F.col("node_way") + 1).alias("rank"), "node", "level", "by", "by_way", "field")
@@ -79,6 +86,24 @@ def root_paths(ways: DataFrame, objects: DataFrame, targets: DataFrame) -> DataF
     return rows.select("target", "rank", F.size("steps").alias("length"), F.transform("steps", lambda s: F.struct(s["obj_id"].alias("obj_id"), s["class_name"].alias("class_name"), s["field"].alias("field"))).alias("path"))
 
 
+def _paths_of_all(ways: DataFrame, objects: DataFrame, targets: DataFrame) -> DataFrame:
+    """root_paths() from the roots down: a way's path is that of the way that it goes on from, and its own last step."""
+    # Which ways are asked for is told before they have paths, so that no path is shuffled for it.
+    wanted = targets.select("obj_id", F.lit(True).alias("wanted")).distinct()
+    named = ways.join(renamed(objects, obj_id="obj_id", class_name="class_name"), "obj_id", "left").join(wanted, "obj_id", "left")
+    last = F.array(F.struct("obj_id", "class_name", "field"))
+    named = stored(named.select("obj_id", "way", "level", "by", "by_way", last.alias("last"), "wanted"), "steps")
+    front = found = stored(named.where("level = 0").select("obj_id", "way", F.col("last").alias("path"), "wanted"), "paths")
+    depth = 0
+    while not front.isEmpty():
+        depth += 1
+        before = renamed(front, by="obj_id", by_way="way", path="path")
+        front = stored(named.where(F.col("level") == depth).join(before, ["by", "by_way"]).select("obj_id", "way", F.concat("path", "last").alias("path"), "wanted"), "paths")
+        found = found.unionByName(front)
+        found = found if depth % TABLES else stored(found, "paths")
+    return found.where("wanted").select(F.col("obj_id").alias("target"), (F.col("way") + 1).alias("rank"), F.size("path").alias("length"), "path")
+
+
 def described(big: DataFrame, refs: DataFrame, sizes: DataFrame, ways: DataFrame, fields: int = 50) -> DataFrame:
     """big (obj_id, ...) with fields (array<name, to_id, class_name, retained>, largest first) and path, its first way from a root.
 

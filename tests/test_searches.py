@@ -138,6 +138,22 @@ def test_ways_with_fields(spark):
     assert paths.root_paths(made, o, o.where("false")).count() == 0
 
 
+def test_paths_of_all_objects_are_built_once(spark, monkeypatch):
+    """From the roots down a way is joined once, however long; the paths are those from targets up. Targets without a row in objects, too."""
+    objects, refs = graph(120, 4, most=2)
+    refs += [(i, i + 1, "next") for i in range(200, 220)] + [(0, 200, "first")]
+    o, r = spark.createDataFrame(objects, OBJECTS), spark.createDataFrame(refs, REFS)
+    made = paths.shortest_ways(r, spark.createDataFrame([(0, "JNI"), (9, "JNI")], "obj_id long, root_type string"))
+    targets = o.select("obj_id").unionByName(spark.createDataFrame([(220,)], "obj_id long"))
+    wanted = lambda: sorted(map(str, paths.root_paths(made, o, targets).collect()))
+    monkeypatch.setattr(paths, "MANY", 0)
+    up = wanted()
+    monkeypatch.setattr(paths, "MANY", 4)
+    written = []
+    monkeypatch.setattr(paths, "stored", lambda df, name, keep=paths.stored: (written.append(name), keep(df, name))[1])
+    assert wanted() == up and len(up) > 100 and written.count("steps") == 1
+
+
 def test_ways_of_few_targets_leave_others_alone(spark):
     objects, refs = graph(300, 5, most=2)
     r = spark.createDataFrame([*refs, *((10_000 + i, 20_000 + i, "far") for i in range(50))], REFS)
