@@ -131,26 +131,28 @@ def thread_graphs(rows: DataFrame, n: int = 50) -> DataFrame:
     return edges(rows, by_thread=True).join(best, ["profile_id", "tid"], "left_semi")
 
 
-def caller_chains(links: DataFrame, matches: DataFrame, max_depth: int = 50, max_nodes: int = 2000) -> DataFrame:
-    """node_id, depth of nodes from which a match can be reached, by breadth-first search against the edges.
+def caller_chains(links: DataFrame, matches: DataFrame, max_depth: int | None = None, max_nodes: int | None = None) -> DataFrame:
+    """node_id, depth of all nodes from which a match can be reached, by breadth-first search against the edges.
 
-    One job a level, each level's frontier without nodes met before; it ends with an empty frontier, at max_depth, or
-    at max_nodes, which bound a view: of the level that reaches max_nodes the first by name stay.
+    One job a level, each level's frontier without nodes met before; it ends with an empty frontier. For a view it can
+    end at max_depth, or at max_nodes: of the level that reaches those the first by name stay.
     """
     from ..plans.storage import stored
 
     links = stored(links.select("source", "target").distinct(), "links")  # as they are asked for at each level
-    frontier = seen = stored(matches.select("node_id").distinct().withColumn("depth", F.lit(0)).orderBy("node_id").limit(max_nodes), "level")
-    many = seen.count()
-    for depth in range(1, max_depth + 1):
-        if many >= max_nodes:
-            break
+    first = lambda rows, n: rows if n is None else rows.orderBy("node_id").limit(n)
+    frontier = seen = stored(first(matches.select("node_id").distinct().withColumn("depth", F.lit(0)), max_nodes), "level")
+    many, depth = seen.count(), 0
+    while (max_depth is None or depth < max_depth) and (max_nodes is None or many < max_nodes):
+        depth += 1
         step = links.join(frontier.select(F.col("node_id").alias("target")), "target", "left_semi").select(F.col("source").alias("node_id")).distinct()
-        frontier = stored(step.join(seen.select("node_id"), "node_id", "left_anti").withColumn("depth", F.lit(depth)).orderBy("node_id").limit(max_nodes - many), "level")
+        step = step.join(seen.select("node_id"), "node_id", "left_anti").withColumn("depth", F.lit(depth))
+        frontier = stored(first(step, None if max_nodes is None else max_nodes - many), "level")
         found = frontier.count()
         if not found:
             break
         seen, many = seen.unionByName(frontier), many + found
+        seen = seen if depth % 16 else stored(seen, "seen")
     return seen
 
 

@@ -133,6 +133,14 @@ def test_stacks_of_functions(spark):
     assert {r.func: r.sample_stack for r in rows.collect()} == {"b": "a;b", "a": "a;c;a", "no": None}
 
 
+def test_chains_are_whole_unless_a_view_is_asked_for(spark):
+    """More callers than a view shows, and a way longer than one: all are found, at their depths."""
+    rows = [(f"n{i:04d}", "x") for i in range(2100)] + [(f"w{i}", f"w{i - 1}" if i else "n0000") for i in range(52)]
+    found = callgraph.caller_chains(spark.createDataFrame(rows, "source string, target string"), spark.createDataFrame([("x",)], "node_id string"))
+    got = {r.node_id: r.depth for r in found.collect()}
+    assert got == {"x": 0} | {f"n{i:04d}": 1 for i in range(2100)} | {f"w{i}": i + 2 for i in range(52)}
+
+
 def test_chains_stop_at_the_view(spark):
     links = spark.createDataFrame([(f"n{i:03d}", "x") for i in range(50)], "source string, target string")
     got = callgraph.caller_chains(links, spark.createDataFrame([("x",)], "node_id string"), max_nodes=10).collect()
